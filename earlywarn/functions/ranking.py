@@ -2,15 +2,17 @@
 
 ``Window.partitionBy(g).orderBy(x)`` puts a whole group in one task; with a
 handful of groups (a model, a label) that is one task per group at any data
-size.  Here the rows are range-partitioned on ``(group, order)`` instead, so
-each task holds one contiguous slice of the global order:
-
-1. ``repartitionByRange`` + ``spark_partition_id()`` tag every row with its
-   slice; slices are ordered, and one group may span several slices.
-2. A window over ``(slice, group)`` gives the running total inside a slice
-   and the slice total (one exchange, both frames in one WindowExec).
-3. The slice totals (one row per slice and group) are summed over the
-   preceding slices of the same group and joined back as offsets.
+size.  Here every row gets a *slice*: a non-decreasing function of its sort
+key, so slices are contiguous ranges of the order.
+
+1. The slice is a pure function of the row: for a numeric key, a binary
+   search (a CASE tree) over quantile bounds computed once from the data;
+   for an md5 key, its leading hex digits.  Re-running any task gives the
+   same slice, so the two branches below always agree.
+2. A window over ``(group, slice)`` gives the running total inside a slice
+   and the slice total.
+3. Slice totals (one row per group and slice) are summed over the preceding
+   slices of the same group and joined back as offsets.
 
 The result equals the single-window running total exactly.
 """
@@ -21,25 +23,53 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-_PID = "_slice"
+_SLICE = "_slice"
 
 
 def _order_cols(order: Sequence) -> list[Column]:
     cols = []
     for o in order:
-        if isinstance(o, Column):
-            cols.append(o)
-        elif isinstance(o, str) and o.startswith("-"):
+        if isinstance(o, str) and o.startswith("-"):
             cols.append(F.col(o[1:]).desc())
         else:
             cols.append(F.col(o).asc())
     return cols
 
 
-def _slices(df: DataFrame) -> int:
+def _n_slices(df: DataFrame) -> int:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, n)
+    return max(1, min(1024, n))
+
+
+def search_bucket(x: Column, bounds: Sequence[float]) -> Column:
+    """Number of ``bounds`` (sorted) that are <= x, as a balanced CASE tree."""
+
+    def rec(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x < F.lit(float(bounds[mid])), rec(lo, mid)).otherwise(rec(mid + 1, hi))
+
+    return rec(0, len(bounds))
+
+
+def md5_slicer(col: str, hex_digits: int = 3) -> Column:
+    """Slice of an md5-hex sort key: its leading hex digits (uniform)."""
+    return F.conv(F.substring(F.col(col), 1, hex_digits), 16, 10).cast("int")
+
+
+def quantile_slicer(df: DataFrame, col: str, slices: int, descending: bool = False) -> Column:
+    """Slice of a numeric sort key from approximate quantile bounds (one pass)."""
+    if slices <= 1:
+        return F.lit(0)
+    probs = [i / slices for i in range(1, slices)]
+    bounds = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v")) \
+        .approxQuantile("_v", probs, 1.0 / (4 * slices))
+    bounds = sorted(set(b for b in bounds if b == b))
+    b = search_bucket(F.col(col).cast("double"), bounds)
+    return (F.lit(len(bounds)) - b) if descending else b
 
 
 def running_totals(
@@ -48,42 +78,50 @@ def running_totals(
     order: Sequence,
     measures: dict[str, Column | str],
     slices: int | None = None,
+    slicer: Column | None = None,
 ) -> DataFrame:
     """Add inclusive running sums ``name = sum(expr)`` over ``order`` within ``by``.
 
     ``order`` must be unique within ``by`` (aggregate ties first, or add a
-    tie-breaker). Items of ``order`` are column names, ``-name`` for
-    descending, or sort Columns.
+    tie-breaker); items are column names, ``-name`` for descending.
+    ``slicer`` must be non-decreasing along ``order``; by default it comes
+    from quantiles of the first (numeric) order column.
     """
     by = list(by)
-    sort = [F.col(b).asc() for b in by] + _order_cols(order)
-    n = slices or _slices(df)
     meas = {k: (F.col(v) if isinstance(v, str) else v) for k, v in measures.items()}
-    tagged = df.repartitionByRange(n, *sort).withColumn(_PID, F.spark_partition_id())
-    local_w = Window.partitionBy(_PID, *by).orderBy(*_order_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
-    slice_w = Window.partitionBy(_PID, *by)
+    if slicer is None:
+        first = order[0]
+        desc = first.startswith("-")
+        name = first[1:] if desc else first
+        if isinstance(df.schema[name].dataType, NumericType):
+            slicer = quantile_slicer(df, name, slices or _n_slices(df), desc)
+        else:
+            slicer = F.lit(0)
+    tagged = df.withColumn(_SLICE, slicer)
+    local_w = Window.partitionBy(*by, _SLICE).orderBy(*_order_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
     local = tagged
     for name, expr in meas.items():
-        local = local.withColumn(f"_loc_{name}", F.sum(expr).over(local_w)).withColumn(f"_tot_{name}", F.sum(expr).over(slice_w))
-    totals = local.groupBy(_PID, *by).agg(*[F.first(f"_tot_{k}").alias(f"_tot_{k}") for k in meas])
-    prev_w = Window.partitionBy(*by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1) if by else \
-        Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+        local = local.withColumn(f"_loc_{name}", F.sum(expr).over(local_w))
+    totals = tagged.groupBy(*by, _SLICE).agg(*[F.sum(expr).alias(f"_tot_{k}") for k, expr in meas.items()])
+    prev_w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(_SLICE) \
+        .rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        _PID, *by, *[F.coalesce(F.sum(f"_tot_{k}").over(prev_w), F.lit(0)).alias(f"_off_{k}") for k in meas]
+        *by, _SLICE, *[F.coalesce(F.sum(f"_tot_{k}").over(prev_w), F.lit(0)).alias(f"_off_{k}") for k in meas]
     )
-    out = local.join(offsets, on=[_PID, *by], how="inner")
+    out = local.join(offsets, on=[*by, _SLICE], how="inner")
     for k in meas:
         out = out.withColumn(k, F.col(f"_loc_{k}") + F.col(f"_off_{k}"))
-    drop = [_PID] + [f"_{p}_{k}" for k in meas for p in ("loc", "tot", "off")]
+    drop = [_SLICE] + [f"_{p}_{k}" for k in meas for p in ("loc", "off")]
     return out.drop(*drop)
 
 
-def global_row_number(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "rn", slices: int | None = None) -> DataFrame:
+def global_row_number(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "rn", slices: int | None = None,
+                      slicer: Column | None = None) -> DataFrame:
     """``row_number() over (partition by by order by order)``, computed in slices.
 
     ``order`` must make rows unique within ``by`` (include a key column).
     """
-    out = running_totals(df, by, order, {name: F.lit(1)}, slices=slices)
+    out = running_totals(df, by, order, {name: F.lit(1)}, slices=slices, slicer=slicer)
     return out.withColumn(name, F.col(name).cast("bigint"))
 
 

@@ -129,3 +129,30 @@ def ap_sql(src: str, by: list[str], yt: str = "y_true", score: str = "y_prob") -
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+
+SUITE = ("accuracy", "bal_acc", "macro_f1", "f1_pass", "f1_risk", "precision_pass", "recall_pass",
+         "precision_risk", "risk_recall", "missed_risk_rate", "false_alarm_rate", "auc", "pr_auc_risk", "mcc")
+
+
+def suite_sql(src: str, by: list[str], metrics=SUITE, pred: str = "y_pred") -> str:
+    """Per-group metric suite: confusion algebra joined with AUC and AP."""
+    g = ", ".join(by)
+    gp = (g + ", ") if by else ""
+    conf = [m for m in metrics if m not in ("auc", "pr_auc_risk")]
+    sel = ", ".join(f"{metric_sql(m)} AS {m}" if m in conf else m for m in metrics)
+    if by:
+        join = f"LEFT JOIN {auc_sql(src, by)} a USING ({g}) LEFT JOIN {ap_sql(src, by)} p USING ({g})"
+    else:
+        join = f"CROSS JOIN {auc_sql(src, by)} a CROSS JOIN {ap_sql(src, by)} p"
+    return f"""SELECT {gp}{sel}
+FROM (SELECT {gp}{counts_sql('y_true', pred)} FROM {src} {"GROUP BY " + g if by else ""}) cm
+{join}"""
+
+
+def r6(sql: str, *cols: str) -> str:
+    """Round the named double columns to 6 places."""
+    if not cols:
+        return sql
+    rep = ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+    return f"SELECT * REPLACE ({rep}) FROM ({sql}) q"

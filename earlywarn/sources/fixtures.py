@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earlywarn.functions.hashing import md5_order, u
-from earlywarn.functions.ranking import global_row_number
+from earlywarn.functions.ranking import global_row_number, md5_slicer
 from earlywarn.sources.tables import table
 
 
@@ -81,7 +81,7 @@ def oof(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
         F.inline(models),
     ).withColumn("y_pred", (F.col("y_prob") >= F.lit(0.5)).cast("int"))
     rows = rows.withColumn("_k", md5_order("42|fold", "row_id"))
-    rn = global_row_number(rows, ["model", "y_true"], ["_k", "row_id"], name="_rn")
+    rn = global_row_number(rows, ["model", "y_true"], ["_k", "row_id"], name="_rn", slicer=md5_slicer("_k"))
     return rn.withColumn("fold", ((F.col("_rn") - 1) % k).cast("int")).drop("_k", "_rn")
 
 
