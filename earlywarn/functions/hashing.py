@@ -30,3 +30,52 @@ def u(tag: str, *ids) -> Column:
 def md5_order(tag: str, *ids) -> Column:
     """Sort key used to shuffle rows deterministically."""
     return F.md5(key(tag, *ids))
+
+
+# Integer mixing hash for per-(row, iteration) draws.  md5 -> hex -> integer
+# costs ~50x more per draw than plain integer arithmetic, and a bootstrap
+# draws iterations x rows times.  All products stay below 2^63 (32-bit state
+# times a 27-bit multiplier), so ANSI overflow checks never fire and any SQL
+# engine with 64-bit integers and xor/shift reproduces the value exactly.
+# Each xor-shift reads its input twice, so every step is its own projection
+# (Catalyst keeps a multiply-referenced, non-trivial projection separate).
+MASK32 = 0xFFFFFFFF
+MIX_MUL = 0x45D9F3B
+
+
+def mix32_int(x: int) -> int:
+    x &= MASK32
+    for _ in range(2):
+        x = ((x ^ (x >> 16)) * MIX_MUL) & MASK32
+    return x ^ (x >> 16)
+
+
+def iteration_states(seed: int, iterations: int) -> list[tuple[int, int]]:
+    """(b, state) for b = 1..iterations: the seed and iteration folded in."""
+    s0 = mix32_int(seed)
+    return [(b, mix32_int(s0 ^ b)) for b in range(1, iterations + 1)]
+
+
+def _mix_steps(df, col: str):
+    c = F.col(col)
+    df = df.withColumn(col, c.bitwiseXOR(F.shiftright(c, 16)))
+    df = df.withColumn(col, (F.col(col) * F.lit(MIX_MUL)).bitwiseAND(F.lit(MASK32)))
+    df = df.withColumn(col, F.col(col).bitwiseXOR(F.shiftright(F.col(col), 16)))
+    df = df.withColumn(col, (F.col(col) * F.lit(MIX_MUL)).bitwiseAND(F.lit(MASK32)))
+    return df.withColumn(col, F.col(col).bitwiseXOR(F.shiftright(F.col(col), 16)))
+
+
+def with_iteration_state(df, b: str, out: str, seed: int):
+    """Add the 32-bit state of iteration column ``b`` (equals ``iteration_states``)."""
+    df = df.withColumn(out, F.lit(mix32_int(seed)).cast("bigint").bitwiseXOR(F.col(b).cast("bigint")))
+    return _mix_steps(df, out)
+
+
+def with_draw(df, out: str, state: str, key: str):
+    """Add ``out`` = uniform in [0, 1) from a 32-bit ``state`` column and a bigint ``key``."""
+    k = F.col(key).cast("bigint")
+    df = df.withColumn(out, F.col(state).cast("bigint").bitwiseXOR(k.bitwiseAND(F.lit(MASK32))))
+    df = _mix_steps(df, out)
+    df = df.withColumn(out, F.col(out).bitwiseXOR(F.shiftright(k, 32).bitwiseAND(F.lit(MASK32))))
+    df = _mix_steps(df, out)
+    return df.withColumn(out, F.col(out) / F.lit(TWO_POW_32))

@@ -2,7 +2,7 @@
 
 Resampling rows by position needs the whole table in one place.  The Poisson
 bootstrap gives each (row, iteration) an independent Poisson(1) weight drawn
-from a hash of (seed, iteration, row id), so every task draws its own weights
+from an integer hash of (seed, iteration, row id), so every task draws its own weights
 and the iterations are aggregated map-side: the explode of iterations never
 reaches a shuffle, only per-iteration confusion counts and weighted score
 histograms do.  Resamples with one class are skipped; the interval is the
@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earlywarn.functions import metrics as M
-from earlywarn.functions.hashing import TWO_POW_32
-from earlywarn.functions.ranking import running_totals
+from earlywarn.functions.hashing import with_draw, with_iteration_state
+from earlywarn.functions.ranking import quantile_slicer, running_totals
 from earlywarn.operators.evaluate import metrics_at
 
 
@@ -45,24 +45,36 @@ TRACKED = ("macro_f1", "bal_acc", "risk_recall", "f1_risk", "auc", "mcc")
 
 def bootstrap_ci(df: DataFrame, t: float = 0.5, iterations: int = 500, by: Sequence[str] = (), seed: int = 42,
                  key: str = "row_id", y_true: str = "y_true", prob: str = "y_prob") -> DataFrame:
+    """(by..., metric, position, estimate, ci_lower, ci_upper) for the six tracked metrics.
+
+    One pass over the exploded draws builds a weighted score histogram per
+    (group, iteration); confusion counts at ``t`` and the AUC both come from
+    it, so the explode is scanned once.  The histogram is bounded by
+    iterations x distinct scores per group.
+    """
     by = list(by)
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col(key).cast("string"))), 1, 8), 16, 10
-               ).cast("bigint") / F.lit(TWO_POW_32)
-    draws = (
-        df.select(*by, key, F.col(y_true).alias("_y"), F.col(prob).alias("_p"))
-        .select("*", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("b"))
-        .withColumn("_w", poisson_weight(u))
-        .filter(F.col("_w") > 0)
-    )
-    pred = (F.col("_p") >= F.lit(float(t))).cast("int")
-    cm = draws.groupBy(*by, "b").agg(*M.counts_from(F.col("_y"), pred, F.col("_w")))
-    cm = cm.filter(((F.col("tn") + F.col("fp")) > 0) & ((F.col("fn") + F.col("tp")) > 0))
-    per_b = cm.select(*by, "b", *[M.CONFUSION_METRICS[m]().alias(m) for m in TRACKED if m != "auc"])
+    base = df.select(*by, key, F.col(y_true).alias("_y"), F.col(prob).alias("_p"))
+    exploded = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("b"))
+    draws = with_draw(with_iteration_state(exploded, "b", "_st", seed), "_u", "_st", key)
+    # no filter on _w: pushdown would inline the whole hash chain into the condition;
+    # weight-0 rows add nothing to the sums below
+    draws = draws.withColumn("_w", poisson_weight(F.col("_u")))
     hist = draws.groupBy(*by, "b", "_p").agg(
         F.sum(F.col("_w") * F.col("_y")).cast("double").alias("pos"),
         F.sum(F.col("_w") * (1 - F.col("_y"))).cast("double").alias("neg"),
     )
-    c = running_totals(hist, [*by, "b"], ["_p"], {"cum_neg": F.col("neg")})
+    above = F.col("_p") >= F.lit(float(t))
+    cm = hist.groupBy(*by, "b").agg(
+        F.sum(F.when(~above, F.col("neg")).otherwise(0.0)).alias("tn"),
+        F.sum(F.when(above, F.col("neg")).otherwise(0.0)).alias("fp"),
+        F.sum(F.when(~above, F.col("pos")).otherwise(0.0)).alias("fn"),
+        F.sum(F.when(above, F.col("pos")).otherwise(0.0)).alias("tp"),
+    )
+    cm = cm.filter(((F.col("tn") + F.col("fp")) > 0) & ((F.col("fn") + F.col("tp")) > 0))
+    per_b = cm.select(*by, "b", *[M.CONFUSION_METRICS[m]().alias(m) for m in TRACKED if m != "auc"])
+    # slice bounds from the un-exploded scores: same order, 1/iterations of the work
+    slicer = quantile_slicer(base, "_p", max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+    c = running_totals(hist, [*by, "b"], ["_p"], {"cum_neg": F.col("neg")}, slicer=slicer)
     auc = c.groupBy(*by, "b").agg(
         F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / F.lit(2.0))).alias("_u"),
         F.sum("pos").alias("_P"), F.sum("neg").alias("_N"),
