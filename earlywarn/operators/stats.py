@@ -88,7 +88,7 @@ def wilcoxon_pairs(paired: DataFrame, exp: Sequence[str] = ()) -> DataFrame:
     exact = per.filter(F.col("n") <= EXACT_MAX_N).select(
         *keys, "stat", "n", "ranks", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.col("n")).cast("int") - 1)).alias("mask"))
     wplus = F.aggregate(
-        F.transform("ranks", lambda x, i: F.when(F.shiftright(F.col("mask"), i).bitwiseAND(F.lit(1)) == 1, x).otherwise(F.lit(0.0))),
+        F.transform("ranks", lambda x, i: F.when(F.floor(F.col("mask") / F.pow(F.lit(2.0), i)) % 2 == 1, x).otherwise(F.lit(0.0))),
         F.lit(0.0), lambda acc, x: acc + x)
     exact = exact.withColumn("_wp", wplus).groupBy(*keys).agg(
         (F.sum((F.col("_wp") <= F.col("stat") + F.lit(1e-9)).cast("double")) / F.count(F.lit(1))).alias("_cdf"))
