@@ -172,3 +172,21 @@ def r6(sql: str, *cols: str) -> str:
         return sql
     rep = ", ".join(f"round({c}, 6) AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({sql}) q"
+
+
+DIRTY = """
+dirty_base AS (
+  SELECT c_custkey, c_name, c_nationkey,
+         CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal,
+         CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment,
+         1 AS const
+  FROM customer
+),
+dirty AS (SELECT * FROM dirty_base UNION ALL SELECT * FROM dirty_base WHERE c_custkey % 50 = 0)"""
+
+RAW_LABELS = """
+raw_labels AS (
+  SELECT o_orderkey AS row_id,
+         [' Pass', 'PASSED ', 'yes', 'True', 'fail', 'Failed', 'risk', 'At Risk', 'at-risk', 'No', 'false', '1', '0'][o_orderkey % 13 + 1] AS target
+  FROM orders
+)"""

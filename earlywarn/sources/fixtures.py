@@ -128,3 +128,15 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Fixed scorer used where an oracle must reproduce model output exactly.
 FIXED_INTERCEPT = 1.2
 FIXED_COEF = {"failures": -0.9, "absences": -0.05, "studytime": 0.4}
+
+
+def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a search history, one trial per supplier: C log-uniform in [1e-3, 1e2],
+    l1 in {0, 1} and a score in [0.5, 0.7)."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    return s.select(
+        F.col("s_suppkey").alias("trial"),
+        F.pow(F.lit(10.0), F.lit(-3.0) + F.lit(5.0) * u("C", "s_suppkey")).alias("c"),
+        F.floor(F.lit(2.0) * u("l1", "s_suppkey")).cast("int").alias("l1"),
+        F.round(F.lit(0.5) + F.lit(0.2) * u("v", "s_suppkey"), 4).alias("value"),
+    )
