@@ -170,3 +170,22 @@ def exact_quantiles(
         (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("value"),
     )
     return out.drop("_all") if whole else out
+
+
+def running_max(df: DataFrame, by: Sequence[str], order: Sequence, value: str, name: str, slicer: Column | None = None) -> DataFrame:
+    """Inclusive running maximum of ``value`` over ``order`` within ``by``, in slices
+    (max inside the slice, combined with the max of all earlier slices)."""
+    by = list(by)
+    if slicer is None:
+        first = order[0]
+        desc = first.startswith("-")
+        col = first[1:] if desc else first
+        slicer = quantile_slicer(df, col, _n_slices(df), desc) if isinstance(df.schema[col].dataType, NumericType) else F.lit(0)
+    tagged = df.withColumn(_SLICE, slicer)
+    local_w = Window.partitionBy(*by, _SLICE).orderBy(*_order_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
+    local = tagged.withColumn("_loc", F.max(value).over(local_w))
+    tops = tagged.groupBy(*by, _SLICE).agg(F.max(value).alias("_top"))
+    prev_w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offs = tops.select(*by, _SLICE, F.max("_top").over(prev_w).alias("_prev"))
+    out = local.join(offs, on=[*by, _SLICE], how="inner")
+    return out.withColumn(name, F.coalesce(F.greatest("_loc", "_prev"), F.col("_loc"))).drop(_SLICE, "_loc", "_prev")

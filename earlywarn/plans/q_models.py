@@ -1,2 +1,202 @@
-"""Queries."""
-from earlywarn.plans.catalog import query  # noqa: F401
+"""Preparation, folds, models, selection and search queries."""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from earlywarn.operators import knn, prep, search, validate as va
+from earlywarn.operators.models import MajorityClass
+from earlywarn.plans.catalog import query
+from earlywarn.plans.oracle_sql import DIRTY, LEARNERS, r6, with_ctes
+from earlywarn.sources import fixtures as fx
+
+L = with_ctes(LEARNERS)
+
+# A compact specification for the registered selection queries: three model
+# families, two candidates each where there is a grid.  The full 43-candidate
+# grid is ``earlywarn.operators.models.GRIDS``.
+QUICK = {
+    "Dummy Baseline": [{}],
+    "Logistic Regression": [{"C": 0.1, "l1_ratio": 0.0}, {"C": 1.0, "l1_ratio": 0.0}],
+    "Decision Tree": [{"max_depth": 3, "min_samples_leaf": 1}, {"max_depth": 5, "min_samples_leaf": 3}],
+}
+FEATURES = ["row_id", "school", "sex", "age", "mjob", "famsup", "schoolsup", "failures", "absences", "studytime", "target"]
+
+
+def _learners(spark, d):
+    return fx.learners_labelled(spark, d).select(*FEATURES)
+
+
+_FOLDS_SQL = L + """SELECT row_id, target, CAST((row_number() OVER (PARTITION BY target ORDER BY md5('42|fold|' || CAST(row_id AS VARCHAR)), row_id) - 1) % 5 AS INTEGER) AS fold
+FROM learners_t"""
+
+
+@query("assign_folds", _FOLDS_SQL)
+def assign_folds(spark, d):
+    """Stratified 5 folds, seed 42."""
+    return va.assign_folds(_learners(spark, d).select("row_id", "target"), 5, 42)
+
+
+_PREFIX_SQL = L + """, f AS (SELECT row_id, CAST((row_number() OVER (PARTITION BY target ORDER BY md5('42|fold|' || CAST(row_id AS VARCHAR)), row_id) - 1) % 3 AS INTEGER) AS fold FROM learners_t),
+r AS (SELECT fold, row_id, row_number() OVER (PARTITION BY fold ORDER BY md5('42|size|' || CAST(row_id AS VARCHAR)), row_id) AS rn, count(*) OVER (PARTITION BY fold) AS n FROM f),
+s AS (SELECT * FROM (VALUES (0.2e0), (0.4e0), (0.6e0), (0.8e0), (1.0e0)) v(size))
+SELECT fold, size, count(*) AS n FROM r JOIN s ON r.rn <= ceil(s.size * r.n) GROUP BY fold, size"""
+
+
+@query("training_prefixes", _PREFIX_SQL)
+def training_prefixes(spark, d):
+    """Nested 20-100 % training subsets per fold (sizes per fold)."""
+    f = va.assign_folds(_learners(spark, d).select("row_id", "target"), 3, 42)
+    return va.training_prefixes(f, [0.2, 0.4, 0.6, 0.8, 1.0]).groupBy("fold", "size").agg(F.count(F.lit(1)).alias("n"))
+
+
+_NUM_SQL = with_ctes(DIRTY) + """, m AS (SELECT quantile_cont(c_acctbal, 0.5e0) AS med_a, quantile_cont(CAST(c_nationkey AS DOUBLE), 0.5e0) AS med_n FROM dirty),
+f AS (SELECT c_custkey, COALESCE(c_acctbal, med_a) AS a, COALESCE(CAST(c_nationkey AS DOUBLE), med_n) AS n FROM dirty, m),
+s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(n) AS mn, stddev_pop(n) AS sn FROM f)
+SELECT c_custkey, (a - ma) / sa AS c_acctbal, (n - mn) / sn AS c_nationkey FROM f, s"""
+
+
+@query("numeric_stage", r6(_NUM_SQL, "c_acctbal", "c_nationkey"))
+def numeric_stage(spark, d):
+    """Exact-median fill then population standardisation of F5."""
+    df = fx.dirty(spark, d).select("c_custkey", "c_acctbal", "c_nationkey")
+    m = Pipeline(stages=prep.numeric_stage(["c_acctbal", "c_nationkey"])).fit(df)
+    return m.transform(df)
+
+
+_MODE_SQL = with_ctes(DIRTY) + """, m AS (SELECT arg_min(v, struct_pack(a := -n, b := v)) AS mode FROM (SELECT c_mktsegment AS v, count(*) AS n FROM dirty WHERE c_mktsegment IS NOT NULL GROUP BY 1) x)
+SELECT c_custkey, COALESCE(c_mktsegment, mode) AS c_mktsegment FROM dirty, m"""
+
+
+@query("mode_imputer", _MODE_SQL)
+def mode_imputer(spark, d):
+    """M3: most-frequent fill of text nulls (smallest value on ties)."""
+    df = fx.dirty(spark, d).select("c_custkey", "c_mktsegment")
+    return prep.ModeImputer(inputCols=["c_mktsegment"]).fit(df).transform(df)
+
+
+_OHE_SQL = L + """, r AS (SELECT mjob, CAST(row_number() OVER (ORDER BY n DESC, mjob) - 1 AS INTEGER) AS idx, count(*) OVER () AS k FROM (SELECT mjob, count(*) AS n FROM learners GROUP BY mjob) c)
+SELECT l.row_id, l.mjob, r.idx AS mjob_index, CAST(r.k AS INTEGER) AS vector_size FROM learners l JOIN r USING (mjob)"""
+
+
+@query("categorical_stage", _OHE_SQL)
+def categorical_stage(spark, d):
+    """M4: frequency-ordered index and one-hot of size k (unknown -> all zeros)."""
+    df = fx.learners(spark, d).select("row_id", "mjob")
+    stages, ohe = prep.categorical_stage(["mjob"])
+    out = Pipeline(stages=stages).fit(df).transform(df)
+    arr = vector_to_array(F.col(ohe[0]))
+    return out.select("row_id", "mjob", (F.array_position(arr, 1.0) - 1).cast("int").alias("mjob_index"), F.size(arr).cast("int").alias("vector_size"))
+
+
+@query("majority_class", r6(L + "SELECT CASE WHEN avg(CAST(target AS DOUBLE)) > 0.5e0 THEN 1 ELSE 0 END AS majority, avg(CAST(target AS DOUBLE)) AS share FROM learners_t", "share"))
+def majority_class(spark, d):
+    """M6: the baseline's fitted class and pass share."""
+    m = MajorityClass(labelCol="target").fit(_learners(spark, d))
+    return spark.range(1).select(F.lit(m.getOrDefault(m.majority)).alias("majority"), F.lit(m.getOrDefault(m.share)).alias("share"))
+
+
+_KNN_SQL = """SELECT q_id, n_id, rank, score FROM (
+  SELECT a.vec_id AS q_id, b.vec_id AS n_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score,
+         row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS rank
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) x WHERE rank <= 5"""
+
+
+@query("knn_join", r6(_KNN_SQL, "score"))
+def knn_join(spark, d):
+    """Exact 5 nearest neighbours (inner product) of every embedding, itself excluded."""
+    v = fx.vectors(spark, d)
+    return knn.knn_join(v, v, 5, "vec_id", "vec_id", "embedding", "embedding", metric="ip", exclude_self=True) \
+        .select("q_id", "n_id", F.col("rank").cast("int").alias("rank"), "score")
+
+
+_NCV_FOLDS = L + """, f AS (SELECT row_id, target, CAST((row_number() OVER (PARTITION BY target ORDER BY md5('42|fold|' || CAST(row_id AS VARCHAR)), row_id) - 1) % 3 AS INTEGER) AS fold FROM learners_t)
+SELECT m.model, f.fold, count(*) AS n, CAST(sum(1 - f.target) AS BIGINT) AS n_risk
+FROM f CROSS JOIN (VALUES ('Dummy Baseline'), ('Logistic Regression'), ('Decision Tree')) m(model) GROUP BY m.model, f.fold"""
+
+
+_NCV_CACHE: dict = {}
+
+
+def _ncv(spark, d):
+    """The fitted nested CV, shared by the two queries that read it in one session."""
+    k = (id(spark), d)
+    if k not in _NCV_CACHE:
+        _NCV_CACHE[k] = va.nested_cv(_learners(spark, d), QUICK, outer=3, inner=2)
+    return _NCV_CACHE[k]
+
+
+@query("nested_cv", None)
+def nested_cv(spark, d):
+    """Nested CV (3 outer x 2 inner) of the quick grid: the fold-metrics table."""
+    _, fm, _ = _ncv(spark, d)
+    return fm
+
+
+@query("nested_cv_folds", _NCV_FOLDS)
+def nested_cv_folds(spark, d):
+    """M16 invariant: one OOF row per (row, model); fold sizes and risk counts per model."""
+    oof, _, _ = _ncv(spark, d)
+    return oof.groupBy("model", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("y_true")).cast("bigint").alias("n_risk"))
+
+
+@query("grid_search", None)
+def grid_search(spark, d):
+    """Inner-fold Macro-F1 per logistic-regression candidate (C x penalty)."""
+    df = va.assign_folds(_learners(spark, d), 3, 42)
+    grid = [{"C": c, "l1_ratio": l} for c in (0.1, 1.0) for l in (0.0, 1.0)]
+    _, table = va.grid_search(df, "Logistic Regression", grid)
+    rows = [(r["candidate"], float(r["params"]["C"]), float(r["params"]["l1_ratio"]), r["mean_macro_f1"]) for r in table]
+    return spark.createDataFrame(rows, "candidate int, C double, l1_ratio double, mean_macro_f1 double")
+
+
+@query("random_search", None)
+def random_search(spark, d):
+    """Seeded random search, 6 trials x 3 folds, logistic regression."""
+    return va.random_search(_learners(spark, d), "Logistic Regression", n_trials=6, folds=3)
+
+
+@query("learning_curve", None)
+def learning_curve(spark, d):
+    """Learning curve of a depth-5 tree, 5 sizes x 3 folds, with diagnosis."""
+    lc = va.learning_curve(_learners(spark, d), "Decision Tree", {"max_depth": 5, "min_samples_leaf": 1})
+    return va.summarize_curve(lc)
+
+
+_TR = """tr AS (SELECT s_suppkey AS trial,
+   pow(10e0, -3e0 + 5e0 * (CAST('0x' || substr(md5('C|' || CAST(s_suppkey AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296e0)) AS c,
+   CAST(floor(2e0 * (CAST('0x' || substr(md5('l1|' || CAST(s_suppkey AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296e0)) AS INTEGER) AS l1,
+   round(0.5e0 + 0.2e0 * (CAST('0x' || substr(md5('v|' || CAST(s_suppkey AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296e0), 4) AS value FROM supplier)"""
+
+
+@query("search_history", r6(with_ctes(_TR) + "SELECT trial, c, l1, value, max(value) OVER (ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_so_far FROM tr",
+                            "c", "value", "best_so_far"))
+def search_history(spark, d):
+    """Search history with the best value so far."""
+    return search.search_history(fx.trials(spark, d))
+
+
+@query("best_trial", r6(with_ctes(_TR) + "SELECT * FROM tr ORDER BY value DESC, trial LIMIT 1", "c", "value"))
+def best_trial(spark, d):
+    """Best trial, first on ties."""
+    return search.best_trial(fx.trials(spark, d))
+
+
+def _imp_sql(p: str, kind: str) -> str:
+    x = f"log10({p})" if kind == "log" else f"CAST({p} AS DOUBLE)"
+    if kind == "choice":
+        b = f"CAST({x} AS VARCHAR)"
+    else:
+        b = f"CAST(CASE WHEN hi = lo THEN 0 ELSE least(4, CAST(floor(({x} - lo) / ((hi - lo) / 5e0)) AS INTEGER)) END AS VARCHAR)"
+    return f"""SELECT '{p}' AS parameter, CASE WHEN sst > 0 THEN ssb / sst ELSE 0e0 END AS importance FROM
+  (SELECT sum(n * pow(bm - m, 2)) AS ssb FROM (SELECT {b} AS bin, count(*) AS n, avg(value) AS bm, any_value(m) AS m FROM tr,
+     (SELECT min({x}) AS lo, max({x}) AS hi, avg(value) AS m FROM tr) r GROUP BY 1) g) a,
+  (SELECT sum(pow(value - m, 2)) AS sst FROM tr, (SELECT avg(value) AS m FROM tr) r) t"""
+
+
+@query("parameter_importance", r6(with_ctes(_TR) + _imp_sql("c", "log") + " UNION ALL " + _imp_sql("l1", "choice"), "importance"))
+def parameter_importance(spark, d):
+    """Variance share explained by each search parameter."""
+    return search.parameter_importance(fx.trials(spark, d), {"c": "log", "l1": "choice"})
