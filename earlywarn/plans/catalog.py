@@ -37,4 +37,4 @@ def query(name: str, sql: str | None = None, digits: int | None = 6):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from earlywarn.plans import q_explore, q_evaluate, q_decide, q_stats, q_models, q_score  # noqa: F401
+    from earlywarn.plans import q_explore, q_evaluate, q_decide, q_stats, q_models, q_score, q_io  # noqa: F401

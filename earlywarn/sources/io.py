@@ -62,3 +62,16 @@ def load_model(path: str):
     from pyspark.ml import PipelineModel
 
     return PipelineModel.load(path)
+
+
+def resolve_model(candidates):
+    """The first saved pipeline that exists, in precedence order: (label, model)."""
+    from pyspark.ml import PipelineModel
+
+    errors = []
+    for label, path in candidates:
+        try:
+            return label, PipelineModel.load(path)
+        except Exception as e:  # noqa: BLE001 - a missing model falls through to the next
+            errors.append(f"{label}: {type(e).__name__}")
+    raise FileNotFoundError("no saved model found (" + "; ".join(errors) + ")")
