@@ -191,3 +191,50 @@ def local_explanation(contrib: DataFrame, k: int = 5, key: str = "row_id") -> Da
 def class_contributions(df: DataFrame, col: str = "contrib", cls: int = 1) -> DataFrame:
     """Keep the class-``cls`` slice of per-class contribution arrays."""
     return df.withColumn(col, F.element_at(F.col(col), cls + 1))
+
+
+def permutation_contributions(df: DataFrame, scorer: Scorer, background: DataFrame, features: Sequence[str], n_perm: int = 8,
+                              seed: int = 42, key: str = "row_id", margin: bool = True) -> DataFrame:
+    """E1(b): model-agnostic contributions by permutation sampling (Strumbelj & Kononenko 2014).
+
+    For every row, ``n_perm`` random feature orders and one background row
+    each; walking an order, features switch one at a time from the
+    background value to the row's value, and each switch's change of the
+    score (the margin when ``margin``) is credited to that feature.  All
+    coalitions of all rows are scored in one batch ``transform``; the average
+    over permutations is an unbiased estimate that sums exactly to
+    score(row) - mean score(background rows drawn).  The background must be
+    small (it is indexed per draw); rows are never paired with each other.
+    """
+    feats = list(features)
+    nf = len(feats)
+    bg = background.select(*feats).withColumn("_bi", F.row_number().over(Window.orderBy(*feats)) - 1)
+    nbg = bg.count()
+    bgc = bg.select(F.collect_list(F.struct("_bi", *feats)).alias("_bg"))  # the small background as one row
+    perms = F.sequence(F.lit(0), F.lit(n_perm - 1))
+    x = df.select(key, *feats).select("*", F.explode(perms).alias("_p"))
+    # deterministic order: sort feature indices by a hash of (seed, key, perm, feature)
+    idx = F.sequence(F.lit(0), F.lit(nf - 1))
+    x = x.withColumn("_ord", F.transform(F.array_sort(F.transform(idx, lambda i: F.struct(
+        F.xxhash64(F.lit(seed), F.col(key), F.col("_p"), i).alias("h"), i.alias("i")))), lambda s: s["i"]))
+    x = x.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.col("_p")), F.lit(nbg)))
+    x = x.crossJoin(F.broadcast(bgc))  # one row holding the bounded background
+    x = x.withColumn("_bgrow", F.filter("_bg", lambda s: s["_bi"] == F.col("_b"))[0]).drop("_bg")
+    steps = F.sequence(F.lit(0), F.lit(nf))
+    x = x.select("*", F.explode(steps).alias("_s"))  # coalition: first _s features of the order from the row
+    cols = []
+    for j, c in enumerate(feats):
+        from_row = F.array_position(F.slice(F.col("_ord"), 1, F.greatest(F.col("_s"), F.lit(1))), j) > 0
+        take = (F.col("_s") > 0) & from_row
+        cols.append(F.when(take, F.col(c)).otherwise(F.col("_bgrow")[c]).alias(c))
+    coal = x.select(key, "_p", "_s", "_ord", *cols)
+    scored = scorer(coal)
+    v = F.log(F.col("y_prob") / (F.lit(1.0) - F.col("y_prob"))) if margin else F.col("y_prob")
+    s = scored.select(key, "_p", "_s", "_ord", v.alias("_v"))
+    w = Window.partitionBy(key, "_p").orderBy("_s")
+    d = s.withColumn("_dv", F.col("_v") - F.lag("_v").over(w)).filter(F.col("_s") > 0)
+    d = d.withColumn("feature_index", F.element_at(F.col("_ord"), F.col("_s")))
+    names = F.array(*[F.lit(c) for c in feats])
+    phi = d.groupBy(key, "feature_index").agg(F.avg("_dv").alias("phi"))
+    base = s.filter(F.col("_s") == 0).groupBy(key).agg(F.avg("_v").alias("base"))
+    return phi.join(base, key).select(key, "base", F.element_at(names, F.col("feature_index") + 1).alias("feature"), "phi")

@@ -200,3 +200,29 @@ def _imp_sql(p: str, kind: str) -> str:
 def parameter_importance(spark, d):
     """Variance share explained by each search parameter."""
     return search.parameter_importance(fx.trials(spark, d), {"c": "log", "l1": "choice"})
+
+
+def _split(spark, d):
+    f = va.assign_folds(_learners(spark, d), 5, 42)
+    return f.filter(F.col("fold") != 0).drop("fold"), f.filter(F.col("fold") == 0).drop("fold")
+
+
+def _family(name: str, params: dict):
+    def run(spark, d):
+        from earlywarn.operators import evaluate as ev
+
+        train, test = _split(spark, d)
+        pred = va.fit_predict(train, test, name, params, exclude=())
+        m = ev.metrics_at(pred.withColumn("model", F.lit(name)), 0.5, ["model"])
+        return m
+    run.__doc__ = f"M6-M13: {name} {params} fitted on folds 1-4, scored on fold 0 (pooled metrics at 0.5)."
+    return run
+
+
+# first candidate of each family's grid (the full grids live in GRIDS)
+for _name, _params in [("Dummy Baseline", {}), ("Logistic Regression", {"C": 0.01, "l1_ratio": 0.0}),
+                       ("Decision Tree", {"max_depth": 3, "min_samples_leaf": 1}),
+                       ("Random Forest", {"n_estimators": 100, "max_depth": 5, "min_samples_leaf": 1}),
+                       ("Gradient Boosting", {"n_estimators": 100, "learning_rate": 0.05, "max_depth": 2}),
+                       ("SVM RBF", {"C": 0.1, "gamma": "scale"}), ("KNN", {"n_neighbors": 5, "weights": "uniform"})]:
+    query("fit_" + _name.lower().replace(" ", "_"), None)(_family(_name, _params))

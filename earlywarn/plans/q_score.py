@@ -121,3 +121,17 @@ def global_importance(spark, d):
 def local_explanation(spark, d):
     """Strongest contributions for and against passing, per learner."""
     return sc.local_explanation(_contrib(spark, d), 5)
+
+
+@query("contributions_model", None)
+def contributions_model(spark, d):
+    """E1(b)/J11: permutation contributions of a fitted logistic pipeline for every learner
+    (4 permutations, background = the 100-row seeded sample); additive to the margin."""
+    from earlywarn.operators import validate as va
+    from earlywarn.plans import q_models as qm
+
+    lr = qm._learners(spark, d)
+    model = va.fit_default(lr)
+    feats = [c for c in qm.FEATURES if c not in ("row_id", "target")]
+    bg = shape.seeded_sample(lr, 100, 42)
+    return sc.permutation_contributions(lr, sc.model_scorer(model), bg, feats, n_perm=4)
