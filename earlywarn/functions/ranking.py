@@ -5,10 +5,12 @@ handful of groups (a model, a label) that is one task per group at any data
 size.  Here every row gets a *slice*: a non-decreasing function of its sort
 key, so slices are contiguous ranges of the order.
 
-1. The slice is a pure function of the row: for a numeric key, a binary
-   search (a CASE tree) over quantile bounds computed once from the data;
-   for an md5 key, its leading hex digits.  Re-running any task gives the
-   same slice, so the two branches below always agree.
+1. The slice is a pure function of the row and of data-derived bounds: for a
+   numeric key, the number of bounds at or below it, where the bounds are
+   approximate quantiles computed inside the same plan (a one-row aggregate
+   joined by broadcast, so no extra job and no driver round trip); for an md5
+   key, its leading hex digits.  Re-running any task gives the same slice, so
+   the two branches below always agree.
 2. A window over ``(group, slice)`` gives the running total inside a slice
    and the slice total.
 3. Slice totals (one row per group and slice) are summed over the preceding
@@ -72,6 +74,33 @@ def quantile_slicer(df: DataFrame, col: str, slices: int, descending: bool = Fal
     return (F.lit(len(bounds)) - b) if descending else b
 
 
+def _tag(df: DataFrame, order: Sequence, slicer: Column | None, slices: int | None) -> DataFrame:
+    if slicer is not None:
+        return df.withColumn(_SLICE, slicer)
+    first = order[0]
+    desc = first.startswith("-")
+    name = first[1:] if desc else first
+    if isinstance(df.schema[name].dataType, NumericType):
+        return with_quantile_slice(df, name, slices or _n_slices(df), desc)
+    return df.withColumn(_SLICE, F.lit(0))
+
+
+def with_quantile_slice(df: DataFrame, col: str, slices: int, descending: bool = False, out: str = _SLICE) -> DataFrame:
+    """Tag rows with a slice of the numeric ``col``: approximate quantile bounds
+    from a one-row aggregate over ``df`` itself, attached by broadcast."""
+    x = F.col(col).cast("double")
+    if slices <= 1:
+        return df.withColumn(out, F.lit(0))
+    probs = [i / slices for i in range(1, slices)]
+    b = df.select(F.array_sort(F.array_distinct(F.percentile_approx(x, probs, 4 * slices))).alias("_bounds"))
+    j = df.crossJoin(F.broadcast(b))  # one row
+    if descending:
+        tag = F.size(F.filter("_bounds", lambda v: v > x))
+    else:
+        tag = F.size(F.filter("_bounds", lambda v: v <= x))
+    return j.withColumn(out, F.coalesce(tag, F.lit(0))).drop("_bounds")
+
+
 def running_totals(
     df: DataFrame,
     by: Sequence[str],
@@ -89,15 +118,7 @@ def running_totals(
     """
     by = list(by)
     meas = {k: (F.col(v) if isinstance(v, str) else v) for k, v in measures.items()}
-    if slicer is None:
-        first = order[0]
-        desc = first.startswith("-")
-        name = first[1:] if desc else first
-        if isinstance(df.schema[name].dataType, NumericType):
-            slicer = quantile_slicer(df, name, slices or _n_slices(df), desc)
-        else:
-            slicer = F.lit(0)
-    tagged = df.withColumn(_SLICE, slicer)
+    tagged = _tag(df, order, slicer, slices)
     local_w = Window.partitionBy(*by, _SLICE).orderBy(*_order_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
     local = tagged
     for name, expr in meas.items():
@@ -176,12 +197,7 @@ def running_max(df: DataFrame, by: Sequence[str], order: Sequence, value: str, n
     """Inclusive running maximum of ``value`` over ``order`` within ``by``, in slices
     (max inside the slice, combined with the max of all earlier slices)."""
     by = list(by)
-    if slicer is None:
-        first = order[0]
-        desc = first.startswith("-")
-        col = first[1:] if desc else first
-        slicer = quantile_slicer(df, col, _n_slices(df), desc) if isinstance(df.schema[col].dataType, NumericType) else F.lit(0)
-    tagged = df.withColumn(_SLICE, slicer)
+    tagged = _tag(df, order, slicer, None)
     local_w = Window.partitionBy(*by, _SLICE).orderBy(*_order_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
     local = tagged.withColumn("_loc", F.max(value).over(local_w))
     tops = tagged.groupBy(*by, _SLICE).agg(F.max(value).alias("_top"))

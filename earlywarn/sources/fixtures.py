@@ -64,25 +64,32 @@ MODELS = (("baseline", 1), ("alpha", 2), ("beta", 3))
 
 
 def oof(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    """out-of-fold predictions of three models with stratified folds."""
+    """out-of-fold predictions of three models with stratified folds.
+
+    The fold of a row depends only on its label and key (not on the model),
+    so folds are dealt once per row and the rows are then expanded to the
+    three models.
+    """
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    price = F.least(F.lit(1.0), F.col("o_totalprice") / F.lit(500000.0))
+    base = o.select(
+        F.col("o_orderkey").alias("row_id"),
+        F.col("o_orderstatus").alias("grp"),
+        (F.col("o_totalprice") >= F.lit(150000.0)).cast("int").alias("y_true"),
+        F.least(F.lit(1.0), F.col("o_totalprice") / F.lit(500000.0)).alias("_price"),
+    ).withColumn("_k", md5_order("42|fold", "row_id"))
+    rn = global_row_number(base, ["y_true"], ["_k", "row_id"], name="_rn", slicer=md5_slicer("_k"))
+    folded = rn.withColumn("fold", ((F.col("_rn") - 1) % k).cast("int")).drop("_k", "_rn")
+    price = F.col("_price")
     models = F.array(
         F.struct(F.lit("baseline").alias("model"), F.lit(1).alias("model_order"), F.lit(0.7).alias("y_prob")),
         F.struct(F.lit("alpha").alias("model"), F.lit(2).alias("model_order"),
-                 F.round(F.lit(0.55) * price + F.lit(0.45) * u("42", "o_orderkey"), 3).alias("y_prob")),
+                 F.round(F.lit(0.55) * price + F.lit(0.45) * u("42", "row_id"), 3).alias("y_prob")),
         F.struct(F.lit("beta").alias("model"), F.lit(3).alias("model_order"),
-                 F.round(F.lit(0.35) * price + F.lit(0.65) * u("43", "o_orderkey"), 3).alias("y_prob")),
+                 F.round(F.lit(0.35) * price + F.lit(0.65) * u("43", "row_id"), 3).alias("y_prob")),
     )
-    rows = o.select(
-        F.col("o_orderkey").alias("row_id"),
-        F.col("o_orderstatus").alias("grp"),
-        (F.col("o_totalprice") >= F.lit(150000.0)).cast("int").alias("y_true"),
-        F.inline(models),
-    ).withColumn("y_pred", (F.col("y_prob") >= F.lit(0.5)).cast("int"))
-    rows = rows.withColumn("_k", md5_order("42|fold", "row_id"))
-    rn = global_row_number(rows, ["model", "y_true"], ["_k", "row_id"], name="_rn", slicer=md5_slicer("_k"))
-    return rn.withColumn("fold", ((F.col("_rn") - 1) % k).cast("int")).drop("_k", "_rn")
+    rows = folded.select("row_id", "grp", "y_true", "fold", F.inline(models))
+    return rows.withColumn("y_pred", (F.col("y_prob") >= F.lit(0.5)).cast("int")).select(
+        "row_id", "grp", "y_true", "model", "model_order", "y_prob", "y_pred", "fold")
 
 
 def fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
