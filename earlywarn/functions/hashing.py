@@ -50,10 +50,12 @@ def mix32_int(x: int) -> int:
     return x ^ (x >> 16)
 
 
-def iteration_states(seed: int, iterations: int) -> list[tuple[int, int]]:
-    """(b, state) for b = 1..iterations: the seed and iteration folded in."""
-    s0 = mix32_int(seed)
-    return [(b, mix32_int(s0 ^ b)) for b in range(1, iterations + 1)]
+GOLDEN = 0x9E3779B1  # 2^32 / golden ratio, odd
+
+
+def iteration_state(b: Column) -> Column:
+    """32-bit state of iteration ``b`` (one multiply, below 2^63 for b < 2^31)."""
+    return (b.cast("bigint") * F.lit(GOLDEN)).bitwiseAND(F.lit(MASK32))
 
 
 def _mix_steps(df, col: str):
@@ -65,17 +67,18 @@ def _mix_steps(df, col: str):
     return df.withColumn(col, F.col(col).bitwiseXOR(F.shiftright(F.col(col), 16)))
 
 
-def with_iteration_state(df, b: str, out: str, seed: int):
-    """Add the 32-bit state of iteration column ``b`` (equals ``iteration_states``)."""
-    df = df.withColumn(out, F.lit(mix32_int(seed)).cast("bigint").bitwiseXOR(F.col(b).cast("bigint")))
-    return _mix_steps(df, out)
-
-
-def with_draw(df, out: str, state: str, key: str):
-    """Add ``out`` = uniform in [0, 1) from a 32-bit ``state`` column and a bigint ``key``."""
+def with_key_hash(df, key: str, out: str):
+    """32-bit hash of a bigint key (low half mixed, high half folded in, mixed again);
+    computed once per row, before any per-iteration expansion."""
     k = F.col(key).cast("bigint")
-    df = df.withColumn(out, F.col(state).cast("bigint").bitwiseXOR(k.bitwiseAND(F.lit(MASK32))))
+    df = df.withColumn(out, k.bitwiseAND(F.lit(MASK32)))
     df = _mix_steps(df, out)
     df = df.withColumn(out, F.col(out).bitwiseXOR(F.shiftright(k, 32).bitwiseAND(F.lit(MASK32))))
+    return _mix_steps(df, out)
+
+
+def with_draw(df, out: str, state: str, key_hash: str):
+    """Add ``out`` = uniform in [0, 1) from an iteration ``state`` and a row's key hash."""
+    df = df.withColumn(out, F.col(state).bitwiseXOR(F.col(key_hash)))
     df = _mix_steps(df, out)
     return df.withColumn(out, F.col(out) / F.lit(TWO_POW_32))

@@ -74,25 +74,28 @@ def quantile_slicer(df: DataFrame, col: str, slices: int, descending: bool = Fal
     return (F.lit(len(bounds)) - b) if descending else b
 
 
-def _tag(df: DataFrame, order: Sequence, slicer: Column | None, slices: int | None) -> DataFrame:
+def _tag(df: DataFrame, order: Sequence, slicer: Column | None, slices: int | None, bounds_from: DataFrame | None = None) -> DataFrame:
     if slicer is not None:
         return df.withColumn(_SLICE, slicer)
     first = order[0]
     desc = first.startswith("-")
     name = first[1:] if desc else first
     if isinstance(df.schema[name].dataType, NumericType):
-        return with_quantile_slice(df, name, slices or _n_slices(df), desc)
+        return with_quantile_slice(df, name, slices or _n_slices(df), desc, bounds_from=bounds_from)
     return df.withColumn(_SLICE, F.lit(0))
 
 
-def with_quantile_slice(df: DataFrame, col: str, slices: int, descending: bool = False, out: str = _SLICE) -> DataFrame:
+def with_quantile_slice(df: DataFrame, col: str, slices: int, descending: bool = False, out: str = _SLICE,
+                        bounds_from: DataFrame | None = None) -> DataFrame:
     """Tag rows with a slice of the numeric ``col``: approximate quantile bounds
-    from a one-row aggregate over ``df`` itself, attached by broadcast."""
+    from a one-row aggregate over ``df`` (or over ``bounds_from``, a smaller
+    table with the same column and distribution), attached by broadcast."""
     x = F.col(col).cast("double")
     if slices <= 1:
         return df.withColumn(out, F.lit(0))
     probs = [i / slices for i in range(1, slices)]
-    b = df.select(F.array_sort(F.array_distinct(F.percentile_approx(x, probs, 4 * slices))).alias("_bounds"))
+    src = bounds_from if bounds_from is not None else df
+    b = src.select(F.array_sort(F.array_distinct(F.percentile_approx(x, probs, 4 * slices))).alias("_bounds"))
     j = df.crossJoin(F.broadcast(b))  # one row
     if descending:
         tag = F.size(F.filter("_bounds", lambda v: v > x))
@@ -108,6 +111,7 @@ def running_totals(
     measures: dict[str, Column | str],
     slices: int | None = None,
     slicer: Column | None = None,
+    bounds_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add inclusive running sums ``name = sum(expr)`` over ``order`` within ``by``.
 
@@ -118,7 +122,7 @@ def running_totals(
     """
     by = list(by)
     meas = {k: (F.col(v) if isinstance(v, str) else v) for k, v in measures.items()}
-    tagged = _tag(df, order, slicer, slices)
+    tagged = _tag(df, order, slicer, slices, bounds_from)
     local_w = Window.partitionBy(*by, _SLICE).orderBy(*_order_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
     local = tagged
     for name, expr in meas.items():

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earlywarn.functions import metrics as M
-from earlywarn.functions.hashing import with_draw, with_iteration_state
+from earlywarn.functions.hashing import iteration_state, with_draw, with_key_hash
 from earlywarn.functions.ranking import running_totals
 from earlywarn.operators.evaluate import metrics_at
 
@@ -54,8 +54,10 @@ def bootstrap_ci(df: DataFrame, t: float = 0.5, iterations: int = 500, by: Seque
     """
     by = list(by)
     base = df.select(*by, key, F.col(y_true).alias("_y"), F.col(prob).alias("_p"))
-    exploded = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("b"))
-    draws = with_draw(with_iteration_state(exploded, "b", "_st", seed), "_u", "_st", key)
+    hashed = with_key_hash(base, key, "_kh")  # once per row
+    exploded = hashed.select("*", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("b"))
+    exploded = exploded.withColumn("_st", iteration_state(F.col("b") + F.lit(int(seed) * iterations)))
+    draws = with_draw(exploded, "_u", "_st", "_kh")
     # no filter on _w: pushdown would inline the whole hash chain into the condition;
     # weight-0 rows add nothing to the sums below
     draws = draws.withColumn("_w", poisson_weight(F.col("_u")))
@@ -72,7 +74,8 @@ def bootstrap_ci(df: DataFrame, t: float = 0.5, iterations: int = 500, by: Seque
     )
     cm = cm.filter(((F.col("tn") + F.col("fp")) > 0) & ((F.col("fn") + F.col("tp")) > 0))
     per_b = cm.select(*by, "b", *[M.CONFUSION_METRICS[m]().alias(m) for m in TRACKED if m != "auc"])
-    c = running_totals(hist, [*by, "b"], ["_p"], {"cum_neg": F.col("neg")})
+    # slice bounds from the un-exploded scores: the same order at 1/iterations of the rows
+    c = running_totals(hist, [*by, "b"], ["_p"], {"cum_neg": F.col("neg")}, bounds_from=base)
     auc = c.groupBy(*by, "b").agg(
         F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / F.lit(2.0))).alias("_u"),
         F.sum("pos").alias("_P"), F.sum("neg").alias("_N"),

@@ -3,7 +3,7 @@
 Each fit is a distributed Spark job; the driver only decides which fits to
 run (bounded by grid size x folds) and submits independent fits from a small
 thread pool, so several jobs share the cluster.  The fold-tagged feature
-table is persisted once and released at the end.  Preprocessing is fitted on
+table is checkpointed to the shared folder once and released at the end.  Preprocessing is fitted on
 the training rows of every split only (leakage-safe).
 """
 
@@ -32,6 +32,16 @@ SEED = 42
 WORKERS = 8
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """A table many fits read: checkpointed to the shared folder (``spark.checkpoint.dir``)
+    so that a lost executor costs a re-read, not a recomputation of the fold
+    lineage, and kept in memory/disk for the repeated scans."""
+    from earlywarn.session import shared_dir
+
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def assign_folds(df: DataFrame, k: int, seed: int = SEED, y: str = "target", key: str = "row_id", out: str = "fold",
                  by: Sequence[str] = ()) -> DataFrame:
     """Stratified folds: rows of each class shuffled by md5(seed|fold|key), then dealt round-robin.
@@ -127,7 +137,7 @@ def nested_cv(df: DataFrame, models: dict[str, list[dict]] | None = None, outer:
     (seed + fold) of the training rows, a refit and predictions on the untouched
     test rows.  Returns (oof, fold_metrics, chosen parameters)."""
     models = models or GRIDS
-    base = assign_folds(df, outer, seed, label, key, "outer").persist(StorageLevel.MEMORY_AND_DISK)
+    base = materialize(assign_folds(df, outer, seed, label, key, "outer"))
     jobs = [(mi, name, f) for mi, name in enumerate(models) for f in range(outer)]
 
     def run(job):
@@ -206,7 +216,7 @@ def random_search(df: DataFrame, name: str, n_trials: int = 30, folds: int = 5,
     returns the trial table (trial, value, params JSON, state)."""
     rng = random.Random(seed)
     trials = [sample_params(SPACES[name], rng) for _ in range(n_trials)]
-    d = assign_folds(df, folds, seed, label, key, "fold").persist(StorageLevel.MEMORY_AND_DISK)
+    d = materialize(assign_folds(df, folds, seed, label, key, "fold"))
     _, table = grid_search(d, name, trials, "fold", label, key, workers)
     d.unpersist()
     rows = [(i + 1, r["mean_macro_f1"], json.dumps(trials[i], sort_keys=True), "COMPLETE") for i, r in enumerate(table)]
@@ -224,8 +234,8 @@ def diagnose_expr(train_col: str = "training_macro_f1", val_col: str = "validati
 def learning_curve(df: DataFrame, name: str, params: dict, sizes: Sequence[float] = (0.2, 0.4, 0.6, 0.8, 1.0), folds: int = 3,
                    seed: int = SEED, label: str = "target", key: str = "row_id", workers: int = WORKERS) -> DataFrame:
     """Train / validation Macro-F1 per training size over stratified folds."""
-    d = assign_folds(df, folds, seed, label, key, "fold").persist(StorageLevel.MEMORY_AND_DISK)
-    tr_all = training_prefixes(d, sizes, seed, key, "fold").persist(StorageLevel.MEMORY_AND_DISK)
+    d = materialize(assign_folds(df, folds, seed, label, key, "fold"))
+    tr_all = materialize(training_prefixes(d, sizes, seed, key, "fold"))
     jobs = [(s, f) for s in sizes for f in range(folds)]
 
     def run(job):

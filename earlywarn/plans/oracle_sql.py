@@ -8,20 +8,27 @@ to BIGINT, doubles rounded to 6 places at the end of each query.
 from __future__ import annotations
 
 
-def draw_sql(src: str, cols: str, state: str, key: str, out: str = "u") -> str:
-    """Twin of ``earlywarn.functions.hashing.with_draw``: nested projections over ``src``
-    keeping ``cols`` (a select list without the draw)."""
+_MIX = ["xor(_x, _x >> 16)", "(_x * 73244475) & 4294967295", "xor(_x, _x >> 16)", "(_x * 73244475) & 4294967295", "xor(_x, _x >> 16)"]
+
+
+def _mixed(q: str) -> str:
+    for e in _MIX:
+        q = f"SELECT * REPLACE ({e} AS _x) FROM ({q}) s"
+    return q
+
+
+def key_hash_sql(src: str, cols: str, key: str, out: str = "kh") -> str:
+    """Twin of ``earlywarn.functions.hashing.with_key_hash``."""
     k = f"CAST({key} AS BIGINT)"
-    q = f"SELECT {cols}, {k} AS _k, xor(CAST({state} AS BIGINT), {k} & 4294967295) AS _x FROM {src}"
-    steps = ["xor(_x, _x >> 16)", "(_x * 73244475) & 4294967295", "xor(_x, _x >> 16)", "(_x * 73244475) & 4294967295", "xor(_x, _x >> 16)"]
-    for part in (0, 1):
-        if part == 1:
-            steps_here = ["xor(_x, (_k >> 32) & 4294967295)"] + steps
-        else:
-            steps_here = steps
-        for e in steps_here:
-            q = f"SELECT * REPLACE ({e} AS _x) FROM ({q}) s"
-    return f"SELECT * EXCLUDE (_x, _k), _x / 4294967296e0 AS {out} FROM ({q}) s"
+    q = _mixed(f"SELECT {cols}, {k} AS _k, {k} & 4294967295 AS _x FROM {src}")
+    q = _mixed(f"SELECT * REPLACE (xor(_x, (_k >> 32) & 4294967295) AS _x) FROM ({q}) s")
+    return f"SELECT * EXCLUDE (_x, _k), _x AS {out} FROM ({q}) s"
+
+
+def draw_sql(src: str, cols: str, state: str, key_hash: str, out: str = "u") -> str:
+    """Twin of ``earlywarn.functions.hashing.with_draw``."""
+    q = _mixed(f"SELECT {cols}, xor(CAST({state} AS BIGINT), CAST({key_hash} AS BIGINT)) AS _x FROM {src}")
+    return f"SELECT * EXCLUDE (_x), _x / 4294967296e0 AS {out} FROM ({q}) s"
 
 
 def U(tag: str, col: str) -> str:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from earlywarn.operators import bootstrap as bs, calibration as cal, fairness, threshold as th
-from earlywarn.functions.hashing import iteration_states
+from earlywarn.functions.hashing import GOLDEN
 from earlywarn.plans.catalog import query
-from earlywarn.plans.oracle_sql import draw_sql, LEARNERS, OOF, SCORED, auc_sql, counts_sql, metric_sql, r6, with_ctes
+from earlywarn.plans.oracle_sql import draw_sql, key_hash_sql, LEARNERS, OOF, SCORED, auc_sql, counts_sql, metric_sql, r6, with_ctes
 from earlywarn.sources import fixtures as fx
 
 SUB_METRICS = ["actual_risk_rate", "predicted_risk_rate", "risk_recall", "risk_precision",
@@ -148,17 +148,15 @@ _TRACKED = ", ".join(f"'{m}'" for m in bs.TRACKED)
 
 
 def _boot_sql(iterations: int) -> str:
-    states = ", ".join(f"({b}, {st})" for b, st in iteration_states(42, iterations))
     conf = ", ".join(f"{metric_sql(m)} AS {m}" for m in bs.TRACKED if m != "auc")
     est = f"""est AS (SELECT {conf}, (SELECT auc FROM {auc_sql('scored', [])} a) AS auc
   FROM (SELECT {counts_sql('y_true', 'CAST(y_prob >= 0.5e0 AS INTEGER)')} FROM scored) c)"""
     return with_ctes(SCORED, f"""
-states AS (SELECT * FROM (VALUES {states}) v(b, st)),
+hs AS ({key_hash_sql("scored", "row_id, y_true, y_prob", "row_id")}),
+states AS (SELECT b, (CAST(b + {42 * iterations} AS BIGINT) * {GOLDEN}) & 4294967295 AS st FROM range(1, {iterations + 1}) r(b)),
 draws AS (
-  SELECT b, row_id, y_true, y_prob, w FROM (
-    SELECT b, row_id, y_true, y_prob, {_POIS} AS w FROM (
-      {draw_sql("scored CROSS JOIN states", "b, row_id, y_true, y_prob", "st", "row_id")}) x) y
-  WHERE w > 0),
+  SELECT b, row_id, y_true, y_prob, {_POIS} AS w FROM (
+    {draw_sql("hs CROSS JOIN states", "b, row_id, y_true, y_prob", "st", "kh")}) x),
 cmb AS (SELECT b, {counts_sql('y_true', 'CAST(y_prob >= 0.5e0 AS INTEGER)', 'w')} FROM draws GROUP BY b),
 ok AS (SELECT * FROM cmb WHERE tn + fp > 0 AND fn + tp > 0),
 h AS (SELECT b, y_prob AS score, CAST(sum(w * y_true) AS DOUBLE) AS pos, CAST(sum(w * (1 - y_true)) AS DOUBLE) AS neg FROM draws GROUP BY b, y_prob),
