@@ -2,11 +2,9 @@
 
 Resampling rows by position needs the whole table in one place.  The Poisson
 bootstrap gives each (row, iteration) an independent Poisson(1) weight drawn
-from an integer hash of (seed, iteration, row id), so every task draws its own weights
-and the iterations are aggregated map-side: the explode of iterations never
-reaches a shuffle, only per-iteration confusion counts and weighted score
-histograms do.  Resamples with one class are skipped; the interval is the
-2.5 / 97.5 percentile (linear interpolation) of the remaining iterations.
+from an integer hash of (seed, iteration, row id), so any task can draw the
+weights of its own rows for every iteration; rows move through one shuffle
+(into score slices) and only per-(slice, iteration) totals move after it.
 """
 
 from __future__ import annotations
@@ -14,12 +12,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earlywarn.functions import metrics as M
-from earlywarn.functions.hashing import iteration_state, with_draw, with_key_hash
-from earlywarn.functions.ranking import running_totals
+from earlywarn.functions.hashing import GOLDEN, MASK32, MIX_MUL, TWO_POW_32, with_key_hash
 from earlywarn.operators.evaluate import metrics_at
 
 
@@ -43,44 +40,105 @@ def poisson_weight(u: Column) -> Column:
 TRACKED = ("macro_f1", "bal_acc", "risk_recall", "f1_risk", "auc", "mcc")
 
 
+def _np_mix(x):
+    import numpy as np
+
+    m = np.uint64(MASK32)
+    for _ in range(2):
+        x = ((x ^ (x >> np.uint64(16))) * np.uint64(MIX_MUL)) & m
+    return x ^ (x >> np.uint64(16))
+
+
+def _slice_stats_fn(by: list[str], iterations: int, seed: int, t: float, cutoffs: list[float], chunk_cells: int = 4_000_000):
+    """Per (group, slice, part): for every iteration the weighted pass / risk
+    totals, the totals at or above ``t`` and the within-part Mann-Whitney sum."""
+    import numpy as np
+
+    b_all = np.arange(1, iterations + 1, dtype=np.uint64)
+    states = ((b_all + np.uint64(int(seed) * iterations)) * np.uint64(GOLDEN)) & np.uint64(MASK32)
+    cut = np.asarray(cutoffs, dtype=np.float64)
+
+    def fn(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("_p", kind="stable")
+        p = pdf["_p"].to_numpy(dtype=np.float64)
+        y = pdf["_y"].to_numpy(dtype=np.float64)
+        kh = pdf["_kh"].to_numpy(dtype=np.int64).astype(np.uint64)
+        starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+        above = p >= t
+        m = len(p)
+        step = max(1, chunk_cells // max(1, m))
+        out = {k: np.empty(iterations) for k in ("pos", "neg", "pos_above", "neg_above", "u_in")}
+        for lo in range(0, iterations, step):
+            st = states[lo:lo + step]
+            x = _np_mix(st[None, :] ^ kh[:, None])
+            u = x.astype(np.float64) / TWO_POW_32
+            w = (u[:, :, None] >= cut[None, None, :]).sum(axis=2).astype(np.float64)
+            pw, nw = w * y[:, None], w * (1.0 - y[:, None])
+            POS, NEG = np.add.reduceat(pw, starts, axis=0), np.add.reduceat(nw, starts, axis=0)
+            below = np.cumsum(NEG, axis=0) - NEG
+            sl = slice(lo, lo + len(st))
+            out["u_in"][sl] = (POS * (below + NEG / 2.0)).sum(axis=0)
+            out["pos"][sl], out["neg"][sl] = POS.sum(axis=0), NEG.sum(axis=0)
+            out["pos_above"][sl], out["neg_above"][sl] = pw[above].sum(axis=0), nw[above].sum(axis=0)
+        res = pd.DataFrame({"b": np.arange(1, iterations + 1, dtype=np.int64), **out})
+        first = pdf.iloc[0]
+        for c in [*by, "_slice", "_point"]:
+            res[c] = first[c]
+        return res[[*by, "_slice", "_point", "b", "pos", "neg", "pos_above", "neg_above", "u_in"]]
+
+    return fn
+
+
 def bootstrap_ci(df: DataFrame, t: float = 0.5, iterations: int = 500, by: Sequence[str] = (), seed: int = 42,
-                 key: str = "row_id", y_true: str = "y_true", prob: str = "y_prob") -> DataFrame:
+                 key: str = "row_id", y_true: str = "y_true", prob: str = "y_prob", slices: int | None = None) -> DataFrame:
     """(by..., metric, position, estimate, ci_lower, ci_upper) for the six tracked metrics.
 
-    One pass over the exploded draws builds a weighted score histogram per
-    (group, iteration); confusion counts at ``t`` and the AUC both come from
-    it, so the explode is scanned once.  The histogram is bounded by
-    iterations x distinct scores per group.
+    Every row is shuffled once, into a slice of the score order (approximate
+    quantile bounds computed in the plan).  A task holds one slice and draws
+    the weights of all iterations for its rows with numpy (the same integer
+    hash as the SQL twin), so what leaves it is one row per iteration: the
+    weighted class totals, the totals at or above ``t`` and the within-slice
+    Mann-Whitney sum.  A score equal to a bound - where a heavy value lands -
+    gets its own point slice, split into parts by key hash, so a score
+    shared by a third of the rows is spread over many tasks; within a point
+    slice every pair is a tie, worth half the product of the totals.  Across
+    slices the AUC adds pass totals times the risk totals of lower slices.
+    Resamples with one class are skipped; the interval is the 2.5 / 97.5
+    percentile (linear interpolation) of the remaining iterations.
     """
     by = list(by)
-    base = df.select(*by, key, F.col(y_true).alias("_y"), F.col(prob).alias("_p"))
-    hashed = with_key_hash(base, key, "_kh")  # once per row
-    exploded = hashed.select("*", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("b"))
-    exploded = exploded.withColumn("_st", iteration_state(F.col("b") + F.lit(int(seed) * iterations)))
-    draws = with_draw(exploded, "_u", "_st", "_kh")
-    # no filter on _w: pushdown would inline the whole hash chain into the condition;
-    # weight-0 rows add nothing to the sums below
-    draws = draws.withColumn("_w", poisson_weight(F.col("_u")))
-    hist = draws.groupBy(*by, "b", "_p").agg(
-        F.sum(F.col("_w") * F.col("_y")).cast("double").alias("pos"),
-        F.sum(F.col("_w") * (1 - F.col("_y"))).cast("double").alias("neg"),
-    )
-    above = F.col("_p") >= F.lit(float(t))
-    cm = hist.groupBy(*by, "b").agg(
-        F.sum(F.when(~above, F.col("neg")).otherwise(0.0)).alias("tn"),
-        F.sum(F.when(above, F.col("neg")).otherwise(0.0)).alias("fp"),
-        F.sum(F.when(~above, F.col("pos")).otherwise(0.0)).alias("fn"),
-        F.sum(F.when(above, F.col("pos")).otherwise(0.0)).alias("tp"),
+    spark = df.sparkSession
+    S = slices or max(2, min(1024, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    base = with_key_hash(df.select(*by, key, F.col(y_true).cast("int").alias("_y"), F.col(prob).cast("double").alias("_p")), key, "_kh")
+    probs = [i / S for i in range(1, S)]
+    bounds = base.select(F.array_sort(F.array_distinct(F.percentile_approx("_p", probs, 4 * S))).alias("_bounds"))
+    tagged = (
+        base.crossJoin(F.broadcast(bounds))  # one row
+        .withColumn("_point", F.array_contains("_bounds", F.col("_p")))
+        .withColumn("_slice", F.lit(2) * F.size(F.filter("_bounds", lambda v: v < F.col("_p"))) + F.col("_point").cast("int"))
+        .withColumn("_part", F.when(F.col("_point"), F.pmod(F.col("_kh"), F.lit(S))).otherwise(F.lit(0)))
+        .drop("_bounds")
     )
-    cm = cm.filter(((F.col("tn") + F.col("fp")) > 0) & ((F.col("fn") + F.col("tp")) > 0))
-    per_b = cm.select(*by, "b", *[M.CONFUSION_METRICS[m]().alias(m) for m in TRACKED if m != "auc"])
-    # slice bounds from the un-exploded scores: the same order at 1/iterations of the rows
-    c = running_totals(hist, [*by, "b"], ["_p"], {"cum_neg": F.col("neg")}, bounds_from=base)
-    auc = c.groupBy(*by, "b").agg(
-        F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / F.lit(2.0))).alias("_u"),
+    by_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in by)
+    schema = (by_schema + ", " if by_schema else "") + \
+        "_slice int, _point boolean, b long, pos double, neg double, pos_above double, neg_above double, u_in double"
+    stats = tagged.groupBy(*by, "_slice", "_part").applyInPandas(
+        _slice_stats_fn(by, iterations, seed, float(t), poisson_cutoffs()), schema)
+    g = stats.groupBy(*by, "_slice", "b").agg(
+        *[F.sum(c).alias(c) for c in ("pos", "neg", "pos_above", "neg_above", "u_in")], F.max("_point").alias("_point"))
+    w = Window.partitionBy(*by, "b").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("_neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0.0)))
+    u_slice = F.when(F.col("_point"), F.col("pos") * F.col("neg") / F.lit(2.0)).otherwise(F.col("u_in"))
+    cm = g.groupBy(*by, "b").agg(
+        F.sum(u_slice + F.col("pos") * F.col("_neg_below")).alias("_u"),
         F.sum("pos").alias("_P"), F.sum("neg").alias("_N"),
-    ).select(*by, "b", F.when((F.col("_P") > 0) & (F.col("_N") > 0), F.col("_u") / (F.col("_P") * F.col("_N"))).alias("auc"))
-    per_b = per_b.join(auc, on=[*by, "b"], how="left")
+        F.sum("pos_above").alias("tp"), F.sum("neg_above").alias("fp"),
+    ).withColumn("fn", F.col("_P") - F.col("tp")).withColumn("tn", F.col("_N") - F.col("fp"))
+    cm = cm.filter((F.col("_N") > 0) & (F.col("_P") > 0))
+    per_b = cm.select(*by, "b", *[M.CONFUSION_METRICS[m]().alias(m) for m in TRACKED if m != "auc"],
+                      (F.col("_u") / (F.col("_P") * F.col("_N"))).alias("auc"))
     long = per_b.select(*by, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in TRACKED])))
     ci = long.groupBy(*by, "metric").agg(F.percentile(F.col("v"), F.array(F.lit(0.025), F.lit(0.975))).alias("_ci"))
     est = metrics_at(df, t, by, y_true, prob)
