@@ -169,3 +169,17 @@ def preprocessor(cat: Sequence[str], num: Sequence[str], out: str = "features")
     stages = cstages + (numeric_stage(list(num)) if num else [])
     stages.append(VectorAssembler(inputCols=[*ohe, *num], outputCol=out, handleInvalid="keep"))
     return Pipeline(stages=stages)
+
+
+def feature_names(df: DataFrame, col: str = "features") -> DataFrame:
+    """M5: (position, feature, source) of an assembled vector from its ML attributes;
+    one-hot slots read 'column=value'."""
+    attrs = df.schema[col].metadata.get("ml_attr", {}).get("attrs", {})
+    rows = []
+    for kind in ("binary", "numeric", "nominal"):
+        for a in attrs.get(kind, []):
+            name = a["name"]
+            src, _, val = name.partition("__ohe_")
+            rows.append((int(a["idx"]), f"{src}={val}" if val else name, src))
+    rows.sort()
+    return df.sparkSession.createDataFrame(rows, "position int, feature string, source string")

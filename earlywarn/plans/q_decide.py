@@ -175,3 +175,11 @@ FROM el LEFT JOIN ci USING (metric)"""
 def bootstrap_ci(spark, d):
     """500 Poisson-bootstrap resamples of F2 at threshold 0.5, seed 42."""
     return bs.bootstrap_ci(fx.scored(spark, d), 0.5, 500, seed=42)
+
+
+@query("round_cols", "SELECT grp, n, " + ", ".join(f"round({c}, 3) AS {c}" for c in SUB_METRICS) + f" FROM ({_SUB_SQL}) s")
+def round_cols(spark, d):
+    """The subgroup table rounded to three decimals for display."""
+    from earlywarn.operators.shape import round_cols as rc
+
+    return rc(fairness.subgroup_metrics(fx.scored(spark, d), "grp"), SUB_METRICS, 3)

@@ -203,7 +203,7 @@ def parameter_importance(spark, d):
 
 
 def _split(spark, d):
-    f = va.assign_folds(_learners(spark, d), 5, 42)
+    f = va.materialize(va.assign_folds(_learners(spark, d), 5, 42))
     return f.filter(F.col("fold") != 0).drop("fold"), f.filter(F.col("fold") == 0).drop("fold")
 
 
@@ -226,3 +226,23 @@ for _name, _params in [("Dummy Baseline", {}), ("Logistic Regression", {"C": 0.0
                        ("Gradient Boosting", {"n_estimators": 100, "learning_rate": 0.05, "max_depth": 2}),
                        ("SVM RBF", {"C": 0.1, "gamma": "scale"}), ("KNN", {"n_neighbors": 5, "weights": "uniform"})]:
     query("fit_" + _name.lower().replace(" ", "_"), None)(_family(_name, _params))
+
+
+_CATS = ["school", "sex", "mjob", "famsup", "schoolsup"]
+_NUMS = ["age", "failures", "absences", "studytime"]
+_NAMES_SQL = L + ", cats AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS col, {i} AS ord, CAST({c} AS VARCHAR) AS v, count(*) AS n FROM learners GROUP BY {c}" for i, c in enumerate(_CATS)) + """),
+r AS (SELECT col, ord, v, row_number() OVER (PARTITION BY col ORDER BY n DESC, v) - 1 AS i, count(*) OVER (PARTITION BY col) AS k FROM cats),
+blk AS (SELECT col, ord, COALESCE(sum(k) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM (SELECT DISTINCT col, ord, k FROM r) x),
+tot AS (SELECT count(*) AS kk FROM r)
+SELECT CAST(o + i AS INTEGER) AS position, col || '=' || v AS feature, col AS source FROM r JOIN blk USING (col, ord)
+UNION ALL SELECT CAST(kk + j AS INTEGER), name, name FROM tot, (VALUES """ + ", ".join(f"({j}, '{c}')" for j, c in enumerate(_NUMS)) + ") v(j, name)"
+
+
+@query("preprocessor", _NAMES_SQL)
+def preprocessor(spark, d):
+    """M5: the assembled feature vector of the learners (categorical one-hot slots first, then numeric)."""
+    df = _learners(spark, d)
+    cat, num = va._features(df, "target", "row_id", [])
+    out = prep.preprocessor(cat, num).fit(df).transform(df.limit(0))
+    return prep.feature_names(out)

@@ -135,3 +135,16 @@ def contributions_model(spark, d):
     feats = [c for c in qm.FEATURES if c not in ("row_id", "target")]
     bg = shape.seeded_sample(lr, 100, 42)
     return sc.permutation_contributions(lr, sc.model_scorer(model), bg, feats, n_perm=4)
+
+
+@query("top_features", r6(_BG + " SELECT feature, avg(abs(phi)) AS mean_abs_phi FROM c GROUP BY feature ORDER BY mean_abs_phi DESC, feature LIMIT 2", "mean_abs_phi"))
+def top_features(spark, d):
+    """T4: the two features with the largest mean |phi| (a top-k report)."""
+    return sc.global_importance(_contrib(spark, d), 2)
+
+
+@query("class_contributions", r6(_BG + " SELECT row_id, feature, phi FROM c", "phi"))
+def class_contributions(spark, d):
+    """The pass-class slice of two-class contribution arrays (risk = -phi, pass = phi)."""
+    c = _contrib(spark, d).select("row_id", "feature", F.array(-F.col("phi"), F.col("phi")).alias("contrib"))
+    return sc.class_contributions(c, "contrib", 1).withColumnRenamed("contrib", "phi")
