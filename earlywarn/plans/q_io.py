@@ -116,3 +116,15 @@ def resolve_model(spark, d):
                                      ("default", path)])
     rec = sc.score_batch(lr.drop("target"), sc.model_scorer(loaded), 0.5, name)
     return rec.groupBy("model", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("oof_store", r6(with_ctes(OOF) + "SELECT row_id, y_true, y_pred, y_prob AS pass_probability, 1e0 - y_prob AS risk_probability, fold FROM oof WHERE model = 'beta'",
+                       "pass_probability", "risk_probability"))
+def oof_store(spark, d):
+    """The OOF table of all models written partitioned by model; reading one
+    model prunes the other partitions (PartitionFilters on the scan)."""
+    path = scratch_path(spark, "oof-store")
+    io.write_table(fx.oof(spark, d), path, "parquet", partition_by=["model"])
+    back = spark.read.parquet(path).filter(F.col("model") == "beta")
+    return back.select("row_id", "y_true", "y_pred", F.col("y_prob").alias("pass_probability"),
+                       (F.lit(1.0) - F.col("y_prob")).alias("risk_probability"), "fold")
