@@ -95,3 +95,27 @@ def pr_curve(df: DataFrame, by: Sequence[str] = (), y_true: str = "y_true", scor
     end = tot.select(*by, F.lit(0).cast("bigint").alias("rk"), F.lit(None).cast("double").alias("threshold"),
                      F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"))
     return pts.unionByName(end)
+
+
+def ranking_metrics(df: DataFrame, by: Sequence[str] = (), y_true: str = "y_true", score: str = "y_prob") -> DataFrame:
+    """AUC-ROC and PR-AUC of the risk class from one score histogram and one running-total pass.
+
+    Ranking risk by 1 - p descending is ranking by p ascending, so the
+    cumulative counts in ascending score order serve both: the AUC needs the
+    risk rows strictly below a score, the average precision the risk and pass
+    rows at or below it.
+    """
+    by = list(by)
+    h = score_histogram(df, by, y_true, score)
+    c = running_totals(h, by, ["score"], {"cum_neg": F.col("neg"), "cum_pos": F.col("pos")})
+    below = F.col("cum_neg") - F.col("neg")
+    prec = F.col("cum_neg").cast("double") / (F.col("cum_neg") + F.col("cum_pos")).cast("double")
+    agg = c.groupBy(*by).agg(
+        F.sum(F.col("pos") * (below.cast("double") + F.col("neg") / F.lit(2.0))).alias("_u"),
+        F.sum(F.when(F.col("neg") > 0, F.col("neg") * prec).otherwise(F.lit(0.0))).alias("_s"),
+        F.sum("pos").cast("double").alias("_p"),
+        F.sum("neg").cast("double").alias("_n"),
+    )
+    auc = F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_u") / (F.col("_p") * F.col("_n")))
+    ap = F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).otherwise(F.lit(0.0))
+    return agg.select(*by, auc.alias("auc"), ap.alias("pr_auc_risk"))

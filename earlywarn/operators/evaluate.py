@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from earlywarn.functions import metrics as M
 from earlywarn.functions.frames import join_on
-from earlywarn.operators.curves import average_precision, roc_auc
+from earlywarn.operators.curves import ranking_metrics
 
 
 def apply_threshold(df: DataFrame, t: float, prob: str = "y_prob", out: str = "y_pred") -> DataFrame:
@@ -65,8 +65,7 @@ def classification_metrics(df: DataFrame, by: Sequence[str] = (), with_ranking:
     names = [n for n in SUITE if n in M.CONFUSION_METRICS]
     out = _with_confusion_metrics(cm, names)
     if with_ranking:
-        out = join_on(out, roc_auc(df, by, y_true, prob), by, "left")
-        out = join_on(out, average_precision(df, by, y_true, prob), by, "left")
+        out = join_on(out, ranking_metrics(df, by, y_true, prob), by, "left")
         return out.select(*by, *SUITE)
     return out.select(*by, *names)
 
@@ -80,8 +79,7 @@ def metrics_at(df: DataFrame, t: float, by: Sequence[str] = (), y_true: str = "y
     d = apply_threshold(df, t, prob, "_pred")
     cm = confusion(d, by, y_true, "_pred")
     out = _with_confusion_metrics(cm, [n for n in AT_THRESHOLD if n in M.CONFUSION_METRICS])
-    rk = join_on(roc_auc(df, by, y_true, prob), average_precision(df, by, y_true, prob), by)
-    out = join_on(out, rk, by, "left")
+    out = join_on(out, ranking_metrics(df, by, y_true, prob), by, "left")
     return out.select(*by, *AT_THRESHOLD)
 
 
