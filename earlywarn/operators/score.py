@@ -29,6 +29,7 @@ RISK_BANDS = ((35.0, "low"), (65.0, "moderate"), (100.0, "high"))
 SCENARIO_NAMES = ("Current profile", "Attendance support", "Study-time coaching", "Custom adviser plan",
                   "Recovery plan after failures")
 PROMISING = 0.05
+MAX_BACKGROUND = 10_000  # rows of a permutation background (broadcast as one row)
 
 
 def linear_scorer(intercept: float, coef: Mapping[str, float]) -> Scorer:
@@ -210,6 +211,8 @@ def permutation_contributions(df: DataFrame, scorer: Scorer, background: DataFra
     nf = len(feats)
     bg = background.select(*feats).withColumn("_bi", F.row_number().over(Window.orderBy(*feats)) - 1)
     nbg = bg.count()
+    if nbg == 0 or nbg > MAX_BACKGROUND:
+        raise ValueError(f"background must hold 1..{MAX_BACKGROUND} rows (it is broadcast as one row), got {nbg}")
     bgc = bg.select(F.collect_list(F.struct("_bi", *feats)).alias("_bg"))  # the small background as one row
     perms = F.sequence(F.lit(0), F.lit(n_perm - 1))
     x = df.select(key, *feats).select("*", F.explode(perms).alias("_p"))

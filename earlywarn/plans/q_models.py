@@ -246,3 +246,22 @@ def preprocessor(spark, d):
     cat, num = va._features(df, "target", "row_id", [])
     out = prep.preprocessor(cat, num).fit(df).transform(df.limit(0))
     return prep.feature_names(out)
+
+
+@query("fit_final", None)
+def fit_final(spark, d):
+    """Tune logistic regression on 3 stratified folds of all rows (seed 42), refit the
+    best on all rows; the chosen parameters and the refit model's pooled metrics at 0.5."""
+    import json
+
+    from earlywarn.operators import evaluate as ev
+    from earlywarn.operators.models import pass_probability
+
+    lr = _learners(spark, d)
+    grid = [{"C": 0.1, "l1_ratio": 0.0}, {"C": 1.0, "l1_ratio": 0.0}]
+    model, params = va.fit_final(lr, "Logistic Regression", grid, folds=3)
+    out = model.transform(lr)
+    pred = out.select(F.lit("Logistic Regression").alias("model"), F.col("target").alias("y_true"),
+                      F.col("prediction").cast("int").alias("y_pred"), pass_probability(out).alias("y_prob"))
+    m = ev.metrics_at(pred, 0.5, ["model"])
+    return m.withColumn("params", F.lit(json.dumps(params, sort_keys=True)))

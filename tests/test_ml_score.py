@@ -125,3 +125,24 @@ def test_majority_class_and_fit(spark):
     assert m.getOrDefault(m.majority) == 1
     out = m.transform(df).select(vector_to_array("probability")[1].alias("p")).first()
     assert out.p == pytest.approx(20 / 30)
+
+
+def test_build_estimator_unknown_raises():
+    from earlywarn.operators.models import GRIDS, build_estimator
+
+    with pytest.raises(ValueError, match="Unknown model"):
+        build_estimator("Naive Bayes", {}, 100)
+    assert sum(len(g) for g in GRIDS.values()) == 43
+
+
+def test_random_search_sampler_seeded():
+    import random
+
+    from earlywarn.operators.validate import SPACES, sample_params
+
+    a = [sample_params(SPACES["Random Forest"], random.Random(42)) for _ in range(3)]
+    b = [sample_params(SPACES["Random Forest"], random.Random(42)) for _ in range(3)]
+    assert a == b
+    for p in a:
+        assert 80 <= p["n_estimators"] <= 350 and (p["n_estimators"] - 80) % 10 == 0
+        assert 3 <= p["max_depth"] <= 20 and 1 <= p["min_samples_leaf"] <= 10
