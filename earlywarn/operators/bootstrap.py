@@ -101,8 +101,9 @@ def bootstrap_ci(df: DataFrame, t: float = 0.5, iterations: int = 500, by: Seque
     hash as the SQL twin), so what leaves it is one row per iteration: the
     weighted class totals, the totals at or above ``t`` and the within-slice
     Mann-Whitney sum.  A score equal to a bound - where a heavy value lands -
-    gets its own point slice, split into parts by key hash, so a score
-    shared by a third of the rows is spread over many tasks; within a point
+    gets its own point slice, split by key hash into as many parts as
+    quantile probes landed on it, so a score shared by a third of the rows
+    is spread over about S/3 tasks; within a point
     slice every pair is a tie, worth half the product of the totals.  Across
     slices the AUC adds pass totals times the risk totals of lower slices.
     Resamples with one class are skipped; the interval is the 2.5 / 97.5
@@ -113,13 +114,16 @@ def bootstrap_ci(df: DataFrame, t: float = 0.5, iterations: int = 500, by: Seque
     S = slices or max(2, min(1024, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
     base = with_key_hash(df.select(*by, key, F.col(y_true).cast("int").alias("_y"), F.col(prob).cast("double").alias("_p")), key, "_kh")
     probs = [i / S for i in range(1, S)]
-    bounds = base.select(F.array_sort(F.array_distinct(F.percentile_approx("_p", probs, 4 * S))).alias("_bounds"))
+    raw = F.array_sort(F.percentile_approx("_p", probs, 4 * S))
+    bounds = base.select(raw.alias("_raw")).withColumn("_bounds", F.array_distinct("_raw"))
+    # a value met by j quantile probes holds about j/S of the rows: split its point slice j ways
+    probes = F.size(F.filter("_raw", lambda v: v == F.col("_p")))
     tagged = (
         base.crossJoin(F.broadcast(bounds))  # one row
         .withColumn("_point", F.array_contains("_bounds", F.col("_p")))
         .withColumn("_slice", F.lit(2) * F.size(F.filter("_bounds", lambda v: v < F.col("_p"))) + F.col("_point").cast("int"))
-        .withColumn("_part", F.when(F.col("_point"), F.pmod(F.col("_kh"), F.lit(S))).otherwise(F.lit(0)))
-        .drop("_bounds")
+        .withColumn("_part", F.when(F.col("_point"), F.pmod(F.col("_kh"), F.greatest(F.lit(1), probes).cast("long"))).otherwise(F.lit(0)))
+        .drop("_bounds", "_raw")
     )
     by_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in by)
     schema = (by_schema + ", " if by_schema else "") + \
