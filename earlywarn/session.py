@@ -65,3 +65,25 @@ def _count():
 
 
 _counter = _count()
+
+
+def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20, executors: int = 1000, cores: int = 4) -> dict[str, str]:
+    """Settings for a large run, from the size of the input.
+
+    Shuffle partitions: enough for ~``target_partition_bytes`` per partition
+    and at least 2 waves of tasks over all cores; AQE coalesces small ones,
+    splits skewed join partitions and re-plans joins from runtime sizes.
+    Scan splits use the same target so map tasks fit executor memory.
+    """
+    slots = executors * cores
+    parts = max(2 * slots, -(-int(input_bytes) // int(target_partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.session.timeZone": "UTC",
+    }
