@@ -74,7 +74,7 @@ def _slice_stats_fn(by: list[str], iterations: int, seed: int, t: float, cutoffs
             st = states[lo:lo + step]
             x = _np_mix(st[None, :] ^ kh[:, None])
             u = x.astype(np.float64) / TWO_POW_32
-            w = (u[:, :, None] >= cut[None, None, :]).sum(axis=2).astype(np.float64)
+            w = np.searchsorted(cut, u, side="right").astype(np.float64)  # cutoffs at or below u
             pw, nw = w * y[:, None], w * (1.0 - y[:, None])
             POS, NEG = np.add.reduceat(pw, starts, axis=0), np.add.reduceat(nw, starts, axis=0)
             below = np.cumsum(NEG, axis=0) - NEG
