@@ -76,13 +76,31 @@ def fingerprint(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def quality_audit(df: DataFrame) -> DataFrame:
     """A1: (check, value, status) for rows, columns, missing cells, duplicates,
-    constant columns and the fingerprint."""
-    s = _long_stats(df).groupBy("rows").agg(
-        F.count(F.lit(1)).alias("columns"),
-        F.sum("missing").cast("bigint").alias("missing"),
-        F.sum(F.col("is_constant").cast("bigint")).alias("constant"),
-    )
-    whole = join_on(join_on(s, duplicate_rows(df), []), fingerprint(df), [])
+    constant columns and the fingerprint.
+
+    One scan and one shuffle: rows are grouped on all columns (combined
+    map-side, so heavy duplicates cost nothing extra), and every check is an
+    aggregate over the distinct rows weighted by their copy count.
+    """
+    cols = df.columns
+    g = df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
+    n = F.col("_n")
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("∅")) for c in cols]
+    rh = F.conv(F.substring(F.md5(F.concat_ws("␟", *cells)), 1, 8), 16, 10).cast("decimal(38,0)")
+    aggs = [F.sum(n).alias("rows"), F.sum(n - 1).alias("duplicate_rows"), F.sum(rh * n.cast("decimal(38,0)")).alias("_s")]
+    for i, c in enumerate(cols):
+        col = F.col(f"`{c}`")
+        aggs += [F.sum(F.when(_is_missing(df, c), n).otherwise(0)).alias(f"m{i}"),
+                 F.sum(F.when(col.isNotNull(), n).otherwise(0)).alias(f"nn{i}"),
+                 F.min(col).cast("string").alias(f"lo{i}"), F.max(col).cast("string").alias(f"hi{i}")]
+    a = g.agg(*aggs)
+    missing = sum((F.col(f"m{i}") for i in range(len(cols))), F.lit(0)).cast("bigint")
+    const = sum((((F.col(f"nn{i}") == 0) | ((F.col(f"nn{i}") == F.col("rows")) & (F.col(f"lo{i}") == F.col(f"hi{i}")))).cast("int")
+                 for i in range(len(cols))), F.lit(0)).cast("bigint")
+    fp = F.substring(F.sha2(F.concat_ws("|", F.coalesce(F.col("_s").cast("string"), F.lit("0")), F.col("rows").cast("string")), 256), 1, 16)
+    whole = a.select(F.col("rows").cast("bigint").alias("rows"), F.lit(len(cols)).alias("columns"), missing.alias("missing"),
+                     F.coalesce(F.col("duplicate_rows"), F.lit(0)).cast("bigint").alias("duplicate_rows"), const.alias("constant"),
+                     fp.alias("fingerprint"))
     rv = lambda check, v, status: F.struct(F.lit(check).alias("check"), v.cast("string").alias("value"), status.alias("status"))
     review = lambda v: F.when(v > 0, F.lit("Review")).otherwise(F.lit("Pass"))
     rows = F.array(
