@@ -50,12 +50,8 @@ def mix32_int(x: int) -> int:
     return x ^ (x >> 16)
 
 
-GOLDEN = 0x9E3779B1  # 2^32 / golden ratio, odd
-
-
-def iteration_state(b: Column) -> Column:
-    """32-bit state of iteration ``b`` (one multiply, below 2^63 for b < 2^31)."""
-    return (b.cast("bigint") * F.lit(GOLDEN)).bitwiseAND(F.lit(MASK32))
+GOLDEN = 0x9E3779B1  # 2^32 / golden ratio, odd: iteration b's state is ((b + seed * B) * GOLDEN) mod 2^32,
+# and a draw is mix(state ^ key_hash) / 2^32 (numpy in the bootstrap tasks, SQL in its oracle)
 
 
 def _mix_steps(df, col: str):
@@ -75,10 +71,3 @@ def with_key_hash(df, key: str, out: str):
     df = _mix_steps(df, out)
     df = df.withColumn(out, F.col(out).bitwiseXOR(F.shiftright(k, 32).bitwiseAND(F.lit(MASK32))))
     return _mix_steps(df, out)
-
-
-def with_draw(df, out: str, state: str, key_hash: str):
-    """Add ``out`` = uniform in [0, 1) from an iteration ``state`` and a row's key hash."""
-    df = df.withColumn(out, F.col(state).bitwiseXOR(F.col(key_hash)))
-    df = _mix_steps(df, out)
-    return df.withColumn(out, F.col(out) / F.lit(TWO_POW_32))

@@ -45,35 +45,11 @@ def _n_slices(df: DataFrame) -> int:
     return max(1, min(1024, n))
 
 
-def search_bucket(x: Column, bounds: Sequence[float]) -> Column:
-    """Number of ``bounds`` (sorted) that are <= x, as a balanced CASE tree."""
-
-    def rec(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x < F.lit(float(bounds[mid])), rec(lo, mid)).otherwise(rec(mid + 1, hi))
-
-    return rec(0, len(bounds))
-
-
 def md5_slicer(col: str, hex_digits: int = 3) -> Column:
     """Slice of an md5-hex sort key: its leading hex digits (uniform)."""
     return F.conv(F.substring(F.col(col), 1, hex_digits), 16, 10).cast("int")
 
 
-def quantile_slicer(df: DataFrame, col: str, slices: int, descending: bool = False) -> Column:
-    """Slice of a numeric sort key from approximate quantile bounds (one pass)."""
-    if slices <= 1:
-        return F.lit(0)
-    probs = [i / slices for i in range(1, slices)]
-    bounds = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v")) \
-        .approxQuantile("_v", probs, 1.0 / (4 * slices))
-    bounds = sorted(set(b for b in bounds if b == b))
-    b = search_bucket(F.col(col).cast("double"), bounds)
-    return (F.lit(len(bounds)) - b) if descending else b
-
-
 def _tag(df: DataFrame, order: Sequence, slicer: Column | None, slices: int | None, bounds_from: DataFrame | None = None) -> DataFrame:
     if slicer is not None:
         return df.withColumn(_SLICE, slicer)
