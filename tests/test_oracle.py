@@ -11,7 +11,7 @@ from tools.oracle_check import compare  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
-SKIP_SLOW = {"bootstrap_ci"}
+SKIP_SLOW: set[str] = set()
 
 
 @pytest.mark.parametrize("name", sorted(n for n in ORACLES if n not in SKIP_SLOW))
