@@ -27,3 +27,22 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
+
+
+BROADCAST_GROUPS = 200_000  # rows of a per-group statistics table that may be broadcast
+
+
+def join_group_stats(df: DataFrame, stats: DataFrame, by: Sequence[str], limit: int = BROADCAST_GROUPS) -> DataFrame:
+    """Attach per-group statistics (one row per group) to every row of ``df``.
+
+    A hot group must not meet its statistics in one task, so the statistics
+    side is broadcast once its row count - checked here, on the cached
+    aggregate - is within ``limit``; a larger one goes through a shuffle join
+    (AQE splits skewed partitions).
+    """
+    by = list(by)
+    if not by:
+        return df.crossJoin(F.broadcast(stats))
+    stats = stats.cache()
+    n = stats.count()
+    return df.join(F.broadcast(stats) if n <= limit else stats, on=by, how="inner")

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from earlywarn.functions.frames import join_group_stats
+
 _SLICE = "_slice"
 
 
@@ -153,7 +155,7 @@ def exact_quantiles(
     hi = F.ceil(pos)
     start = F.col("_cum") - F.col("_c")  # first 0-based index held by this value
     covers = lambda p: (start <= p) & (p < F.col("_cum"))
-    joined = cum.join(F.broadcast(sizes) if whole else sizes, on=by, how="inner")
+    joined = cum.crossJoin(F.broadcast(sizes.drop(*by))) if whole else join_group_stats(cum, sizes, by)
     picked = (
         joined.select(*by, value, "_c", "_cum", "_n", F.inline(qs))
         .withColumn("_lo", lo).withColumn("_hi", hi).withColumn("_frac", pos - lo)

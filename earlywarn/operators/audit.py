@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegralType, NumericType, StringType, BooleanType
 
-from earlywarn.functions.frames import join_on
+from earlywarn.functions.frames import join_group_stats, join_on
 from earlywarn.functions.ranking import exact_quantiles
 
 
@@ -205,7 +205,7 @@ def box_stats(df: DataFrame, by: Sequence[str], y: str) -> DataFrame:
         F.max(F.when(F.col("q_index") == 2, F.col("value"))).alias("q3"),
     ).withColumn("lower_fence", F.col("q1") - F.lit(1.5) * (F.col("q3") - F.col("q1"))) \
      .withColumn("upper_fence", F.col("q3") + F.lit(1.5) * (F.col("q3") - F.col("q1")))
-    j = join_on(d, qw, by)
+    j = join_group_stats(d, qw, by)
     inside = (F.col("_y") >= F.col("lower_fence")) & (F.col("_y") <= F.col("upper_fence"))
     return j.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),

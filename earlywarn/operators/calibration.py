@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earlywarn.functions.frames import join_on
+from earlywarn.functions.frames import join_group_stats
 from earlywarn.functions.ranking import exact_quantiles
 
 
@@ -20,7 +20,7 @@ def calibration(df: DataFrame, n_bins: int = 8, by: Sequence[str] = (), y_true:
     q = exact_quantiles(df.select(*by, prob), by, prob, qs)
     edges = q.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("q_index", "value"))).alias("_e"))
     edges = edges.select(*by, F.transform("_e", lambda s: s["value"]).alias("_edges"))
-    j = join_on(df.select(*by, y_true, prob), edges, by)
+    j = join_group_stats(df.select(*by, y_true, prob), edges, by)
     binned = j.withColumn("bin", F.size(F.filter("_edges", lambda e: e < F.col(prob))))
     return binned.groupBy(*by, "bin").agg(
         F.count(F.lit(1)).alias("n"),

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, NumericType
 
-OUT_SCHEMA = "q_id long, n_id long, score double"
+OUT_SCHEMA = "q_id long, n_id long, score double, n_label double"
 
 
 def _as_array(df: DataFrame, col: str):
@@ -32,26 +32,31 @@ def _as_array(df: DataFrame, col: str):
 
 
 def knn_join(queries: DataFrame, base: DataFrame, k: int, q_id: str, b_id: str, q_vec: str, b_vec: str,
-             metric: str = "ip", exclude_self: bool = False, block_rows: int = 20000, digits: int | None = 6) -> DataFrame:
+             metric: str = "ip", exclude_self: bool = False, block_rows: int = 20000, digits: int | None = 6,
+             b_label: str | None = None) -> DataFrame:
     """(q_id, n_id, rank, score): the ``k`` best base rows per query.
 
     ``metric='ip'``: inner product, higher first; ``'euclidean'``: distance,
     lower first.  Ties go to the smaller base id.  ``digits`` rounds scores
-    before ranking so that engines agree on near ties.
+    before ranking so that engines agree on near ties.  ``b_label`` is carried
+    along with each base row (``n_label``), so a vote needs no join back to the
+    base table, where a "hub" row that neighbours many queries would be a hot key.
     """
     nq = queries.count()
     nb = base.count()
     qb = max(1, math.ceil(nq / block_rows))
     bb = max(1, math.ceil(nb / block_rows))
     q = queries.select(F.col(q_id).cast("long").alias("_id"), _as_array(queries, q_vec).alias("_v"))
-    b = base.select(F.col(b_id).cast("long").alias("_id"), _as_array(base, b_vec).alias("_v"))
+    lab = F.col(b_label).cast("double") if b_label else F.lit(None).cast("double")
+    b = base.select(F.col(b_id).cast("long").alias("_id"), _as_array(base, b_vec).alias("_v"), lab.alias("_lab"))
     q = q.withColumn("_qb", F.pmod(F.xxhash64("_id"), F.lit(qb))).select("*", F.explode(F.sequence(F.lit(0), F.lit(bb - 1))).alias("_bb"))
     b = b.withColumn("_bb", F.pmod(F.xxhash64("_id"), F.lit(bb))).select("*", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("_qb"))
     higher = metric == "ip"
 
     def block_topk(qdf: pd.DataFrame, bdf: pd.DataFrame) -> pd.DataFrame:
         if len(qdf) == 0 or len(bdf) == 0:
-            return pd.DataFrame({"q_id": pd.Series(dtype="int64"), "n_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            return pd.DataFrame({"q_id": pd.Series(dtype="int64"), "n_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"),
+                                 "n_label": pd.Series(dtype="float64")})
         Q = np.stack(qdf["_v"].to_numpy()).astype(np.float64)
         B = np.stack(bdf["_v"].to_numpy()).astype(np.float64)
         if higher:
@@ -62,18 +67,20 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, q_id: str, b_id: str,
             S = np.round(S, digits)
         qids = qdf["_id"].to_numpy()
         bids = bdf["_id"].to_numpy()
+        blab = bdf["_lab"].to_numpy(dtype=np.float64)
         key = -S if higher else S
         if exclude_self:
             key = np.where(qids[:, None] == bids[None, :], np.inf, key)
         kk = min(k, len(bids))
         # order by (key, base id): sort base ids once, stable sort of keys keeps id order on ties
         order = np.argsort(bids, kind="stable")
-        key, S2, bids_s = key[:, order], S[:, order], bids[order]
+        key, S2, bids_s, blab_s = key[:, order], S[:, order], bids[order], blab[order]
         idx = np.argsort(key, axis=1, kind="stable")[:, :kk]
         rows = np.repeat(np.arange(len(qids)), kk)
         cols = idx.ravel()
         keep = np.isfinite(key[rows, cols])
-        return pd.DataFrame({"q_id": qids[rows][keep], "n_id": bids_s[cols][keep], "score": S2[rows, cols][keep]})
+        return pd.DataFrame({"q_id": qids[rows][keep], "n_id": bids_s[cols][keep], "score": S2[rows, cols][keep],
+                             "n_label": blab_s[cols][keep]})
 
     cand = q.groupBy("_qb", "_bb").cogroup(b.groupBy("_qb", "_bb")).applyInPandas(block_topk, OUT_SCHEMA)
     w = Window.partitionBy("q_id").orderBy(F.col("score").desc() if higher else F.col("score").asc(), F.col("n_id"))
@@ -87,9 +94,8 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, weights: str = "
     'distance' weights each neighbour by 1/d; neighbours at distance 0, if
     any, vote alone.  The predicted class is 1 when its share is above 0.5.
     """
-    nn = knn_join(test, train, k, key, key, features, features, metric="euclidean", digits=None)
-    lab = train.select(F.col(key).cast("long").alias("n_id"), F.col(label).cast("double").alias("_y"))
-    j = nn.join(lab, "n_id")
+    nn = knn_join(test, train, k, key, key, features, features, metric="euclidean", digits=None, b_label=label)
+    j = nn.withColumnRenamed("n_label", "_y")
     if weights == "distance":
         zero = F.max((F.col("score") == 0).cast("int")).over(Window.partitionBy("q_id"))
         wcol = F.when(zero == 1, (F.col("score") == 0).cast("double")).otherwise(F.lit(1.0) / F.col("score"))
