@@ -75,3 +75,23 @@ def write_evidence(bundle: dict[str, DataFrame], path: str, model=None, params:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def model_card(tier: DataFrame, outer: int, inner: int, metric: str = "macro_f1") -> DataFrame:
+    """A short model card (markdown, one row) filled from the evidence-tier row."""
+    lines = [
+        F.lit("# Early-warning model card"),
+        F.lit(""),
+        F.lit("## Intended use"),
+        F.lit("Decision support for identifying learners at risk; never the sole basis for a decision about a person."),
+        F.lit("## Validation"),
+        F.lit(f"{outer} outer x {inner} inner stratified folds; primary metric {metric}; out-of-fold predictions only."),
+        F.lit("## Selected model"),
+        F.col("best_model"),
+        F.lit("## Evidence"),
+        F.format_string("%s: Macro-F1 %.3f, Risk Recall %.3f, uplift over the baseline %.3f.",
+                        F.col("tier"), F.col("macro_f1"), F.col("risk_recall"), F.col("uplift")),
+        F.lit("## Limitations"),
+        F.lit("Associations, not causes; subgroup estimates can be unstable; no external validation."),
+    ]
+    return tier.select("best_model", F.concat_ws("\n", *lines).alias("model_card"))

@@ -75,7 +75,7 @@ def render_summary(spark, d):
 
 
 _OOF_ROWS = with_ctes(OOF) + """SELECT * FROM (VALUES ('leaderboard', 'parquet', 3), ('fold_metrics', 'parquet', 15), ('pairwise_tests', 'parquet', 3),
-  ('metadata', 'json', 1), ('summary', 'text', 1)) v(artifact, format, rows)
+  ('metadata', 'json', 1), ('summary', 'text', 1), ('model_card', 'text', 12)) v(artifact, format, rows)
 UNION ALL SELECT 'oof', 'parquet', count(*) FROM oof WHERE model = 'alpha'
 UNION ALL SELECT 'best_parameters', 'text', 1"""
 
@@ -96,6 +96,7 @@ def write_evidence(spark, d):
         "pairwise_tests": st.holm(st.wilcoxon_pairs(st.paired_scores(fs))),
         "metadata": _meta(spark, d, with_time=True),
         "summary": report.render_summary(sm.evidence_tier(s), s),
+        "model_card": report.model_card(sm.evidence_tier(s), 5, 5),
     }
     out = report.write_evidence(bundle, scratch_path(spark, "evidence"), params={"model": "alpha"})
     return out.select("artifact", "format", F.col("rows").cast("int").alias("rows"))
