@@ -39,7 +39,12 @@ def materialize(df: DataFrame) -> DataFrame:
     from earlywarn.session import shared_dir
 
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+    # checkpointing an uncached plan computes it twice (count, then the write)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    cp = cached.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+    cp.count()
+    cached.unpersist()
+    return cp
 
 
 def assign_folds(df: DataFrame, k: int, seed: int = SEED, y: str = "target", key: str = "row_id", out: str = "fold",
