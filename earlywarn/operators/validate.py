@@ -26,7 +26,7 @@ from earlywarn.operators.knn import knn_classify
 from earlywarn.operators.label import split_columns
 from earlywarn.operators.models import GRIDS, build_estimator, pass_probability
 from earlywarn.operators.prep import preprocessor
-from earlywarn.operators.summary import summarize_folds, with_class_weight
+from earlywarn.operators.summary import summarize_folds
 
 SEED = 42
 WORKERS = 8
@@ -83,10 +83,18 @@ def fit_pipeline(train: DataFrame, name: str, params: dict, label: str = "target
                  exclude: Sequence[str] = ("fold",)):
     """Preprocessor + estimator fitted on ``train`` (balanced weights attached)."""
     cat, num = _features(train, label, key, exclude)
-    n = train.count()
+    # one job: class counts (two rows for a binary label) give n and the balanced weights,
+    # attached as a literal map so later scans do not re-aggregate
+    counts = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
+    n = sum(counts.values())
+    pairs = []
+    for c, k in sorted(counts.items(), key=lambda kv: str(kv[0])):
+        if c is not None:
+            pairs += [F.lit(c), F.lit(n / (2.0 * k))]
+    weighted = train.withColumn("weight", F.element_at(F.create_map(*pairs), F.col(label)) if pairs else F.lit(1.0))
     est = build_estimator(name, params, n, label=label)
     pipe = Pipeline(stages=[*preprocessor(cat, num).getStages(), *est])
-    return pipe.fit(with_class_weight(train, label, "weight"))
+    return pipe.fit(weighted)
 
 
 def fit_predict(train: DataFrame, test: DataFrame, name: str, params: dict, label: str = "target", key: str = "row_id",
