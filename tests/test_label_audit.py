@@ -58,3 +58,13 @@ def test_median_even_count(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "v double").withColumn("g", F.lit(1))
     r = audit.profile_by(df, ["g"], "v").first()
     assert r.median == 2.5
+
+
+def test_cluster_conf_sizes_partitions():
+    from earlywarn.session import cluster_conf
+
+    c = cluster_conf(100 * (1 << 40), executors=1000, cores=4)  # 100 TiB
+    assert int(c["spark.sql.shuffle.partitions"]) == 100 * (1 << 40) // (256 << 20)
+    assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    small = cluster_conf(1 << 30, executors=10, cores=4)
+    assert int(small["spark.sql.shuffle.partitions"]) == 80  # at least two waves over the cores
