@@ -147,13 +147,9 @@ def pr_curve(spark, d):
 
 # ---- fold summaries over the 14-metric fold table -------------------------------------------
 
-_SUMMARY_CTE = f"fm AS ({_FOLD_SQL.replace('WITH ', '', 1) if False else ''})"
-
-
 def _summary_sql(select: str) -> str:
     unp = " UNION ALL ".join(f"SELECT model, model_order, '{m}' AS metric, CAST({m} AS DOUBLE) AS v FROM fm" for m in SUITE)
-    body = _FOLD_SQL.split("\n", 0)[0]
-    return (f"WITH fm AS (SELECT * FROM ({body}) x), long AS ({unp}),\n"
+    return (f"WITH fm AS (SELECT * FROM ({_FOLD_SQL}) x), long AS ({unp}),\n"
             "summary AS (SELECT model, model_order, metric, avg(v) AS mean, COALESCE(stddev_samp(v), 0e0) AS std FROM long GROUP BY model, model_order, metric)\n"
             + select)
 
@@ -188,7 +184,7 @@ def top_models(spark, d):
     return sm.top_models(_fold_summary(spark, d), 2)
 
 
-@query("best_model", r6(_summary_sql("SELECT arg_max(model, mean * 1000 - model_order * 0) AS best_model, max(mean) AS best_mean FROM "
+@query("best_model", r6(_summary_sql("SELECT model AS best_model, mean AS best_mean FROM "
                                      "(SELECT model, mean, model_order, row_number() OVER (ORDER BY mean DESC, model_order) AS r FROM summary WHERE metric = 'macro_f1') s WHERE r = 1"),
                         "best_mean"))
 def best_model(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from earlywarn.operators import audit, label, shape
 from earlywarn.operators.summary import class_weights
 from earlywarn.plans.catalog import query
-from earlywarn.plans.oracle_sql import DIRTY, LEARNERS, RAW_LABELS, r6, with_ctes
+from earlywarn.plans.oracle_sql import DIRTY, LEARNERS, RAW_LABELS, SCORED, r6, with_ctes
 from earlywarn.sources import fixtures as fx
 
 L = with_ctes(LEARNERS)
@@ -289,7 +289,7 @@ def is_subset(spark, d):
     return shape.is_subset(fx.learners_labelled(spark, d), "target", (0, 1))
 
 
-@query("exclude", with_ctes(__import__("earlywarn.plans.oracle_sql", fromlist=["SCORED"]).SCORED) + "SELECT row_id, grp FROM scored WHERE grp <> 'F'")
+@query("exclude", with_ctes(SCORED) + "SELECT row_id, grp FROM scored WHERE grp <> 'F'")
 def exclude(spark, d):
     """U4: all groups but one."""
     return shape.exclude(fx.scored(spark, d).select("row_id", "grp"), "grp", "F")
