@@ -169,7 +169,7 @@ _LB_COLS = ", ".join(f"printf('%.3f ± %.3f', max(CASE WHEN metric = '{m}' THEN
                      for m in sm.LEADERBOARD_METRICS)
 _LB = _summary_sql(f""", wide AS (SELECT model, model_order, max(CASE WHEN metric = 'macro_f1' THEN mean END) AS key, {_LB_COLS}
   FROM summary GROUP BY model, model_order)
-SELECT row_number() OVER (ORDER BY key DESC, model_order) AS rank, model, {', '.join(sm.LEADERBOARD_METRICS)} FROM wide""")
+SELECT CAST(row_number() OVER (ORDER BY key DESC, model_order) AS INTEGER) AS rank, model, {', '.join(sm.LEADERBOARD_METRICS)} FROM wide""")
 
 
 @query("leaderboard", _LB)
@@ -192,7 +192,7 @@ def best_model(spark, d):
     return sm.best_model(_fold_summary(spark, d))
 
 
-@query("metric_comparison", r6(_summary_sql("SELECT row_number() OVER (ORDER BY mean, model_order) AS position, model, metric, mean, std FROM summary WHERE metric = 'missed_risk_rate'"),
+@query("metric_comparison", r6(_summary_sql("SELECT CAST(row_number() OVER (ORDER BY mean, model_order) AS INTEGER) AS position, model, metric, mean, std FROM summary WHERE metric = 'missed_risk_rate'"),
                                "mean", "std"))
 def metric_comparison(spark, d):
     """A28 on a lower-is-better metric."""
@@ -200,7 +200,7 @@ def metric_comparison(spark, d):
 
 
 _MC_COLS = ", ".join(f"max(CASE WHEN s.metric = '{m}' THEN s.mean END) AS {m}" for m in sm.RADAR_METRICS)
-_MC = _summary_sql(f""", lb AS (SELECT model, row_number() OVER (ORDER BY mean DESC, model_order) AS rank FROM summary WHERE metric = 'macro_f1')
+_MC = _summary_sql(f""", lb AS (SELECT model, CAST(row_number() OVER (ORDER BY mean DESC, model_order) AS INTEGER) AS rank FROM summary WHERE metric = 'macro_f1')
 SELECT lb.rank, lb.model, {_MC_COLS} FROM lb JOIN summary s ON s.model = lb.model WHERE lb.rank <= 3 GROUP BY lb.rank, lb.model""")
 
 

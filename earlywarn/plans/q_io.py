@@ -76,7 +76,7 @@ def render_summary(spark, d):
 
 _OOF_ROWS = with_ctes(OOF) + """SELECT * FROM (VALUES ('leaderboard', 'parquet', 3), ('fold_metrics', 'parquet', 15), ('pairwise_tests', 'parquet', 3),
   ('metadata', 'json', 1), ('summary', 'text', 1), ('model_card', 'text', 12)) v(artifact, format, rows)
-UNION ALL SELECT 'oof', 'parquet', count(*) FROM oof WHERE model = 'alpha'
+UNION ALL SELECT 'oof', 'parquet', CAST(count(*) AS INTEGER) FROM oof WHERE model = 'alpha'
 UNION ALL SELECT 'best_parameters', 'text', 1"""
 
 

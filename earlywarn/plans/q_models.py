@@ -100,7 +100,7 @@ def majority_class(spark, d):
 
 _KNN_SQL = """SELECT q_id, n_id, rank, score FROM (
   SELECT a.vec_id AS q_id, b.vec_id AS n_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score,
-         row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS rank
+         CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS INTEGER) AS rank
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) x WHERE rank <= 5"""
 
 

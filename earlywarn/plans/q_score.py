@@ -116,7 +116,7 @@ def global_importance(spark, d):
 
 @query("local_explanation", r6(_BG + """ SELECT row_id, base, feature, value, phi, direction, rank FROM (
   SELECT *, CASE WHEN phi > 0 THEN 'supports pass' ELSE 'raises risk' END AS direction,
-         row_number() OVER (PARTITION BY row_id, phi > 0 ORDER BY abs(phi) DESC, feature) AS rank FROM c WHERE phi <> 0) x WHERE rank <= 5""",
+         CAST(row_number() OVER (PARTITION BY row_id, phi > 0 ORDER BY abs(phi) DESC, feature) AS INTEGER) AS rank FROM c WHERE phi <> 0) x WHERE rank <= 5""",
                                "base", "value", "phi"))
 def local_explanation(spark, d):
     """Strongest contributions for and against passing, per learner."""
