@@ -3,10 +3,10 @@ table and derive the contract's digest columns from the operator's output."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earlywarn.llm import langid, pack, simhash, tokfile
+from earlywarn.llm import langid, mix, pack, shard, simhash, tokfile
 from earlywarn.llm.catalog import query
 from earlywarn.llm.tokens import tokenizer_path
 from earlywarn.llm.util import table
@@ -21,6 +21,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query("op2_kd_shards")
+def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shard.kd_shards(table(spark, sf_dir, "documents"), shards=8)
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, length=1024)
@@ -51,3 +65,73 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     digests = tokfile.id_digests(rows.select("doc_id", "part", "before", "n_tokens", "ids"))
     meta = tokfile.read_tokens(spark, path).select("part", "n_tokens")
     return tokfile.with_start(digests, meta).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+# The source tree of the mixing query: sources by domain, whole-number weights by level.
+DOMAINS = {
+    "crawl": ["src0"],
+    "reference": [f"src{i}" for i in range(1, 7)],
+    "forum": [f"src{i}" for i in range(7, 14)],
+}
+WEIGHTS = {
+    0: {("crawl",): 4, ("reference",): 3, ("forum",): 2, ("other",): 1},
+    1: {("en",): 4, ("de",): 2, ("fr",): 2, ("es",): 2},
+}
+MIX = {"budget_share": 0.8, "max_epochs": 2, "seed": 7}
+
+
+def domain(source: Column) -> Column:
+    out = F.lit("other")
+    for name, members in DOMAINS.items():
+        out = F.when(source.isin(*members), F.lit(name)).otherwise(out)
+    return out
+
+
+def mix_levels() -> dict[str, Column]:
+    return {"domain": domain(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def mix_sql(docs: str = "documents", share: float = MIX["budget_share"], epochs: int = MIX["max_epochs"], seed: int = MIX["seed"]) -> str:
+    """DuckDB SQL of the selection: doc_id, the levels, tokens and copies."""
+    cases = " ".join(f"WHEN source IN ({', '.join(repr(m) for m in ms)}) THEN '{d}'" for d, ms in DOMAINS.items())
+    levels = ["domain", "lang", "source"]
+    ctes = [
+        f"""rows0 AS (SELECT doc_id, CASE {cases} ELSE 'other' END AS domain, coalesce(lang, 'none') AS lang,
+            coalesce(source, 'none') AS source,
+            coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS tokens FROM {docs})""".replace("\\\\", "\\"),
+        f"leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, sum(tokens)::BIGINT * {epochs} AS cap FROM rows0 GROUP BY ALL)",
+        f"state_ AS (SELECT least(coalesce(sum(cap), 0), floor(coalesce(sum(tokens), 0) * {share}::DOUBLE))::BIGINT AS given FROM leaves)",
+    ]
+    before = "state_"
+    for i in range(3):
+        here, parent = ", ".join(levels[: i + 1]), ", ".join(levels[:i])
+        by = f"PARTITION BY {parent}" if parent else ""
+        case = "1"
+        for key, w in WEIGHTS.get(i, {}).items():
+            case = f"CASE WHEN {levels[i]} = '{key[0]}' THEN {w} ELSE {case} END"
+        join = f"JOIN {before} USING ({parent})" if parent else f", {before}"
+        ctes += [
+            f"n{i} AS (SELECT {here}, sum(cap)::BIGINT AS cap, ({case})::BIGINT AS weight FROM leaves GROUP BY {here})",
+            f"""f{i} AS (SELECT *, coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS before,
+                sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::HUGEINT AS ahead
+                FROM n{i} {join} WINDOW w AS ({by} ORDER BY cap / weight, {here}))""",
+            f"s{i} AS (SELECT *, cap * ahead + before * weight <= given * weight AS fits FROM f{i})",
+            f"""g{i} AS (SELECT {here}, (CASE WHEN fits THEN cap ELSE least(cap, (weight * (given - r.before)) // r.ahead) END)::BIGINT AS given
+                FROM (SELECT *, min(CASE WHEN NOT fits THEN {{'before': before, 'ahead': ahead}} END) OVER ({by}) AS r FROM s{i}))""",
+        ]
+        before = f"g{i}"
+    ctes += [
+        "t AS (SELECT domain, lang, source, tokens AS total, given AS target, CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END AS whole FROM leaves JOIN g2 USING (domain, lang, source))",
+        f"k AS (SELECT doc_id, domain, lang, source, tokens, whole, target - whole * total AS rest, md5('{seed}|' || whole || '|' || doc_id) AS key FROM rows0 JOIN t USING (domain, lang, source))",
+        "c AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) AS upto FROM k)",
+    ]
+    return f"""WITH {', '.join(ctes)}
+        SELECT doc_id, domain, lang, source, tokens, copies FROM (
+            SELECT *, (whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM c)
+        WHERE copies > 0"""
+
+
+@query("op10_source_mix", mix_sql())
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mix.select(docs, mix_levels(), WEIGHTS, **MIX).withColumnRenamed("id", "doc_id")
