@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earlywarn.llm import langid, mix, pack, shard, simhash, tokfile
+from earlywarn.llm import langid, lines, mix, pack, shard, simhash, tokfile
 from earlywarn.llm.catalog import query
 from earlywarn.llm.tokens import tokenizer_path
 from earlywarn.llm.util import table
@@ -35,6 +35,32 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+BLANKS_SQL = r"[\x20\x09-\x0D]+"
+LINES_SQL = rf"""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+    w AS (SELECT *, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '{BLANKS_SQL}'), lambda x: x <> ''))) AS s FROM l),
+    classes AS (SELECT s, len(s) AS n, min(doc_id * 1048576 + pos) AS e FROM w WHERE len(s) > 0 GROUP BY s),
+    df AS (SELECT t, count(*) AS c FROM (SELECT unnest(s) AS t FROM classes) GROUP BY t),
+    p AS (SELECT e, n, t FROM (SELECT e, n, t, row_number() OVER (PARTITION BY e ORDER BY c, t) AS k
+        FROM (SELECT e, n, unnest(s) AS t FROM classes) JOIN df USING (t) WHERE TRUE) WHERE k <= n - (4 * n + 4) // 5 + 1),
+    pairs AS (SELECT DISTINCT a.e AS later, b.e AS earlier FROM p a JOIN p b
+        ON a.t = b.t AND a.e > b.e AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+    gone AS (SELECT DISTINCT later FROM pairs JOIN classes x ON x.e = later JOIN classes y ON y.e = earlier
+        WHERE 5 * len(list_intersect(x.s, y.s)) >= 4 * (x.n + y.n - len(list_intersect(x.s, y.s)))),
+    stay AS (SELECT e FROM classes WHERE e NOT IN (SELECT later FROM gone)),
+    kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) AS n FROM w
+        WHERE len(s) = 0 OR doc_id * 1048576 + pos IN (SELECT e FROM stay) GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::INTEGER AS lines_in, coalesce(k.n, 0)::INTEGER AS lines_out,
+        CASE WHEN d.text IS NULL THEN NULL ELSE md5(coalesce(k.text, '')) END AS text_md5
+    FROM documents d LEFT JOIN kept k USING (doc_id)"""
+
+
+@query("op3_line_dedup", LINES_SQL)
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"), threshold=0.8)
+    return out.select("doc_id", "lines_in", "lines_out", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, length=1024)
