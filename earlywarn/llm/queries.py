@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earlywarn.llm import ann, langid, lines, mix, pack, shard, simhash, tokfile, topk
+from earlywarn.llm import ann, langid, lines, mix, pack, pii, shard, simhash, tokfile, topk
 from earlywarn.llm.catalog import query
 from earlywarn.llm.tokens import tokenizer_path
 from earlywarn.llm.util import table
@@ -61,6 +61,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lines_in", "lines_out", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@query("op4_personal_data")
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_personal_data(docs, pii.fit(docs))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[f"n_{k}" for k in pii.KINDS],
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+        "spans",
+    )
+
+
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, length=1024)
