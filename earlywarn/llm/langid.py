@@ -145,10 +145,13 @@ class Model:
             learned = " ".join(t for x, t in texts if x == lang)
             codes = encode(f" {learned} ", letter_codes(self.alphabet))
             table = suffix_automaton(codes.tolist(), self.width)
-            first = table[0].copy()
-            first[first < 0] = 0  # a character seen nowhere: its phrase ends at once
+            # one more state follows a character that the language lacks: its phrase ends at once
+            lone = len(table)
+            first = np.where(table[0] < 0, lone, table[0])
+            table = np.vstack([table, np.full((1, self.width), -1)])
             ended = table < 0
             table = np.where(ended, first[None, :], table)
+            ended[0] = False  # before the first phrase there is none to end
             self.tables.append((2 * self.width * table + ended).astype(np.int32).ravel())
             self.phrase_bits.append(float(np.log2(max(2, len(codes)))))
 
@@ -238,9 +241,8 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         from earlywarn.llm.tokens import batches
 
         for batch in rows:
-            texts = batch.column(1).to_pylist()
-            for a, b in batches(texts, PARSE_AT_ONCE):
-                found = sent.value.predict(texts[a:b])
+            for a, b, texts in batches(batch.column(1), PARSE_AT_ONCE):
+                found = sent.value.predict(texts)
                 lang, score, bits = zip(*found)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -256,6 +258,27 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, PREDICTED)
 
 
+def language(model: Model, text: Column, spark) -> Column:
+    """The prediction for ``text`` as a struct (lang_pred, score, bits), for
+    use beside a row's other columns."""
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("lang_pred string, score double, bits double")
+    def found(column: pa.Array) -> pa.Array:
+        from earlywarn.llm.tokens import batches
+
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        rows = [r for _, _, texts in batches(column, PARSE_AT_ONCE) for r in sent.value.predict(texts)]
+        lang, score, bits = zip(*rows) if rows else ((), (), ())
+        kinds = (pa.string(), pa.float64(), pa.float64())
+        return pa.StructArray.from_arrays(
+            [pa.array(x, k) for x, k in zip((lang, score, bits), kinds)], ["lang_pred", "score", "bits"]
+        )
+
+    return found(text)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Documents set aside for testing: crc32 of the id as text, mod 4, is 2."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

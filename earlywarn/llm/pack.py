@@ -42,9 +42,9 @@ def encode_documents(df: DataFrame, id_col: str, text_col: str, tokenizer: str,
         kind = "<u2" if enc.tok.get_vocab_size() <= 1 << 16 else "<u4"
         part, before = TaskContext.get().partitionId(), 0
         for batch in rows:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in batches(texts):
-                flat, counts = enc.encode(texts[a:b])
+            ids = batch.column(0)
+            for a, b, texts in batches(batch.column(1)):
+                flat, counts = enc.encode(texts)
                 ends = np.cumsum(counts)
                 full = np.insert(flat, ends, end_id).astype(kind)  # the end id after each document
                 n = counts + 1

@@ -12,10 +12,13 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHE_CHUNKS = 500_000  # chunks remembered by one worker (a memory bound only)
+CACHE_CHUNKS = 300_000  # chunks remembered by one worker (a memory bound only)
 STORE_IDS = 8_000_000  # ids remembered by one worker (a memory bound only)
 LONG_WORD = 64  # longer pre-tokens (in characters) are not remembered
 
@@ -66,7 +69,7 @@ class ChunkEncoder:
         self.leading = leading
         self.letters = _byte_letters()
         self.blank = chr(self.letters[ord(" ")])
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -76,17 +79,17 @@ class ChunkEncoder:
         self.start = np.zeros(1 << 14, dtype=np.int64)
         self.length = np.zeros(1 << 14, dtype=np.int64)
 
-    def _word_ids(self, word: str) -> list[int]:
+    def _word_ids(self, word: str) -> tuple[int, ...]:
         if word.isascii():  # the blank is the only one of these characters with another spelling
             spelled = word.replace(" ", self.blank)
         else:
             spelled = word.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(spelled)]
+        ids = tuple([t.id for t in self.model.tokenize(spelled)])
         if len(word) <= LONG_WORD:
             self.known[word] = ids
         return ids
 
-    def _chunk_ids(self, chunk: str) -> list[int]:
+    def _chunk_ids(self, chunk: str) -> Sequence[int]:
         if _PLAIN.fullmatch(chunk):
             words = _WORDS_LEADING.findall(chunk) if self.leading else _WORDS_BARE.findall(chunk.lower())
             known = self.known
@@ -101,7 +104,7 @@ class ChunkEncoder:
         """Encode chunks that are not known yet."""
         ids = [self._chunk_ids(c) for c in chunks]
         lens = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(lens.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(lens.sum()))
         n0, n1 = len(self.index), len(self.index) + len(chunks)
         while n1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
@@ -123,10 +126,13 @@ class ChunkEncoder:
             self.known = {}
         split = split_leading if self.leading else split_bare
         pieces = [split(t) if t else [] for t in texts]
-        flat = [c for p in pieces for c in p]
+        flat = list(chain.from_iterable(pieces))
         index = self.index
-        self._learn(list(set(flat).difference(index)))
-        at = np.fromiter(map(index.__getitem__, flat), dtype=np.int64, count=len(flat))
+        at = np.fromiter(map(index.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self._learn(list(dict.fromkeys([flat[i] for i in new])))
+            at[new] = [index[flat[i]] for i in new]
         lens = self.length[at]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
@@ -148,14 +154,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def batches(texts: Sequence[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Slices of ``texts`` of at most ``limit`` characters (one text at least)."""
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > begin and size + n > limit:
-            yield begin, i
-            begin, size = i, 0
-        size += n
-    if begin < len(texts):
-        yield begin, len(texts)
+def batches(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(begin, end, texts) of slices of a string column of at most ``limit``
+    bytes (one text at least), so that few texts are Python objects at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    done = np.cumsum(sizes)
+    begin = 0
+    while begin < len(column):
+        past = int(done[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(done, past + limit, side="right")))
+        yield begin, end, column.slice(begin, end - begin).to_pylist()
+        begin = end

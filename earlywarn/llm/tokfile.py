@@ -62,9 +62,9 @@ def write_tokens(
         enc = encoder(tokenizer, leading)
         part, before = TaskContext.get().partitionId(), 0
         for batch in rows:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in batches(texts):
-                flat, counts = enc.encode(texts[a:b])
+            ids = batch.column(0)
+            for a, b, texts in batches(batch.column(1)):
+                flat, counts = enc.encode(texts)
                 full = np.insert(flat, np.cumsum(counts), end_id)
                 n = counts + 1
                 edge = np.concatenate([[0], np.cumsum(n)])
@@ -117,9 +117,9 @@ def id_digests(rows: DataFrame) -> DataFrame:
 
         for batch in batches_:
             lists = batch.column(batch.schema.get_field_index("ids"))
-            flat = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), dtype="<u4")
+            flat = lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
             off = lists.offsets.to_numpy()
-            view = memoryview(flat).cast("B") if len(flat) else b""
+            view = memoryview(np.ascontiguousarray(flat)).cast("B") if len(flat) else b""
             crc = [zlib.crc32(view[4 * s : 4 * e]) for s, e in zip(off[:-1].tolist(), off[1:].tolist())]
             kept = batch.drop_columns(["ids"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(crc, pa.int64())], [*kept.schema.names, "ids_crc32"])
