@@ -157,9 +157,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     # whole sets of the classes left
     where = named.select("cid", F.col("e.id").alias("id"), F.col("e.mark").alias("mark"), F.col("e.pos").alias("pos"))
     wanted = where.groupBy("id", "mark").agg(F.collect_list(F.struct("pos", "cid")).alias("at"))
-    held = docs.select(ID, MARK, text_col).dropDuplicates([ID, MARK])
+    held = docs.select(ID, MARK, F.col(text_col).alias("__line_text")).dropDuplicates([ID, MARK])
     held = wanted.join(held, F.col("id").eqNullSafe(F.col(ID)) & (F.col("mark") == F.col(MARK)))
-    held = held.withColumn("lines", F.split(F.col(text_col), "\n", -1)).select("lines", F.explode("at").alias("x"))
+    held = held.withColumn("lines", F.split("__line_text", "\n", -1)).select("lines", F.explode("at").alias("x"))
     sets = held.select(F.col("x.cid").alias("cid"), _keys(F.element_at("lines", F.col("x.pos") + 1), table).alias("keys"))
     sets = util.cut(sets, "line-sets")
 
@@ -185,7 +185,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     out = out.withColumn("__split", split).withColumn("__places", places)
     text = F.array_join(F.transform("__places", lambda i: F.element_at("__split", i + 1)), "\n")
     return out.select(
-        *[text.alias(c) if c == text_col else df[c] for c in df.columns],
+        *[text.alias(c) if c == text_col else df[c] for c in df.columns if c not in ("lines_in", "lines_out")],
         F.coalesce(F.size("__split"), F.lit(0)).alias("lines_in"),
         F.coalesce(F.size("__places"), F.lit(0)).alias("lines_out"),
     )

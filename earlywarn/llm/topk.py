@@ -82,7 +82,7 @@ def search(qid, q, q_floor, vid, v, rotation, k: int):
     qn, vn = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
     qres = np.linalg.norm(qr[:, lead:], axis=1)
     vres = np.linalg.norm(vr[:, lead:], axis=1)
-    floor = q_floor.astype(np.float64)  # k-th best score so far
+    floor = q_floor.astype(np.int64)  # k-th best score so far
     keep = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     for at in range(0, len(v), RUN):
         run = slice(at, at + RUN)
