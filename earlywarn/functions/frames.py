@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -9,12 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on the group keys, where a null key matches a null key: a group
+    may be the one of the missing values."""
+    hidden = {c: f"__right_{c}" for c in by}
+    right = right.withColumnsRenamed(hidden)
+    cond = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(h)) for c, h in hidden.items()])
+    return left.join(right, cond, how).drop(*hidden.values())
+
+
 def join_on(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on the group keys; with no keys ``right`` is a global aggregate
     (exactly one row), attached by broadcast."""
     by = list(by)
     if by:
-        return left.join(right, on=by, how=how)
+        return null_safe_join(left, right, by, how)
     return left.crossJoin(F.broadcast(right))
 
 
@@ -45,4 +55,4 @@ def join_group_stats(df: DataFrame, stats: DataFrame, by: Sequence[str], limit:
         return df.crossJoin(F.broadcast(stats))
     stats = stats.cache()
     n = stats.count()
-    return df.join(F.broadcast(stats) if n <= limit else stats, on=by, how="inner")
+    return null_safe_join(df, F.broadcast(stats) if n <= limit else stats, by)

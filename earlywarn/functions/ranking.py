@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from earlywarn.functions.frames import join_group_stats
+from earlywarn.functions.frames import join_group_stats, null_safe_join
+from earlywarn.session import shared_dir
 
 _SLICE = "_slice"
 
@@ -43,8 +44,9 @@ def _order_cols(order: Sequence) -> list[Column]:
 
 
 def _n_slices(df: DataFrame) -> int:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(1024, n))
+    """As many slices as shuffle partitions, which are sized for the input
+    (``session.cluster_conf``)."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def md5_slicer(col: str, hex_digits: int = 3) -> Column:
@@ -60,7 +62,11 @@ def _tag(df: DataFrame, order: Sequence, slicer: Column | None, slices: int | No
     name = first[1:] if desc else first
     if isinstance(df.schema[name].dataType, NumericType):
         return with_quantile_slice(df, name, slices or _n_slices(df), desc, bounds_from=bounds_from)
-    return df.withColumn(_SLICE, F.lit(0))
+    # any other key: the ranges of the whole order, fixed by a checkpoint so
+    # that every use of the slices sees the same ones
+    shared_dir(df.sparkSession)
+    ranges = df.repartitionByRange(slices or _n_slices(df), *_order_cols(order))
+    return ranges.withColumn(_SLICE, F.spark_partition_id()).checkpoint()
 
 
 def with_quantile_slice(df: DataFrame, col: str, slices: int, descending: bool = False, out: str = _SLICE,
@@ -111,7 +117,7 @@ def running_totals(
     offsets = totals.select(
         *by, _SLICE, *[F.coalesce(F.sum(f"_tot_{k}").over(prev_w), F.lit(0)).alias(f"_off_{k}") for k in meas]
     )
-    out = local.join(offsets, on=[*by, _SLICE], how="inner")
+    out = null_safe_join(local, offsets, [*by, _SLICE])
     for k in meas:
         out = out.withColumn(k, F.col(f"_loc_{k}") + F.col(f"_off_{k}"))
     drop = [_SLICE] + [f"_{p}_{k}" for k in meas for p in ("loc", "off")]
@@ -185,5 +191,5 @@ def running_max(df: DataFrame, by: Sequence[str], order: Sequence, value: str, n
     tops = tagged.groupBy(*by, _SLICE).agg(F.max(value).alias("_top"))
     prev_w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offs = tops.select(*by, _SLICE, F.max("_top").over(prev_w).alias("_prev"))
-    out = local.join(offs, on=[*by, _SLICE], how="inner")
+    out = null_safe_join(local, offs, [*by, _SLICE])
     return out.withColumn(name, F.coalesce(F.greatest("_loc", "_prev"), F.col("_loc"))).drop(_SLICE, "_loc", "_prev")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegralType, NumericType, StringType, BooleanType
 
-from earlywarn.functions.frames import join_group_stats, join_on
+from earlywarn.functions.frames import join_group_stats, join_on, null_safe_join
 from earlywarn.functions.ranking import exact_quantiles
 
 
@@ -156,7 +156,7 @@ def complete_counts(df: DataFrame, col: str, domain: Sequence, by: Sequence[str]
     keys = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
     dom = F.array(*[F.lit(v) for v in domain])
     grid = keys.select(*by, F.posexplode(dom).alias("_ord", col))
-    out = grid.join(counts, on=[*by, col], how="left").select(*by, col, F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"), "_ord")
+    out = null_safe_join(grid, counts, [*by, col], "left").select(*by, col, F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"), "_ord")
     return out.drop("_ord")
 
 
@@ -228,7 +228,7 @@ def profile_by(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     d = df.select(*by, F.col(col).cast("double").alias("_v"))
     base = d.groupBy(*by).agg(F.count("_v").alias("count"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"))
     med = exact_quantiles(d, by, "_v", [0.5]).select(*by, F.col("value").alias("median"))
-    return base.join(med, on=by, how="left").select(*by, "count", "mean", "median", "std")
+    return null_safe_join(base, med, by, "left").select(*by, "count", "mean", "median", "std")
 
 
 def value_shares(df: DataFrame, col: str) -> DataFrame:

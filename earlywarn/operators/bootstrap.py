@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earlywarn.functions import metrics as M
+from earlywarn.functions.frames import null_safe_join
 from earlywarn.functions.hashing import GOLDEN, MASK32, MIX_MUL, TWO_POW_32, with_key_hash
 from earlywarn.operators.evaluate import metrics_at
 
@@ -148,7 +149,7 @@ def bootstrap_ci(df: DataFrame, t: float = 0.5, iterations: int = 500, by: Seque
     est = metrics_at(df, t, by, y_true, prob)
     est_long = est.select(*by, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("estimate")) for m in TRACKED])))
     order = F.array(*[F.lit(m) for m in TRACKED])
-    return est_long.join(ci, on=[*by, "metric"], how="left").select(
+    return null_safe_join(est_long, ci, [*by, "metric"], "left").select(
         *by, "metric", (F.array_position(order, F.col("metric"))).cast("int").alias("position"), "estimate",
         F.col("_ci")[0].alias("ci_lower"), F.col("_ci")[1].alias("ci_upper"),
     )

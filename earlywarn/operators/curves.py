@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earlywarn.functions.frames import join_on
+from earlywarn.functions.frames import join_on, null_safe_join
 from earlywarn.functions.ranking import running_totals
 
 
@@ -63,7 +63,7 @@ def roc_curve(df: DataFrame, by: Sequence[str] = (), y_true: str = "y_true", sco
     c = running_totals(h, by, ["-score"], {"tps": F.col("pos"), "fps": F.col("neg"), "rk": F.lit(1)})
     nxt = c.select(*by, (F.col("rk") - 1).alias("rk"), F.col("pos").alias("_npos"), F.col("neg").alias("_nneg"))
     tot = h.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"), F.count(F.lit(1)).alias("_m"))
-    j = join_on(c.join(nxt, on=[*by, "rk"], how="left"), tot, by)
+    j = join_on(null_safe_join(c, nxt, [*by, "rk"], "left"), tot, by)
     keep = (F.col("rk") == 1) | (F.col("rk") == F.col("_m")) | (F.col("_npos") != F.col("pos")) | (F.col("_nneg") != F.col("neg"))
     pts = j.filter(keep).select(
         *by,

@@ -121,7 +121,8 @@ def oof_table(oof: DataFrame, model: str) -> DataFrame:
     )
 
 
-def missed_cases(df: DataFrame, t: float, n: int = 30, cols: Sequence[str] = (), prob: str = "y_prob", key: str = "row_id") -> DataFrame:
-    """Missed-risk rows by pass probability, highest first (a top-n report)."""
+def missed_cases(df: DataFrame, t: float, n: int | None = 30, cols: Sequence[str] = (), prob: str = "y_prob", key: str = "row_id") -> DataFrame:
+    """Missed-risk rows by pass probability, highest first: a top-n report, or all of them with ``n=None``."""
     e = error_type(df, t, prob=prob).filter(F.col("error_type") == "Missed risk")
-    return e.orderBy(F.col(prob).desc(), F.col(key)).limit(n).select(key, *cols, "pass_probability", "risk_probability")
+    e = e.orderBy(F.col(prob).desc(), F.col(key))
+    return (e if n is None else e.limit(n)).select(key, *cols, "pass_probability", "risk_probability")

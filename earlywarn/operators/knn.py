@@ -7,7 +7,8 @@ co-grouped on the block pair.  Inside a group one matrix product scores the
 block pair and only the best ``k`` per query leave the task, so the shuffle
 after it carries at most ``bb * k`` candidates per query, which a final
 window cuts to ``k``.  Block counts are chosen from the row counts so that a
-block pair stays within ``block_rows`` rows on each side.
+block pair stays within ``block_rows`` rows on each side, and a task compares
+``TILE`` x ``TILE`` rows at a time with a running top ``k``.
 """
 
 from __future__ import annotations
@@ -31,6 +32,25 @@ def _as_array(df: DataFrame, col: str):
     return vector_to_array(F.col(col))
 
 
+TILE = 2048  # rows of either side compared at a time
+
+
+def smallest(key: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` smallest keys of each row, in order; ties in column order."""
+    if key.shape[1] <= k:
+        return np.argsort(key, axis=1, kind="stable")
+    bound = np.partition(key, k - 1, axis=1)[:, k - 1 : k]
+    within = key <= bound
+    tied = within.sum(axis=1) > k
+    for r in np.flatnonzero(tied):
+        chosen = np.argsort(key[r], kind="stable")[:k]
+        within[r] = False
+        within[r, chosen] = True
+    cols = np.nonzero(within)[1].reshape(len(key), k)
+    order = np.argsort(np.take_along_axis(key, cols, 1), axis=1, kind="stable")
+    return np.take_along_axis(cols, order, 1)
+
+
 def knn_join(queries: DataFrame, base: DataFrame, k: int, q_id: str, b_id: str, q_vec: str, b_vec: str,
              metric: str = "ip", exclude_self: bool = False, block_rows: int = 20000, digits: int | None = 6,
              b_label: str | None = None) -> DataFrame:
@@ -58,29 +78,33 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, q_id: str, b_id: str,
             return pd.DataFrame({"q_id": pd.Series(dtype="int64"), "n_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"),
                                  "n_label": pd.Series(dtype="float64")})
         Q = np.stack(qdf["_v"].to_numpy()).astype(np.float64)
+        bdf = bdf.sort_values("_id", kind="stable")  # ties go to the smaller id: the earlier column
         B = np.stack(bdf["_v"].to_numpy()).astype(np.float64)
-        if higher:
-            S = Q @ B.T
-        else:
-            S = np.sqrt(np.maximum((Q * Q).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2.0 * (Q @ B.T), 0.0))
-        if digits is not None:
-            S = np.round(S, digits)
-        qids = qdf["_id"].to_numpy()
-        bids = bdf["_id"].to_numpy()
+        qids, bids = qdf["_id"].to_numpy(), bdf["_id"].to_numpy()
         blab = bdf["_lab"].to_numpy(dtype=np.float64)
-        key = -S if higher else S
-        if exclude_self:
-            key = np.where(qids[:, None] == bids[None, :], np.inf, key)
-        kk = min(k, len(bids))
-        # order by (key, base id): sort base ids once, stable sort of keys keeps id order on ties
-        order = np.argsort(bids, kind="stable")
-        key, S2, bids_s, blab_s = key[:, order], S[:, order], bids[order], blab[order]
-        idx = np.argsort(key, axis=1, kind="stable")[:, :kk]
-        rows = np.repeat(np.arange(len(qids)), kk)
-        cols = idx.ravel()
-        keep = np.isfinite(key[rows, cols])
-        return pd.DataFrame({"q_id": qids[rows][keep], "n_id": bids_s[cols][keep], "score": S2[rows, cols][keep],
-                             "n_label": blab_s[cols][keep]})
+        out = []
+        for qs in range(0, len(Q), TILE):  # at most TILE x (TILE + k) scores at a time
+            q_, best, at = Q[qs : qs + TILE], None, None
+            for bs in range(0, len(B), TILE):
+                b_ = B[bs : bs + TILE]
+                S = q_ @ b_.T
+                if not higher:
+                    S = np.sqrt(np.maximum((q_ * q_).sum(1)[:, None] + (b_ * b_).sum(1)[None, :] - 2.0 * S, 0.0))
+                if digits is not None:
+                    S = np.round(S, digits)
+                key = -S if higher else S
+                if exclude_self:
+                    key = np.where(qids[qs : qs + TILE, None] == bids[None, bs : bs + TILE], np.inf, key)
+                col = np.broadcast_to(np.arange(bs, bs + len(b_)), key.shape)
+                if best is not None:
+                    key, col = np.concatenate([best, key], axis=1), np.concatenate([at, col], axis=1)
+                pick = smallest(key, k)
+                best, at = np.take_along_axis(key, pick, 1), np.take_along_axis(col, pick, 1)
+            row, place = np.nonzero(np.isfinite(best))
+            got = at[row, place]
+            score = -best[row, place] if higher else best[row, place]
+            out.append(pd.DataFrame({"q_id": qids[qs + row], "n_id": bids[got], "score": score + 0.0, "n_label": blab[got]}))
+        return pd.concat(out)
 
     cand = q.groupBy("_qb", "_bb").cogroup(b.groupBy("_qb", "_bb")).applyInPandas(block_topk, OUT_SCHEMA)
     w = Window.partitionBy("q_id").orderBy(F.col("score").desc() if higher else F.col("score").asc(), F.col("n_id"))

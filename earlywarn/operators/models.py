@@ -27,17 +27,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED = 42
-DEEP_TREE = 30
-TOL = 1e-4  # the reference library's default stopping tolerance for logistic regression  # "no depth limit": the deepest tree Spark accepts
+DEEP_TREE = 30  # "no depth limit": the deepest tree Spark accepts
+MAX_ITER = 3000
+TOL = 1e-4  # the reference library's default stopping tolerance for logistic regression
 
 # The reference's model names, in its order, and its search
-# grids (43 candidates in all).
+# grids (43 candidates in all), each in the order of sorted parameter names.
 GRIDS: "OrderedDict[str, list[dict]]" = OrderedDict()
 GRIDS["Dummy Baseline"] = [{}]
 GRIDS["Logistic Regression"] = [{"C": c, "l1_ratio": l} for c in (0.01, 0.1, 1.0, 10.0) for l in (0.0, 1.0)]
 GRIDS["Decision Tree"] = [{"max_depth": d, "min_samples_leaf": m} for d in (3, 5, None) for m in (1, 3)]
-GRIDS["Random Forest"] = [{"n_estimators": n, "max_depth": d, "min_samples_leaf": m} for n in (100, 200) for d in (5, None) for m in (1, 3)]
-GRIDS["Gradient Boosting"] = [{"n_estimators": n, "learning_rate": r, "max_depth": d} for n in (100, 150) for r in (0.05, 0.1) for d in (2, 3)]
+GRIDS["Random Forest"] = [{"n_estimators": n, "max_depth": d, "min_samples_leaf": m} for d in (5, None) for m in (1, 3) for n in (100, 200)]
+GRIDS["Gradient Boosting"] = [{"n_estimators": n, "learning_rate": r, "max_depth": d} for r in (0.05, 0.1) for d in (2, 3) for n in (100, 150)]
 GRIDS["SVM RBF"] = [{"C": c, "gamma": g} for c in (0.1, 1.0, 10.0) for g in ("scale", "auto")]
 GRIDS["KNN"] = [{"n_neighbors": k, "weights": w} for k in (5, 9, 15) for w in ("uniform", "distance")]
 BALANCED = {"Logistic Regression", "Decision Tree", "Random Forest", "SVM RBF"}
@@ -54,14 +55,14 @@ class MajorityClassModel(Model, DefaultParamsReadable, DefaultParamsWritable):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         maj = self.getOrDefault(self.majority)
-        p1 = self.getOrDefault(self.share)
+        p1 = float(maj)
         return df.withColumn("prediction", F.lit(float(maj))).withColumn(
             "probability", array_to_vector(F.array(F.lit(1.0 - p1), F.lit(p1))))
 
 
 class MajorityClass(Estimator, DefaultParamsReadable, DefaultParamsWritable):
-    """M6: predict the most frequent training class (ties: the smaller class);
-    the probability is the training class share, like the library's dummy."""
+    """M6: predict the most frequent training class (ties: the smaller class)
+    with probability one; ``share`` keeps the training share of class 1."""
 
     labelCol = Param(Params._dummy(), "labelCol", "label", typeConverter=TypeConverters.toString)
 
@@ -159,7 +160,7 @@ def build_estimator(name: str, params: dict, n_train: int, label: str = "target"
         c = float(params.get("C", 1.0))
         return [LogisticRegression(featuresCol=features, labelCol=label, regParam=1.0 / (c * max(1, n_train)),
                                    elasticNetParam=float(params.get("l1_ratio", 0.0)), standardization=False,
-                                   maxIter=int(params.get("max_iter", 100)), tol=TOL, **wkw)]
+                                   maxIter=int(params.get("max_iter", MAX_ITER)), tol=TOL, **wkw)]
     if name == "Decision Tree":
         depth = params.get("max_depth")
         return [DecisionTreeClassifier(featuresCol=features, labelCol=label, maxDepth=DEEP_TREE if depth is None else int(depth),
@@ -179,7 +180,7 @@ def build_estimator(name: str, params: dict, n_train: int, label: str = "target"
                                       nComponents=int(params.get("n_components", 200)), seed=SEED),
                 LogisticRegression(featuresCol="rff", labelCol=label, regParam=1.0 / (c * max(1, n_train)),
                                    standardization=False, tol=TOL, **wkw)]
-    raise ValueError(f"Unknown model: {name}")
+    raise ValueError(f"no estimator is known for {name!r}; choose one of {list(GRIDS)}")
 
 
 def pass_probability(df: DataFrame, prob: str = "probability", raw: str = "rawPrediction") -> Column:

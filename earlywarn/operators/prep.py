@@ -46,18 +46,24 @@ class _FillModel(Model, _Cols, DefaultParamsReadable, DefaultParamsWritable):
         super().__init__()
         self._set(**self._input_kwargs)
 
+    def _present(self, c: str):
+        """The column with its missing values as nulls."""
+        raise NotImplementedError
+
     def _transform(self, df: DataFrame) -> DataFrame:
         fill = self.getStats()
-        return df.select(*[F.coalesce(F.col(c), F.lit(fill[c])).alias(c) if c in fill and fill[c] is not None else F.col(c)
-                           for c in df.columns])
+        return df.select(*[F.coalesce(self._present(c), F.lit(fill[c])).alias(c) if c in fill and fill[c] is not None
+                           else F.col(c) for c in df.columns])
 
 
 class MedianImputerModel(_FillModel):
-    pass
+    def _present(self, c: str):
+        return F.when(~F.isnan(F.col(c).cast("double")), F.col(c))
 
 
 class ModeImputerModel(_FillModel):
-    pass
+    def _present(self, c: str):
+        return F.col(c).cast("string")  # the indexer takes no booleans
 
 
 class MedianImputer(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWritable):
@@ -139,7 +145,8 @@ class PopulationScaler(Estimator, _Cols, DefaultParamsReadable, DefaultParamsWri
         cols = self.getInputCols()
         aggs = []
         for c in cols:
-            aggs += [F.avg(F.col(c).cast("double")).alias(f"m|{c}"), F.stddev_pop(F.col(c).cast("double")).alias(f"s|{c}")]
+            x = F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+            aggs += [F.avg(x).alias(f"m|{c}"), F.stddev_pop(x).alias(f"s|{c}")]
         r = df.agg(*aggs).first()
         stats = {c: [r[f"m|{c}"], r[f"s|{c}"]] for c in cols}
         return PopulationScalerModel(inputCols=cols, stats=json.dumps(stats))

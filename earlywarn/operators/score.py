@@ -194,6 +194,9 @@ def class_contributions(df: DataFrame, col: str = "contrib", cls: int = 1) -> Da
     return df.withColumn(col, F.element_at(F.col(col), cls + 1))
 
 
+CLIP = 1e-9
+
+
 def permutation_contributions(df: DataFrame, scorer: Scorer, background: DataFrame, features: Sequence[str], n_perm: int = 8,
                               seed: int = 42, key: str = "row_id", margin: bool = True) -> DataFrame:
     """E1(b): model-agnostic contributions by permutation sampling (Strumbelj & Kononenko 2014).
@@ -232,7 +235,8 @@ def permutation_contributions(df: DataFrame, scorer: Scorer, background: DataFra
         cols.append(F.when(take, F.col(c)).otherwise(F.col("_bgrow")[c]).alias(c))
     coal = x.select(key, "_p", "_s", "_ord", *cols)
     scored = scorer(coal)
-    v = F.log(F.col("y_prob") / (F.lit(1.0) - F.col("y_prob"))) if margin else F.col("y_prob")
+    p = F.least(F.greatest(F.col("y_prob"), F.lit(CLIP)), F.lit(1.0 - CLIP))  # a sure vote has no finite margin
+    v = F.log(p / (F.lit(1.0) - p)) if margin else F.col("y_prob")
     s = scored.select(key, "_p", "_s", "_ord", v.alias("_v"))
     w = Window.partitionBy(key, "_p").orderBy("_s")
     d = s.withColumn("_dv", F.col("_v") - F.lag("_v").over(w)).filter(F.col("_s") > 0)

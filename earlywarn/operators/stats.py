@@ -1,9 +1,9 @@
 """Paired significance tests on fold scores.
 
 Input is the long fold-score table ``(exp..., model, model_order, fold, score)``.
-Wilcoxon p-values are exact by enumerating the 2^n sign patterns (n <= 12
-non-zero differences, one small explode per pair); beyond that the normal
-approximation with tie correction is used.  The chi-square tail of the
+Wilcoxon p-values are exact for n <= 50 non-zero differences, by counting the
+sign patterns of every rank sum (a fold over the doubled ranks); beyond that
+the normal approximation with tie correction is used, as the library does.  The chi-square tail of the
 Friedman test is closed form for even degrees of freedom and uses erfc for
 odd ones.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from earlywarn.functions.frames import join_on
 
-EXACT_MAX_N = 12
+EXACT_MAX_N = 50
 ZERO_TOL = 1e-8  # |difference| treated as zero (close-to-zero test)
 
 
@@ -84,14 +84,14 @@ def wilcoxon_pairs(paired: DataFrame, exp: Sequence[str] = ()) -> DataFrame:
     tie = r.groupBy(*keys, "absd").agg(F.count(F.lit(1)).alias("t")).groupBy(*keys).agg(
         F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("tie_term"))
     per = per.join(tie, on=keys, how="left").withColumn("stat", F.least("w_plus", "w_minus"))
-    # exact: enumerate sign patterns
-    exact = per.filter(F.col("n") <= EXACT_MAX_N).select(
-        *keys, "stat", "n", "ranks", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.col("n")).cast("int") - 1)).alias("mask"))
-    wplus = F.aggregate(
-        F.transform("ranks", lambda x, i: F.when(F.floor(F.col("mask") / F.pow(F.lit(2.0), i)) % 2 == 1, x).otherwise(F.lit(0.0))),
-        F.lit(0.0), lambda acc, x: acc + x)
-    exact = exact.withColumn("_wp", wplus).groupBy(*keys).agg(
-        (F.sum((F.col("_wp") <= F.col("stat") + F.lit(1e-9)).cast("double")) / F.count(F.lit(1))).alias("_cdf"))
+    # exact: patterns by their sum of doubled ranks, which are whole numbers also with ties
+    doubled = F.transform("ranks", lambda x: (x * 2).cast("int"))
+    sums = F.transform(F.sequence(F.lit(0), (F.col("n") * (F.col("n") + 1)).cast("int")), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+    counts = F.aggregate(doubled, sums, lambda acc, r: F.transform(
+        acc, lambda v, i: v + F.when(i >= r, F.element_at(acc, F.greatest(i - r, F.lit(0)) + 1)).otherwise(0.0)))
+    upto = F.floor(F.col("stat") * 2 + F.lit(1e-9)).cast("int") + 1
+    below = F.aggregate(F.slice(counts, F.lit(1), upto), F.lit(0.0), lambda acc, x: acc + x)
+    exact = per.filter(F.col("n") <= EXACT_MAX_N).select(*keys, (below / F.pow(F.lit(2.0), F.col("n"))).alias("_cdf"))
     exact = exact.select(*keys, F.least(F.lit(1.0), F.lit(2.0) * F.col("_cdf")).alias("_p_exact"))
     n = F.col("n").cast("double")
     mean = n * (n + 1) / 4.0
@@ -159,7 +159,8 @@ def friedman(fs: DataFrame, k: int, exp: Sequence[str] = ()) -> DataFrame:
     j = join_on(join_on(ss, nb, exp), ties, exp)
     kk, n = F.col("k").cast("double"), F.col("n").cast("double")
     c = F.lit(1.0) - F.col("_ties") / (kk * (kk * kk - 1) * n)
-    stat = (F.lit(12.0) / (kk * n * (kk + 1)) * F.col("_ss") - 3 * n * (kk + 1)) / c
+    # without any difference between the models the statistic is 0 (p = 1)
+    stat = F.coalesce(F.try_divide(F.lit(12.0) / (kk * n * (kk + 1)) * F.col("_ss") - 3 * n * (kk + 1), c), F.lit(0.0))
     return j.select(*exp, "k", "n", stat.alias("statistic")).withColumn("p_value", chi2_sf(F.col("statistic"), k - 1))
 
 

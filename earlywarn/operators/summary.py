@@ -17,6 +17,7 @@ from earlywarn.functions.frames import join_on
 
 LOWER_IS_BETTER = ("missed_risk_rate", "false_alarm_rate")
 LEADERBOARD_METRICS = ("macro_f1", "risk_recall", "f1_risk", "bal_acc", "auc", "mcc")
+BASELINE = "Dummy Baseline"  # the model zoo's name
 RADAR_METRICS = ("macro_f1", "risk_recall", "bal_acc", "auc", "pr_auc_risk")
 
 
@@ -83,14 +84,14 @@ def multi_criteria(summary: DataFrame, k: int = 3) -> DataFrame:
     return top.join(w, "model").select("rank", "model", *[F.col(f"mean_{m}").alias(m) for m in RADAR_METRICS])
 
 
-def uplift(summary: DataFrame, metric: str = "macro_f1", baseline: str = "baseline") -> DataFrame:
+def uplift(summary: DataFrame, metric: str = "macro_f1", baseline: str = BASELINE) -> DataFrame:
     """H6: each model's mean minus the baseline's mean."""
     s = summary.filter(F.col("metric") == metric)
     b = s.filter(F.col("model") == baseline).select(F.col("mean").alias("_base"))
     return join_on(s, b, []).select("model", "metric", "mean", (F.col("mean") - F.col("_base")).alias("uplift"))
 
 
-def evidence_tier(summary: DataFrame, baseline: str = "baseline") -> DataFrame:
+def evidence_tier(summary: DataFrame, baseline: str = BASELINE) -> DataFrame:
     """H5: Strong if Macro-F1 >= .75, risk recall >= .70 and uplift >= .10;
     Moderate if Macro-F1 >= .60 and uplift >= .05; else Limited."""
     best = best_model(summary)

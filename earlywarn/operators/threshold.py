@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earlywarn.functions import metrics as M
+from earlywarn.functions.frames import null_safe_join
 
 
 def grid_bucket(p: Column, steps: int = 20) -> Column:
@@ -37,7 +38,7 @@ def threshold_cost(df: DataFrame, c_miss: float = 5.0, c_alarm: float = 1.0, ste
     # counts at or above each bucket: a window over at most `steps` rows per group
     w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, 0)
     above = cnt.select(*by, "k", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
-    j = grid.join(above.withColumnRenamed("k", "i"), on=[*by, "i"], how="left")
+    j = null_safe_join(grid, above.withColumnRenamed("k", "i"), [*by, "i"], "left")
     # buckets without rows take the counts of the next non-empty bucket above
     w2 = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("i").rowsBetween(0, Window.unboundedFollowing)
     j = j.select(*by, "i", "P", "N",

@@ -52,9 +52,10 @@ def assign_folds(df: DataFrame, k: int, seed: int = SEED, y: str = "target", key
     """Stratified folds: rows of each class shuffled by md5(seed|fold|key), then dealt round-robin.
 
     The per-class row number is computed in md5-prefix slices, so a class
-    (half the table) never sits in one task.
+    (half the table) never sits in one task.  A null label is an error.
     """
-    d = df.withColumn("_k", md5_order(f"{seed}|fold", key))
+    label = F.when(F.col(y).isNull(), F.raise_error(F.lit(f"null in label column {y}"))).otherwise(F.col(y))
+    d = df.withColumn(y, label).withColumn("_k", md5_order(f"{seed}|fold", key))
     rn = global_row_number(d, [*by, y], ["_k", key], name="_rn", slicer=md5_slicer("_k"))
     return rn.withColumn(out, ((F.col("_rn") - 1) % k).cast("int")).drop("_k", "_rn")
 
@@ -105,6 +106,7 @@ def fit_predict(train: DataFrame, test: DataFrame, name: str, params: dict, labe
         pm = preprocessor(cat, num).fit(train)
         tr, te = pm.transform(train), pm.transform(test)
         p = knn_classify(tr, te, int(params.get("n_neighbors", 5)), params.get("weights", "uniform"), key, "features", label)
+        p = materialize(p)  # the join is quadratic: it runs once, whatever reads the predictions
         return test.select(key, F.col(label).alias("y_true")).join(p, key)
     model = fit_pipeline(train, name, params, label, key, exclude)
     out = model.transform(test)
@@ -135,7 +137,7 @@ def grid_search(df: DataFrame, name: str, grid: Sequence[dict], fold: str = "fol
         pred = fit_predict(df.filter(F.col(fold) != f), df.filter(F.col(fold) == f), name, grid[ci], label, key, (fold,))
         return ci, f, _macro_f1(pred)
 
-    scores = _pool_map(run, tasks, workers) if len(grid) > 1 else [(0, f, None) for f in folds]
+    scores = _pool_map(run, tasks, workers)
     table = []
     for ci, p in enumerate(grid):
         vals = [s for c, _, s in scores if c == ci and s is not None]

@@ -130,6 +130,18 @@ def recommend_threshold(spark, d):
     return th.recommend_threshold(th.threshold_cost(fx.oof(spark, d), 5.0, 1.0, 20, by=["model"]), by=["model"])
 
 
+# the group of one model is the null group: the results of that group must not change
+
+def _null_model(spark, d):
+    return fx.oof(spark, d).withColumn("model", F.expr("nullif(model, 'alpha')"))
+
+
+@query("threshold_cost_null", r6(f"SELECT * REPLACE (nullif(model, 'alpha') AS model) FROM ({_COST}) c", "threshold", "weighted_cost", "cost_per_student", "macro_f1", "risk_recall"))
+def threshold_cost_null(spark, d):
+    """A19 with a null group."""
+    return th.threshold_cost(_null_model(spark, d), 5.0, 1.0, 20, by=["model"])
+
+
 _CAL = with_ctes(OOF, """
 e AS (SELECT model, quantile_cont(y_prob, [0.125e0, 0.25e0, 0.375e0, 0.5e0, 0.625e0, 0.75e0, 0.875e0]) AS edges FROM oof GROUP BY model)""") + """
 SELECT o.model, CAST(len(list_filter(e.edges, lambda x: x < o.y_prob)) AS INTEGER) AS bin, count(*) AS n,
@@ -143,6 +155,12 @@ def calibration(spark, d):
     return cal.calibration(fx.oof(spark, d), 8, by=["model"])
 
 
+@query("calibration_null", r6(f"SELECT * REPLACE (nullif(model, 'alpha') AS model) FROM ({_CAL}) c", "prob_true", "prob_pred"))
+def calibration_null(spark, d):
+    """A22 with a null group."""
+    return cal.calibration(_null_model(spark, d), 8, by=["model"])
+
+
 _POIS = " + ".join(f"CAST(u >= {c!r}e0 AS INTEGER)" for c in bs.poisson_cutoffs())
 _TRACKED = ", ".join(f"'{m}'" for m in bs.TRACKED)
 

@@ -72,6 +72,12 @@ def roc_auc(spark, d):
     return curves.roc_auc(fx.oof(spark, d), ["model"])
 
 
+@query("roc_auc_null", r6(with_ctes(OOF) + "SELECT nullif(model, 'alpha') AS model, auc FROM " + auc_sql("oof", ["model"]) + " q", "auc"))
+def roc_auc_null(spark, d):
+    """A14 with a null group."""
+    return curves.roc_auc(fx.oof(spark, d).withColumn("model", F.expr("nullif(model, 'alpha')")), ["model"])
+
+
 @query("roc_auc_fold", r6(with_ctes(OOF) + "SELECT * FROM " + auc_sql("oof", ["model", "fold"]) + " q", "auc"))
 def roc_auc_fold(spark, d):
     """A14 per model and fold."""
@@ -109,6 +115,19 @@ def outcome_counts(spark, d):
     return ev.outcome_counts(fx.scored(spark, d), T)
 
 
+_OC_NULL = with_ctes(OOF) + """SELECT nullif(m.model, 'alpha') AS model, o.outcome, CAST(count(e.outcome) AS BIGINT) AS count
+FROM (SELECT DISTINCT model FROM oof) m CROSS JOIN (VALUES ('Correct'), ('Missed risk'), ('False alarm')) o(outcome)
+LEFT JOIN (SELECT model, CASE WHEN y_true = CAST(y_prob >= 0.5e0 AS INTEGER) THEN 'Correct' WHEN y_true = 0 THEN 'Missed risk' ELSE 'False alarm' END AS outcome
+  FROM oof) e ON e.model = m.model AND e.outcome = o.outcome GROUP BY m.model, o.outcome"""
+
+
+@query("outcome_counts_null", _OC_NULL)
+def outcome_counts_null(spark, d):
+    """A25/J2 per model, with a null group."""
+    df = fx.oof(spark, d).withColumn("model", F.expr("nullif(model, 'alpha')"))
+    return ev.outcome_counts(df, T, by=["model"])
+
+
 _ROC = with_ctes(OOF, """
 h AS (SELECT model, y_prob AS score, CAST(sum(y_true) AS BIGINT) AS pos, CAST(sum(1 - y_true) AS BIGINT) AS neg FROM oof GROUP BY model, y_prob),
 c AS (SELECT *, sum(pos) OVER w AS tps, sum(neg) OVER w AS fps, row_number() OVER w AS rk,
@@ -217,7 +236,7 @@ _UP = _summary_sql("SELECT model, metric, mean, mean - (SELECT mean FROM summary
 @query("uplift", r6(_UP, "mean", "uplift"))
 def uplift(spark, d):
     """H6"""
-    return sm.uplift(_fold_summary(spark, d))
+    return sm.uplift(_fold_summary(spark, d), baseline="baseline")
 
 
 _TIER = _summary_sql("""
@@ -233,7 +252,7 @@ FROM b CROSS JOIN base""")
 @query("evidence_tier", r6(_TIER, "macro_f1", "risk_recall", "baseline_macro_f1", "uplift"))
 def evidence_tier(spark, d):
     """H5"""
-    return sm.evidence_tier(_fold_summary(spark, d))
+    return sm.evidence_tier(_fold_summary(spark, d), "baseline")
 
 
 _J1 = with_ctes(LEARNERS, SCORED) + "SELECT l.row_id, l.school, l.failures, s.y_true, s.y_prob FROM learners l JOIN scored s ON s.row_id = l.row_id"

@@ -71,7 +71,7 @@ JOIN ({qe._summary_sql("SELECT * FROM summary")}) a ON a.model = t.best_model AN
 def render_summary(spark, d):
     """One-line summary of the selected model."""
     s = qe._fold_summary(spark, d)
-    return report.render_summary(sm.evidence_tier(s), s)
+    return report.render_summary(sm.evidence_tier(s, "baseline"), s)
 
 
 _OOF_ROWS = with_ctes(OOF) + """SELECT * FROM (VALUES ('leaderboard', 'parquet', 3), ('fold_metrics', 'parquet', 15), ('pairwise_tests', 'parquet', 3),
@@ -95,8 +95,8 @@ def write_evidence(spark, d):
         "oof": ev.oof_table(oof, "alpha"),
         "pairwise_tests": st.holm(st.wilcoxon_pairs(st.paired_scores(fs))),
         "metadata": _meta(spark, d, with_time=True),
-        "summary": report.render_summary(sm.evidence_tier(s), s),
-        "model_card": report.model_card(sm.evidence_tier(s), 5, 5),
+        "summary": report.render_summary(sm.evidence_tier(s, "baseline"), s),
+        "model_card": report.model_card(sm.evidence_tier(s, "baseline"), 5, 5),
     }
     out = report.write_evidence(bundle, scratch_path(spark, "evidence"), params={"model": "alpha"})
     return out.select("artifact", "format", F.col("rows").cast("int").alias("rows"))

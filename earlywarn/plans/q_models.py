@@ -91,11 +91,13 @@ def categorical_stage(spark, d):
     return out.select("row_id", "mjob", (F.array_position(arr, 1.0) - 1).cast("int").alias("mjob_index"), F.size(arr).cast("int").alias("vector_size"))
 
 
-@query("majority_class", r6(L + "SELECT CASE WHEN avg(CAST(target AS DOUBLE)) > 0.5e0 THEN 1 ELSE 0 END AS majority, avg(CAST(target AS DOUBLE)) AS share FROM learners_t", "share"))
+@query("majority_class", r6(L + "SELECT CASE WHEN avg(CAST(target AS DOUBLE)) > 0.5e0 THEN 1 ELSE 0 END AS majority, avg(CAST(target AS DOUBLE)) AS share, CASE WHEN avg(CAST(target AS DOUBLE)) > 0.5e0 THEN 1e0 ELSE 0e0 END AS probability FROM learners_t", "share", "probability"))
 def majority_class(spark, d):
-    """M6: the baseline's fitted class and pass share."""
-    m = MajorityClass(labelCol="target").fit(_learners(spark, d))
-    return spark.range(1).select(F.lit(m.getOrDefault(m.majority)).alias("majority"), F.lit(m.getOrDefault(m.share)).alias("share"))
+    """M6: the baseline's fitted class, the pass share and the probability it gives every row."""
+    df = _learners(spark, d)
+    m = MajorityClass(labelCol="target").fit(df)
+    p = m.transform(df).agg(F.max(vector_to_array("probability")[1]).alias("probability"))
+    return p.select(F.lit(m.getOrDefault(m.majority)).alias("majority"), F.lit(m.getOrDefault(m.share)).alias("share"), "probability")
 
 
 _KNN_SQL = """SELECT q_id, n_id, rank, score FROM (

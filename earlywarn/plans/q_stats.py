@@ -122,6 +122,12 @@ def friedman(spark, d):
     return st.friedman(_fs(spark, d), 3)
 
 
+@query("friedman_ties", FS + "SELECT count(DISTINCT model) AS k, count(DISTINCT fold) AS n, 0e0 AS statistic, 1e0 AS p_value FROM fs")
+def friedman_ties(spark, d):
+    """H3 where no model differs from another: statistic 0, p 1."""
+    return st.friedman(_fs(spark, d).withColumn("score", F.lit(0.5)), 3)
+
+
 @query("paired_test", r6(FS + WILCOXON + """ SELECT 'beta' AS model_a, 'alpha' AS model_b, statistic, p_value,
   -mean_difference AS mean_difference, p_value < 0.05e0 AS significant FROM wx WHERE model_a = 'alpha' AND model_b = 'beta'""",
                          "statistic", "p_value", "mean_difference"))

@@ -12,6 +12,10 @@ from pyspark.sql import SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+def _memory_gb() -> int:
+    return os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") // (1 << 30)
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "earlywarn") -> SparkSession:
     """Session for tests and the benchmark on one machine (UI off, AQE on)."""
     spark = (
@@ -24,7 +28,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", f"{max(1, min(16, _memory_gb() // 2 - 2))}g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

@@ -124,13 +124,13 @@ def test_majority_class_and_fit(spark):
     m = MajorityClass(labelCol="target").fit(df)
     assert m.getOrDefault(m.majority) == 1
     out = m.transform(df).select(vector_to_array("probability")[1].alias("p")).first()
-    assert out.p == pytest.approx(20 / 30)
+    assert out.p == 1.0 and m.getOrDefault(m.share) == pytest.approx(20 / 30)
 
 
 def test_build_estimator_unknown_raises():
     from earlywarn.operators.models import GRIDS, build_estimator
 
-    with pytest.raises(ValueError, match="Unknown model"):
+    with pytest.raises(ValueError, match="no estimator is known"):
         build_estimator("Naive Bayes", {}, 100)
     assert sum(len(g) for g in GRIDS.values()) == 43
 

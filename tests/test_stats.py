@@ -56,3 +56,24 @@ def test_friedman_chi2_tail(spark):
     r = df.first()
     assert r.p == pytest.approx(0.061968804416658, rel=1e-9)
     assert r.q == pytest.approx(0.083264516663550, rel=1e-5)
+
+
+def test_wilcoxon_exact_counts_equal_enumeration(spark):
+    """n = 13 and more (with ties) against all sign patterns."""
+    import itertools
+    import random
+
+    r = random.Random(6)
+    rows, want = [], {}
+    for e, n in enumerate([3, 13, 14]):
+        diffs = [r.choice([-3, -2, -1, 1, 2, 4]) / 8 for _ in range(n)]
+        size = sorted(map(abs, diffs))
+        ranks = [(size.index(abs(x)) + 1 + n - size[::-1].index(abs(x))) / 2 for x in diffs]
+        plus = sum(k for k, x in zip(ranks, diffs) if x > 0)
+        stat = min(plus, sum(ranks) - plus)
+        sums = [sum(itertools.compress(ranks, pat)) for pat in itertools.product((0, 1), repeat=n)]
+        want[e] = (stat, min(1.0, 2 * sum(s <= stat + 1e-9 for s in sums) / 2**n))
+        rows += [(e, m, o, f, (x if m == "a" else 0.0)) for f, x in enumerate(diffs) for o, m in enumerate("ab")]
+    fs = spark.createDataFrame(rows, "exp int, model string, model_order int, fold int, score double")
+    got = st.wilcoxon_pairs(st.paired_scores(fs, ["exp"]), ["exp"]).collect()
+    assert {x.exp: (x.statistic, pytest.approx(x.p_value)) for x in got} == want
