@@ -32,12 +32,12 @@ _WORDS_LEADING = re.compile(rf"{_SUFFIXES}| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_L
 _WORDS_BARE = re.compile(rf"{_SUFFIXES}|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
 
 
-def _byte_letters() -> dict[int, int]:
+def _byte_letters() -> list[str]:
     """The public byte alphabet of byte-level vocabularies: visible Latin-1
     characters stand for themselves, the other bytes for 256, 257, ..."""
     visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = [b for b in range(256) if b not in visible]
-    return {b: 256 + i for i, b in enumerate(rest)}
+    return [chr(b) if b in visible else chr(256 + rest.index(b)) for b in range(256)]
 
 
 def split_leading(text: str) -> list[str]:
@@ -49,7 +49,12 @@ def split_leading(text: str) -> list[str]:
 
 
 def split_bare(text: str) -> list[str]:
-    """Chunks of a vocabulary that drops white space."""
+    """Chunks of a lower-case vocabulary that drops white space."""
+    try:
+        text.encode("latin-1")  # each of these characters has a lower case of its own
+        text = text.lower()
+    except UnicodeEncodeError:
+        pass
     return text.replace("\n", " ").split(" ")
 
 
@@ -68,7 +73,7 @@ class ChunkEncoder:
         self.normalizer, self.pre_tokenizer, self.model = self.tok.normalizer, self.tok.pre_tokenizer, self.tok.model
         self.leading = leading
         self.letters = _byte_letters()
-        self.blank = chr(self.letters[ord(" ")])
+        self.blank = self.letters[ord(" ")]
         self.known: dict[str, tuple[int, ...]] = {}
         self.clear()
 
@@ -80,21 +85,24 @@ class ChunkEncoder:
         self.length = np.zeros(1 << 14, dtype=np.int64)
 
     def _word_ids(self, word: str) -> tuple[int, ...]:
+        letters = self.letters
         if word.isascii():  # the blank is the only one of these characters with another spelling
             spelled = word.replace(" ", self.blank)
         else:
-            spelled = word.encode().decode("latin-1").translate(self.letters)
+            spelled = "".join([letters[b] for b in word.encode()])
         ids = tuple([t.id for t in self.model.tokenize(spelled)])
         if len(word) <= LONG_WORD:
             self.known[word] = ids
         return ids
 
     def _chunk_ids(self, chunk: str) -> Sequence[int]:
-        if _PLAIN.fullmatch(chunk):
-            words = _WORDS_LEADING.findall(chunk) if self.leading else _WORDS_BARE.findall(chunk.lower())
+        if (chunk.isascii() and chunk.isprintable()) or _PLAIN.fullmatch(chunk):
             known = self.known
-            if len(words) == 1:
-                return known.get(words[0]) or self._word_ids(words[0])
+            if not self.leading:
+                chunk = chunk.lower()
+            if (chunk[1:] if chunk[:1] == " " else chunk).isalpha():
+                return known.get(chunk) or self._word_ids(chunk)
+            words = (_WORDS_LEADING if self.leading else _WORDS_BARE).findall(chunk)
             return [i for w in words for i in known.get(w) or self._word_ids(w)]
         if self.normalizer is not None:
             chunk = self.normalizer.normalize_str(chunk)
