@@ -21,10 +21,10 @@ MIX = {"budget_share": 0.8, "max_epochs": 1, "seed": 7}
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language stay, and a missing label is filled
-    in; those without a letter, or parsed no better than letter by letter, go."""
+    in; those without a letter, or in phrases of fewer than two characters, go."""
     model = langid.fit(docs.filter(~langid.held_out()))
     found = docs.withColumn("__found", langid.language(model, F.col("text"), spark))
-    go = langid.rejected(F.col("__found.lang_pred"), F.col("__found.bits"), model.letter_bits())
+    go = langid.rejected(F.col("__found.lang_pred"), F.col("__found.bits"), model.most_bits())
     lang = F.coalesce("lang", "__found.lang_pred").alias("lang")
     return found.filter(~go).select(*[lang if c == "lang" else c for c in docs.columns])
 

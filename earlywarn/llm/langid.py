@@ -179,7 +179,7 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
-        """(language, score, bits a character) of every text."""
+        """(language, score, bits a character in whole phrases) of every text."""
         import numpy as np
 
         codes = letter_codes(self.alphabet)
@@ -195,11 +195,14 @@ class Model:
                 row += p
         owner = np.repeat(np.arange(len(texts)), pieces)
         bits = np.zeros((len(self.languages), len(texts)))
+        whole = np.zeros_like(bits)
         if len(blocks) and self.languages:
             found = self.phrases(blocks)
             for k in range(len(self.languages)):
                 total = np.bincount(owner, weights=found[k], minlength=len(texts))
                 bits[k] = total * self.phrase_bits[k] / np.maximum(chars, 1)
+                # the last phrase of a block is cut short; without it a text of a few letters counts fairly
+                whole[k] = (total - pieces) * self.phrase_bits[k] / np.maximum(chars, 1)
         out = []
         for d in range(len(texts)):
             if not letters[d] or not self.languages:
@@ -209,14 +212,12 @@ class Model:
             best = bits[ranked[0], d]
             # share of the second language's bits that the winner saves
             score = 1.0 if len(ranked) == 1 else float(1.0 - best / bits[ranked[1], d])
-            out.append((self.languages[ranked[0]], min(1.0, max(0.0, score)), float(best)))
+            out.append((self.languages[ranked[0]], min(1.0, max(0.0, score)), float(whole[ranked[0], d])))
         return out
 
-    def letter_bits(self) -> float:
-        """Bits of a character when nothing is known but the alphabet."""
-        import math
-
-        return math.log2(self.width)
+    def most_bits(self) -> float:
+        """Bits a character of a text whose phrases have two characters on average."""
+        return max(self.phrase_bits, default=0.0) / 2
 
 
 def fit(
@@ -284,7 +285,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def rejected(pred: Column, bits: Column, letter_bits: float) -> Column:
-    """Documents without a language: no letters, or parsed no better by any
-    language than letter by letter."""
-    return (pred == UNKNOWN) | (bits >= F.lit(letter_bits))
+def rejected(pred: Column, bits: Column, most_bits: float) -> Column:
+    """Documents without a language: no letters, or phrases of fewer than two
+    characters on average in the best language."""
+    return (pred == UNKNOWN) | (bits > F.lit(most_bits))
