@@ -126,9 +126,6 @@ def constant_columns(df: DataFrame) -> DataFrame:
     return _long_stats(df).filter("is_constant").select("feature", "position")
 
 
-CLASS_NAMES = {0: "Fail", 1: "Pass"}
-
-
 def class_balance(df: DataFrame, y: str = "target") -> DataFrame:
     """Class counts over the domain {0, 1}, shares, minority share and the
     material-imbalance flag (minority share < 0.25)."""

@@ -20,10 +20,13 @@ def calibration(df: DataFrame, n_bins: int = 8, by: Sequence[str] = (), y_true:
     q = exact_quantiles(df.select(*by, prob), by, prob, qs)
     edges = q.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("q_index", "value"))).alias("_e"))
     edges = edges.select(*by, F.transform("_e", lambda s: s["value"]).alias("_edges"))
-    j = join_group_stats(df.select(*by, y_true, prob), edges, by)
+    # bin the distinct scores, not the rows
+    hist = df.groupBy(*by, prob).agg(
+        F.count(F.lit(1)).alias("_n"), F.count(y_true).alias("_ny"), F.sum(F.col(y_true).cast("double")).alias("_y"))
+    j = join_group_stats(hist, edges, by)
     binned = j.withColumn("bin", F.size(F.filter("_edges", lambda e: e < F.col(prob))))
     return binned.groupBy(*by, "bin").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.col(y_true).cast("double")).alias("prob_true"),
-        F.avg(F.col(prob)).alias("prob_pred"),
+        F.sum("_n").alias("n"),
+        F.try_divide(F.sum("_y"), F.sum("_ny")).alias("prob_true"),
+        F.try_divide(F.sum(F.col(prob) * F.col("_n")), F.sum(F.when(F.col(prob).isNotNull(), F.col("_n")))).alias("prob_pred"),
     )

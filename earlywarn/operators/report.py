@@ -29,7 +29,7 @@ def experiment_metadata(data: DataFrame, best: DataFrame, seed: int, folds: int,
         F.lit(pyspark.__version__).alias("spark_version"),
     ]
     if with_time:
-        cols.insert(0, F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_utc"))
+        cols.insert(0, F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_utc"))
     return j.select(*cols)
 
 

@@ -112,10 +112,3 @@ def class_weights(df: DataFrame, y: str = "target") -> DataFrame:
     c = df.groupBy(F.col(y).alias("class")).agg(F.count(F.lit(1)).alias("n_class"))
     t = c.agg(F.sum("n_class").alias("_n"))
     return join_on(c, t, []).select("class", "n_class", (F.col("_n") / (F.lit(2.0) * F.col("n_class"))).alias("weight"))
-
-
-def with_class_weight(df: DataFrame, y: str = "target", out: str = "weight") -> DataFrame:
-    """Attach the balanced weight as a column (``weightCol`` for pyspark.ml); the weight table has two rows."""
-    w = class_weights(df, y).select(F.col("class").alias(y), F.col("weight").alias(out))
-    return df.join(F.broadcast(w), on=y, how="left")
-

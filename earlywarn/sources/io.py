@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,17 +10,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def sniff_separator(spark: SparkSession, path: str, seps: Sequence[str] = (",", ";")) -> str:
-    """The separator occurring most in the header line (first listed wins ties);
-    reads one line of one file."""
-    first = spark.read.text(path).limit(1).collect()
-    line = first[0][0] if first else ""
-    counts = [(line.count(s), -i, s) for i, s in enumerate(seps)]
-    best = max(counts)
-    return best[2] if best[0] > 0 else seps[0]
+SNIFFED_LINES = 20
 
 
-def read_delimited(spark: SparkSession, path: str, seps: Sequence[str] = (",", ";"), schema: StructType | None = None) -> DataFrame:
+def sniff_separator(spark: SparkSession, path: str, seps: Sequence[str] = (",", ";", "\t", "|")) -> str:
+    """The separator of a delimited file, from its first lines.
+
+    A separator stands in every line equally often, outside quotes; of such
+    characters the most frequent one wins, then the first of ``seps``, then
+    any other mark.  Without one, the most frequent of ``seps`` in the header.
+    """
+    lines = [re.sub(r'"[^"]*"', "", r[0]) for r in spark.read.text(path).limit(SNIFFED_LINES).collect() if r[0]]
+    if not lines:
+        return seps[0]
+    marks = [*seps, *sorted({c for c in lines[0] if not c.isalnum() and c not in " _-.'\"/" and c not in seps})]
+    even = [(lines[0].count(m), -i, m) for i, m in enumerate(marks) if m in lines[0] and len({x.count(m) for x in lines}) == 1]
+    header = [(lines[0].count(m), -i, m) for i, m in enumerate(seps)]
+    return max(even or header)[2]
+
+
+def read_delimited(spark: SparkSession, path: str, seps: Sequence[str] = (",", ";", "\t", "|"), schema: StructType | None = None) -> DataFrame:
     """Delimiter-tolerant CSV with a header; header names trimmed,
     ``unnamed*`` columns dropped."""
     sep = sniff_separator(spark, path, seps)
@@ -65,13 +75,18 @@ def load_model(path: str):
 
 
 def resolve_model(candidates):
-    """The first saved pipeline that exists, in precedence order: (label, model)."""
+    """The first saved pipeline that exists, in precedence order: (label, model).
+
+    Only a path that is not there is passed over; a model that cannot be read is an error.
+    """
     from pyspark.ml import PipelineModel
 
     errors = []
     for label, path in candidates:
         try:
             return label, PipelineModel.load(path)
-        except Exception as e:  # noqa: BLE001 - a missing model falls through to the next
-            errors.append(f"{label}: {type(e).__name__}")
+        except Exception as e:  # noqa: BLE001 - Spark has no one type for a missing path
+            if not re.search("does not exist|PATH_NOT_FOUND|No such file", str(e)):
+                raise
+            errors.append(f"{label}: not found")
     raise FileNotFoundError("no saved model found (" + "; ".join(errors) + ")")

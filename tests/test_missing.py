@@ -99,3 +99,27 @@ def test_label_messages(spark):
     df = spark.createDataFrame([(0,), (1,), (2,)], "target int")
     with pytest.raises(ValueError, match="0,1,2"):
         label.require_binary(df)
+
+
+@pytest.mark.parametrize("sep", [",", ";", "\t", "|", "~"])
+def test_separators_are_found(spark, tmp_path, sep):
+    from earlywarn.sources import io
+
+    path = tmp_path / "t.csv"
+    path.write_text(f' a {sep}b{sep}"c,;|"\n1{sep}"x,y;z"{sep}2\n3{sep}q{sep}4\n')
+    out = io.read_delimited(spark, str(path))
+    assert out.columns == ["a", "b", "c,;|"]
+    assert [tuple(r) for r in out.orderBy("a").collect()] == [(1, "x,y;z", 2), (3, "q", 4)]
+
+
+def test_only_a_missing_model_is_passed_over(spark, tmp_path):
+    from earlywarn.sources import io
+
+    with pytest.raises(FileNotFoundError, match="a: not found"):
+        io.resolve_model([("a", str(tmp_path / "none"))])
+    bad = tmp_path / "bad" / "metadata"
+    bad.mkdir(parents=True)
+    (bad / "part-00000").write_text("not a model\n")
+    with pytest.raises(Exception) as e:
+        io.resolve_model([("bad", str(tmp_path / "bad")), ("b", str(tmp_path / "none"))])
+    assert not isinstance(e.value, FileNotFoundError)
