@@ -31,11 +31,11 @@ def paired_scores(fs: DataFrame, exp: Sequence[str] = ()) -> DataFrame:
     return j.withColumn("diff", F.col("score_a") - F.col("score_b"))
 
 
-def paired_table(fs: DataFrame, model_a: str, model_b: str) -> DataFrame:
+def paired_table(fs: DataFrame, model_a: str, model_b: str, exp: Sequence[str] = ()) -> DataFrame:
     """Fold, A, B and A - B for one chosen pair (1-based fold)."""
-    p = paired_scores(fs.filter(F.col("model").isin(model_a, model_b)))
+    p = paired_scores(fs.filter(F.col("model").isin(model_a, model_b)), exp)
     sign = F.when(F.col("model_a") == model_a, F.lit(1.0)).otherwise(F.lit(-1.0))
-    return p.select((F.col("fold") + 1).alias("outer_fold"),
+    return p.select(*exp, (F.col("fold") + 1).alias("outer_fold"),
                     F.when(F.col("model_a") == model_a, F.col("score_a")).otherwise(F.col("score_b")).alias("score_a"),
                     F.when(F.col("model_a") == model_a, F.col("score_b")).otherwise(F.col("score_a")).alias("score_b"),
                     (sign * F.col("diff")).alias("difference"))
@@ -164,11 +164,11 @@ def friedman(fs: DataFrame, k: int, exp: Sequence[str] = ()) -> DataFrame:
     return j.select(*exp, "k", "n", stat.alias("statistic")).withColumn("p_value", chi2_sf(F.col("statistic"), k - 1))
 
 
-def paired_test(wilcoxon: DataFrame, model_a: str, model_b: str) -> DataFrame:
+def paired_test(wilcoxon: DataFrame, model_a: str, model_b: str, exp: Sequence[str] = ()) -> DataFrame:
     """H4: the Wilcoxon row of one chosen pair, oriented as (A, B)."""
     fwd = (F.col("model_a") == model_a) & (F.col("model_b") == model_b)
     rev = (F.col("model_a") == model_b) & (F.col("model_b") == model_a)
     return wilcoxon.filter(fwd | rev).select(
-        F.lit(model_a).alias("model_a"), F.lit(model_b).alias("model_b"), "statistic", "p_value",
+        *exp, F.lit(model_a).alias("model_a"), F.lit(model_b).alias("model_b"), "statistic", "p_value",
         F.when(fwd, F.col("mean_difference")).otherwise(-F.col("mean_difference")).alias("mean_difference"),
         (F.col("p_value") < 0.05).alias("significant"))

@@ -55,9 +55,9 @@ def leaderboard(summary: DataFrame, metric: str = "macro_f1", exp: Sequence[str]
     )
 
 
-def top_models(summary: DataFrame, k: int = 5, metric: str = "macro_f1") -> DataFrame:
+def top_models(summary: DataFrame, k: int = 5, metric: str = "macro_f1", exp: Sequence[str] = ()) -> DataFrame:
     """First ``k`` leaderboard rows (a top-k report)."""
-    return leaderboard(summary, metric).filter(F.col("rank") <= k)
+    return leaderboard(summary, metric, exp).filter(F.col("rank") <= k)
 
 
 def best_model(summary: DataFrame, metric: str = "macro_f1", exp: Sequence[str] = ()) -> DataFrame:
@@ -69,41 +69,41 @@ def best_model(summary: DataFrame, metric: str = "macro_f1", exp: Sequence[str]
     )
 
 
-def metric_comparison(summary: DataFrame, metric: str) -> DataFrame:
+def metric_comparison(summary: DataFrame, metric: str, exp: Sequence[str] = ()) -> DataFrame:
     """Models by one metric, best first (lower is better for the two error rates)."""
     s = summary.filter(F.col("metric") == metric)
     key = F.col("mean") if metric in LOWER_IS_BETTER else -F.col("mean")
-    w = Window.partitionBy(F.lit(0)).orderBy(key, "model_order")
-    return s.select(F.row_number().over(w).alias("position"), "model", "metric", "mean", "std")
+    w = Window.partitionBy(*(list(exp) or [F.lit(0)])).orderBy(key, "model_order")
+    return s.select(*exp, F.row_number().over(w).alias("position"), "model", "metric", "mean", "std")
 
 
-def multi_criteria(summary: DataFrame, k: int = 3) -> DataFrame:
+def multi_criteria(summary: DataFrame, k: int = 3, exp: Sequence[str] = ()) -> DataFrame:
     """The top ``k`` leaderboard models x five balanced / risk metrics."""
-    top = leaderboard(summary).filter(F.col("rank") <= k).select("rank", "model")
-    w = _wide(summary, RADAR_METRICS, ["model"])
-    return top.join(w, "model").select("rank", "model", *[F.col(f"mean_{m}").alias(m) for m in RADAR_METRICS])
+    top = leaderboard(summary, exp=exp).filter(F.col("rank") <= k).select(*exp, "rank", "model")
+    w = _wide(summary, RADAR_METRICS, [*exp, "model"])
+    return join_on(top, w, [*exp, "model"]).select(*exp, "rank", "model", *[F.col(f"mean_{m}").alias(m) for m in RADAR_METRICS])
 
 
-def uplift(summary: DataFrame, metric: str = "macro_f1", baseline: str = BASELINE) -> DataFrame:
+def uplift(summary: DataFrame, metric: str = "macro_f1", baseline: str = BASELINE, exp: Sequence[str] = ()) -> DataFrame:
     """H6: each model's mean minus the baseline's mean."""
     s = summary.filter(F.col("metric") == metric)
-    b = s.filter(F.col("model") == baseline).select(F.col("mean").alias("_base"))
-    return join_on(s, b, []).select("model", "metric", "mean", (F.col("mean") - F.col("_base")).alias("uplift"))
+    b = s.filter(F.col("model") == baseline).select(*exp, F.col("mean").alias("_base"))
+    return join_on(s, b, exp).select(*exp, "model", "metric", "mean", (F.col("mean") - F.col("_base")).alias("uplift"))
 
 
-def evidence_tier(summary: DataFrame, baseline: str = BASELINE) -> DataFrame:
+def evidence_tier(summary: DataFrame, baseline: str = BASELINE, exp: Sequence[str] = ()) -> DataFrame:
     """H5: Strong if Macro-F1 >= .75, risk recall >= .70 and uplift >= .10;
     Moderate if Macro-F1 >= .60 and uplift >= .05; else Limited."""
-    best = best_model(summary)
-    w = _wide(summary, ("macro_f1", "risk_recall", "auc"), ["model"])
-    bw = best.join(w, best.best_model == w.model).drop("model")
-    base = w.filter(F.col("model") == baseline).select(F.col("mean_macro_f1").alias("_base"))
-    j = join_on(bw, base, [])
+    best = best_model(summary, exp=exp)
+    w = _wide(summary, ("macro_f1", "risk_recall", "auc"), [*exp, "model"])
+    bw = join_on(best, w.withColumnRenamed("model", "best_model"), [*exp, "best_model"])
+    base = w.filter(F.col("model") == baseline).select(*exp, F.col("mean_macro_f1").alias("_base"))
+    j = join_on(bw, base, exp)
     up = F.col("mean_macro_f1") - F.col("_base")
     tier = (F.when((F.col("mean_macro_f1") >= 0.75) & (F.col("mean_risk_recall") >= 0.70) & (up >= 0.10), "Strong prototype evidence")
             .when((F.col("mean_macro_f1") >= 0.60) & (up >= 0.05), "Moderate predictive evidence")
             .otherwise("Limited predictive evidence"))
-    return j.select("best_model", F.col("mean_macro_f1").alias("macro_f1"), F.col("mean_risk_recall").alias("risk_recall"),
+    return j.select(*exp, "best_model", F.col("mean_macro_f1").alias("macro_f1"), F.col("mean_risk_recall").alias("risk_recall"),
                     F.col("_base").alias("baseline_macro_f1"), up.alias("uplift"), tier.alias("tier"))
 
 
