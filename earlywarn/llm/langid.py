@@ -43,15 +43,21 @@ PREDICTED = "id long, lang_pred string, score double, bits double"
 
 def sample(df: DataFrame, id_col: str, text_col: str, label_col: str, docs: int, chars: int) -> list[tuple[str, str]]:
     """(language, text) of the bounded sample, in a fixed order."""
+    lang = F.col(label_col).cast("string")
+    labelled = df.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}  # a row per language
+    if not counts:
+        return []
+    n = F.create_map(*[F.lit(x) for item in counts.items() for x in item])[lang]
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     rows = (
-        df.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+        labelled.filter(util.thinned(F.xxhash64(F.col(id_col).cast("string")), docs, n))
         .select(
             F.col(label_col).cast("string").alias("lang"),
             F.xxhash64(F.col(id_col).cast("string")).alias("h"),
             F.substring(text_col, 1, chars).alias("text"),
         )
-        .withColumn("rank", rank)  # a limit by rank is applied before the shuffle
+        .withColumn("rank", rank)
         .filter(F.col("rank") <= docs)
         .orderBy("lang", "rank")
         .collect()

@@ -171,6 +171,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Tagger
     text = F.col(text_col)
     some = df.filter(text.rlike(r"[0-9][0-9. -]{5}|@") & (F.char_length(text) <= SAMPLE_CHARS))
     some = some.select(text.alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
+    some = some.filter(util.thinned(F.col("h"), SAMPLE_DOCS, some.count()))
 
     def train(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t for batch in rows for t in batch.column(0).to_pylist()]

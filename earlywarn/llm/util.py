@@ -33,6 +33,16 @@ def tasks_for(df: DataFrame, rows: int, rows_per_task: int) -> int:
     return max(conf, -(-rows // rows_per_task))
 
 
+THINNED = 1 << 20
+
+
+def thinned(hash_: Column, wanted: int, n: int | Column) -> Column:
+    """Condition that keeps about twice ``wanted`` of ``n`` rows, evenly by a
+    hash, so that a sample is picked from a set of bounded size."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.pmod(hash_, F.lit(THINNED)) * n < F.lit(2 * wanted * THINNED)
+
+
 def require(df: DataFrame, *names: str) -> None:
     """Check the columns an operator reads and make this package importable in its tasks."""
     ship_package(df.sparkSession)
