@@ -12,10 +12,11 @@ more; equal sets have similarity one.
    share one.  A self-semi-join of the postings keeps those that meet another
    class within the length filter, the positional filter and a bound on the
    symmetric difference from 64 parity bits.
-4. The classes left (near-duplicates, almost exclusively) are verified by
-   their whole sets, each against the first classes of its posting lists and,
-   where that finds none, against every earlier class it meets.  So a dense
-   group of n variants costs a multiple of n pairs, not their square.
+4. The classes left get 256 more parity bits, which leave hardly a pair that
+   is not similar, and are verified by their whole sets: each against the
+   first classes of its posting lists and, where that finds none, against
+   every earlier class it meets.  So in a dense group of n variants most are
+   settled by a multiple of n pairs, not by their square.
 5. Documents keep the first lines of the classes without an earlier match.
 
 Words are compared by 57-bit hashes, classes by 128 bits.
@@ -29,7 +30,6 @@ an empty result; other columns are passed on, whatever their names.
 
 from __future__ import annotations
 
-import math
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,16 +40,20 @@ from earlywarn.llm import util
 BLANKS = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 19  # hashed words counted; also the size in bytes of the rarity table
 LEADERS = 2  # first classes of a posting list that the others are verified against at once
+SENT_ITEMS = 4_000_000  # documents and places of lines, together, that a broadcast may hold
 ID, MARK = "__line_id", "__line_mark"
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.lower(text), BLANKS)
+    """Lower-cased words of a text; empty strings may be among them."""
+    plain = F.replace(F.lower(text), F.lit("\n"), F.lit(" "))
+    # a single blank is split without a regular expression
+    return F.when(plain.rlike(r"[\x09-\x0D]"), F.split(plain, BLANKS)).otherwise(F.split(plain, " "))
 
 
 def rarity_table(df: DataFrame, text_col: str) -> bytes:
     """Class (0 to 63, rarest first) of every bucket of hashed words, from all
-    words of all texts: four classes for each doubling of the count."""
+    words of all texts: two classes for each doubling of the count."""
     words = df.select(F.explode(_words(F.col(text_col))).alias("w"))
     bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     counts = words.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
@@ -65,14 +69,106 @@ def rarity_table(df: DataFrame, text_col: str) -> bytes:
 def _keys(line: Column, table: Column) -> Column:
     """Sorted distinct word keys of a line, rarest first."""
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
+    def key(h: Column) -> Column:
         place = h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
         cls = F.ascii(F.substring(table, place, F.lit(1)).cast("string")).cast("long")
         return F.shiftleft(cls, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
-    words = F.filter(_words(line), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.transform(words, key)))
+    hashes = F.array_distinct(F.transform(F.array_remove(_words(line), ""), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, key))
+
+
+def checked(small: DataFrame, places: str) -> DataFrame:
+    """A written table of documents with lists of places is sent to all tasks
+    if it holds at most ``SENT_ITEMS`` of both; a larger one is joined by a
+    shuffle on both sides."""
+    items = small.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size(places)), F.lit(0))).first()[0]
+    return F.broadcast(small) if items <= SENT_ITEMS else small
+
+
+def _lines(df: DataFrame, text_col: str) -> DataFrame:
+    """A row for every line: document (id, mark), pos, line."""
+    return df.select(ID, MARK, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
+
+
+TOP = 4095  # greatest size and place a posting can hold; filters let larger sets pass
+
+
+def _postings(classes: DataFrame) -> DataFrame:
+    """One row per class and prefix key: ``at`` packs 40 bits of the key, the
+    size of the set and the place of the key in it, 12 bits each."""
+    p, key = F.col("p"), F.col("key")
+    packed = F.shiftleft(F.shiftrightunsigned(key, 23), 24).bitwiseOR(
+        F.shiftleft(F.least("n", F.lit(TOP)).cast("long"), 12).bitwiseOR(F.least(p, F.lit(TOP)).cast("long"))
+    )
+    rows = classes.select("cid", "n", "bits", F.posexplode("prefix").alias("p", "key"))
+    return rows.select(packed.alias("at"), "bits", "cid")
+
+
+def _same_key(a: str, b: str) -> Column:
+    return F.shiftrightunsigned(F.col(f"{a}.at"), 24) == F.shiftrightunsigned(F.col(f"{b}.at"), 24)
+
+
+def _may_match(a: str, b: str, t: Fraction) -> Column:
+    """Length, positional and parity filter on two postings of the same key."""
+    n, d = t.numerator, t.denominator
+    size = {x: F.shiftrightunsigned(F.col(f"{x}.at"), 12).bitwiseAND(F.lit(TOP)) for x in (a, b)}
+    place = {x: F.col(f"{x}.at").bitwiseAND(F.lit(TOP)) for x in (a, b)}
+    both = size[a] + size[b]
+    # the least overlap is n / (n + d) of both sizes, rounded up; no division is needed
+    after = F.least(size[a] - place[a], size[b] - place[b])
+    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    fits = (
+        (size[a] * d >= size[b] * n)
+        & (size[b] * d >= size[a] * n)
+        & (after * (n + d) >= both * n)
+        & ((both - apart) * (n + d) >= both * (2 * n))
+    )
+    return (size[a] == TOP) | (size[b] == TOP) | fits
+
+
+def _sketch(keys: Column) -> Column:
+    """Four more words of 64 parity bits, from other bits of the keys."""
+
+    def word(at: int) -> Column:
+        def bit(k: Column) -> Column:
+            place = F.shiftrightunsigned(k, at).bitwiseAND(63).cast("int")
+            return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+        return F.aggregate(keys, F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(bit(k)))
+
+    words = [word(at) for at in (6, 12, 18, 24)]
+    return F.struct(*[w.alias(f"w{i}") for i, w in enumerate(words)])
+
+
+def _sketches_match(a: str, b: str, t: Fraction) -> Column:
+    """Each word bounds the symmetric difference of two similar sets."""
+    n, d = t.numerator, t.denominator
+    both = F.col(f"{a}.size") + F.col(f"{b}.size")
+    out = F.lit(True)
+    for i in range(4):
+        apart = F.bit_count(F.col(f"{a}.w.w{i}").bitwiseXOR(F.col(f"{b}.w.w{i}")))
+        out = out & ((both - apart) * (n + d) >= both * (2 * n))
+    return out
+
+
+def _matched(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """Later classes of the (later, earlier) ``pairs`` that are similar."""
+    pairs = pairs.distinct()
+    a = sets.select(F.col("cid").alias("later"), F.col("keys").alias("ka"))
+    b = sets.select(F.col("cid").alias("earlier"), F.col("keys").alias("kb"))
+    both = pairs.join(a, "later").join(b, "earlier")
+    shared = F.size(F.array_intersect("ka", "kb"))
+    union = F.size("ka") + F.size("kb") - shared
+    return both.filter(shared * t.denominator >= union * t.numerator).select("later").distinct()
+
+
+def checked(small: DataFrame, places: str) -> DataFrame:
+    """A written table of documents with lists of places is sent to all tasks
+    if it holds at most ``SENT_ITEMS`` of both; a larger one is joined by a
+    shuffle on both sides."""
+    items = small.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size(places)), F.lit(0))).first()[0]
+    return F.broadcast(small) if items <= SENT_ITEMS else small
 
 
 def _lines(df: DataFrame, text_col: str) -> DataFrame:
@@ -80,23 +176,96 @@ def _lines(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(ID, MARK, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
 
 
-def _need(a: str, b: str, t: Fraction) -> Column:
-    """Least overlap of two similar sets of sizes ``a`` and ``b``."""
+TOP = 4095  # greatest size and place a posting can hold; filters let larger sets pass
+
+
+def _postings(classes: DataFrame) -> DataFrame:
+    """One row per class and prefix key: ``at`` packs 40 bits of the key, the
+    size of the set and the place of the key in it, 12 bits each."""
+    p, key = F.col("p"), F.col("key")
+    packed = F.shiftleft(F.shiftrightunsigned(key, 23), 24).bitwiseOR(
+        F.shiftleft(F.least("n", F.lit(TOP)).cast("long"), 12).bitwiseOR(F.least(p, F.lit(TOP)).cast("long"))
+    )
+    rows = classes.select("cid", "n", "bits", F.posexplode("prefix").alias("p", "key"))
+    return rows.select(packed.alias("at"), "bits", "cid")
+
+
+def _same_key(a: str, b: str) -> Column:
+    return F.shiftrightunsigned(F.col(f"{a}.at"), 24) == F.shiftrightunsigned(F.col(f"{b}.at"), 24)
+
+
+def _may_match(a: str, b: str, t: Fraction) -> Column:
+    """Length, positional and parity filter on two postings of the same key."""
     n, d = t.numerator, t.denominator
-    return F.expr(f"({n} * ({a} + {b}) + {n + d - 1}) div {n + d}")
+    size = {x: F.shiftrightunsigned(F.col(f"{x}.at"), 12).bitwiseAND(F.lit(TOP)) for x in (a, b)}
+    place = {x: F.col(f"{x}.at").bitwiseAND(F.lit(TOP)) for x in (a, b)}
+    both = size[a] + size[b]
+    # the least overlap is n / (n + d) of both sizes, rounded up; no division is needed
+    after = F.least(size[a] - place[a], size[b] - place[b])
+    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    fits = (
+        (size[a] * d >= size[b] * n)
+        & (size[b] * d >= size[a] * n)
+        & (after * (n + d) >= both * n)
+        & ((both - apart) * (n + d) >= both * (2 * n))
+    )
+    return (size[a] == TOP) | (size[b] == TOP) | fits
+
+
+def _similar(a: str, b: str, t: Fraction) -> Column:
+    """Jaccard similarity of the whole sets."""
+    shared = F.size(F.array_intersect(F.col(f"{a}.keys"), F.col(f"{b}.keys")))
+    union = F.size(F.col(f"{a}.keys")) + F.size(F.col(f"{b}.keys")) - shared
+    return shared * t.denominator >= union * t.numerator
+
+
+def checked(small: DataFrame, places: str) -> DataFrame:
+    """A written table of documents with lists of places is sent to all tasks
+    if it holds at most ``SENT_ITEMS`` of both; a larger one is joined by a
+    shuffle on both sides."""
+    items = small.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size(places)), F.lit(0))).first()[0]
+    return F.broadcast(small) if items <= SENT_ITEMS else small
+
+
+def _lines(df: DataFrame, text_col: str) -> DataFrame:
+    """A row for every line: document (id, mark), pos, line."""
+    return df.select(ID, MARK, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
+
+
+TOP = 4095  # greatest size and place a posting can hold; filters let larger sets pass
+
+
+def _postings(classes: DataFrame) -> DataFrame:
+    """One row per class and prefix key: ``at`` packs 40 bits of the key, the
+    size of the set and the place of the key in it, 12 bits each."""
+    p, key = F.col("p"), F.col("key")
+    packed = F.shiftleft(F.shiftrightunsigned(key, 23), 24).bitwiseOR(
+        F.shiftleft(F.least("n", F.lit(TOP)).cast("long"), 12).bitwiseOR(F.least(p, F.lit(TOP)).cast("long"))
+    )
+    rows = classes.select("cid", "n", "bits", F.posexplode("prefix").alias("p", "key"))
+    return rows.select(packed.alias("at"), "bits", "cid")
+
+
+def _same_key(a: str, b: str) -> Column:
+    return F.shiftrightunsigned(F.col(f"{a}.at"), 24) == F.shiftrightunsigned(F.col(f"{b}.at"), 24)
 
 
 def _may_match(a: str, b: str, t: Fraction) -> Column:
     """Length, positional and parity filter on two postings of the same key."""
     n, d = t.numerator, t.denominator
-    need = _need(f"{a}.n", f"{b}.n", t)
-    c = F.col
-    return (
-        (c(f"{a}.n") * d >= c(f"{b}.n") * n)
-        & (c(f"{b}.n") * d >= c(f"{a}.n") * n)
-        & (F.least(c(f"{a}.n") - c(f"{a}.p"), c(f"{b}.n") - c(f"{b}.p")) >= need)
-        & (F.bit_count(c(f"{a}.bits").bitwiseXOR(c(f"{b}.bits"))) <= c(f"{a}.n") + c(f"{b}.n") - 2 * need)
+    size = {x: F.shiftrightunsigned(F.col(f"{x}.at"), 12).bitwiseAND(F.lit(TOP)) for x in (a, b)}
+    place = {x: F.col(f"{x}.at").bitwiseAND(F.lit(TOP)) for x in (a, b)}
+    both = size[a] + size[b]
+    # the least overlap is n / (n + d) of both sizes, rounded up; no division is needed
+    after = F.least(size[a] - place[a], size[b] - place[b])
+    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    fits = (
+        (size[a] * d >= size[b] * n)
+        & (size[b] * d >= size[a] * n)
+        & (after * (n + d) >= both * n)
+        & ((both - apart) * (n + d) >= both * (2 * n))
     )
+    return (size[a] == TOP) | (size[b] == TOP) | fits
 
 
 def _matched(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -120,53 +289,53 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     table = F.lit(rarity_table(df, text_col))
 
     # classes of equal sets
-    size = F.col("n")
     lines = _lines(docs, text_col).select(ID, MARK, "pos", _keys(F.col("line"), table).alias("keys"))
-    lines = lines.withColumn("n", F.size("keys")).filter("n > 0")
+    lines = lines.withColumn("n", F.size("keys"))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
+    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(bit(k)))
+    prefix = F.slice("keys", 1, F.greatest(F.lit(0), F.col("n") - F.expr(f"({n} * n + {d - 1}) div {d}").cast("int") + 1))
     classes = (
         lines.select(
             F.xxhash64("keys").alias("k1"),
             F.xxhash64(F.lit(1), "keys").alias("k2"),
             F.struct(F.col(ID).alias("id"), F.col(MARK).alias("mark"), "pos").alias("e"),
-            F.struct(
-                "n",
-                F.aggregate(
-                    "keys", F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int")))
-                ).alias("bits"),
-                F.slice("keys", 1, size - F.expr(f"({n} * n + {d - 1}) div {d}").cast("int") + 1).alias("prefix"),
-            ).alias("s"),
+            F.struct("n", parity.alias("bits"), prefix.alias("prefix")).alias("s"),
         )
         .groupBy("k1", "k2")
         .agg(F.min("e").alias("e"), F.first("s").alias("s"))
         .select("e", "s.*", F.monotonically_increasing_id().alias("cid"))
-    )
+        .filter("n > 0")
+    )
     classes = util.cut(classes, "line-classes")
 
     # postings that meet a possible match
-    posts = classes.select("cid", "n", "bits", F.posexplode("prefix").alias("p", "key"))
+    posts = _postings(classes)
     live = posts.alias("a").join(
-        posts.alias("b"),
-        (F.col("a.key") == F.col("b.key")) & (F.col("a.cid") != F.col("b.cid")) & _may_match("a", "b", t),
-        "left_semi",
+        posts.alias("b"), _same_key("a", "b") & (F.col("a.cid") != F.col("b.cid")) & _may_match("a", "b", t), "left_semi"
     )
     live = util.cut(live, "line-live")
-    alive = live.select("cid").distinct()
-    named = util.cut(classes.select("cid", "e").join(alive, "cid"), "line-named")
-    posts = util.cut(live.join(named, "cid"), "line-posts")
+    named = classes.select("cid", "e").join(live.select("cid").distinct(), "cid", "left_semi")
 
     # whole sets of the classes left
     where = named.select("cid", F.col("e.id").alias("id"), F.col("e.mark").alias("mark"), F.col("e.pos").alias("pos"))
-    wanted = where.groupBy("id", "mark").agg(F.collect_list(F.struct("pos", "cid")).alias("at"))
-    held = docs.select(ID, MARK, F.col(text_col).alias("__line_text")).dropDuplicates([ID, MARK])
-    held = wanted.join(held, F.col("id").eqNullSafe(F.col(ID)) & (F.col("mark") == F.col(MARK)))
-    held = held.withColumn("lines", F.split("__line_text", "\n", -1)).select("lines", F.explode("at").alias("x"))
-    sets = held.select(F.col("x.cid").alias("cid"), _keys(F.element_at("lines", F.col("x.pos") + 1), table).alias("keys"))
+    wanted = util.cut(where.groupBy("id", "mark").agg(F.collect_list(F.struct("pos", "cid")).alias("at")), "line-wanted")
+    held = docs.select(ID, MARK, F.col(text_col).alias("__line_text"))
+    held = held.join(checked(wanted, "at"), F.col("id").eqNullSafe(F.col(ID)) & (F.col("mark") == F.col(MARK)))
+    held = held.withColumn("lines", F.split("__line_text", "\n", -1)).select("id", "mark", "lines", F.explode("at").alias("x"))
+    sets = held.select(
+        F.col("x.cid").alias("cid"),
+        F.struct("id", "mark", F.col("x.pos").alias("pos")).alias("e"),
+        _keys(F.element_at("lines", F.col("x.pos") + 1), table).alias("keys"),
+    )
     sets = util.cut(sets, "line-sets")
 
+    facts = util.cut(sets.select("cid", "e", F.size("keys").alias("size"), _sketch(F.col("keys")).alias("w")), "line-facts")
+    posts = util.cut(live.join(facts, "cid"), "line-posts")
+
     # each class against the first ones of its lists, then the rest against all earlier ones
-    first = Window.partitionBy("key").orderBy("e")
+    first = Window.partitionBy(F.shiftrightunsigned("at", 24)).orderBy("e")
     leaders = posts.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= LEADERS)
-    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.e") > F.col("b.e")) & _may_match("a", "b", t)
+    meet = _same_key("a", "b") & _may_match("a", "b", t) & (F.col("a.e") > F.col("b.e")) & _sketches_match("a", "b", t)
     pair = [F.col("a.cid").alias("later"), F.col("b.cid").alias("earlier")]
     found = util.cut(_matched(posts.alias("a").join(leaders.alias("b"), meet).select(*pair), sets, t), "line-first")
     open_ = posts.join(found, F.col("cid") == F.col("later"), "left_anti")
@@ -178,10 +347,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     stay = stay.groupBy(F.col("id").alias("__stay_id"), F.col("mark").alias("__stay_mark")).agg(
         F.collect_list("pos").alias("__stay")
     )
+    stay = checked(util.cut(stay, "line-stay"), "__stay")
     out = docs.join(stay, F.col(ID).eqNullSafe(F.col("__stay_id")) & (F.col(MARK) == F.col("__stay_mark")), "left")
     split = F.split(F.col(text_col), "\n", -1)
     blank = F.transform(split, lambda x, i: F.when(~x.rlike(util.NONSPACE), i))
-    places = F.array_sort(F.concat(F.coalesce("__stay", F.array().cast("array<int>")), F.filter(blank, lambda i: i.isNotNull())))
+    places = F.sort_array(F.concat(F.coalesce("__stay", F.array().cast("array<int>")), F.filter(blank, lambda i: i.isNotNull())))
     out = out.withColumn("__split", split).withColumn("__places", places)
     text = F.array_join(F.transform("__places", lambda i: F.element_at("__split", i + 1)), "\n")
     return out.select(
