@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from earlywarn.llm import util
 
 BLANKS = r"[\x20\x09-\x0D]+"
-BUCKETS = 1 << 19  # hashed words counted; also the size in bytes of the rarity table
+BUCKETS = 1 << 17  # hashed words counted; also the size in bytes of the rarity table
 LEADERS = 2  # first classes of a posting list that the others are verified against at once
 SENT_ITEMS = 4_000_000  # documents and places of lines, together, that a broadcast may hold
 ID, MARK = "__line_id", "__line_mark"
