@@ -1,9 +1,13 @@
 """Approximate nearest neighbours by vantage-point trees, one per shard.
 
-Vectors get one more coordinate that brings all of them to the greatest
-length, so the largest inner product with a query is the smallest Euclidean
-distance, and the triangle inequality holds.  A node of a tree keeps a
-vantage point and, of each half of its points, the least and greatest
+A shard's vectors are parted into bands of similar length, each with a tree.
+In a band, vectors get one more coordinate that brings all of them to the
+band's greatest length, and a query is scaled to that length, so the largest
+inner product with a query is the smallest Euclidean distance, and the
+triangle inequality holds.  Distances then are those of directions, whatever
+the lengths in other bands, and ``factor`` means the same in each band.  A
+band is left out for a query whose k-th product so far exceeds the product
+of both lengths (exact).  A node of a tree keeps a vantage point and, of each half of its points, the least and greatest
 distance to it; leaves hold up to ``LEAF`` points.  A query first goes down
 to the leaf nearest by the vantage distances, which bounds its k-th nearest
 distance; then it walks the tree and leaves out a half when ``factor`` times
@@ -35,6 +39,7 @@ from earlywarn.llm.vectors import dense, query_blocks, ranked, search_blocks, ve
 
 SHARD_ROWS = 16384
 LEAF = 128
+BAND = 1.1  # greatest ratio of two lengths in a band
 FACTOR = 2.5
 FOUND = "query_id long, vec_id long, score double"
 
@@ -86,6 +91,7 @@ class TreeSearch:
         import numpy as np
 
         self.t, self.qid, self.q, self.k, self.factor = tree, qid, queries, k, factor
+        self.slack = 1e-9 * float(tree.get("longest", 1.0))  # for rounding
         self.best = np.full((len(queries), k), np.inf)  # distances, nearest first
         self.who = np.full((len(queries), k), -1, dtype=np.int64)  # rows of the tree
         self.first = np.full(len(queries), -1, dtype=np.int64)
@@ -129,7 +135,7 @@ class TreeSearch:
         d = self.distance(node, who)
         for child, lo, hi in ((inside, in_lo, in_hi), (outside, out_lo, out_hi)):
             bound = np.maximum(0, np.maximum(lo - d, d - hi))
-            go = who[self.factor * bound <= self.best[who, -1] + 1e-9]
+            go = who[self.factor * bound <= self.best[who, -1] + self.slack]
             if len(go):
                 self.walk(child, go)
 
@@ -152,16 +158,73 @@ class TreeSearch:
         self.who[who] = np.take_along_axis(rows, order, axis=1)
 
 
-def packed(tree: dict) -> bytes:
+def build_trees(ids, m) -> list[dict]:
+    """A tree per band of lengths, the longest first."""
+    import numpy as np
+
+    length = np.linalg.norm(m, axis=1)
+    order = np.argsort(-length, kind="stable")
+    trees, at = [], 0
+    while at < len(order):
+        longest = length[order[at]]
+        to = max(at + 1, int(np.searchsorted(-length[order], -longest / BAND, side="right")))
+        rows = np.sort(order[at:to])
+        rest = np.sqrt(np.maximum(0, longest**2 - length[rows] ** 2))
+        tree = build_tree(ids[rows], np.concatenate([m[rows], rest[:, None]], axis=1))
+        trees.append(tree | {"longest": np.array(longest)})
+        at = to
+    return trees
+
+
+def search_trees(trees: list[dict], qid, queries, k: int, factor: float):
+    """Scores and ids (queries x k) of the best rows found, best first; the
+    score of a missing row is minus infinity."""
+    import numpy as np
+
+    length = np.linalg.norm(queries, axis=1)
+    score = np.full((len(queries), k), -np.inf)
+    who = np.full((len(queries), k), np.iinfo(np.int64).max)
+    for tree in trees:
+        longest = float(tree["longest"])
+        go = np.flatnonzero(score[:, -1] <= length * longest * (1 + 1e-9))
+        if not len(go):
+            continue
+        q = queries[go]
+        scaled = np.concatenate([q * (longest / length[go])[:, None], np.zeros((len(go), 1))], axis=1)
+        found = TreeSearch(tree, qid[go], scaled, k, factor)
+        found.run()
+        row, col = np.nonzero(np.isfinite(found.best) & (found.who >= 0))
+        at = found.who[row, col]
+        new, names = np.full((len(go), k), -np.inf), np.full((len(go), k), np.iinfo(np.int64).max)
+        new[row, col] = np.einsum("ij,ij->i", q[row], tree["points"][at, :-1])
+        names[row, col] = tree["ids"][at]
+        new, names = np.concatenate([score[go], new], axis=1), np.concatenate([who[go], names], axis=1)
+        best = np.lexsort((names, -new), axis=1)[:, :k]
+        score[go], who[go] = np.take_along_axis(new, best, axis=1), np.take_along_axis(names, best, axis=1)
+    return score, who
+
+
+def packed(trees: list[dict]) -> bytes:
     import numpy as np
 
     out = io.BytesIO()
-    np.savez(out, **tree)
+    np.savez(out, **{f"{i}.{name}": x for i, tree in enumerate(trees) for name, x in tree.items()})
     return out.getvalue()
 
 
-def build_index(rows: DataFrame, n: int, width: int, longest: float) -> tuple[DataFrame, int]:
-    """One row per shard: ``block`` and the tree as bytes."""
+def unpacked(data: bytes) -> list[dict]:
+    import numpy as np
+
+    trees: dict[int, dict] = {}
+    with np.load(io.BytesIO(data)) as arrays:
+        for name in arrays.files:
+            i, part = name.split(".")
+            trees.setdefault(int(i), {})[part] = arrays[name]
+    return [trees[i] for i in sorted(trees)]
+
+
+def build_index(rows: DataFrame, n: int, width: int) -> tuple[DataFrame, int]:
+    """One row per shard: ``block`` and the trees as bytes."""
     shards = max(1, -(-n // SHARD_ROWS))
 
     def grow(table: pa.Table) -> pa.Table:
@@ -170,8 +233,7 @@ def build_index(rows: DataFrame, n: int, width: int, longest: float) -> tuple[Da
         m, ids = dense(table["vec"], width), table["id"].to_numpy()
         order = np.argsort(ids, kind="stable")  # the tree depends on the rows only, not on their order
         m, ids = m[order], ids[order]
-        m = np.concatenate([m, np.sqrt(np.maximum(0, longest**2 - (m * m).sum(1)))[:, None]], axis=1)
-        return pa.table([table["block"].slice(0, 1), pa.array([packed(build_tree(ids, m))], pa.binary())], ["block", "tree"])
+        return pa.table([table["block"].slice(0, 1), pa.array([packed(build_trees(ids, m))], pa.binary())], ["block", "tree"])
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "vec"), F.lit(shards)).cast("int"))
     return util.cut(dealt.groupBy("block").applyInArrow(grow, "block int, tree binary"), "ann-index"), shards
@@ -191,14 +253,13 @@ def nearest(
     """
     rows = vectors(df, id_col, vec_col).filter(F.exists("vec", lambda x: x != 0))
     rows = util.cut(rows, "ann-vectors")
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width"), F.max(norm).alias("top")).first()
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width")).first()
     queries = rows.filter(is_query)
     nq = queries.count()
     if not facts.n or not nq:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width, longest = facts.width, facts.top
-    index, shards = build_index(rows, facts.n, width, longest)
+    width = facts.width
+    index, shards = build_index(rows, facts.n, width)
     queries, qbs = query_blocks(queries, nq)
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -208,12 +269,8 @@ def nearest(
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
         q, qid = dense(left["vec"], width), left["id"].to_numpy()
-        tree = dict(np.load(io.BytesIO(right["tree"][0].as_py())))
-        found = TreeSearch(tree, qid, np.concatenate([q, np.zeros((len(q), 1))], axis=1), k, factor)
-        found.run()
-        row, col = np.nonzero(np.isfinite(found.best) & (found.who >= 0))
-        at = found.who[row, col]
-        score = np.einsum("ij,ij->i", q[row], tree["points"][at, :width])
-        return pa.table([pa.array(qid[row]), pa.array(tree["ids"][at]), pa.array(score)], names)
+        score, who = search_trees(unpacked(right["tree"][0].as_py()), qid, q, k, factor)
+        row, col = np.nonzero(np.isfinite(score))
+        return pa.table([pa.array(qid[row]), pa.array(who[row, col]), pa.array(score[row, col])], names)
 
     return ranked(search_blocks(queries, qbs, index, shards, task, FOUND), k)

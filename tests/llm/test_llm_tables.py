@@ -256,6 +256,26 @@ def test_ann_recall_of_the_query(spark):
     assert np.mean(hits) >= 0.9
 
 
+@pytest.mark.parametrize("case", ["one 3x", "lognormal"])
+def test_ann_recall_of_unequal_lengths(spark, case):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    ids = np.array([r.vec_id for r in rows])
+    x = np.array([r.embedding for r in rows], dtype=np.float64)
+    if case == "one 3x":
+        x[7] *= 3
+    else:
+        x *= np.exp(0.5 * np.random.default_rng(3).normal(size=(len(x), 1)))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("id") % 20 == 0, k=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for at in np.flatnonzero(ids % 20 == 0):
+        best = [i for i in np.lexsort((ids, -(x @ x[at]))) if i != at][:20]
+        hits.append(len(set(ids[best]) & got[ids[at]]) / 20)
+    assert np.mean(hits) >= 0.9, np.mean(hits)
+
+
 def test_ann_odd_inputs(spark):
     df = clashing(spark.createDataFrame(VECTORS, "vec_id long, embedding array<double>"))
     got = {}
