@@ -36,10 +36,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays."""
-    found = simhash.near_duplicates(docs, shingle=4, max_bits=4)
-    stay = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stay")), "left_semi")
+    """Of each group of near-duplicates one row stays: that of the smallest id,
+    null ids last, then of the smallest text hash, then any one."""
+    return simhash.one_of_each(docs, shingle=4, max_bits=4)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earlywarn.llm import util
@@ -69,8 +69,11 @@ def text_shingles(text: str | None, size: int) -> list[bytes]:
     return out
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """id and fp (the 64 bits as a signed long) of every row."""
+def fingerprints(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, row: Column | None = None
+) -> DataFrame:
+    """id and fp (the 64 bits as a signed long) of every row; ``row``, a long,
+    is passed on in place of the id."""
     util.require(df, id_col, text_col)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +84,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fp = np.array(fps, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    name = F.col(id_col) if row is None else row
+    rows = df.select(name.cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, fp long")
 
 
@@ -227,16 +231,45 @@ def near_duplicates(
     links of at most ``max_bits`` differing bits, itself included."""
     prints = util.cut(fingerprints(df, id_col, text_col, shingle), "simhash-fp")
     distinct = util.cut(prints.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
+    named = rooted(distinct, max_bits)
+    smallest = util.cut(named.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-names")
+    # a group of copies is one row of ``named``; the join back to all rows has a
+    # plain shuffle on both sides, which adaptive execution splits where skewed
+    names = util.cut(named.join(smallest, "root").select("fp", "component_id"), "simhash-members")
+    return prints.join(names, "fp").select("id", "fp", "component_id")
+
+
+def rooted(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """``distinct`` (written: fp, once each, and first) with the root of every
+    fingerprint's component."""
     edges = util.cut(links(distinct, max_bits), "simhash-links")
     roots = components(edges, "a", "b")  # node, root: linked fingerprints only
-    named = util.cut(
+    return util.cut(
         distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
             distinct["fp"], "first", F.coalesce("root", distinct["fp"]).alias("root")
         ),
         "simhash-roots",
     )
-    smallest = util.cut(named.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-names")
-    # a group of copies is one row of ``named``; the join back to all rows has a
-    # plain shuffle on both sides, which adaptive execution splits where skewed
-    names = util.cut(named.join(smallest, "root").select("fp", "component_id"), "simhash-members")
-    return prints.join(names, "fp").select("id", "fp", "component_id")
+
+
+def one_of_each(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4
+) -> DataFrame:
+    """One row of ``df`` for every group of near-duplicates: that of the
+    smallest id, null ids last; of rows of equal id that of the smallest hash
+    of its text, then of all its columns, then any one."""
+    row = "__simhash_row"
+    numbered = util.cut(df.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    prints = util.cut(fingerprints(numbered, id_col, text_col, shingle, F.col(row)), "simhash-fp")
+    order = F.struct(
+        F.col(id_col).isNull().alias("unnamed"),
+        F.col(id_col).cast("long").alias("id"),
+        F.xxhash64(text_col).alias("text"),
+        F.xxhash64(*df.columns).alias("all"),
+        F.col(row).alias("row"),
+    )
+    facts = numbered.select(F.col(row), order.alias("order")).join(prints, F.col(row) == F.col("id"))
+    distinct = util.cut(facts.groupBy("fp").agg(F.min("order").alias("first")), "simhash-distinct")
+    stay = rooted(distinct, max_bits).groupBy("root").agg(F.min("first").alias("first"))
+    stay = stay.select(F.col("first.row").alias("__simhash_stay"))
+    return numbered.join(stay, F.col(row) == F.col("__simhash_stay"), "left_semi").select(*df.columns)

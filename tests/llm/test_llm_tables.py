@@ -392,3 +392,21 @@ def test_pipeline_stages(spark):
     assert {r.id for r in pieces} == {r.doc_id for r in mixed.collect()}
     whole = pipe.run(spark, SF)
     assert whole.count() > 0
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    """Repeated rows, equal ids with other text, null ids, and copies under both."""
+    import corpus_pipeline as pipe
+    from earlywarn.llm import simhash
+
+    r = random.Random(6)
+    a, b, c, d = (" ".join(r.choice("abcdefgh") * r.randint(1, 9) for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (1, a), (2, a), (None, a), (3, b), (3, c), (4, b), (9, c), (None, d), (None, d), (None, d + " "), (None, c)]
+    schema = docs(spark).schema
+    full = [(i, t, "en", "src1", len(t)) for i, t in rows]
+    got = pipe.near_dedup(spark, spark.createDataFrame(full, schema), SF)
+    assert got.columns == schema.names
+    kept = [(x.doc_id, x.text.strip()) for x in got.collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (3, b), (3, c), (None, d)], key=str)
+    assert {x.component_id for x in simhash.near_duplicates(got).collect()} == {1, 3, None}
+    assert pipe.near_dedup(spark, got.limit(0), SF).count() == 0
