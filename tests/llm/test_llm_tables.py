@@ -351,6 +351,31 @@ def test_mix_buckets_do_not_change_the_prefix(spark, monkeypatch):
     assert sorted(mix.select(docs(spark), levels, {}, 0.5, 2, 1).collect(), key=str) == want
 
 
+@pytest.mark.parametrize("bucket", [20_000, 1])
+def test_mix_takes_hot_and_null_ids_row_by_row(spark, monkeypatch, bucket):
+    """A third of a leaf without id, a third of one id, some of them copies."""
+    monkeypatch.setattr(mix, "BUCKET_ROWS", bucket)
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"a b {i // 9}", "en") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    levels = {"lang": F.col("lang")}
+    for share in (0.1, 0.5, 0.9):
+        got = mix.select(df, levels, {}, share, 1, 3)
+        assert sum(r.tokens for r in got.collect()) == int(900 * share) // 3 * 3
+        taken = mix.mix(df, levels, {}, share, 1, 3)
+        ids = sorted((str(r.id) for r in got.collect()))
+        assert sorted(str(r.doc_id) for r in taken.collect()) == ids and taken.columns == df.columns
+
+
+def test_mix_reports_what_a_long_document_leaves(spark):
+    rows = [(i, "x " * (1000 if i == 3 else 1), "en") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for seed in range(4):
+        args = (df, {"lang": F.col("lang")}, {}, 0.5, 1, seed)
+        r = mix.report(*args).first()
+        assert (r.tokens, r.target) == (1009, 504)
+        assert r.unspent == 504 - sum(x.tokens for x in mix.select(*args).collect()) > 0
+
+
 # -- pipeline -----------------------------------------------------------------
 
 
