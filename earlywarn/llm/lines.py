@@ -19,12 +19,14 @@ more; equal sets have similarity one.
    settled by a multiple of n pairs, not by their square.
 5. Documents keep the first lines of the classes without an earlier match.
 
-Words are compared by 57-bit hashes, classes by 128 bits.
+Words are compared by 57-bit hashes, classes and texts of one id by 128 bits.
 
 Defined results: a null text stays null, blank lines stay; a document all of
 whose lines go has an empty text; rows of equal id and equal text are the
 same document listed twice and get the same text, rows of equal id and other
-text are ordered by a hash of it; null ids come first; an empty table gives
+text are ordered by a hash of it; null ids come first, and name no document:
+of their rows of equal text one is the first and the others are copies, which
+lose all but their blank lines; an empty table gives
 an empty result; other columns are passed on, whatever their names.
 """
 
@@ -41,7 +43,7 @@ BLANKS = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 17  # hashed words counted; also the size in bytes of the rarity table
 LEADERS = 2  # first classes of a posting list that the others are verified against at once
 SENT_ITEMS = 4_000_000  # documents and places of lines, together, that a broadcast may hold
-ID, MARK = "__line_id", "__line_mark"
+ID, MARK, COPY = "__line_id", "__line_mark", "__line_copy"
 
 
 def _words(text: Column) -> Column:
@@ -279,17 +281,37 @@ def _matched(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return both.filter(shared * t.denominator >= union * t.numerator).select("later").distinct()
 
 
+def _mark(text: Column) -> Column:
+    """128 bits that name a text."""
+    return F.struct(F.xxhash64(text).alias("m1"), F.xxhash64(F.lit(1), text).alias("m2"))
+
+
+def _named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` with ID, MARK and COPY: whether a row without id repeats the text
+    of another one.  Only rows without id are written and numbered; the first
+    of each text is joined by its row number, so copies never meet in a task."""
+    docs = df.withColumns({ID: F.col(id_col).cast("long"), MARK: _mark(F.col(text_col)), COPY: F.lit(False)})
+    unnamed = docs.filter(F.col(ID).isNull())
+    if unnamed.isEmpty():
+        return docs
+    unnamed = util.cut(unnamed.withColumn("__line_row", F.monotonically_increasing_id()), "line-unnamed")
+    firsts = unnamed.groupBy(MARK).agg(F.min("__line_row").alias("__line_first")).select("__line_first")
+    unnamed = unnamed.join(firsts, F.col("__line_row") == F.col("__line_first"), "left")
+    unnamed = unnamed.withColumn(COPY, F.col("__line_first").isNull()).select(*docs.columns)
+    return docs.filter(F.col(ID).isNotNull()).unionByName(util.cut(unnamed, "line-unnamed"))
+
+
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """``df`` with the lines removed from ``text_col``, and the counts
     ``lines_in`` and ``lines_out``."""
     util.require(df, id_col, text_col)
     t = Fraction(threshold).limit_denominator(1000)
     n, d = t.numerator, t.denominator
-    docs = df.withColumns({ID: F.col(id_col).cast("long"), MARK: F.hash(text_col)})
+    docs = _named(df, id_col, text_col)
     table = F.lit(rarity_table(df, text_col))
 
     # classes of equal sets
-    lines = _lines(docs, text_col).select(ID, MARK, "pos", _keys(F.col("line"), table).alias("keys"))
+    lines = _lines(docs.filter(~F.col(COPY)), text_col).select(ID, MARK, "pos", _keys(F.col("line"), table).alias("keys"))
     lines = lines.withColumn("n", F.size("keys"))
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
     parity = F.aggregate("keys", F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(bit(k)))
@@ -319,7 +341,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     # whole sets of the classes left
     where = named.select("cid", F.col("e.id").alias("id"), F.col("e.mark").alias("mark"), F.col("e.pos").alias("pos"))
     wanted = util.cut(where.groupBy("id", "mark").agg(F.collect_list(F.struct("pos", "cid")).alias("at")), "line-wanted")
-    held = docs.select(ID, MARK, F.col(text_col).alias("__line_text"))
+    held = docs.filter(~F.col(COPY)).select(ID, MARK, F.col(text_col).alias("__line_text"))
     held = held.join(checked(wanted, "at"), F.col("id").eqNullSafe(F.col(ID)) & (F.col("mark") == F.col(MARK)))
     held = held.withColumn("lines", F.split("__line_text", "\n", -1)).select("id", "mark", "lines", F.explode("at").alias("x"))
     sets = held.select(
@@ -348,14 +370,15 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         F.collect_list("pos").alias("__stay")
     )
     stay = checked(util.cut(stay, "line-stay"), "__stay")
-    out = docs.join(stay, F.col(ID).eqNullSafe(F.col("__stay_id")) & (F.col(MARK) == F.col("__stay_mark")), "left")
+    same = F.col(ID).eqNullSafe(F.col("__stay_id")) & (F.col(MARK) == F.col("__stay_mark")) & ~F.col(COPY)
+    out = docs.join(stay, same, "left")
     split = F.split(F.col(text_col), "\n", -1)
     blank = F.transform(split, lambda x, i: F.when(~x.rlike(util.NONSPACE), i))
     places = F.sort_array(F.concat(F.coalesce("__stay", F.array().cast("array<int>")), F.filter(blank, lambda i: i.isNotNull())))
     out = out.withColumn("__split", split).withColumn("__places", places)
     text = F.array_join(F.transform("__places", lambda i: F.element_at("__split", i + 1)), "\n")
     return out.select(
-        *[text.alias(c) if c == text_col else df[c] for c in df.columns if c not in ("lines_in", "lines_out")],
+        *[text.alias(c) if c == text_col else F.col(c) for c in df.columns if c not in ("lines_in", "lines_out")],
         F.coalesce(F.size("__split"), F.lit(0)).alias("lines_in"),
         F.coalesce(F.size("__places"), F.lit(0)).alias("lines_out"),
     )

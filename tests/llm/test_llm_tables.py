@@ -154,6 +154,21 @@ def test_lines_odd_inputs(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_null_and_equal_ids(spark):
+    """Other texts whose 32-bit hashes are equal, under no id and under one; copies without id."""
+    text = F.concat_ws("\n", *[F.concat(F.lit(f"{c} "), F.hex(F.xxhash64(F.lit(c), "id"))) for c in "ab"])
+    texts = spark.range(400_000).select("id", text.alias("t"))
+    pairs = texts.groupBy(F.hash("t").alias("h")).agg(F.collect_list("t").alias("ts")).filter(F.size("ts") > 1).limit(2).collect()
+    assert len(pairs) == 2
+    rows = [(None, t) for t in pairs[0].ts] + [(5, t) for t in pairs[1].ts] + [(6, t) for t in pairs[1].ts]
+    rows += [(None, "one two\n\nthree four")] * 4 + [(7, "one two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((str(r.doc_id), r.text, r.lines_in, r.lines_out) for r in lines.dedup_lines(df).collect()))
+    want = [("None", t, 2, 2) for t in pairs[0].ts] + [("5", t, 2, 2) for t in pairs[1].ts] + [("6", "", 2, 0)] * 2
+    want += [("None", "one two\n\nthree four", 3, 3)] + [("None", "", 3, 1)] * 3 + [("7", "", 1, 0)]
+    assert got == sorted(want)
+
+
 def test_queries_equal_their_sql(spark, duck):
     from earlywarn.llm import catalog
 
