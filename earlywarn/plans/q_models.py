@@ -7,16 +7,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from earlywarn.operators import knn, prep, search, validate as va
-from earlywarn.operators.models import MajorityClass
+from earlywarn.operators.models import GRIDS, MajorityClass
 from earlywarn.plans.catalog import query
 from earlywarn.plans.oracle_sql import DIRTY, LEARNERS, r6, with_ctes
 from earlywarn.sources import fixtures as fx
 
 L = with_ctes(LEARNERS)
 
-# A compact specification for the registered selection queries: three model
-# families, two candidates each where there is a grid.  The full 43-candidate
-# grid is ``earlywarn.operators.models.GRIDS``.
+# A compact specification for ``nested_cv_folds`` only, whose SQL twin names
+# these three families and three folds; the selection queries run all of ``GRIDS``.
 QUICK = {
     "Dummy Baseline": [{}],
     "Logistic Regression": [{"C": 0.1, "l1_ratio": 0.0}, {"C": 1.0, "l1_ratio": 0.0}],
@@ -119,21 +118,15 @@ SELECT m.model, f.fold, count(*) AS n, CAST(sum(1 - f.target) AS BIGINT) AS n_ri
 FROM f CROSS JOIN (VALUES ('Dummy Baseline'), ('Logistic Regression'), ('Decision Tree')) m(model) GROUP BY m.model, f.fold"""
 
 
-_NCV_CACHE: dict = {}
-
-
 def _ncv(spark, d):
-    """The fitted nested CV, shared by the two queries that read it in one session."""
-    k = (id(spark), d)
-    if k not in _NCV_CACHE:
-        _NCV_CACHE[k] = va.nested_cv(_learners(spark, d), QUICK, outer=3, inner=2)
-    return _NCV_CACHE[k]
+    """The compact nested CV (3 outer x 2 inner folds) behind ``nested_cv_folds``."""
+    return va.nested_cv(_learners(spark, d), QUICK, outer=3, inner=2)
 
 
 @query("nested_cv", None)
 def nested_cv(spark, d):
-    """Nested CV (3 outer x 2 inner) of the quick grid: the fold-metrics table."""
-    _, fm, _ = _ncv(spark, d)
+    """Nested CV (5 outer x 5 inner) of the whole grid, seven families: the fold-metrics table."""
+    _, fm, _ = va.nested_cv(_learners(spark, d), GRIDS, outer=5, inner=5)
     return fm
 
 
@@ -147,17 +140,16 @@ def nested_cv_folds(spark, d):
 @query("grid_search", None)
 def grid_search(spark, d):
     """Inner-fold Macro-F1 per logistic-regression candidate (C x penalty)."""
-    df = va.assign_folds(_learners(spark, d), 3, 42)
-    grid = [{"C": c, "l1_ratio": l} for c in (0.1, 1.0) for l in (0.0, 1.0)]
-    _, table = va.grid_search(df, "Logistic Regression", grid)
+    df = va.assign_folds(_learners(spark, d), 5, 42)
+    _, table = va.grid_search(df, "Logistic Regression", GRIDS["Logistic Regression"])
     rows = [(r["candidate"], float(r["params"]["C"]), float(r["params"]["l1_ratio"]), r["mean_macro_f1"]) for r in table]
     return spark.createDataFrame(rows, "candidate int, C double, l1_ratio double, mean_macro_f1 double")
 
 
 @query("random_search", None)
 def random_search(spark, d):
-    """Seeded random search, 6 trials x 3 folds, logistic regression."""
-    return va.random_search(_learners(spark, d), "Logistic Regression", n_trials=6, folds=3)
+    """Seeded random search, 30 trials x 5 folds, logistic regression."""
+    return va.random_search(_learners(spark, d), "Logistic Regression", n_trials=30, folds=5)
 
 
 @query("learning_curve", None)
@@ -252,7 +244,7 @@ def preprocessor(spark, d):
 
 @query("fit_final", None)
 def fit_final(spark, d):
-    """Tune logistic regression on 3 stratified folds of all rows (seed 42), refit the
+    """Tune logistic regression (whole grid) on 5 stratified folds of all rows (seed 42), refit the
     best on all rows; the chosen parameters and the refit model's pooled metrics at 0.5."""
     import json
 
@@ -260,8 +252,7 @@ def fit_final(spark, d):
     from earlywarn.operators.models import pass_probability
 
     lr = _learners(spark, d)
-    grid = [{"C": 0.1, "l1_ratio": 0.0}, {"C": 1.0, "l1_ratio": 0.0}]
-    model, params = va.fit_final(lr, "Logistic Regression", grid, folds=3)
+    model, params = va.fit_final(lr, "Logistic Regression", GRIDS["Logistic Regression"], folds=5)
     out = model.transform(lr)
     pred = out.select(F.lit("Logistic Regression").alias("model"), F.col("target").alias("y_true"),
                       F.col("prediction").cast("int").alias("y_pred"), pass_probability(out).alias("y_prob"))

@@ -29,3 +29,31 @@ def test_nested_cv_invariants(spark):
     assert set(per_model.values()) == {n}  # one OOF row per (row, model)
     assert oof.select("model", "row_id").distinct().count() == oof.count()
     assert fm.count() == 3 * 3 and chosen.count() == 3 * 3
+
+
+def test_selection_queries_run_the_whole_grid(spark, monkeypatch):
+    """Families, candidates, folds and trials handed to the operators."""
+    from earlywarn.operators.models import GRIDS
+    from earlywarn.plans import q_models as qm
+
+    class Stop(Exception):
+        pass
+
+    calls = []
+
+    def stub(*args, **kwargs):
+        calls.append((args, kwargs))
+        raise Stop
+
+    for name in ("nested_cv", "grid_search", "random_search", "fit_final"):
+        monkeypatch.setattr(qm.va, name, stub)
+        for _ in range(2):  # a second call does its own work
+            with pytest.raises(Stop):
+                getattr(qm, name)(spark, SF)
+    assert len(calls) == 8 and sum(map(len, GRIDS.values())) == 43
+    nested, grid, trials, final = calls[::2]
+    assert nested[0][1] == GRIDS and nested[1] == {"outer": 5, "inner": 5}
+    assert grid[0][1:] == ("Logistic Regression", GRIDS["Logistic Regression"])
+    assert grid[0][0].select("fold").distinct().count() == 5
+    assert trials[1] == {"n_trials": 30, "folds": 5}
+    assert final[0][2] == GRIDS["Logistic Regression"] and final[1] == {"folds": 5}
