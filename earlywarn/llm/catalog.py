@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from earlywarn.llm import queries  # noqa: F401
+    from earlywarn.llm import queries, queries_text  # noqa: F401
