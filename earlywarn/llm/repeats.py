@@ -12,8 +12,9 @@ symbols: fingerprints of 12 words or fewer.
 2. Suffixes are split by prefixes of variable length into groups of a size
    that fits a task: by their first symbol, by two where that symbol is
    common, by all where two are.  Suffixes that agree to the full depth within
-   one slice of a task are known to repeat; one of them stands for them, so
-   a passage of any number of copies is shipped once per slice.
+   one slice of a task are known to repeat and are passed on as runs; one of
+   them stands for them, so a passage of any number of copies is shipped once
+   per slice.
 3. Spark sorts every group; neighbours in this order share the longest
    prefixes, which is the group's suffix tree.  A node as deep as the window
    is a repeat, and all leaves below it start one.
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,43 +171,57 @@ def _bin_counter(window: int, bitmap: np.ndarray):
     return count
 
 
+def _one_by_one(starts: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Where a start does not follow the one before it in the same text."""
+    new = np.ones(len(starts), dtype=bool)
+    new[1:] = (starts[1:] != starts[:-1] + 1) | (doc[1:] != doc[:-1])
+    return new
+
+
 def _shipper(window: int, bitmap: np.ndarray, common: np.ndarray):
-    """Rows (group, path, text, place) of the suffixes; path null: known to repeat."""
+    """Rows (symbols that tell the group, path, text, run of starts) of the
+    suffixes, in the order of the texts; path null: a run known to repeat,
+    once per text and slice, with a depth below one that spreads them."""
     parts = -(-window // SYMBOL)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
         for batch in batches:
             text, k1, k2 = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for begin, end in tw.slices(text):
                 w, starts, symbols = _suffixes(text.slice(begin, end - begin), window, bitmap)
                 if not len(starts):
                     continue
+                doc = w.doc[starts]
+                pos = starts - w.first[doc]
+                a, b = k1[begin:end][doc], k2[begin:end][doc]
                 order, new = _runs(symbols)
                 at = np.flatnonzero(new)
-                many = np.diff(np.append(at, len(order))) > 1
-                known = np.repeat(many, np.diff(np.append(at, len(order))))
+                size = np.diff(np.append(at, len(order)))
+                known = np.zeros(len(order), dtype=bool)
+                known[order] = np.repeat(size > 1, size)
                 # one suffix of each path stands for it; those known to repeat are passed on as found
-                paths = [s[order[at]] for s in symbols]
-                group, deeper = _bin(paths, 1), True
-                for depth in range(1, min(parts, 3)):
-                    deeper = deeper & (common[depth][_bin(paths, depth) >> np.uint64(64 - BINS)] > GROUP)
-                    group = np.where(deeper, _bin(paths, 2 if depth == 1 else parts), group)
-                doc = w.doc[starts[order]]
-                pos = (starts[order] - w.first[doc]).astype(np.int32)
-                a, b = k1[begin:end][doc], k2[begin:end][doc]
-                yield _rows(group, paths, a[at], b[at], pos[at])
-                if known.any():
-                    spread = tw.mixed(a[known].view(np.uint64) + pos[known].astype(np.uint64))
-                    yield _rows(spread, [None] * parts, a[known], b[known], pos[known])
+                one = np.sort(order[at])
+                paths = [s[one] for s in symbols]
+                depth, deeper = np.ones(len(one), dtype=np.int32), True
+                for d in range(1, min(parts, 3)):
+                    deeper = deeper & (common[d][_bin(paths, d) >> np.uint64(64 - BINS)] > GROUP)
+                    depth[deeper] = 2 if d == 1 else parts
+                yield _rows(depth, paths, a[one], b[one], pos[one], np.ones(len(one), dtype=np.int64))
+                at = np.flatnonzero(known)
+                new = np.flatnonzero(_one_by_one(starts[at], doc[at]))
+                n, at = np.diff(np.append(new, len(at))), at[new]
+                own = np.unique(np.stack([a[at], b[at], pos[at], n]), axis=1)
+                yield _rows(np.full(own.shape[1], -task, dtype=np.int32), [None] * parts, *own)
 
     return ship
 
 
-def _rows(group: np.ndarray, paths: list, k1: np.ndarray, k2: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+def _rows(depth: np.ndarray, paths: list, k1: np.ndarray, k2: np.ndarray, pos: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     paths = [pa.nulls(len(pos), pa.int64()) if p is None else pa.array(p.view(np.int64)) for p in paths]
     return pa.RecordBatch.from_arrays(
-        [pa.array(group.view(np.int64)), *paths, pa.array(k1), pa.array(k2), pa.array(pos)],
-        ["g", *[f"s{i}" for i in range(len(paths))], "k1", "k2", "pos"])
+        [pa.array(depth), *paths, pa.array(k1), pa.array(k2), pa.array((pos << 32) | n)],
+        ["depth", *[f"s{i}" for i in range(len(paths))], "k1", "k2", "run"])
 
 
 def _deep_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +231,9 @@ def _deep_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, held_repeats = None, False
     for batch in batches:
         table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        paths = [c for c in table.column_names if c[0] in "gs"]
         done = table["s0"].is_null().to_numpy()
         same = ~(done[1:] | done[:-1])
-        for c in paths:
+        for c in [c for c in table.column_names if c[0] == "s"]:
             x = pc.fill_null(table[c], 0).to_numpy()
             same &= x[1:] == x[:-1]
         deep = done.copy()
@@ -228,13 +243,36 @@ def _deep_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.flatnonzero(deep[:-1])
         held, held_repeats = table.slice(len(table) - 1), bool(deep[-1])
         if len(out):
-            yield table.take(pa.array(out)).select(["k1", "k2", "pos"]).combine_chunks().to_batches()[0]
+            yield table.take(pa.array(out)).select(["k1", "k2", "run"]).combine_chunks().to_batches()[0]
     if held_repeats:
-        yield held.select(["k1", "k2", "pos"]).combine_chunks().to_batches()[0]
+        yield held.select(["k1", "k2", "run"]).combine_chunks().to_batches()[0]
+
+
+def _merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of starts of each text in order, those that touch as one."""
+    for batch in batches:
+        runs = batch.column(2)
+        row = np.repeat(np.arange(len(runs)), pc.list_value_length(runs).to_numpy())
+        packed = runs.flatten().to_numpy()
+        order = np.lexsort((packed, row))
+        row, packed = row[order], packed[order]
+        start = packed >> 32
+        end = start + (packed & 0xFFFFFFFF)
+        # the furthest end so far within the text
+        wide = row * (np.int64(1) << 32)
+        furthest = np.maximum.accumulate(end + wide) - wide
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (start[1:] > furthest[:-1])
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(row)) - 1
+        merged = (start[at] << 32) | (furthest[last] - start[at])
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row[at], minlength=len(runs)))]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(merged))], ["k1", "k2", "runs"])
 
 
 def _remover(window: int):
-    """Kept text, words and removed words from (text, sorted starts of repeats)."""
+    """Kept text, words and removed words from (text, runs of starts of repeats)."""
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,10 +283,11 @@ def _remover(window: int):
                 w = tw.split(part, tw.BLANK)
                 n = np.diff(w.first)
                 row = np.repeat(np.arange(len(part)), pc.fill_null(pc.list_value_length(at), 0).to_numpy())
-                start = w.first[row] + at.flatten().to_numpy()
+                run = at.flatten().to_numpy()
+                start = w.first[row] + (run >> 32)
                 edge = np.zeros(len(w.start) + 1, dtype=np.int64)
                 np.add.at(edge, start, 1)
-                np.add.at(edge, start + window, -1)
+                np.add.at(edge, start + (run & 0xFFFFFFFF) - 1 + window, -1)
                 keep = np.cumsum(edge[:-1]) == 0
                 gone = n - np.add.reduceat(np.append(keep, False).astype(np.int64), w.first[:-1]) * (n > 0)
                 kept = [None if not g else _joined(w, int(a) + np.flatnonzero(keep[a:b]))
@@ -271,7 +310,8 @@ def _mark(text: Column) -> list[Column]:
 
 
 def repeat_starts(df: DataFrame, text_col: str, window: int) -> DataFrame:
-    """(k1, k2, starts): per text, the sorted words at which a repeated window starts."""
+    """(k1, k2, runs): per text, the runs of words at which repeated windows
+    start, each as first word * 2^32 + number of words."""
     texts = df.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), *_mark(F.col(text_col)))
     anchors = texts.select("text").mapInArrow(_anchor_counter(window), "key long, n long")
     anchors = anchors.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
@@ -284,11 +324,15 @@ def repeat_starts(df: DataFrame, text_col: str, window: int) -> DataFrame:
         common[r.d, r.b] = r.n
 
     paths = [f"s{i}" for i in range(-(-window // SYMBOL))]
-    schema = ", ".join(["g long", *[f"{p} long" for p in paths], "k1 long, k2 long, pos int"])
+    schema = ", ".join(["depth int", *[f"{p} long" for p in paths], "k1 long, k2 long, run long"])
     rows = texts.mapInArrow(_shipper(window, bitmap, common), schema)
-    rows = rows.repartition("g").sortWithinPartitions("g", *paths)
-    deep = rows.mapInArrow(_deep_nodes, "k1 long, k2 long, pos int")
-    return deep.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
+    # the prefix that names the group; runs known to repeat are spread
+    spread = F.xxhash64("k1", "depth")
+    group = [F.when(F.col("depth") > i, F.col(p)).otherwise(spread if i == 0 else None) for i, p in enumerate(paths)]
+    rows = rows.repartition(*group).sortWithinPartitions(*paths).drop("depth")
+    deep = rows.mapInArrow(_deep_nodes, "k1 long, k2 long, run long")
+    runs = deep.groupBy("k1", "k2").agg(F.collect_set("run").alias("runs"))
+    return runs.mapInArrow(_merger, "k1 long, k2 long, runs array<long>")
 
 
 def remove_repeats(df: DataFrame, text_col: str = "text", window: int = 35) -> DataFrame:
@@ -298,7 +342,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", window: int = 35) -> D
     if window < 1:
         raise ValueError("a window holds at least one word")
     found = util.cut(repeat_starts(df, text_col, window), "repeat-starts")
-    found = found.select(F.col("k1").alias(K1), F.col("k2").alias(K2), F.col("starts").alias(MARKS))
+    found = found.select(F.col("k1").alias(K1), F.col("k2").alias(K2), F.col("runs").alias(MARKS))
     k1, k2 = _mark(F.col(text_col))
     rows = df.join(found, (k1 == F.col(K1)) & (k2 == F.col(K2)), "left").drop(K1, K2)
     others = [c for c in df.columns if c not in (text_col, "n_words", "n_removed")]

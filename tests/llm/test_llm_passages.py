@@ -248,9 +248,9 @@ def test_suffix_order_across_batches():
         for i in range(0, len(rows), size):
             g, s, p = zip(*rows[i:i + size])
             batches.append(pa.RecordBatch.from_arrays(
-                [pa.array(g, pa.int64()), pa.array(s, pa.int64()), pa.array(p, pa.int64()), pa.array(p, pa.int64()), pa.array(p, pa.int32())],
-                ["g", "s0", "k1", "k2", "pos"]))
-        got = [x for b in repeats._deep_nodes(iter(batches)) for x in b["pos"].to_pylist()]
+                [pa.array(g, pa.int64()), pa.array(s, pa.int64()), pa.array(p, pa.int64()), pa.array(p, pa.int64()), pa.array(p, pa.int64())],
+                ["s0", "s1", "k1", "k2", "run"]))
+        got = [x for b in repeats._deep_nodes(iter(batches)) for x in b["run"].to_pylist()]
         assert sorted(got) == [i for g, s, i in rows if count[g, s] > 1]
 
 
