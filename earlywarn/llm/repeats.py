@@ -2,7 +2,7 @@
 
 A passage of ``window`` words repeats if its word sequence starts anywhere
 else too.  A suffix of a text is followed for ``window`` words, read as a few
-symbols: fingerprints of 12 words or fewer.
+symbols: fingerprints of 18 words or fewer.
 
 1. Every window holds one anchor, the 8 words of smallest hash in it; equal
    windows hold equal anchors.  Anchors are counted over all texts, and the
@@ -44,7 +44,7 @@ from earlywarn.llm import textwords as tw
 from earlywarn.llm import util
 
 ANCHOR = 8  # words of an anchor
-SYMBOL = 12  # words of a symbol, at most
+SYMBOL = 18  # words of a symbol, at most
 COMBINED = 1_000_000  # suffixes or anchors added up at once in a task
 FILTER_BITS = 27
 BINS = 14  # bits: hashed prefixes counted before the split
