@@ -36,7 +36,7 @@ from earlywarn.llm import util
 BREAKS = tw.byte_set(*[(ord(c), ord(c)) for c in ".,;:!?"], (0x0A, 0x0D))
 GAPS = BREAKS | tw.byte_set((0x20, 0x20), (0x09, 0x09))
 LONGEST = 4
-COMBINED = 2_000_000  # runs added up at once in a task
+COMBINED = 700_000  # runs added up at once in a task
 FILTER_BITS = 26
 OFFSET_BITS = 24
 FAR = (1 << OFFSET_BITS) - 1  # offsets from here on: the run is looked for in the whole text
@@ -84,11 +84,13 @@ class _Runs:
 def _combined(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Equal fingerprints of (n, key, mark, pointer) parts added up."""
     for n in sorted({p[0] for p in parts}):
-        key, mark, ptr = (np.concatenate([p[i] for p in parts if p[0] == n]) for i in (1, 2, 3))
+        mine = [p for p in parts if p[0] == n]
+        key = np.concatenate([p[1] for p in mine])
         if not len(key):
             continue
         order = np.argsort(key)
-        key, mark, ptr = key[order], mark[order], ptr[order]
+        key = key[order]
+        mark, ptr = (np.concatenate([p[i] for p in mine])[order] for i in (2, 3))
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])
         at = np.flatnonzero(new)

@@ -45,7 +45,7 @@ from earlywarn.llm import util
 
 ANCHOR = 8  # words of an anchor
 SYMBOL = 18  # words of a symbol, at most
-COMBINED = 1_000_000  # suffixes or anchors added up at once in a task
+COMBINED = 500_000  # suffixes or anchors added up at once in a task
 FILTER_BITS = 27
 BINS = 14  # bits: hashed prefixes counted before the split
 GROUP = 200_000  # suffixes of one group, before the prefix is made longer

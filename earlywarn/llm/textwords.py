@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20  # text bytes handled at once (one text at least)
-SPAN_BYTES = 1 << 20  # bytes under one run of powers (one word at least)
+SLICE_BYTES = 2 << 20  # text bytes handled at once (one text at least)
+SPAN_BYTES = (1 << 18) - 1  # bytes under one run of powers (one word at least)
 SEEDS = (11, 23)  # of the two independent families of fingerprints
 
 
@@ -125,7 +125,7 @@ def _powers_of(base: int, n: int) -> np.ndarray:
         step = np.full(size, base, dtype=np.uint64)
         step[0] = 1
         have = np.multiply.accumulate(step)
-        if size <= 4 * SPAN_BYTES:
+            if size <= 1 << 20:
             _powers[base] = have
     return have[:n]
 
