@@ -125,7 +125,7 @@ def _powers_of(base: int, n: int) -> np.ndarray:
         step = np.full(size, base, dtype=np.uint64)
         step[0] = 1
         have = np.multiply.accumulate(step)
-            if size <= 1 << 20:
+        if size <= 1 << 20:
             _powers[base] = have
     return have[:n]
 
