@@ -140,10 +140,12 @@ def exact_quantiles(
     value: str,
     quantiles: Sequence[float],
     slices: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy's default method).
 
     Returns one row per group and quantile: ``(*by, q_index, q, value)``.
+    ``weight``: a column with the number of rows that a row stands for.
     Works on the value histogram, so the cost is one pass over the rows plus
     a shuffle of distinct values; no task holds a whole group.
     """
@@ -151,7 +153,7 @@ def exact_quantiles(
     whole = not by
     if whole:  # one group: a constant key, and a one-row size table to broadcast
         df, by = df.withColumn("_all", F.lit(0)), ["_all"]
-    hist = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    hist = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
     cum = running_totals(hist, by, [value], {"_cum": F.col("_c")}, slices=slices)
     sizes = hist.groupBy(*by).agg(F.sum("_c").alias("_n"))
     qs = F.array(*[F.struct(F.lit(i).alias("q_index"), F.lit(float(q)).alias("q")) for i, q in enumerate(quantiles)])

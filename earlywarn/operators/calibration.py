@@ -11,6 +11,14 @@ from earlywarn.functions.frames import join_group_stats
 from earlywarn.functions.ranking import exact_quantiles
 
 
+FIXED = 2.0**53
+
+
+def _fixed(p):
+    """A score as a whole number of 2^-53: such sums do not depend on the order of the rows."""
+    return F.round(p.cast("double") * F.lit(FIXED)).cast("decimal(38,0)")
+
+
 def calibration(df: DataFrame, n_bins: int = 8, by: Sequence[str] = (), y_true: str = "y_true", prob: str = "y_prob") -> DataFrame:
     """Bin edges are exact linear-interpolated quantiles of the predictions;
     a row's bin is the number of inner edges strictly below it; empty bins
@@ -28,5 +36,6 @@ def calibration(df: DataFrame, n_bins: int = 8, by: Sequence[str] = (), y_true:
     return binned.groupBy(*by, "bin").agg(
         F.sum("_n").alias("n"),
         F.try_divide(F.sum("_y"), F.sum("_ny")).alias("prob_true"),
-        F.try_divide(F.sum(F.col(prob) * F.col("_n")), F.sum(F.when(F.col(prob).isNotNull(), F.col("_n")))).alias("prob_pred"),
+        F.try_divide(F.sum(_fixed(F.col(prob)) * F.col("_n")).cast("double") / F.lit(FIXED),
+                     F.sum(F.when(F.col(prob).isNotNull(), F.col("_n")))).alias("prob_pred"),
     )

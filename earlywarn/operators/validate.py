@@ -1,32 +1,40 @@
 """Folds, fits, model selection and learning curves.
 
-Each fit is a distributed Spark job; the driver only decides which fits to
-run (bounded by grid size x folds) and submits independent fits from a small
-thread pool, so several jobs share the cluster.  The fold-tagged feature
-table is checkpointed to the shared folder once and released at the end.  Preprocessing is fitted on
-the training rows of every split only (leakage-safe).
+Selection encodes the table once, with every row's role in all splits and the
+preprocessing of each split (``splits``), and then runs all candidates of all
+splits together (``fit_many``): logistic families as passes that add up the
+gradients of every open fit, trees, forests, boosting and k-NN as tasks that
+share growths and neighbours; a table too large for one task goes through the
+distributed fits of ``pyspark.ml``, on features prepared once a split.
+Preprocessing sees the training rows of its split only (leakage-safe).
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import random
+import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earlywarn.functions.hashing import md5_order
 from earlywarn.functions.ranking import global_row_number, md5_slicer
 from earlywarn.operators import evaluate as ev
+from earlywarn.operators import linear_fits, task_fits
 from earlywarn.operators.knn import knn_classify
 from earlywarn.operators.label import split_columns
 from earlywarn.operators.models import GRIDS, build_estimator, pass_probability
 from earlywarn.operators.prep import preprocessor
+from earlywarn.operators.splits import Encoded, encode
 from earlywarn.operators.summary import summarize_folds
+from earlywarn.session import scratch_path
 
 SEED = 42
 WORKERS = 8
@@ -47,7 +55,7 @@ def materialize(df: DataFrame) -> DataFrame:
     return cp
 
 
-def assign_folds(df: DataFrame, k: int, seed: int = SEED, y: str = "target", key: str = "row_id", out: str = "fold",
+def assign_folds(df: DataFrame, k: int, seed: int | Column = SEED, y: str = "target", key: str = "row_id", out: str = "fold",
                  by: Sequence[str] = ()) -> DataFrame:
     """Stratified folds: rows of each class shuffled by md5(seed|fold|key), then dealt round-robin.
 
@@ -55,11 +63,22 @@ def assign_folds(df: DataFrame, k: int, seed: int = SEED, y: str = "target", key
     (half the table) never sits in one task.  A null label is an error.
     """
     label = F.when(F.col(y).isNull(), F.raise_error(F.lit(f"null in label column {y}"))).otherwise(F.col(y))
-    d = df.withColumn(y, label).withColumn("_k", md5_order(f"{seed}|fold", key))
+    seed = F.lit(seed) if isinstance(seed, int) else seed
+    d = df.withColumn(y, label).withColumn("_k", F.md5(F.concat_ws("|", seed.cast("string"), F.lit("fold"), F.col(key).cast("string"))))
     rn = global_row_number(d, [*by, y], ["_k", key], name="_rn", slicer=md5_slicer("_k"))
     return rn.withColumn(out, ((F.col("_rn") - 1) % k).cast("int")).drop("_k", "_rn")
 
 
+def nested_folds(df: DataFrame, outer: int, inner: int, seed: int = SEED, label: str = "target", key: str = "row_id") -> DataFrame:
+    """``df`` with ``outer`` and the map ``inner``: for every outer fold f that a
+    row trains in, its inner fold, dealt with seed + f over the rows outside f."""
+    folds = materialize(assign_folds(df.select(key, label), outer, seed, label, key, "outer"))
+    held = folds.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(outer - 1)))).filter(F.col("f") != F.col("outer"))
+    dealt = assign_folds(held, inner, F.lit(seed) + F.col("f"), label, key, "i", by=["f"])
+    maps = dealt.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("f", "i"))).alias("inner"))  # outer - 1 entries
+    return df.join(folds.select(key, "outer"), key).join(maps, key, "left")
+
+
 def training_prefixes(df: DataFrame, sizes: Sequence[float], seed: int = SEED, key: str = "row_id", fold: str = "fold") -> DataFrame:
     """Nested training subsets: a row belongs to every size at or above its hashed position.
 
@@ -122,69 +141,174 @@ def _macro_f1(pred: DataFrame) -> float:
 
 
 def _pool_map(fn, items, workers: int = WORKERS):
-    with ThreadPoolExecutor(max_workers=workers) as ex:
-        return list(ex.map(fn, items))
+    """``fn`` over ``items`` from a few threads; at the first failure, or when
+    this call is interrupted, nothing further is begun and the jobs under way
+    are cancelled."""
+    from pyspark import SparkContext
+
+    sc = SparkContext.getOrCreate()
+    tag = f"pool-{uuid.uuid4()}"
+
+    def one(item):
+        sc.addJobTag(tag)
+        try:
+            return fn(item)
+        finally:
+            sc.removeJobTag(tag)
+
+    ex = ThreadPoolExecutor(max_workers=workers)
+    try:
+        out = [f.result() for f in [ex.submit(one, x) for x in items]]
+    except BaseException:
+        ex.shutdown(wait=False, cancel_futures=True)
+        sc.cancelJobsWithTag(tag)
+        raise
+    ex.shutdown()
+    return out
 
 
-def grid_search(df: DataFrame, name: str, grid: Sequence[dict], fold: str = "fold", label: str = "target",
-                key: str = "row_id", workers: int = WORKERS) -> tuple[dict, list[dict]]:
-    """Mean Macro-F1 over the folds in ``fold`` per candidate; first best wins."""
-    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]  # k values
-    tasks = [(ci, f) for ci in range(len(grid)) for f in folds]
+Candidate = tuple[int, str, dict]  # split, model, parameters
+
+
+def _distributed(enc: Encoded, tasks: Sequence[Candidate]) -> DataFrame:
+    """Single fits of ``pyspark.ml``, on the features of each split written once."""
+    spark = enc.table.sparkSession
+    dense = {}
+    for s in sorted({t[0] for t in tasks}):
+        rows = task_fits.design_rows(enc, s)
+        path = scratch_path(spark, "split-features")
+        rows.write.parquet(path)
+        dense[s] = spark.read.schema(rows.schema).parquet(path).withColumn("features", array_to_vector("x"))
+
+    def run(item):
+        i, (s, name, params) = item
+        train, test = dense[s].filter("role = 1"), dense[s].filter("role = 2")
+        if name == "KNN":
+            p = materialize(knn_classify(train, test, int(params.get("n_neighbors", 5)), params.get("weights", "uniform"), "key", "features", "y"))
+            pred = test.select("key", F.col("y").cast("int").alias("y_true")).join(p, "key")
+        else:
+            out = Pipeline(stages=build_estimator(name, params, int(enc.plan.rows[s].sum()), label="y")).fit(train).transform(test)
+            pred = out.select("key", F.col("y").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"), pass_probability(out).alias("y_prob"))
+        return pred.select(F.lit(i).alias("problem"), "key", "y_true", "y_pred", "y_prob")
+
+    return functools.reduce(DataFrame.unionByName, _pool_map(run, list(enumerate(tasks)), 4))
+
+
+def fit_many(enc: Encoded, tasks: Sequence[Candidate]) -> DataFrame:
+    """(problem, key, y_true, y_pred, y_prob): the predictions on the test rows
+    of its split by every (split, model, parameters), numbered as given."""
+    parts = []
+
+    def add(chosen: list[int], pred: DataFrame) -> None:
+        at = F.element_at(F.lit(chosen), F.col("problem") + 1)
+        parts.append(pred.withColumn("problem", at))
+
+    by = {kind: [i for i, t in enumerate(tasks) if t[1] in names] for kind, names in
+          {"dummy": ["Dummy Baseline"], "linear": ["Logistic Regression", "SVM RBF"],
+           "task": ["Decision Tree", "Random Forest", "Gradient Boosting", "KNN"]}.items()}
+    unknown = {t[1] for t in tasks} - {tasks[i][1] for v in by.values() for i in v}
+    if unknown:
+        raise ValueError(f"no estimator is known for {sorted(unknown)}; choose one of {list(GRIDS)}")
+    if by["dummy"]:
+        rows = enc.plan.rows
+        cases = F.array(*[F.struct(F.lit(i).alias("problem"), F.lit(tasks[i][0]).alias("s"), F.lit(int(rows[tasks[i][0], 1] > rows[tasks[i][0], 0])).alias("m"))
+                          for i in by["dummy"]])
+        d = enc.table.select("key", "y", "role", F.inline(cases)).filter(F.element_at("role", F.col("s") + 1) == 2)
+        parts.append(d.select("problem", "key", F.col("y").cast("int").alias("y_true"), F.col("m").alias("y_pred"), F.col("m").cast("double").alias("y_prob")))
+    if by["linear"]:
+        problems = []
+        for i in by["linear"]:
+            s, name, p = tasks[i]
+            gamma = p.get("gamma", "scale") if name == "SVM RBF" else None
+            problems.append(linear_fits.Problem(s, float(p.get("C", 1.0)), float(p.get("l1_ratio", 0.0)), gamma, int(p.get("n_components", 200))))
+        add(by["linear"], linear_fits.predict(enc, linear_fits.fit(enc, problems)))
+    if by["task"]:
+        mine = [tasks[i] for i in by["task"]]
+        add(by["task"], task_fits.predict(enc, mine) if task_fits.fits_in_a_task(enc) else _distributed(enc, mine))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _scores(pred: DataFrame) -> dict[int, float]:
+    """Macro-F1 of every problem: a number each."""
+    from earlywarn.functions import metrics as M
+
+    return {r.problem: r.m for r in ev.confusion(pred, ["problem"]).select("problem", M.macro_f1().alias("m")).collect()}
 
-    def run(t):
-        ci, f = t
-        pred = fit_predict(df.filter(F.col(fold) != f), df.filter(F.col(fold) == f), name, grid[ci], label, key, (fold,))
-        return ci, f, _macro_f1(pred)
 
-    scores = _pool_map(run, tasks, workers)
+def score_many(enc: Encoded, tasks: Sequence[Candidate]) -> list[float | None]:
+    """Macro-F1 on the test rows for every task; the families run side by side."""
+    groups = [[i for i, t in enumerate(tasks) if t[1] in names] for names in
+              (["Dummy Baseline", "Logistic Regression", "SVM RBF"], ["Random Forest"], ["Decision Tree", "Gradient Boosting", "KNN"])]
+    out: list[float | None] = [None] * len(tasks)
+    groups = [g for g in groups if g]
+    for g, got in zip(groups, _pool_map(lambda g: _scores(fit_many(enc, [tasks[i] for i in g])), groups, len(groups) or 1)):
+        for j, i in enumerate(g):
+            out[i] = got.get(j)
+    return out
+
+
+def _best(grid: Sequence[dict], scores: Sequence[Sequence[float | None]]) -> tuple[int, list[dict]]:
+    """The first best candidate by its mean over the folds, and the table."""
     table = []
     for ci, p in enumerate(grid):
-        vals = [s for c, _, s in scores if c == ci and s is not None]
+        vals = [s for s in scores[ci] if s is not None]
         table.append({"candidate": ci, "params": p, "mean_macro_f1": sum(vals) / len(vals) if vals else None})
     best = max(table, key=lambda r: (r["mean_macro_f1"] if r["mean_macro_f1"] is not None else -1.0, -r["candidate"]))
-    return best["params"], table
+    return best["candidate"], table
+
+
+def _encode(df: DataFrame, splits, label: str, key: str, exclude: Sequence[str]) -> Encoded:
+    cat, num = _features(df, label, key, exclude)
+    return encode(df, splits, cat, num, label, key)
+
+
+def grid_search(df: DataFrame, name: str, grid: Sequence[dict], fold: str = "fold", label: str = "target",
+                key: str = "row_id") -> tuple[dict, list[dict]]:
+    """Mean Macro-F1 over the folds in ``fold`` per candidate; first best wins."""
+    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]  # k values
+    enc = _encode(df, [(F.col(fold) != f, F.col(fold) == f) for f in folds], label, key, (fold,))
+    scores = score_many(enc, [(s, name, p) for p in grid for s in range(len(folds))])
+    best, table = _best(grid, [scores[i * len(folds) : (i + 1) * len(folds)] for i in range(len(grid))])
+    return grid[best], table
 
 
 def nested_cv(df: DataFrame, models: dict[str, list[dict]] | None = None, outer: int = 5, inner: int = 5,
-              seed: int = SEED, label: str = "target", key: str = "row_id", workers: int = WORKERS) -> tuple[DataFrame, DataFrame, DataFrame]:
+              seed: int = SEED, label: str = "target", key: str = "row_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Outer stratified folds; per outer fold a grid search on inner folds
     (seed + fold) of the training rows, a refit and predictions on the untouched
-    test rows.  Returns (oof, fold_metrics, chosen parameters)."""
+    test rows.  The OOF rows are written once, by model.  Returns (oof,
+    fold_metrics, chosen parameters)."""
     models = models or GRIDS
-    base = materialize(assign_folds(df, outer, seed, label, key, "outer"))
-    jobs = [(mi, name, f) for mi, name in enumerate(models) for f in range(outer)]
-
-    def run(job):
-        mi, name, f = job
-        train = base.filter(F.col("outer") != f).drop("outer")
-        test = base.filter(F.col("outer") == f).drop("outer")
-        grid = models[name]
-        if len(grid) > 1:
-            tr = assign_folds(train, inner, seed + f, label, key, "inner").persist(StorageLevel.MEMORY_AND_DISK)
-            params, _ = grid_search(tr, name, grid, "inner", label, key, workers=2)
-            tr.unpersist()
-        else:
-            params = grid[0]
-        pred = fit_predict(train, test, name, params, label, key, ())
-        pred = pred.select(F.lit(name).alias("model"), F.lit(mi + 1).alias("model_order"), F.lit(f).alias("fold"), "*")
-        return pred, {"model": name, "fold": f, "params": json.dumps(params, sort_keys=True)}
-
-    res = _pool_map(run, jobs, workers)
-    preds = [r[0] for r in res]
-    oof = preds[0]
-    for p in preds[1:]:
-        oof = oof.unionByName(p)
+    d = nested_folds(df, outer, inner, seed, label, key)
+    of = F.col("outer")
+    splits = [(of != f, of == f) for f in range(outer)]
+    for f in range(outer):
+        at = F.element_at("inner", F.lit(f))
+        splits += [((of != f) & (at != g), (of != f) & (at == g)) for g in range(inner)]
+    enc = _encode(d, splits, label, key, ("outer", "inner"))
+
+    searched = [(m, f, p) for m, grid in models.items() if len(grid) > 1 for f in range(outer) for p in grid]
+    scores = score_many(enc, [(outer + f * inner + g, m, p) for m, f, p in searched for g in range(inner)])
+    chosen = {}
+    for m, grid in models.items():
+        for f in range(outer):
+            mine = [i for i, t in enumerate(searched) if t[:2] == (m, f)]
+            chosen[m, f] = grid[_best(grid, [scores[i * inner : (i + 1) * inner] for i in mine])[0]] if mine else grid[0]
+
+    spark = df.sparkSession
+    final = list(chosen)
+    pred = fit_many(enc, [(f, m, chosen[m, f]) for m, f in final])
+    order = {m: i + 1 for i, m in enumerate(models)}
+    names = F.lit([m for m, _ in final])
+    pick = lambda values: F.element_at(values, F.col("problem") + 1)
+    oof = pred.select(pick(names).alias("model"), pick(F.lit([order[m] for m, _ in final])).cast("int").alias("model_order"),
+                      pick(F.lit([f for _, f in final])).cast("int").alias("fold"), F.col("key").alias(key), "y_true", "y_pred", "y_prob")
+    path = scratch_path(spark, "oof")
+    oof.write.partitionBy("model").parquet(path)
+    oof = spark.read.parquet(path).select(*oof.columns)
     fm = ev.classification_metrics(oof, ["model", "model_order", "fold"])
-    chosen = df.sparkSession.createDataFrame([r[1] for r in res], "model string, fold int, params string")
-    return oof, fm, chosen
-
-
-def best_from(fold_metrics: DataFrame) -> DataFrame:
-    """The model with the highest mean Macro-F1 (list order on ties)."""
-    from earlywarn.operators.summary import best_model
-
-    return best_model(summarize_folds(fold_metrics, ["macro_f1"]))
+    rows = [(m, f, json.dumps(p, sort_keys=True)) for (m, f), p in chosen.items()]
+    return oof, fm, spark.createDataFrame(rows, "model string, fold int, params string")
 
 
 def fit_final(df: DataFrame, name: str, grid: Sequence[dict], folds: int = 5, seed: int = SEED, label: str = "target",
@@ -196,12 +320,31 @@ def fit_final(df: DataFrame, name: str, grid: Sequence[dict], folds: int = 5, se
     return fit_pipeline(df, name, params, label, key, ()), params
 
 
+def train_models(df: DataFrame, models: dict[str, list[dict]] | None = None, outer: int = 5, inner: int = 5, seed: int = SEED,
+                 label: str = "target", key: str = "row_id"):
+    """Nested CV, the winner by mean Macro-F1 (first on ties, the
+    baseline is eligible), and the winner tuned again and refitted on all
+    rows.  Returns (oof, fold_metrics, chosen, winner, its parameters, model)."""
+    models = models or GRIDS
+    oof, fm, chosen = nested_cv(df, models, outer, inner, seed, label, key)
+    winner = best_from(fm).first()["best_model"]
+    model, params = fit_final(df, winner, models[winner], outer, seed, label, key)
+    return oof, fm, chosen, winner, params, model
+
+
+def best_from(fold_metrics: DataFrame) -> DataFrame:
+    """The model with the highest mean Macro-F1 (list order on ties)."""
+    from earlywarn.operators.summary import best_model
+
+    return best_model(summarize_folds(fold_metrics, ["macro_f1"]))
+
+
 def fit_default(df: DataFrame, label: str = "target", key: str = "row_id"):
     """Logistic regression, C = 1, balanced."""
     return fit_pipeline(df, "Logistic Regression", {"C": 1.0, "l1_ratio": 0.0}, label, key, ())
 
 
-# Search spaces of the reference's hyperparameter search.
+# The search spaces of the reference's hyperparameter search.
 SPACES = {
     "Logistic Regression": {"C": ("log", 1e-3, 100.0), "l1_ratio": ("choice", [0.0, 1.0])},
     "Random Forest": {"n_estimators": ("int", 80, 350, 10), "max_depth": ("int", 3, 20, 1), "min_samples_leaf": ("int", 1, 10, 1)},
@@ -226,18 +369,24 @@ def sample_params(space: dict, rng: random.Random) -> dict:
 
 
 def random_search(df: DataFrame, name: str, n_trials: int = 30, folds: int = 5, seed: int = SEED, label: str = "target",
-                  key: str = "row_id", workers: int = WORKERS) -> DataFrame:
-    """Seeded random search (trials are independent, so they run in parallel);
-    returns the trial table (trial, value, params JSON, state)."""
+                  key: str = "row_id") -> DataFrame:
+    """Seeded random search, all trials and folds together; returns the
+    trial table (trial, value, params JSON, state)."""
     rng = random.Random(seed)
     trials = [sample_params(SPACES[name], rng) for _ in range(n_trials)]
-    d = materialize(assign_folds(df, folds, seed, label, key, "fold"))
-    _, table = grid_search(d, name, trials, "fold", label, key, workers)
-    d.unpersist()
+    _, table = grid_search(assign_folds(df, folds, seed, label, key, "fold"), name, trials, "fold", label, key)
     rows = [(i + 1, r["mean_macro_f1"], json.dumps(trials[i], sort_keys=True), "COMPLETE") for i, r in enumerate(table)]
     return df.sparkSession.createDataFrame(rows, "trial long, value double, params string, state string")
 
 
+def fit_searched(df: DataFrame, name: str, trials: DataFrame, label: str = "target", key: str = "row_id"):
+    """The best trial of a search (first on ties), refitted on all rows: (model, parameters)."""
+    from earlywarn.operators.search import best_trial
+
+    params = json.loads(best_trial(trials).first()["params"])
+    return fit_pipeline(df, name, params, label, key, ()), params
+
+
 def diagnose_expr(train_col: str = "training_macro_f1", val_col: str = "validation_macro_f1"):
     """Gap >= .15 overfit; else validation < .60 underfit; else controlled."""
     gap = F.col(train_col) - F.col(val_col)

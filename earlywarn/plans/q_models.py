@@ -14,13 +14,6 @@ from earlywarn.sources import fixtures as fx
 
 L = with_ctes(LEARNERS)
 
-# A compact specification for ``nested_cv_folds`` only, whose SQL twin names
-# these three families and three folds; the selection queries run all of ``GRIDS``.
-QUICK = {
-    "Dummy Baseline": [{}],
-    "Logistic Regression": [{"C": 0.1, "l1_ratio": 0.0}, {"C": 1.0, "l1_ratio": 0.0}],
-    "Decision Tree": [{"max_depth": 3, "min_samples_leaf": 1}, {"max_depth": 5, "min_samples_leaf": 3}],
-}
 FEATURES = ["row_id", "school", "sex", "age", "mjob", "famsup", "schoolsup", "failures", "absences", "studytime", "target"]
 
 
@@ -113,30 +106,50 @@ def knn_join(spark, d):
         .select("q_id", "n_id", F.col("rank").cast("int").alias("rank"), "score")
 
 
-_NCV_FOLDS = L + """, f AS (SELECT row_id, target, CAST((row_number() OVER (PARTITION BY target ORDER BY md5('42|fold|' || CAST(row_id AS VARCHAR)), row_id) - 1) % 3 AS INTEGER) AS fold FROM learners_t)
+_NCV_FOLDS = L + """, f AS (SELECT row_id, target, CAST((row_number() OVER (PARTITION BY target ORDER BY md5('42|fold|' || CAST(row_id AS VARCHAR)), row_id) - 1) % 5 AS INTEGER) AS fold FROM learners_t)
 SELECT m.model, f.fold, count(*) AS n, CAST(sum(1 - f.target) AS BIGINT) AS n_risk
-FROM f CROSS JOIN (VALUES ('Dummy Baseline'), ('Logistic Regression'), ('Decision Tree')) m(model) GROUP BY m.model, f.fold"""
+FROM f CROSS JOIN (VALUES """ + ", ".join(f"('{m}')" for m in GRIDS) + """) m(model) GROUP BY m.model, f.fold"""
 
 
-def _ncv(spark, d):
-    """The compact nested CV (3 outer x 2 inner folds) behind ``nested_cv_folds``."""
-    return va.nested_cv(_learners(spark, d), QUICK, outer=3, inner=2)
+def _ncv(spark, d, models=GRIDS):
+    return va.nested_cv(_learners(spark, d), models, outer=5, inner=5)
 
 
 @query("nested_cv", None)
 def nested_cv(spark, d):
     """Nested CV (5 outer x 5 inner) of the whole grid, seven families: the fold-metrics table."""
-    _, fm, _ = va.nested_cv(_learners(spark, d), GRIDS, outer=5, inner=5)
-    return fm
+    return _ncv(spark, d)[1]
 
 
 @query("nested_cv_folds", _NCV_FOLDS)
 def nested_cv_folds(spark, d):
-    """M16 invariant: one OOF row per (row, model); fold sizes and risk counts per model."""
-    oof, _, _ = _ncv(spark, d)
+    """M16 invariant, whole grid: one OOF row per (row, model); fold sizes and risk counts per model."""
+    oof = _ncv(spark, d)[0]
     return oof.groupBy("model", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("y_true")).cast("bigint").alias("n_risk"))
 
 
+def _ncv_family(name: str):
+    def run(spark, d):
+        return _ncv(spark, d, {name: GRIDS[name]})[1]
+    run.__doc__ = f"M16: nested CV (5 outer x 5 inner) of {name}, its whole grid: the fold-metrics table."
+    return run
+
+
+# the baseline always says the training majority, so SQL can state its fold metrics
+_NCV_DUMMY = L + """, f AS (SELECT row_id, target, CAST((row_number() OVER (PARTITION BY target ORDER BY md5('42|fold|' || CAST(row_id AS VARCHAR)), row_id) - 1) % 5 AS INTEGER) AS fold FROM learners_t),
+k AS (SELECT DISTINCT fold FROM f),
+m AS (SELECT k.fold, CAST(2 * sum(f.target) > count(*) AS INTEGER) AS p FROM k JOIN f ON f.fold <> k.fold GROUP BY k.fold),
+c AS (SELECT fold, p, count(*) FILTER (target = 1) * 1e0 AS n1, count(*) FILTER (target = 0) * 1e0 AS n0 FROM f JOIN m USING (fold) GROUP BY fold, p),
+s AS (SELECT fold, p, n0, n1, CASE WHEN p = 1 THEN n1 ELSE n0 END AS hit, CASE WHEN p = 1 THEN 2 * n1 / (2 * n1 + n0) ELSE 0e0 END AS f1p, CASE WHEN p = 0 THEN 2 * n0 / (2 * n0 + n1) ELSE 0e0 END AS f1r FROM c)
+SELECT 'Dummy Baseline' AS model, 1 AS model_order, fold, hit / (n0 + n1) AS accuracy, 0.5e0 AS bal_acc, (f1p + f1r) / 2 AS macro_f1, f1p AS f1_pass, f1r AS f1_risk,
+  p * n1 / (n0 + n1) AS precision_pass, p * 1e0 AS recall_pass, (1 - p) * n0 / (n0 + n1) AS precision_risk, 1e0 - p AS risk_recall, p * 1e0 AS missed_risk_rate,
+  1e0 - p AS false_alarm_rate, 0.5e0 AS auc, n0 / (n0 + n1) AS pr_auc_risk, 0e0 AS mcc FROM s"""
+_SUITE = ("accuracy", "bal_acc", "macro_f1", "f1_pass", "f1_risk", "precision_pass", "recall_pass", "precision_risk", "risk_recall",
+          "missed_risk_rate", "false_alarm_rate", "auc", "pr_auc_risk", "mcc")
+for _name in GRIDS:
+    query("nested_cv_" + _name.lower().replace(" ", "_"), r6(_NCV_DUMMY, *_SUITE) if _name == "Dummy Baseline" else None)(_ncv_family(_name))
+
+
 @query("grid_search", None)
 def grid_search(spark, d):
     """Inner-fold Macro-F1 per logistic-regression candidate (C x penalty)."""
@@ -152,6 +165,22 @@ def random_search(spark, d):
     return va.random_search(_learners(spark, d), "Logistic Regression", n_trials=30, folds=5)
 
 
+@query("searched_model", None)
+def searched_model(spark, d):
+    """The best trial of the search, refitted on all rows; its parameters and pooled metrics at 0.5."""
+    import json
+
+    from earlywarn.operators import evaluate as ev
+    from earlywarn.operators.models import pass_probability
+
+    lr = _learners(spark, d)
+    trials = va.random_search(lr, "Logistic Regression", n_trials=30, folds=5)
+    model, params = va.fit_searched(lr, "Logistic Regression", trials)
+    out = model.transform(lr)
+    pred = out.select(F.lit("Logistic Regression").alias("model"), F.col("target").alias("y_true"), pass_probability(out).alias("y_prob"))
+    return ev.metrics_at(pred, 0.5, ["model"]).withColumn("params", F.lit(json.dumps(params, sort_keys=True)))
+
+
 @query("learning_curve", None)
 def learning_curve(spark, d):
     """Learning curve of a depth-5 tree, 5 sizes x 3 folds, with diagnosis."""
@@ -196,30 +225,24 @@ def parameter_importance(spark, d):
     return search.parameter_importance(fx.trials(spark, d), {"c": "log", "l1": "choice"})
 
 
-def _split(spark, d):
-    f = va.materialize(va.assign_folds(_learners(spark, d), 5, 42))
-    return f.filter(F.col("fold") != 0).drop("fold"), f.filter(F.col("fold") == 0).drop("fold")
-
-
-def _family(name: str, params: dict):
+def _family(name: str):
     def run(spark, d):
+        import json
+
         from earlywarn.operators import evaluate as ev
 
-        train, test = _split(spark, d)
-        pred = va.fit_predict(train, test, name, params, exclude=())
-        m = ev.metrics_at(pred.withColumn("model", F.lit(name)), 0.5, ["model"])
-        return m
-    run.__doc__ = f"M6-M13: {name} {params} fitted on folds 1-4, scored on fold 0 (pooled metrics at 0.5)."
+        df = va.assign_folds(_learners(spark, d), 5, 42)
+        enc = va._encode(df, [(F.col("fold") != 0, F.col("fold") == 0)], "target", "row_id", ("fold",))
+        grid = GRIDS[name]
+        m = ev.metrics_at(va.fit_many(enc, [(0, name, p) for p in grid]), 0.5, ["problem"])
+        params = F.element_at(F.lit([json.dumps(p, sort_keys=True) for p in grid]), F.col("problem") + 1)
+        return m.select(F.lit(name).alias("model"), F.col("problem").alias("candidate"), params.alias("params"), *[c for c in m.columns if c != "problem"])
+    run.__doc__ = f"M6-M13: every candidate of {name} fitted on folds 1-4, scored on fold 0 (pooled metrics at 0.5)."
     return run
 
 
-# first candidate of each family's grid (the full grids live in GRIDS)
-for _name, _params in [("Dummy Baseline", {}), ("Logistic Regression", {"C": 0.01, "l1_ratio": 0.0}),
-                       ("Decision Tree", {"max_depth": 3, "min_samples_leaf": 1}),
-                       ("Random Forest", {"n_estimators": 100, "max_depth": 5, "min_samples_leaf": 1}),
-                       ("Gradient Boosting", {"n_estimators": 100, "learning_rate": 0.05, "max_depth": 2}),
-                       ("SVM RBF", {"C": 0.1, "gamma": "scale"}), ("KNN", {"n_neighbors": 5, "weights": "uniform"})]:
-    query("fit_" + _name.lower().replace(" ", "_"), None)(_family(_name, _params))
+for _name in GRIDS:
+    query("fit_" + _name.lower().replace(" ", "_"), None)(_family(_name))
 
 
 _CATS = ["school", "sex", "mjob", "famsup", "schoolsup"]
