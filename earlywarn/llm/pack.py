@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earlywarn.llm import util
-from earlywarn.llm.tokens import batches, encoder
+from earlywarn.llm.textwords import slices
+from earlywarn.llm.tokens import encoder
 
 ENCODED = "id long, part int, before long, n long, ids binary"
 PIECES = "id long, start long, length long, sequence_id long, offset long, doc_tokens long, ids binary"
@@ -43,8 +44,8 @@ def encode_documents(df: DataFrame, id_col: str, text_col: str, tokenizer: str,
         part, before = TaskContext.get().partitionId(), 0
         for batch in rows:
             ids = batch.column(0)
-            for a, b, texts in batches(batch.column(1)):
-                flat, counts = enc.encode(texts)
+            for a, b in slices(batch.column(1)):
+                flat, counts = enc.encode_column(batch.column(1).slice(a, b - a))
                 ends = np.cumsum(counts)
                 full = np.insert(flat, ends, end_id).astype(kind)  # the end id after each document
                 n = counts + 1

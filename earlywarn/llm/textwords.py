@@ -75,13 +75,18 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         begin = end
 
 
-def split(column: pa.Array, gap: np.ndarray, lower: bool = False) -> Words:
-    """Words of a string column between bytes of ``gap``; null texts have none."""
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a string column in a row, and where each text begins; null texts are empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     body = column.buffers()[2]
     data = np.frombuffer(body, dtype=np.uint8)[offsets[0] : offsets[-1]] if body else np.zeros(0, dtype=np.uint8)
-    offsets = offsets - offsets[0]
+    return data, offsets - offsets[0]
+
+
+def split(column: pa.Array, gap: np.ndarray, lower: bool = False) -> Words:
+    """Words of a string column between bytes of ``gap``; null texts have none."""
+    data, offsets = text_bytes(column)
     if lower:
         data = LOWER[data]
     outside = gap[data]
@@ -96,7 +101,7 @@ def split(column: pa.Array, gap: np.ndarray, lower: bool = False) -> Words:
     ends[edge] = inside[edge]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, offsets)
-    return Words(data, start, end, np.repeat(np.arange(len(column)), np.diff(first)), first)
+    return Words(data, start, end, np.repeat(np.arange(len(offsets) - 1), np.diff(first)), first)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -18,11 +18,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_CHUNKS = 300_000  # chunks remembered by one worker (a memory bound only)
+from earlywarn.llm import textwords as tw
+
+CACHE_CHUNKS = 700_000  # chunks remembered by one worker (a memory bound only)
 STORE_IDS = 8_000_000  # ids remembered by one worker (a memory bound only)
 LONG_WORD = 64  # longer pre-tokens (in characters) are not remembered
 
-_GAP = re.compile(r"(?<=\S) (?=\S)")  # a single blank between two visible characters
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 # Chunks of these characters only are cut into pre-tokens here, by the
 # tokenizer's published pattern; any other chunk goes through its own code.
@@ -40,36 +41,80 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(256 + rest.index(b)) for b in range(256)]
 
 
-def split_leading(text: str) -> list[str]:
-    """Chunks of a byte-level vocabulary, whose words carry the blank before them."""
-    if "\x01" not in text and " ".join(text.split()) == text.replace("\n", " "):
-        return text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")
-    parts = _GAP.split(text)
-    return [parts[0], *[" " + p for p in parts[1:]]]
-
-
-def split_bare(text: str) -> list[str]:
-    """Chunks of a lower-case vocabulary that drops white space."""
-    try:
-        text.encode("latin-1")  # each of these characters has a lower case of its own
-        text = text.lower()
-    except UnicodeEncodeError:
-        pass
-    return text.replace("\n", " ").split(" ")
+NEWLINE, SPACE = 0x0A, 0x20
+_SEEN = tw.byte_set((0x21, 0x7E), (0x80, 0xFF))
+_BARE_GAPS = tw.byte_set((SPACE, SPACE), (NEWLINE, NEWLINE))
+_ASCII_LETTERS = tw.byte_set((0x41, 0x5A), (0x61, 0x7A))
+_MARKS = tw.byte_set((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+_LATIN1 = tw.byte_set((0x80, 0x96), (0x98, 0xB6), (0xB8, 0xBF))  # second bytes of the letters from U+00C0 on
+# first bytes of the characters among which Unicode has white space
+_DOUBTFUL2, _DOUBTFUL3 = tw.byte_set((0xC2, 0xC2)), tw.byte_set((0xE1, 0xE3))
+
+
+def _leading_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where chunks of a byte-level vocabulary, whose words carry the blank
+    before them, begin: at texts, at single blanks and around single line
+    feeds between two visible characters.  A character that may be Unicode
+    white space is not taken for visible; the chunk is then longer."""
+    at = np.flatnonzero((data == SPACE) | (data == NEWLINE))
+    inner = np.ones(len(data) + 1, dtype=bool)
+    inner[offsets] = False
+    at = at[inner[at] & inner[at + 1]]
+    after = data[np.minimum(at + 1, len(data) - 1)]
+    doubtful = _DOUBTFUL2[after] | _DOUBTFUL3[after]
+    before = data[at - 1] if len(at) else after
+    doubtful |= (before >= 0x80) & (_DOUBTFUL2[data[at - 2]] | _DOUBTFUL3[data[at - 3]])
+    at = at[_SEEN[before] & _SEEN[after] & ~doubtful]
+    begins = np.zeros(len(data) + 1, dtype=bool)
+    begins[offsets] = True
+    begins[at] = True
+    begins[at[data[at] == NEWLINE] + 1] = True
+    begins[_word_ends(data)] = True
+    return np.flatnonzero(begins[:-1])
+
+
+def _word_ends(data: np.ndarray) -> np.ndarray:
+    """Where ASCII punctuation follows a Latin letter: no pre-token spans that place."""
+    at = np.flatnonzero(_MARKS[data])
+    at = at[at > 0]
+    before = data[at - 1]
+    accented = (data[at - 2] == 0xC3) & _LATIN1[before]
+    return at[_ASCII_LETTERS[before] | accented]
+
+
+def chunks(column: pa.Array, leading: bool) -> tuple[pa.Array, np.ndarray]:
+    """The chunks of all texts as one binary column, and the first chunk of each text."""
+    if not leading:  # a lower-case vocabulary that drops white space
+        w = tw.split(column, _BARE_GAPS, lower=True)
+        if not len(w.start):
+            return w.array(), w.first
+        offsets = np.append(w.start, len(w.data))[w.first]  # a text begins no later than its first word
+        at = _word_ends(w.data)
+        inside = np.searchsorted(w.start, at, side="right") - 1
+        at = at[(inside >= 0) & (w.start[inside] < at) & (at < w.end[inside])]
+        start, end = np.sort(np.concatenate([w.start, at])), np.sort(np.concatenate([w.end, at]))
+        cut = tw.Words(w.data, start, end, w.doc, np.searchsorted(start, offsets))
+        return cut.array(), cut.first
+    data, offsets = tw.text_bytes(column)
+    cuts = _leading_cuts(data, offsets) if len(data) else np.zeros(0, dtype=np.int64)
+    edges = np.append(cuts, len(data)).astype(np.int64)
+    body = pa.py_buffer(np.ascontiguousarray(data))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(edges), body]), np.searchsorted(cuts, offsets)
 
 
 class ChunkEncoder:
-    """Encodes texts by a tokenizer file of the ``tokenizers`` library.
+    """Encodes texts by a tokenizer file of the ``tokenizers`` library, with
+    the ids of ``encode(text, add_special_tokens=False)``.
 
-    ``leading``: the vocabulary's words carry the blank before them.  Strings
-    that look like special tokens are ordinary text.
+    ``leading``: the vocabulary's words carry the blank before them.  The few
+    texts that hold the string of an added token go to the library whole.
     """
 
     def __init__(self, path: str, leading: bool):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = sorted({t.content for t in self.tok.get_added_tokens_decoder().values()})
         self.normalizer, self.pre_tokenizer, self.model = self.tok.normalizer, self.tok.pre_tokenizer, self.tok.model
         self.leading = leading
         self.letters = _byte_letters()
@@ -78,7 +123,7 @@ class ChunkEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[bytes, int] = {}
         self.store = np.zeros(1 << 16, dtype=np.int32)
         self.used = 0
         self.start = np.zeros(1 << 14, dtype=np.int64)
@@ -108,9 +153,17 @@ class ChunkEncoder:
             chunk = self.normalizer.normalize_str(chunk)
         return [t.id for w, _ in self.pre_tokenizer.pre_tokenize_str(chunk) for t in self.model.tokenize(w)]
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: list[bytes]) -> None:
         """Encode chunks that are not known yet."""
-        ids = [self._chunk_ids(c) for c in chunks]
+        tokenize, blank = self.model.tokenize, self.blank
+        ids: list = []
+        for c in chunks:
+            word = c.lstrip(b" ") if self.leading else c
+            if word.isalpha() and len(c) - len(word) < 2:  # ASCII letters: one pre-token
+                spelled = word.decode() if len(word) == len(c) else blank + word.decode()
+                ids.append([t.id for t in tokenize(spelled)])
+            else:
+                ids.append(self._chunk_ids(c.decode()))
         lens = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(lens.sum()))
         n0, n1 = len(self.index), len(self.index) + len(chunks)
@@ -125,30 +178,47 @@ class ChunkEncoder:
         self.used += len(flat)
         self.index.update(zip(chunks, range(n0, n1)))
 
-    def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids (int32) of the texts in a row and the count of each text;
-        null and empty texts have none."""
+    def _encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > CACHE_CHUNKS or self.used > STORE_IDS:
             self.clear()
         if len(self.known) > CACHE_CHUNKS:
             self.known = {}
-        split = split_leading if self.leading else split_bare
-        pieces = [split(t) if t else [] for t in texts]
-        flat = list(chain.from_iterable(pieces))
-        index = self.index
-        at = np.fromiter(map(index.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        pieces, first = chunks(column, self.leading)
+        coded = pc.dictionary_encode(pieces)
+        distinct = coded.dictionary.to_pylist()
+        at = np.fromiter(map(self.index.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
         new = np.flatnonzero(at < 0).tolist()
         if new:
-            self._learn(list(dict.fromkeys([flat[i] for i in new])))
-            at[new] = [index[flat[i]] for i in new]
+            self._learn([distinct[i] for i in new])
+            at[new] = [self.index[distinct[i]] for i in new]
+        at = at[coded.indices.to_numpy()] if len(distinct) else at
         lens = self.length[at]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.store[np.repeat(self.start[at] - (ends - lens), lens) + np.arange(total)]
-        bounds = np.concatenate([[0], np.cumsum([len(p) for p in pieces], dtype=np.int64)]).astype(np.int64)
-        edge = np.concatenate([[0], ends]).astype(np.int64)[bounds]
+        edge = np.concatenate([[0], ends]).astype(np.int64)[first]
         return ids, np.diff(edge)
 
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (int32) of a string column in a row and the count of each
+        text; null and empty texts have none."""
+        column = pc.fill_null(column, "")
+        odd = np.zeros(len(column), dtype=bool)
+        for name in self.added:
+            odd |= pc.match_substring(column, name).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self._encode(column)
+        ids, counts = self._encode(pc.if_else(pa.array(odd), "", column))
+        whole = [np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype=np.int32) for t in column.filter(pa.array(odd)).to_pylist()]
+        edge = np.concatenate([[0], np.cumsum(counts)])
+        own = iter(whole)
+        parts = [next(own) if odd[i] else ids[edge[i] : edge[i + 1]] for i in range(len(column))]
+        return np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
+
+    def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode_column`` of a list of texts."""
+        return self.encode_column(pa.array(texts, pa.string()))
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, leading: bool) -> ChunkEncoder:

@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earlywarn.llm import util
-from earlywarn.llm.tokens import batches, encoder
+from earlywarn.llm.textwords import slices
+from earlywarn.llm.tokens import encoder
 
 SCHEMA = "doc_id long, part int, before long, n_tokens long, ids array<int>"
 LAYOUT = {
@@ -63,8 +64,8 @@ def write_tokens(
         part, before = TaskContext.get().partitionId(), 0
         for batch in rows:
             ids = batch.column(0)
-            for a, b, texts in batches(batch.column(1)):
-                flat, counts = enc.encode(texts)
+            for a, b in slices(batch.column(1)):
+                flat, counts = enc.encode_column(batch.column(1).slice(a, b - a))
                 full = np.insert(flat, np.cumsum(counts), end_id)
                 n = counts + 1
                 edge = np.concatenate([[0], np.cumsum(n)])
