@@ -283,7 +283,8 @@ def language(model: Model, text: Column, spark) -> Column:
             [pa.array(x, k) for x, k in zip((lang, score, bits), kinds)], ["lang_pred", "score", "bits"]
         )
 
-    return found(text)
+    # read by a filter and a projection: it must not be evaluated for each of them
+    return found.asNondeterministic()(text)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
