@@ -165,122 +165,6 @@ def _matched(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return both.filter(shared * t.denominator >= union * t.numerator).select("later").distinct()
 
 
-def checked(small: DataFrame, places: str) -> DataFrame:
-    """A written table of documents with lists of places is sent to all tasks
-    if it holds at most ``SENT_ITEMS`` of both; a larger one is joined by a
-    shuffle on both sides."""
-    items = small.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size(places)), F.lit(0))).first()[0]
-    return F.broadcast(small) if items <= SENT_ITEMS else small
-
-
-def _lines(df: DataFrame, text_col: str) -> DataFrame:
-    """A row for every line: document (id, mark), pos, line."""
-    return df.select(ID, MARK, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
-
-
-TOP = 4095  # greatest size and place a posting can hold; filters let larger sets pass
-
-
-def _postings(classes: DataFrame) -> DataFrame:
-    """One row per class and prefix key: ``at`` packs 40 bits of the key, the
-    size of the set and the place of the key in it, 12 bits each."""
-    p, key = F.col("p"), F.col("key")
-    packed = F.shiftleft(F.shiftrightunsigned(key, 23), 24).bitwiseOR(
-        F.shiftleft(F.least("n", F.lit(TOP)).cast("long"), 12).bitwiseOR(F.least(p, F.lit(TOP)).cast("long"))
-    )
-    rows = classes.select("cid", "n", "bits", F.posexplode("prefix").alias("p", "key"))
-    return rows.select(packed.alias("at"), "bits", "cid")
-
-
-def _same_key(a: str, b: str) -> Column:
-    return F.shiftrightunsigned(F.col(f"{a}.at"), 24) == F.shiftrightunsigned(F.col(f"{b}.at"), 24)
-
-
-def _may_match(a: str, b: str, t: Fraction) -> Column:
-    """Length, positional and parity filter on two postings of the same key."""
-    n, d = t.numerator, t.denominator
-    size = {x: F.shiftrightunsigned(F.col(f"{x}.at"), 12).bitwiseAND(F.lit(TOP)) for x in (a, b)}
-    place = {x: F.col(f"{x}.at").bitwiseAND(F.lit(TOP)) for x in (a, b)}
-    both = size[a] + size[b]
-    # the least overlap is n / (n + d) of both sizes, rounded up; no division is needed
-    after = F.least(size[a] - place[a], size[b] - place[b])
-    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
-    fits = (
-        (size[a] * d >= size[b] * n)
-        & (size[b] * d >= size[a] * n)
-        & (after * (n + d) >= both * n)
-        & ((both - apart) * (n + d) >= both * (2 * n))
-    )
-    return (size[a] == TOP) | (size[b] == TOP) | fits
-
-
-def _similar(a: str, b: str, t: Fraction) -> Column:
-    """Jaccard similarity of the whole sets."""
-    shared = F.size(F.array_intersect(F.col(f"{a}.keys"), F.col(f"{b}.keys")))
-    union = F.size(F.col(f"{a}.keys")) + F.size(F.col(f"{b}.keys")) - shared
-    return shared * t.denominator >= union * t.numerator
-
-
-def checked(small: DataFrame, places: str) -> DataFrame:
-    """A written table of documents with lists of places is sent to all tasks
-    if it holds at most ``SENT_ITEMS`` of both; a larger one is joined by a
-    shuffle on both sides."""
-    items = small.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size(places)), F.lit(0))).first()[0]
-    return F.broadcast(small) if items <= SENT_ITEMS else small
-
-
-def _lines(df: DataFrame, text_col: str) -> DataFrame:
-    """A row for every line: document (id, mark), pos, line."""
-    return df.select(ID, MARK, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
-
-
-TOP = 4095  # greatest size and place a posting can hold; filters let larger sets pass
-
-
-def _postings(classes: DataFrame) -> DataFrame:
-    """One row per class and prefix key: ``at`` packs 40 bits of the key, the
-    size of the set and the place of the key in it, 12 bits each."""
-    p, key = F.col("p"), F.col("key")
-    packed = F.shiftleft(F.shiftrightunsigned(key, 23), 24).bitwiseOR(
-        F.shiftleft(F.least("n", F.lit(TOP)).cast("long"), 12).bitwiseOR(F.least(p, F.lit(TOP)).cast("long"))
-    )
-    rows = classes.select("cid", "n", "bits", F.posexplode("prefix").alias("p", "key"))
-    return rows.select(packed.alias("at"), "bits", "cid")
-
-
-def _same_key(a: str, b: str) -> Column:
-    return F.shiftrightunsigned(F.col(f"{a}.at"), 24) == F.shiftrightunsigned(F.col(f"{b}.at"), 24)
-
-
-def _may_match(a: str, b: str, t: Fraction) -> Column:
-    """Length, positional and parity filter on two postings of the same key."""
-    n, d = t.numerator, t.denominator
-    size = {x: F.shiftrightunsigned(F.col(f"{x}.at"), 12).bitwiseAND(F.lit(TOP)) for x in (a, b)}
-    place = {x: F.col(f"{x}.at").bitwiseAND(F.lit(TOP)) for x in (a, b)}
-    both = size[a] + size[b]
-    # the least overlap is n / (n + d) of both sizes, rounded up; no division is needed
-    after = F.least(size[a] - place[a], size[b] - place[b])
-    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
-    fits = (
-        (size[a] * d >= size[b] * n)
-        & (size[b] * d >= size[a] * n)
-        & (after * (n + d) >= both * n)
-        & ((both - apart) * (n + d) >= both * (2 * n))
-    )
-    return (size[a] == TOP) | (size[b] == TOP) | fits
-
-
-def _matched(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """Later classes of the (later, earlier) ``pairs`` that are similar."""
-    pairs = pairs.distinct()
-    a = sets.select(F.col("cid").alias("later"), F.col("keys").alias("ka"))
-    b = sets.select(F.col("cid").alias("earlier"), F.col("keys").alias("kb"))
-    both = pairs.join(a, "later").join(b, "earlier")
-    shared = F.size(F.array_intersect("ka", "kb"))
-    union = F.size("ka") + F.size("kb") - shared
-    return both.filter(shared * t.denominator >= union * t.numerator).select("later").distinct()
-
-
 def _mark(text: Column) -> Column:
     """128 bits that name a text."""
     return F.struct(F.xxhash64(text).alias("m1"), F.xxhash64(F.lit(1), text).alias("m2"))
