@@ -15,6 +15,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from earlywarn.functions.ranking import running_totals
 from earlywarn.operators.models import pass_probability, sigmoid
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -29,7 +30,6 @@ RISK_BANDS = ((35.0, "low"), (65.0, "moderate"), (100.0, "high"))
 SCENARIO_NAMES = ("Current profile", "Attendance support", "Study-time coaching", "Custom adviser plan",
                   "Recovery plan after failures")
 PROMISING = 0.05
-MAX_BACKGROUND = 10_000  # rows of a permutation background (broadcast as one row)
 
 
 def linear_scorer(intercept: float, coef: Mapping[str, float]) -> Scorer:
@@ -197,6 +197,16 @@ def class_contributions(df: DataFrame, col: str = "contrib", cls: int = 1) -> Da
 CLIP = 1e-9
 
 
+def background_slots(background: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(_b, _bgrow): background rows numbered from 0 in the order of their
+    values.  Equal rows are counted first and take consecutive numbers, so
+    the numbering needs no key; the counts are summed in slices of the order."""
+    feats = list(features)
+    kinds = background.select(*feats).groupBy(*feats).agg(F.count(F.lit(1)).alias("_n"))
+    ends = running_totals(kinds, [], feats, {"_end": F.col("_n")})
+    return ends.select(F.explode(F.sequence(F.col("_end") - F.col("_n"), F.col("_end") - 1)).alias("_b"), F.struct(*feats).alias("_bgrow"))
+
+
 def permutation_contributions(df: DataFrame, scorer: Scorer, background: DataFrame, features: Sequence[str], n_perm: int = 8,
                               seed: int = 42, key: str = "row_id", margin: bool = True) -> DataFrame:
     """E1(b): model-agnostic contributions by permutation sampling (Strumbelj & Kononenko 2014).
@@ -207,16 +217,17 @@ def permutation_contributions(df: DataFrame, scorer: Scorer, background: DataFra
     score (the margin when ``margin``) is credited to that feature.  All
     coalitions of all rows are scored in one batch ``transform``; the average
     over permutations is an unbiased estimate that sums exactly to
-    score(row) - mean score(background rows drawn).  The background must be
-    small (it is indexed per draw); rows are never paired with each other.
+    score(row) - mean score(background rows drawn).  Background rows are
+    numbered in the order of their values and a draw meets its row by an
+    equi-join on that number, so the background may have any size (a small
+    one is broadcast by its measured size); an empty one is an error.
     """
     feats = list(features)
     nf = len(feats)
-    bg = background.select(*feats).withColumn("_bi", F.row_number().over(Window.orderBy(*feats)) - 1)
-    nbg = bg.count()
-    if nbg == 0 or nbg > MAX_BACKGROUND:
-        raise ValueError(f"background must hold 1..{MAX_BACKGROUND} rows (it is broadcast as one row), got {nbg}")
-    bgc = bg.select(F.collect_list(F.struct("_bi", *feats)).alias("_bg"))  # the small background as one row
+    slots = background_slots(background, feats)
+    nbg = background.count()
+    if nbg == 0:
+        raise ValueError("the background has no rows")
     perms = F.sequence(F.lit(0), F.lit(n_perm - 1))
     x = df.select(key, *feats).select("*", F.explode(perms).alias("_p"))
     # deterministic order: sort feature indices by a hash of (seed, key, perm, feature)
@@ -224,8 +235,7 @@ def permutation_contributions(df: DataFrame, scorer: Scorer, background: DataFra
     x = x.withColumn("_ord", F.transform(F.array_sort(F.transform(idx, lambda i: F.struct(
         F.xxhash64(F.lit(seed), F.col(key), F.col("_p"), i).alias("h"), i.alias("i")))), lambda s: s["i"]))
     x = x.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.col("_p")), F.lit(nbg)))
-    x = x.crossJoin(F.broadcast(bgc))  # one row holding the bounded background
-    x = x.withColumn("_bgrow", F.filter("_bg", lambda s: s["_bi"] == F.col("_b"))[0]).drop("_bg")
+    x = x.join(slots, "_b")
     steps = F.sequence(F.lit(0), F.lit(nf))
     x = x.select("*", F.explode(steps).alias("_s"))  # coalition: first _s features of the order from the row
     cols = []

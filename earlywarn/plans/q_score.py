@@ -126,7 +126,7 @@ def local_explanation(spark, d):
 @query("contributions_model", None)
 def contributions_model(spark, d):
     """E1(b)/J11: permutation contributions of a fitted logistic pipeline for every learner
-    (4 permutations, background = the 100-row seeded sample); additive to the margin."""
+    (8 permutations, background = the 100-row seeded sample); additive to the margin."""
     from earlywarn.operators import validate as va
     from earlywarn.plans import q_models as qm
 
@@ -134,7 +134,7 @@ def contributions_model(spark, d):
     model = va.fit_default(lr)
     feats = [c for c in qm.FEATURES if c not in ("row_id", "target")]
     bg = shape.seeded_sample(lr, 100, 42)
-    return sc.permutation_contributions(lr, sc.model_scorer(model), bg, feats, n_perm=4)
+    return sc.permutation_contributions(lr, sc.model_scorer(model), bg, feats)
 
 
 @query("top_features", r6(_BG + " SELECT feature, avg(abs(phi)) AS mean_abs_phi FROM c GROUP BY feature ORDER BY mean_abs_phi DESC, feature LIMIT 2", "mean_abs_phi"))
@@ -148,3 +148,59 @@ def class_contributions(spark, d):
     """The pass-class slice of two-class contribution arrays (risk = -phi, pass = phi)."""
     c = _contrib(spark, d).select("row_id", "feature", F.array(-F.col("phi"), F.col("phi")).alias("contrib"))
     return sc.class_contributions(c, "contrib", 1).withColumnRenamed("contrib", "phi")
+
+
+def _margin_sql(f: str, a: str, s: str) -> str:
+    """Margin of the fixed trees (``fixtures.FIXED_TREES``) as CASE expressions."""
+    at = {"failures": f, "absences": a, "studytime": s}
+
+    def branch(tree: dict, node: int) -> str:
+        n = tree[node]
+        if not isinstance(n, tuple):
+            return f"{n!r}e0"
+        feature, threshold, left, right = n
+        return f"CASE WHEN {at[feature]} <= {threshold!r}e0 THEN {branch(tree, left)} ELSE {branch(tree, right)} END"
+
+    return " + ".join(f"{w!r}e0 * ({branch(tree, 0)})" for w, tree in fx.FIXED_TREES)
+
+
+def _coalition_sql() -> str:
+    """Shapley values by all eight coalitions of three features, each the mean
+    margin over every background row, on distinct profiles with their counts."""
+    cols = ("failures", "absences", "studytime")
+    means = []
+    for mask in range(8):
+        args = [f"{'x' if mask >> i & 1 else 'z'}.{c}" for i, c in enumerate(cols)]
+        means.append(f"sum(z.n * ({_margin_sql(*args)})) / sum(z.n) AS v{mask}")
+    phis = []
+    for i, c in enumerate(cols):
+        j, k = [1 << o for o in range(3) if o != i]
+        b = 1 << i
+        phi = f"(v{b} - v0) / 3e0 + (v{b | j} - v{j}) / 6e0 + (v{b | k} - v{k}) / 6e0 + (v7 - v{j | k}) / 3e0"
+        phis.append(f"({i}, '{c}', CAST(l.{c} AS DOUBLE), {phi})")
+    return L + f""", p AS (SELECT failures, absences, studytime, CAST(count(*) AS DOUBLE) AS n FROM learners GROUP BY ALL),
+v AS (SELECT x.failures, x.absences, x.studytime, {', '.join(means)} FROM p x, p z GROUP BY ALL)
+SELECT l.row_id, v0 AS base, v7 AS margin, position, feature, value, phi
+FROM learners l JOIN v USING (failures, absences, studytime), LATERAL (VALUES {', '.join(phis)}) s(position, feature, value, phi)"""
+
+
+@query("contributions_trees", r6(_coalition_sql(), "base", "margin", "value", "phi"))
+def contributions_trees(spark, d):
+    """Exact contributions of a fixed ensemble of trees for every learner, all learners as background."""
+    from earlywarn.operators import tree_contributions as tc
+
+    lr = fx.learners(spark, d)
+    names = ["failures", "absences", "studytime"]
+    x = F.array(*[F.col(c).cast("double") for c in names])
+    return tc.tree_contributions(lr, lr, fx.fixed_nodes(spark, names), x, names)
+
+
+@query("contributions_boosting", None)
+def contributions_boosting(spark, d):
+    """Contributions of the default explained model (boosting, 120 trees, rate 0.05, depth 2, fitted on all
+    learners) on its transformed features for every learner, log-odds, background = the 100-row seeded sample."""
+    from earlywarn.operators import tree_contributions as tc
+    from earlywarn.plans import q_models as qm
+
+    lr = qm._learners(spark, d)
+    return tc.boosting_contributions(lr, tc.fit_explained(lr), shape.seeded_sample(lr, 100, 42))

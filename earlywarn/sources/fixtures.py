@@ -136,6 +136,25 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 FIXED_INTERCEPT = 1.2
 FIXED_COEF = {"failures": -0.9, "absences": -0.05, "studytime": 0.4}
 
+# Fixed trees for the same purpose: (weight, {node: (feature, threshold, left, right) or a leaf value}).
+FIXED_TREES = (
+    (1.0, {0: ("failures", 0.5, 1, 2), 1: ("absences", 6.5, 3, 4), 2: ("studytime", 1.5, 5, 6), 3: 0.8, 4: 0.3, 5: -0.9, 6: -0.2}),
+    (0.5, {0: ("absences", 10.5, 1, 2), 1: ("absences", 3.5, 3, 4), 2: ("failures", 1.5, 5, 6), 3: 0.4, 4: 0.1, 5: -0.3, 6: -0.7}),
+    (0.25, {0: ("studytime", 2.5, 1, 2), 1: ("failures", 0.5, 3, 4), 2: 0.25, 3: ("absences", 20.5, 5, 6), 4: -0.4, 5: 0.1, 6: -0.6}),
+)
+
+
+def fixed_nodes(spark: SparkSession, features: list[str]) -> DataFrame:
+    """``FIXED_TREES`` as a node table over the positions of ``features``."""
+    from earlywarn.operators.tree_contributions import NODE_SCHEMA
+
+    rows = []
+    for t, (weight, tree) in enumerate(FIXED_TREES):
+        for node, n in tree.items():
+            inner = (features.index(n[0]), n[1], None, n[2], n[3], None) if isinstance(n, tuple) else (None, None, None, None, None, n)
+            rows.append((t, weight, node, *inner, None, None))
+    return spark.createDataFrame(rows, NODE_SCHEMA)
+
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a search history, one trial per supplier: C log-uniform in [1e-3, 1e2],
