@@ -138,9 +138,10 @@ FIXED_COEF = {"failures": -0.9, "absences": -0.05, "studytime": 0.4}
 
 # Fixed trees for the same purpose: (weight, {node: (feature, threshold, left, right) or a leaf value}).
 FIXED_TREES = (
-    (1.0, {0: ("failures", 0.5, 1, 2), 1: ("absences", 6.5, 3, 4), 2: ("studytime", 1.5, 5, 6), 3: 0.8, 4: 0.3, 5: -0.9, 6: -0.2}),
-    (0.5, {0: ("absences", 10.5, 1, 2), 1: ("absences", 3.5, 3, 4), 2: ("failures", 1.5, 5, 6), 3: 0.4, 4: 0.1, 5: -0.3, 6: -0.7}),
-    (0.25, {0: ("studytime", 2.5, 1, 2), 1: ("failures", 0.5, 3, 4), 2: 0.25, 3: ("absences", 20.5, 5, 6), 4: -0.4, 5: 0.1, 6: -0.6}),
+    (1.0, {0: ("failures", 0.5, 1, 2), 1: ("absences", 6.5, 3, 4), 2: ("studytime", 1.5, 5, 6), 3: 0.812937461, 4: 0.307114829, 5: -0.904862173, 6: -0.215739048}),
+    (0.5, {0: ("absences", 10.5, 1, 2), 1: ("absences", 3.5, 3, 4), 2: ("failures", 1.5, 5, 6), 3: 0.418273659, 4: 0.103958247, 5: -0.296417583, 6: -0.731850264}),
+    (0.25, {0: ("studytime", 2.5, 1, 2), 1: ("failures", 0.5, 3, 4), 2: 0.253719846, 3: ("absences", 20.5, 5, 6), 4: -0.408261957, 5: 0.117392548,
+            6: -0.620581437}),
 )
 
 
