@@ -12,8 +12,9 @@ more; equal sets have similarity one.
    share one.  A self-semi-join of the postings keeps those that meet another
    class within the length filter, the positional filter and a bound on the
    symmetric difference from 64 parity bits.
-4. The classes left get 256 more parity bits, which leave hardly a pair that
-   is not similar, and are verified by their whole sets: each against the
+4. The classes left are numbered in the order of their first lines and get
+   256 more parity bits, which leave hardly a pair that is not similar; they
+   are verified by their whole sets: each against the
    first classes of its posting lists and, where that finds none, against
    every earlier class it meets.  So in a dense group of n variants most are
    settled by a multiple of n pairs, not by their square.
@@ -100,7 +101,7 @@ def _postings(classes: DataFrame) -> DataFrame:
     """One row per class and prefix key: ``at`` packs 40 bits of the key, the
     size of the set and the place of the key in it, 12 bits each."""
     p, key = F.col("p"), F.col("key")
-    packed = F.shiftleft(F.shiftrightunsigned(key, 23), 24).bitwiseOR(
+    packed = F.shiftleft(key, 24).bitwiseOR(
         F.shiftleft(F.least("n", F.lit(TOP)).cast("long"), 12).bitwiseOR(F.least(p, F.lit(TOP)).cast("long"))
     )
     rows = classes.select("cid", "n", "bits", F.posexplode("prefix").alias("p", "key"))
@@ -129,36 +130,37 @@ def _may_match(a: str, b: str, t: Fraction) -> Column:
     return (size[a] == TOP) | (size[b] == TOP) | fits
 
 
-def _sketch(keys: Column) -> Column:
-    """Four more words of 64 parity bits, from other bits of the keys."""
+def _sketch(keys: Column) -> list[Column]:
+    """256 more parity bits, from other bits of the keys: two of them choose
+    one of four words, six a bit of it."""
 
-    def word(at: int) -> Column:
+    def word(i: int) -> Column:
         def bit(k: Column) -> Column:
-            place = F.shiftrightunsigned(k, at).bitwiseAND(63).cast("int")
-            return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+            place = F.shiftrightunsigned(k, 6).bitwiseAND(63).cast("int")
+            mine = F.shiftrightunsigned(k, 12).bitwiseAND(3) == i
+            return F.when(mine, F.call_function("shiftleft", F.lit(1).cast("long"), place)).otherwise(F.lit(0).cast("long"))
 
         return F.aggregate(keys, F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(bit(k)))
 
-    words = [word(at) for at in (6, 12, 18, 24)]
-    return F.struct(*[w.alias(f"w{i}") for i, w in enumerate(words)])
+    return [word(i).alias(f"w{i}") for i in range(4)]
 
 
 def _sketches_match(a: str, b: str, t: Fraction) -> Column:
-    """Each word bounds the symmetric difference of two similar sets."""
+    """The differing bits of all words bound the symmetric difference of two
+    similar sets: a word in one set only changes one bit."""
     n, d = t.numerator, t.denominator
     both = F.col(f"{a}.size") + F.col(f"{b}.size")
-    out = F.lit(True)
+    apart = F.lit(0)
     for i in range(4):
-        apart = F.bit_count(F.col(f"{a}.w.w{i}").bitwiseXOR(F.col(f"{b}.w.w{i}")))
-        out = out & ((both - apart) * (n + d) >= both * (2 * n))
-    return out
+        apart = apart + F.bit_count(F.col(f"{a}.w{i}").bitwiseXOR(F.col(f"{b}.w{i}")))
+    return (both - apart) * (n + d) >= both * (2 * n)
 
 
 def _matched(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """Later classes of the (later, earlier) ``pairs`` that are similar."""
     pairs = pairs.distinct()
-    a = sets.select(F.col("cid").alias("later"), F.col("keys").alias("ka"))
-    b = sets.select(F.col("cid").alias("earlier"), F.col("keys").alias("kb"))
+    a = sets.select(F.col("seq").alias("later"), F.col("keys").alias("ka"))
+    b = sets.select(F.col("seq").alias("earlier"), F.col("keys").alias("kb"))
     both = pairs.join(a, "later").join(b, "earlier")
     shared = F.size(F.array_intersect("ka", "kb"))
     union = F.size("ka") + F.size("kb") - shared
@@ -205,7 +207,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
             F.xxhash64("keys").alias("k1"),
             F.xxhash64(F.lit(1), "keys").alias("k2"),
             F.struct(F.col(ID).alias("id"), F.col(MARK).alias("mark"), "pos").alias("e"),
-            F.struct("n", parity.alias("bits"), prefix.alias("prefix")).alias("s"),
+            F.struct("n", parity.alias("bits"), F.transform(prefix, lambda k: F.shiftrightunsigned(k, 23)).alias("prefix")).alias("s"),
         )
         .groupBy("k1", "k2")
         .agg(F.min("e").alias("e"), F.first("s").alias("s"))
@@ -221,35 +223,37 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     )
     live = util.cut(live, "line-live")
     named = classes.select("cid", "e").join(live.select("cid").distinct(), "cid", "left_semi")
+    # numbers that grow with the order of the first lines; written, so they stay
+    named = util.cut(named.orderBy("e").select("cid", "e", F.monotonically_increasing_id().alias("seq")), "line-named")
 
     # whole sets of the classes left
-    where = named.select("cid", F.col("e.id").alias("id"), F.col("e.mark").alias("mark"), F.col("e.pos").alias("pos"))
-    wanted = util.cut(where.groupBy("id", "mark").agg(F.collect_list(F.struct("pos", "cid")).alias("at")), "line-wanted")
+    where = named.select("seq", F.col("e.id").alias("id"), F.col("e.mark").alias("mark"), F.col("e.pos").alias("pos"))
+    wanted = util.cut(where.groupBy("id", "mark").agg(F.collect_list(F.struct("pos", "seq")).alias("at")), "line-wanted")
     held = docs.filter(~F.col(COPY)).select(ID, MARK, F.col(text_col).alias("__line_text"))
     held = held.join(checked(wanted, "at"), F.col("id").eqNullSafe(F.col(ID)) & (F.col("mark") == F.col(MARK)))
-    held = held.withColumn("lines", F.split("__line_text", "\n", -1)).select("id", "mark", "lines", F.explode("at").alias("x"))
+    held = held.withColumn("lines", F.split("__line_text", "\n", -1)).select("lines", F.explode("at").alias("x"))
     sets = held.select(
-        F.col("x.cid").alias("cid"),
-        F.struct("id", "mark", F.col("x.pos").alias("pos")).alias("e"),
+        F.col("x.seq").alias("seq"),
         _keys(F.element_at("lines", F.col("x.pos") + 1), table).alias("keys"),
     )
     sets = util.cut(sets, "line-sets")
 
-    facts = util.cut(sets.select("cid", "e", F.size("keys").alias("size"), _sketch(F.col("keys")).alias("w")), "line-facts")
-    posts = util.cut(live.join(facts, "cid"), "line-posts")
+    numbers = named.select("cid", "seq")
+    facts = util.cut(sets.select("seq", F.size("keys").alias("size"), *_sketch(F.col("keys"))).join(numbers, "seq"), "line-facts")
+    posts = util.cut(live.join(facts, "cid").drop("cid"), "line-posts")
 
     # each class against the first ones of its lists, then the rest against all earlier ones
-    first = Window.partitionBy(F.shiftrightunsigned("at", 24)).orderBy("e")
-    leaders = posts.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= LEADERS)
-    meet = _same_key("a", "b") & _may_match("a", "b", t) & (F.col("a.e") > F.col("b.e")) & _sketches_match("a", "b", t)
-    pair = [F.col("a.cid").alias("later"), F.col("b.cid").alias("earlier")]
+    first = Window.partitionBy(F.shiftrightunsigned("at", 24)).orderBy("seq")
+    leaders = posts.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= LEADERS).drop("rank")
+    meet = _same_key("a", "b") & _may_match("a", "b", t) & (F.col("a.seq") > F.col("b.seq")) & _sketches_match("a", "b", t)
+    pair = [F.col("a.seq").alias("later"), F.col("b.seq").alias("earlier")]
     found = util.cut(_matched(posts.alias("a").join(leaders.alias("b"), meet).select(*pair), sets, t), "line-first")
-    open_ = posts.join(found, F.col("cid") == F.col("later"), "left_anti")
+    open_ = posts.join(found, F.col("seq") == F.col("later"), "left_anti")
     rest = _matched(open_.alias("a").join(posts.alias("b"), meet).select(*pair), sets, t)
-    gone = util.cut(found.union(rest), "line-gone")
+    gone = util.cut(found.union(rest).join(numbers, F.col("later") == F.col("seq")).select(F.col("cid").alias("gone")), "line-gone")
 
     # lines that stay, by document
-    stay = classes.join(gone, F.col("cid") == F.col("later"), "left_anti").select("e.*")
+    stay = classes.join(gone, F.col("cid") == F.col("gone"), "left_anti").select("e.*")
     stay = stay.groupBy(F.col("id").alias("__stay_id"), F.col("mark").alias("__stay_mark")).agg(
         F.collect_list("pos").alias("__stay")
     )
