@@ -9,7 +9,7 @@ key, so slices are contiguous ranges of the order.
    numeric key, the number of bounds at or below it, where the bounds are
    approximate quantiles computed inside the same plan (a one-row aggregate
    joined by broadcast, so no extra job and no driver round trip); for an md5
-   key, its leading hex digits.  Re-running any task gives the same slice, so
+   key, an equal range of its first 32 bits.  Re-running any task gives the same slice, so
    the two branches below always agree.
 2. A window over ``(group, slice)`` gives the running total inside a slice
    and the slice total.
@@ -49,12 +49,35 @@ def _n_slices(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def md5_slicer(col: str, hex_digits: int = 3) -> Column:
-    """Slice of an md5-hex sort key: its leading hex digits (uniform)."""
-    return F.conv(F.substring(F.col(col), 1, hex_digits), 16, 10).cast("int")
+MD5 = "md5"  # as a slicer: the first order column is an md5 text
+SLICE_ROWS = 1 << 18  # rows of an md5 slice, on average, at most
 
 
-def _tag(df: DataFrame, order: Sequence, slicer: Column | None, slices: int | None, bounds_from: DataFrame | None = None) -> DataFrame:
+def with_md5_slice(df: DataFrame, col: str, out: str = _SLICE) -> DataFrame:
+    """Tag rows with a slice of an md5 text: equal ranges of its first 32 bits,
+    as many as the rows need (a one-row count, attached by broadcast) and at
+    least the shuffle partitions."""
+    rows = df.agg(F.count(F.lit(1)).alias("_rows"))
+    n = F.greatest(F.lit(_n_slices(df)).cast("long"), F.ceil(F.col("_rows") / F.lit(SLICE_ROWS)))
+    lead = F.conv(F.substring(F.col(col), 1, 8), 16, 10).cast("long")
+    return df.crossJoin(F.broadcast(rows)).withColumn(out, F.shiftright(lead * n, 32).cast("int")).drop("_rows")
+
+
+def bounds_below(bounds: str, x: Column, inclusive: bool) -> Column:
+    """How many values of the sorted array ``bounds`` are below ``x`` (or equal
+    to it): a binary search in steps that halve, for arrays up to 2^30 long."""
+    steps = F.array(*[F.lit(1 << i) for i in range(30, -1, -1)])
+
+    def step(at: Column, s: Column) -> Column:
+        v = F.get(F.col(bounds), at + s - 1)  # null beyond the end
+        return F.when(v <= x if inclusive else v < x, at + s).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def _tag(df: DataFrame, order: Sequence, slicer: Column | str | None, slices: int | None, bounds_from: DataFrame | None = None) -> DataFrame:
+    if isinstance(slicer, str):
+        return with_md5_slice(df, order[0])
     if slicer is not None:
         return df.withColumn(_SLICE, slicer)
     first = order[0]
@@ -81,10 +104,7 @@ def with_quantile_slice(df: DataFrame, col: str, slices: int, descending: bool =
     src = bounds_from if bounds_from is not None else df
     b = src.select(F.array_sort(F.array_distinct(F.percentile_approx(x, probs, 4 * slices))).alias("_bounds"))
     j = df.crossJoin(F.broadcast(b))  # one row
-    if descending:
-        tag = F.size(F.filter("_bounds", lambda v: v > x))
-    else:
-        tag = F.size(F.filter("_bounds", lambda v: v <= x))
+    tag = F.size("_bounds") - bounds_below("_bounds", x, True) if descending else bounds_below("_bounds", x, True)
     return j.withColumn(out, F.coalesce(tag, F.lit(0))).drop("_bounds")
 
 
@@ -94,7 +114,7 @@ def running_totals(
     order: Sequence,
     measures: dict[str, Column | str],
     slices: int | None = None,
-    slicer: Column | None = None,
+    slicer: Column | str | None = None,
     bounds_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add inclusive running sums ``name = sum(expr)`` over ``order`` within ``by``.
@@ -125,7 +145,7 @@ def running_totals(
 
 
 def global_row_number(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "rn", slices: int | None = None,
-                      slicer: Column | None = None) -> DataFrame:
+                      slicer: Column | str | None = None) -> DataFrame:
     """``row_number() over (partition by by order by order)``, computed in slices.
 
     ``order`` must make rows unique within ``by`` (include a key column).

@@ -1,7 +1,7 @@
 """Data-quality audit and exploratory aggregates.
 
 Each audit is one aggregation pass (partial aggregation map-side), except
-duplicate rows, which need one shuffle on the full row.
+duplicate rows, which shuffle a mark a row and compare rows of repeated marks.
 """
 
 from __future__ import annotations
@@ -54,10 +54,54 @@ def _long_stats(df: DataFrame) -> DataFrame:
     return stats.select(F.col("_rows").alias("rows"), F.inline(items))
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """A4: copies after the first of identical rows (nulls equal), one shuffle."""
-    g = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+def row_mark(df: DataFrame) -> Column:
+    """128 bits of a row's cells and of which of them are null."""
+    cells = [F.col(f"`{c}`") for c in df.columns]
+    gaps = F.concat(*[F.isnull(c).cast("int").cast("string") for c in cells])
+    return F.struct(F.xxhash64(gaps, *cells).alias("m1"), F.xxhash64(F.lit(1), gaps, *cells).alias("m2"))
+
+
+FILTER_BITS = 26  # size, as a power of two, of the bitmap that says which marks may repeat
+_PAGE = 32768  # bits in one row of that bitmap
+
+
+def duplicate_rows(df: DataFrame, mark: Column | None = None) -> DataFrame:
+    """A4: copies after the first of identical rows (nulls equal).
+
+    Rows are counted by a mark of 128 bits, so the first shuffle carries a mark
+    and a count for each distinct row.  Only rows whose mark repeats are then
+    compared by all their cells: a bitmap of 2^26 bits over the repeated marks
+    (sent to all tasks, 8 MB at most) holds the others back before the shuffle,
+    and equal rows are added up in a task before it.  Where repeated marks fill
+    the bitmap more rows pass, and the result is the same.
+    """
+    d = df.withColumn("__mark", row_mark(df) if mark is None else mark)
+    repeated = d.groupBy("__mark").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    place = F.col("__mark.m1").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    page, bit = F.shiftright(place, 15), place.bitwiseAND(F.lit(_PAGE - 1))
+    # position p of a bitmap is bit p % 8 of byte p / 8
+    pages = repeated.select(page.alias("__page"), bit.alias("__bit")).groupBy("__page").agg(F.bitmap_construct_agg("__bit").alias("__map"))
+    byte = F.conv(F.hex(F.substring(F.col("__map"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    may = F.call_function("shiftright", byte, bit.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    held = d.withColumn("__page", page).join(F.broadcast(pages), "__page").filter(may)
+    same = held.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    return same.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+
+
+def _row_sum(df: DataFrame, cols: Sequence[str]) -> Column:
+    """Exact sum of the 32-bit md5 numbers of the rows (nulls marked), whatever their order."""
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("∅")) for c in cols]
+    return F.sum(F.conv(F.substring(F.md5(F.concat_ws("␟", *cells)), 1, 8), 16, 10).cast("decimal(38,0)"))
+
+
+def _digest(total: str, rows: str) -> Column:
+    text = F.concat_ws("|", F.coalesce(F.col(total).cast("string"), F.lit("0")), F.col(rows).cast("string"))
+    return F.substring(F.sha2(text, 256), 1, 16).alias("fingerprint")
+
+
+def row_fingerprint(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """One row: the number of rows and the fingerprint of A6."""
+    return df.agg(_row_sum(df, list(cols or df.columns)).alias("_s"), F.count(F.lit(1)).alias("rows")).select("rows", _digest("_s", "rows"))
 
 
 def fingerprint(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -67,40 +111,28 @@ def fingerprint(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     the exact DECIMAL sum of row hashes and the row count are hashed with
     SHA-256.  Unlike a positional hash, it does not depend on row order.
     """
-    cols = list(cols or df.columns)
-    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("∅")) for c in cols]
-    rh = F.conv(F.substring(F.md5(F.concat_ws("␟", *cells)), 1, 8), 16, 10).cast("decimal(38,0)")
-    agg = df.agg(F.sum(rh).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    return agg.select(F.substring(F.sha2(F.concat_ws("|", F.coalesce(F.col("_s").cast("string"), F.lit("0")), F.col("_n").cast("string")), 256), 1, 16).alias("fingerprint"))
+    return row_fingerprint(df, cols).select("fingerprint")
 
 
 def quality_audit(df: DataFrame) -> DataFrame:
     """A1: (check, value, status) for rows, columns, missing cells, duplicates,
     constant columns and the fingerprint.
 
-    One scan and one shuffle: rows are grouped on all columns (combined
-    map-side, so heavy duplicates cost nothing extra), and every check is an
-    aggregate over the distinct rows weighted by their copy count.
+    All column checks and the fingerprint are sums over one scan; duplicates
+    are counted by row marks (``duplicate_rows``).
     """
     cols = df.columns
-    g = df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
-    n = F.col("_n")
-    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("∅")) for c in cols]
-    rh = F.conv(F.substring(F.md5(F.concat_ws("␟", *cells)), 1, 8), 16, 10).cast("decimal(38,0)")
-    aggs = [F.sum(n).alias("rows"), F.sum(n - 1).alias("duplicate_rows"), F.sum(rh * n.cast("decimal(38,0)")).alias("_s")]
+    aggs = [F.count(F.lit(1)).alias("rows"), _row_sum(df, cols).alias("_s")]
     for i, c in enumerate(cols):
         col = F.col(f"`{c}`")
-        aggs += [F.sum(F.when(_is_missing(df, c), n).otherwise(0)).alias(f"m{i}"),
-                 F.sum(F.when(col.isNotNull(), n).otherwise(0)).alias(f"nn{i}"),
+        aggs += [F.count(F.when(_is_missing(df, c), 1)).alias(f"m{i}"), F.count(col).alias(f"nn{i}"),
                  F.min(col).cast("string").alias(f"lo{i}"), F.max(col).cast("string").alias(f"hi{i}")]
-    a = g.agg(*aggs)
+    a = join_on(df.agg(*aggs), duplicate_rows(df), [])
     missing = sum((F.col(f"m{i}") for i in range(len(cols))), F.lit(0)).cast("bigint")
     const = sum((((F.col(f"nn{i}") == 0) | ((F.col(f"nn{i}") == F.col("rows")) & (F.col(f"lo{i}") == F.col(f"hi{i}")))).cast("int")
                  for i in range(len(cols))), F.lit(0)).cast("bigint")
-    fp = F.substring(F.sha2(F.concat_ws("|", F.coalesce(F.col("_s").cast("string"), F.lit("0")), F.col("rows").cast("string")), 256), 1, 16)
-    whole = a.select(F.col("rows").cast("bigint").alias("rows"), F.lit(len(cols)).alias("columns"), missing.alias("missing"),
-                     F.coalesce(F.col("duplicate_rows"), F.lit(0)).cast("bigint").alias("duplicate_rows"), const.alias("constant"),
-                     fp.alias("fingerprint"))
+    whole = a.select("rows", F.lit(len(cols)).alias("columns"), missing.alias("missing"), "duplicate_rows", const.alias("constant"),
+                     _digest("_s", "rows"))
     rv = lambda check, v, status: F.struct(F.lit(check).alias("check"), v.cast("string").alias("value"), status.alias("status"))
     review = lambda v: F.when(v > 0, F.lit("Review")).otherwise(F.lit("Pass"))
     rows = F.array(

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from earlywarn.functions import metrics as M
 from earlywarn.functions.frames import null_safe_join
 from earlywarn.functions.hashing import GOLDEN, MASK32, MIX_MUL, TWO_POW_32, with_key_hash
+from earlywarn.functions.ranking import bounds_below
 from earlywarn.operators.evaluate import metrics_at
 
 
@@ -38,6 +39,8 @@ def poisson_weight(u: Column) -> Column:
     return w
 
 
+SLICE_ROWS = 1 << 18  # rows of a score slice, on average, at most: a task holds one
+
 TRACKED = ("macro_f1", "bal_acc", "risk_recall", "f1_risk", "auc", "mcc")
 
 
@@ -112,19 +115,22 @@ def bootstrap_ci(df: DataFrame, t: float = 0.5, iterations: int = 500, by: Seque
     """
     by = list(by)
     spark = df.sparkSession
-    S = slices or max(2, min(1024, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
     base = with_key_hash(df.select(*by, key, F.col(y_true).cast("int").alias("_y"), F.col(prob).cast("double").alias("_p")), key, "_kh")
+    # enough slices for the shuffle, and none of more than SLICE_ROWS rows on average
+    S = slices or max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-base.count() // SLICE_ROWS))
     probs = [i / S for i in range(1, S)]
     raw = F.array_sort(F.percentile_approx("_p", probs, 4 * S))
     bounds = base.select(raw.alias("_raw")).withColumn("_bounds", F.array_distinct("_raw"))
     # a value met by j quantile probes holds about j/S of the rows: split its point slice j ways
-    probes = F.size(F.filter("_raw", lambda v: v == F.col("_p")))
+    below = lambda c, x, eq: bounds_below(c, F.col(x), eq)
+    probes = below("_raw", "_p", True) - below("_raw", "_p", False)
     tagged = (
         base.crossJoin(F.broadcast(bounds))  # one row
-        .withColumn("_point", F.array_contains("_bounds", F.col("_p")))
-        .withColumn("_slice", F.lit(2) * F.size(F.filter("_bounds", lambda v: v < F.col("_p"))) + F.col("_point").cast("int"))
+        .withColumn("_low", below("_bounds", "_p", False))
+        .withColumn("_point", F.coalesce(F.get("_bounds", F.col("_low")) == F.col("_p"), F.lit(False)))
+        .withColumn("_slice", F.lit(2) * F.col("_low") + F.col("_point").cast("int"))
         .withColumn("_part", F.when(F.col("_point"), F.pmod(F.col("_kh"), F.greatest(F.lit(1), probes).cast("long"))).otherwise(F.lit(0)))
-        .drop("_bounds", "_raw")
+        .drop("_bounds", "_raw", "_low")
     )
     by_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in by)
     schema = (by_schema + ", " if by_schema else "") + \

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from earlywarn.functions import metrics as M
@@ -107,9 +107,19 @@ def outcome_counts(df: DataFrame, t: float, by: Sequence[str] = ()) -> DataFrame
 
 
 def attach_predictions(features: DataFrame, oof: DataFrame, model: str | None = None, key: str = "row_id") -> DataFrame:
-    """Features joined 1:1 with one model's OOF rows on the row key."""
+    """Features joined 1:1 with one model's OOF rows on the row key.
+
+    A key that is null, on one side only or on more than one row of either
+    side is an error at run time.
+    """
     o = oof if model is None else oof.filter(F.col("model") == F.lit(model))
-    return features.join(o, on=key, how="inner")
+    once = Window.partitionBy(key)  # in the partitions of the join
+    left = features.withColumn("__features", F.count(F.lit(1)).over(once))
+    right = o.withColumn("__predictions", F.count(F.lit(1)).over(once))
+    j = left.join(right, on=key, how="full_outer")
+    paired = (F.coalesce("__features", F.lit(0)) == 1) & (F.coalesce("__predictions", F.lit(0)) == 1)
+    says = F.concat(F.lit(f"not one row of features and one prediction for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    return j.filter(F.when(paired, F.lit(True)).otherwise(F.raise_error(says).cast("boolean"))).drop("__features", "__predictions")
 
 
 def oof_table(oof: DataFrame, model: str) -> DataFrame:

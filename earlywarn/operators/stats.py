@@ -147,8 +147,31 @@ def chi2_sf(x: Column, df: int) -> Column:
     return s + F.exp(-h) * acc
 
 
-def friedman(fs: DataFrame, k: int, exp: Sequence[str] = ()) -> DataFrame:
-    """H3: tie-corrected Friedman statistic over folds (blocks) and models; p with df = k - 1."""
+def chi2_sf_by(x: Column, df: Column) -> Column:
+    """``chi2_sf`` with the degrees of freedom (1 or more) of a column: the same sums, term by term."""
+    h = x / F.lit(2.0)
+    odd = df % 2 == 1
+    m = F.when(odd, (df - 1) / 2).otherwise(df / 2 - 1).cast("int")  # terms after the first of either sum
+    places = F.when(m >= 1, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>"))
+    state = lambda acc, term: F.struct(acc.alias("acc"), term.alias("term"))
+
+    def even_step(s, i):
+        term = s["term"] * h / i.cast("double")
+        return state(s["acc"] + term, term)
+
+    def odd_step(s, i):
+        term = F.when(i == 1, s["term"]).otherwise(s["term"] * x / (2 * i - 1).cast("double"))
+        return state(s["acc"] + term, term)
+
+    even = F.exp(-h) * F.aggregate(places, state(F.lit(1.0), F.lit(1.0)), even_step, lambda s: s["acc"])
+    first = F.sqrt(x) * F.lit(math.sqrt(2.0 / math.pi))
+    tail = F.aggregate(places, state(F.lit(0.0), first), odd_step, lambda s: s["acc"])
+    return F.when(odd, F.lit(2.0) * normal_sf(F.sqrt(x)) + F.exp(-h) * tail).otherwise(even)
+
+
+def friedman(fs: DataFrame, exp: Sequence[str] = ()) -> DataFrame:
+    """H3: tie-corrected Friedman statistic over folds (blocks) and models; p with
+    df = k - 1 for the k models counted in the experiment (null for a single one)."""
     exp = list(exp)
     r = block_ranks(fs, exp)
     ties = r.groupBy(*exp, "fold", "score").agg(F.count(F.lit(1)).alias("t")).groupBy(*exp).agg(
@@ -158,10 +181,11 @@ def friedman(fs: DataFrame, k: int, exp: Sequence[str] = ()) -> DataFrame:
     nb = fs.groupBy(*exp).agg(F.countDistinct("fold").alias("n"))
     j = join_on(join_on(ss, nb, exp), ties, exp)
     kk, n = F.col("k").cast("double"), F.col("n").cast("double")
-    c = F.lit(1.0) - F.col("_ties") / (kk * (kk * kk - 1) * n)
+    c = F.lit(1.0) - F.try_divide(F.col("_ties"), kk * (kk * kk - 1) * n)
     # without any difference between the models the statistic is 0 (p = 1)
     stat = F.coalesce(F.try_divide(F.lit(12.0) / (kk * n * (kk + 1)) * F.col("_ss") - 3 * n * (kk + 1), c), F.lit(0.0))
-    return j.select(*exp, "k", "n", stat.alias("statistic")).withColumn("p_value", chi2_sf(F.col("statistic"), k - 1))
+    return j.select(*exp, "k", "n", stat.alias("statistic")).withColumn(
+        "p_value", F.when(F.col("k") > 1, chi2_sf_by(F.col("statistic"), F.col("k") - 1)))
 
 
 def paired_test(wilcoxon: DataFrame, model_a: str, model_b: str, exp: Sequence[str] = ()) -> DataFrame:

@@ -20,16 +20,16 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earlywarn.functions.hashing import md5_order
-from earlywarn.functions.ranking import global_row_number, md5_slicer
+from earlywarn.functions.ranking import MD5, global_row_number
 from earlywarn.operators import evaluate as ev
 from earlywarn.operators import linear_fits, task_fits
 from earlywarn.operators.knn import knn_classify
-from earlywarn.operators.label import split_columns
+from earlywarn.operators.label import require_binary, split_columns
 from earlywarn.operators.models import GRIDS, build_estimator, pass_probability
 from earlywarn.operators.prep import preprocessor
 from earlywarn.operators.splits import Encoded, encode
@@ -65,7 +65,7 @@ def assign_folds(df: DataFrame, k: int, seed: int | Column = SEED, y: str = "tar
     label = F.when(F.col(y).isNull(), F.raise_error(F.lit(f"null in label column {y}"))).otherwise(F.col(y))
     seed = F.lit(seed) if isinstance(seed, int) else seed
     d = df.withColumn(y, label).withColumn("_k", F.md5(F.concat_ws("|", seed.cast("string"), F.lit("fold"), F.col(key).cast("string"))))
-    rn = global_row_number(d, [*by, y], ["_k", key], name="_rn", slicer=md5_slicer("_k"))
+    rn = global_row_number(d, [*by, y], ["_k", key], name="_rn", slicer=MD5)
     return rn.withColumn(out, ((F.col("_rn") - 1) % k).cast("int")).drop("_k", "_rn")
 
 
@@ -82,16 +82,27 @@ def nested_folds(df: DataFrame, outer: int, inner: int, seed: int = SEED, label:
 def training_prefixes(df: DataFrame, sizes: Sequence[float], seed: int = SEED, key: str = "row_id", fold: str = "fold") -> DataFrame:
     """Nested training subsets: a row belongs to every size at or above its hashed position.
 
-    Returns the input with ``size`` (one row per size it belongs to); position
-    is the per-fold rank of md5(seed|size|key) as a share of the fold.
+    Returns the input with ``size`` (one row per size it belongs to): the rows
+    whose rank is within the size's share of their fold, whole rows only and
+    one at least.  A reader of one size filters ``training_ranks`` instead.
     """
+    ranked = training_ranks(df, seed, key, fold)
+    sz = F.array(*[F.lit(float(s)) for s in sizes])
+    return ranked.select(*df.columns, F.explode(F.filter(sz, in_prefix)).alias("size"))
+
+
+def in_prefix(size: Column) -> Column:
+    """Whether a row of ``training_ranks`` is in the training subset of a size."""
+    return F.col("size_rank") <= F.greatest(F.lit(1), F.floor(size * F.col("size_rows")))
+
+
+def training_ranks(df: DataFrame, seed: int = SEED, key: str = "row_id", fold: str = "fold") -> DataFrame:
+    """``df`` with ``size_rank``, the rank of md5(seed|size|key) in the fold, and ``size_rows``, the rows of the fold."""
     d = df.withColumn("_k", md5_order(f"{seed}|size", key))
-    rn = global_row_number(d, [fold], ["_k", key], name="_rn", slicer=md5_slicer("_k"))
+    rn = global_row_number(d, [fold], ["_k", key], name="_rn", slicer=MD5)
     n = rn.groupBy(fold).agg(F.count(F.lit(1)).alias("_n"))
     j = rn.join(F.broadcast(n), fold)  # one row per fold
-    sz = F.array(*[F.lit(float(s)) for s in sizes])
-    cut = F.filter(sz, lambda s: F.col("_rn") <= F.ceil(s * F.col("_n")))
-    return j.select(*df.columns, F.explode(cut).alias("size"))
+    return j.select(*df.columns, F.col("_rn").alias("size_rank"), F.col("_n").alias("size_rows"))
 
 
 def _features(df: DataFrame, label: str, key: str, exclude: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -279,6 +290,7 @@ def nested_cv(df: DataFrame, models: dict[str, list[dict]] | None = None, outer:
     test rows.  The OOF rows are written once, by model.  Returns (oof,
     fold_metrics, chosen parameters)."""
     models = models or GRIDS
+    require_binary(df, label)
     d = nested_folds(df, outer, inner, seed, label, key)
     of = F.col("outer")
     splits = [(of != f, of == f) for f in range(outer)]
@@ -314,12 +326,18 @@ def nested_cv(df: DataFrame, models: dict[str, list[dict]] | None = None, outer:
 def fit_final(df: DataFrame, name: str, grid: Sequence[dict], folds: int = 5, seed: int = SEED, label: str = "target",
               key: str = "row_id"):
     """Tune on folds of all rows (seed 42), then refit the best on all rows."""
-    params = grid[0]
-    if len(grid) > 1:
-        params, _ = grid_search(assign_folds(df, folds, seed, label, key, "fold"), name, grid, "fold", label, key)
+    params = tune(df, name, grid, folds, seed, label, key)
     return fit_pipeline(df, name, params, label, key, ()), params
 
 
+def tune(df: DataFrame, name: str, grid: Sequence[dict], folds: int = 5, seed: int = SEED, label: str = "target", key: str = "row_id") -> dict:
+    """The best candidate of a grid on stratified folds of all rows; a single one needs no search."""
+    require_binary(df, label)
+    if len(grid) == 1:
+        return grid[0]
+    return grid_search(assign_folds(df, folds, seed, label, key, "fold"), name, grid, "fold", label, key)[0]
+
+
 def train_models(df: DataFrame, models: dict[str, list[dict]] | None = None, outer: int = 5, inner: int = 5, seed: int = SEED,
                  label: str = "target", key: str = "row_id"):
     """Nested CV, the winner by mean Macro-F1 (first on ties, the
@@ -332,6 +350,30 @@ def train_models(df: DataFrame, models: dict[str, list[dict]] | None = None, out
     return oof, fm, chosen, winner, params, model
 
 
+def train_bundle(df: DataFrame, path: str, models: dict[str, list[dict]] | None = None, outer: int = 5, inner: int = 5, seed: int = SEED,
+                 label: str = "target", key: str = "row_id", baseline: str = "Dummy Baseline", excluded: Sequence[str] = ()) -> dict:
+    """Nested CV, then every model tuned on folds of all rows and
+    refitted on them, and the evidence bundle with the fitted pipelines and the
+    winner's parameters committed under ``path``.  Returns the pipelines by
+    name; for k-NN that is its preprocessing, and the rows that vote are the
+    table ``knn_rows`` of the bundle (``knn_classify`` takes it as it is)."""
+    from earlywarn.operators import report
+
+    models = models or GRIDS
+    require_binary(df, label)
+    oof, fm, _ = nested_cv(df, models, outer, inner, seed, label, key)
+    winner = best_from(fm).first()["best_model"]
+    cat, num = _features(df, label, key, ())
+    fitted = {m: fit_final(df, m, grid, outer, seed, label, key) for m, grid in models.items() if m != "KNN"}
+    if "KNN" in models:
+        fitted["KNN"] = preprocessor(cat, num).fit(df), tune(df, "KNN", models["KNN"], outer, seed, label, key)
+    tables = report.evidence_tables(df, oof, fm, [*cat, *num], seed, outer, inner, baseline, excluded)
+    if "KNN" in fitted:
+        tables["knn_rows"] = fitted["KNN"][0].transform(df).select(key, vector_to_array("features").alias("features"), label)
+    report.write_evidence(tables, path, {m: model for m, (model, _) in fitted.items()}, {"model": winner, "parameters": fitted[winner][1]})
+    return {m: model for m, (model, _) in fitted.items()}
+
+
 def best_from(fold_metrics: DataFrame) -> DataFrame:
     """The model with the highest mean Macro-F1 (list order on ties)."""
     from earlywarn.operators.summary import best_model
@@ -372,6 +414,7 @@ def random_search(df: DataFrame, name: str, n_trials: int = 30, folds: int = 5,
                   key: str = "row_id") -> DataFrame:
     """Seeded random search, all trials and folds together; returns the
     trial table (trial, value, params JSON, state)."""
+    require_binary(df, label)
     rng = random.Random(seed)
     trials = [sample_params(SPACES[name], rng) for _ in range(n_trials)]
     _, table = grid_search(assign_folds(df, folds, seed, label, key, "fold"), name, trials, "fold", label, key)
@@ -398,20 +441,19 @@ def diagnose_expr(train_col: str = "training_macro_f1", val_col: str = "validati
 def learning_curve(df: DataFrame, name: str, params: dict, sizes: Sequence[float] = (0.2, 0.4, 0.6, 0.8, 1.0), folds: int = 3,
                    seed: int = SEED, label: str = "target", key: str = "row_id", workers: int = WORKERS) -> DataFrame:
     """Train / validation Macro-F1 per training size over stratified folds."""
-    d = materialize(assign_folds(df, folds, seed, label, key, "fold"))
-    tr_all = materialize(training_prefixes(d, sizes, seed, key, "fold"))
+    d = materialize(training_ranks(assign_folds(df, folds, seed, label, key, "fold"), seed, key, "fold"))
+    ranks = ("size_rank", "size_rows")
     jobs = [(s, f) for s in sizes for f in range(folds)]
 
     def run(job):
         s, f = job
-        train = tr_all.filter((F.col("size") == F.lit(float(s))) & (F.col("fold") != f)).drop("size")
-        test = d.filter(F.col("fold") == f)
+        train = d.filter(in_prefix(F.lit(float(s))) & (F.col("fold") != f)).drop(*ranks)
+        test = d.filter(F.col("fold") == f).drop(*ranks)
         model = fit_pipeline(train, name, params, label, key, ("fold",))
         score = lambda x: _macro_f1(model.transform(x).select(F.col(label).alias("y_true"), F.col("prediction").cast("int").alias("y_pred")))
         return (float(s), f, train.count(), score(train), score(test))
 
     rows = _pool_map(run, jobs, workers)
-    tr_all.unpersist()
     d.unpersist()
     return df.sparkSession.createDataFrame(rows, "size double, fold int, n_train long, train_f1 double, val_f1 double")
 

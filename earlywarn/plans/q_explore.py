@@ -34,7 +34,7 @@ def normalize_label(spark, d):
 
 
 @query("assert_binary", L + """SELECT array_to_string(list_slice(list_sort(list(CAST(c AS VARCHAR))), 1, 20), ',') AS classes, count(*) AS n_classes,
-  count(*) = 2 AND sum(CASE WHEN c IN (0, 1) THEN 0 ELSE 1 END) = 0 AS is_binary
+  count(*) = 2 AND sum(CASE WHEN c IN (0, 1) THEN 0 ELSE 1 END) = 0 AS is_binary, count(*) > 20 AS truncated
 FROM (SELECT DISTINCT target AS c FROM learners_t WHERE target IS NOT NULL) x""")
 def assert_binary(spark, d):
     """The label is exactly {0, 1}."""

@@ -44,7 +44,7 @@ _CELLS = ", ".join(f"COALESCE(CAST({c} AS VARCHAR), '∅')" for c in _FEATS)
 _META = qe._summary_sql(f""", best AS (SELECT model AS best_model FROM summary WHERE metric = 'macro_f1' ORDER BY mean DESC, model_order LIMIT 1),
 fp AS (SELECT substr(sha256(CAST(sum(CAST(h AS DECIMAL(38,0))) AS VARCHAR) || '|' || CAST(count(*) AS VARCHAR)), 1, 16) AS fingerprint, count(*) AS rows
        FROM (SELECT CAST('0x' || substr(md5(concat_ws('␟', {_CELLS})), 1, 8) AS BIGINT) AS h FROM learners) x)
-SELECT 42 AS seed, 5 AS folds, 'macro_f1' AS metric, best_model, rows, {len(_FEATS)} AS features, fingerprint FROM best, fp""").replace(
+SELECT 42 AS seed, 5 AS folds, 5 AS inner_folds, 'macro_f1' AS metric, best_model, rows, {len(_FEATS)} AS features, fingerprint FROM best, fp""").replace(
     "WITH fm AS", "WITH " + LEARNERS.strip() + ",\nfm AS", 1)
 
 
@@ -56,7 +56,7 @@ def _meta(spark, d, with_time=False):
 @query("experiment_metadata", _META)
 def experiment_metadata(spark, d):
     """Experiment record (the creation time and versions are left out for the comparison)."""
-    return _meta(spark, d).drop("spark_version")
+    return _meta(spark, d).drop("spark_version", "python_version")
 
 
 _SUMMARY = qe._TIER.replace("SELECT b.model AS best_model", "SELECT b.model AS best_model, b.model_order AS best_order", 1)
@@ -75,33 +75,66 @@ def render_summary(spark, d):
 
 
 _OOF_ROWS = with_ctes(OOF) + """SELECT * FROM (VALUES ('leaderboard', 'parquet', 3), ('fold_metrics', 'parquet', 15), ('pairwise_tests', 'parquet', 3),
-  ('metadata', 'json', 1), ('summary', 'text', 1), ('model_card', 'text', 12)) v(artifact, format, rows)
-UNION ALL SELECT 'oof', 'parquet', CAST(count(*) AS INTEGER) FROM oof WHERE model = 'alpha'
+  ('metadata', 'json', 1), ('summary', 'text', 1), ('executive_summary', 'text', 22), ('model_card', 'text', 14)) v(artifact, format, rows)
+UNION ALL SELECT 'oof', 'parquet', CAST(count(*) AS INTEGER) FROM oof
 UNION ALL SELECT 'best_parameters', 'text', 1"""
 
 
-@query("write_evidence", _OOF_ROWS)
-def write_evidence(spark, d):
-    """The evidence bundle of the F3 experiment written to the shared folder; manifest read back."""
-    from earlywarn.operators import stats as st
-
+def _evidence(spark, d, path):
+    """The F3 experiment as a committed bundle; its manifest."""
     oof = fx.oof(spark, d)
     fm = ev.classification_metrics(oof, ["model", "model_order", "fold"])
-    s = sm.summarize_folds(fm, ev.SUITE)
-    fs = fm.select("model", "model_order", "fold", F.col("macro_f1").alias("score"))
-    bundle = {
-        "leaderboard": sm.leaderboard(s),
-        "fold_metrics": fm,
-        "oof": ev.oof_table(oof, "alpha"),
-        "pairwise_tests": st.holm(st.wilcoxon_pairs(st.paired_scores(fs))),
-        "metadata": _meta(spark, d, with_time=True),
-        "summary": report.render_summary(sm.evidence_tier(s, "baseline"), s),
-        "model_card": report.model_card(sm.evidence_tier(s, "baseline"), 5, 5),
-    }
-    out = report.write_evidence(bundle, scratch_path(spark, "evidence"), params={"model": "alpha"})
+    tables = report.evidence_tables(fx.learners(spark, d), oof, fm, _FEATS, 42, 5, 5, "baseline", excluded=("g1", "g2", "g3"))
+    return report.write_evidence(tables, path, params={"weight": 0.55})
+
+
+@query("write_evidence", _OOF_ROWS)
+def write_evidence(spark, d):
+    """The evidence bundle of the F3 experiment written to the shared folder and committed; its manifest."""
+    out = _evidence(spark, d, scratch_path(spark, "evidence"))
     return out.select("artifact", "format", F.col("rows").cast("int").alias("rows"))
 
 
+@query("read_evidence", r6(with_ctes(OOF) + """SELECT model, row_id, y_true, y_pred, y_prob AS pass_probability, 1e0 - y_prob AS risk_probability, fold FROM oof""",
+                           "pass_probability", "risk_probability"))
+def read_evidence(spark, d):
+    """The OOF rows of the committed bundle, read back and compared with its manifest."""
+    path = scratch_path(spark, "evidence")
+    _evidence(spark, d, path)
+    oof = report.read_evidence(spark, path, ["oof"])["oof"]
+    return oof.select("model", "row_id", "y_true", "y_pred", F.col("y_prob").alias("pass_probability"),
+                      (F.lit(1.0) - F.col("y_prob")).alias("risk_probability"), "fold")
+
+
+_TRAINED = L + """, f AS (SELECT row_id, target, CAST((row_number() OVER (PARTITION BY target ORDER BY md5('42|fold|' || CAST(row_id AS VARCHAR)), row_id) - 1) % 5 AS INTEGER) AS fold FROM learners_t),
+n AS (SELECT count(*) AS n FROM f)
+SELECT m.model, f.fold, count(*) AS n, CAST(sum(1 - f.target) AS BIGINT) AS n_risk, any_value(n.n) AS n_scored, any_value(n.n) AS n_same
+FROM f CROSS JOIN n CROSS JOIN (VALUES ('Dummy Baseline'), ('Logistic Regression')) m(model) GROUP BY m.model, f.fold"""
+
+
+@query("trained_bundle", _TRAINED)
+def trained_bundle(spark, d):
+    """Nested CV of baseline and logistic regression, every model tuned and refitted on all rows, the
+    bundle written and read again; by model and fold the OOF rows read back, with the rows that the reloaded model
+    scores and those of them with the score of the model before it was saved."""
+    from earlywarn.operators import validate as va
+    from earlywarn.operators.models import GRIDS, pass_probability
+    from earlywarn.plans import q_models as qm
+
+    lr = qm._learners(spark, d)
+    path = scratch_path(spark, "trained")
+    models = va.train_bundle(lr, path, {m: GRIDS[m] for m in ("Dummy Baseline", "Logistic Regression")}, excluded=("g1", "g2", "g3"))
+    scored = []
+    for name, model in models.items():
+        a, b = (m.transform(lr) for m in (model, report.read_model(spark, path, name)))
+        a, b = (x.select("row_id", F.round(pass_probability(x), 9).alias(c)) for x, c in ((a, "before"), (b, "after")))
+        same = F.count(F.when(F.col("before") == F.col("after"), 1)).alias("n_same")
+        scored.append(a.join(b, "row_id").agg(F.count(F.lit(1)).alias("n_scored"), same).withColumn("model", F.lit(name)))
+    oof = report.read_evidence(spark, path, ["oof"])["oof"]
+    counts = oof.groupBy("model", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("y_true")).cast("bigint").alias("n_risk"))
+    return counts.join(scored[0].unionByName(scored[1]), "model")
+
+
 @query("resolve_model", None)
 def resolve_model(spark, d):
     """A default model saved to the shared folder, resolved by precedence

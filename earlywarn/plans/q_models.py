@@ -34,7 +34,7 @@ def assign_folds(spark, d):
 _PREFIX_SQL = L + """, f AS (SELECT row_id, CAST((row_number() OVER (PARTITION BY target ORDER BY md5('42|fold|' || CAST(row_id AS VARCHAR)), row_id) - 1) % 3 AS INTEGER) AS fold FROM learners_t),
 r AS (SELECT fold, row_id, row_number() OVER (PARTITION BY fold ORDER BY md5('42|size|' || CAST(row_id AS VARCHAR)), row_id) AS rn, count(*) OVER (PARTITION BY fold) AS n FROM f),
 s AS (SELECT * FROM (VALUES (0.2e0), (0.4e0), (0.6e0), (0.8e0), (1.0e0)) v(size))
-SELECT fold, size, count(*) AS n FROM r JOIN s ON r.rn <= ceil(s.size * r.n) GROUP BY fold, size"""
+SELECT fold, size, count(*) AS n FROM r JOIN s ON r.rn <= greatest(1, floor(s.size * r.n)) GROUP BY fold, size"""
 
 
 @query("training_prefixes", _PREFIX_SQL)
@@ -106,6 +106,14 @@ def knn_join(spark, d):
         .select("q_id", "n_id", F.col("rank").cast("int").alias("rank"), "score")
 
 
+@query("knn_candidates", None)
+def knn_candidates(spark, d):
+    """J9, approximate: 5 nearest neighbours (inner product) of every embedding among the rows of its buckets."""
+    v = fx.vectors(spark, d)
+    return knn.knn_candidates(v, v, 5, "vec_id", "vec_id", "embedding", "embedding", metric="ip", exclude_self=True) \
+        .select("q_id", "n_id", F.col("rank").cast("int").alias("rank"), "score")
+
+
 _NCV_FOLDS = L + """, f AS (SELECT row_id, target, CAST((row_number() OVER (PARTITION BY target ORDER BY md5('42|fold|' || CAST(row_id AS VARCHAR)), row_id) - 1) % 5 AS INTEGER) AS fold FROM learners_t)
 SELECT m.model, f.fold, count(*) AS n, CAST(sum(1 - f.target) AS BIGINT) AS n_risk
 FROM f CROSS JOIN (VALUES """ + ", ".join(f"('{m}')" for m in GRIDS) + """) m(model) GROUP BY m.model, f.fold"""

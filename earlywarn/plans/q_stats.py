@@ -119,13 +119,13 @@ SELECT k, n, statistic, """ + chi2_sf_sql("statistic", 2) + " AS p_value FROM s"
 @query("friedman", r6(_FRIED, "statistic", "p_value"))
 def friedman(spark, d):
     """H3: tie-corrected Friedman test over 3 models x 5 folds (df = 2)."""
-    return st.friedman(_fs(spark, d), 3)
+    return st.friedman(_fs(spark, d))
 
 
 @query("friedman_ties", FS + "SELECT count(DISTINCT model) AS k, count(DISTINCT fold) AS n, 0e0 AS statistic, 1e0 AS p_value FROM fs")
 def friedman_ties(spark, d):
     """H3 where no model differs from another: statistic 0, p 1."""
-    return st.friedman(_fs(spark, d).withColumn("score", F.lit(0.5)), 3)
+    return st.friedman(_fs(spark, d).withColumn("score", F.lit(0.5)))
 
 
 @query("paired_test", r6(FS + WILCOXON + """ SELECT 'beta' AS model_a, 'alpha' AS model_b, statistic, p_value,

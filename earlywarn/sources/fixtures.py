@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earlywarn.functions.hashing import md5_order, u
-from earlywarn.functions.ranking import global_row_number, md5_slicer
+from earlywarn.functions.ranking import MD5, global_row_number
 from earlywarn.sources.tables import table
 
 
@@ -77,7 +77,7 @@ def oof(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
         (F.col("o_totalprice") >= F.lit(150000.0)).cast("int").alias("y_true"),
         F.least(F.lit(1.0), F.col("o_totalprice") / F.lit(500000.0)).alias("_price"),
     ).withColumn("_k", md5_order("42|fold", "row_id"))
-    rn = global_row_number(base, ["y_true"], ["_k", "row_id"], name="_rn", slicer=md5_slicer("_k"))
+    rn = global_row_number(base, ["y_true"], ["_k", "row_id"], name="_rn", slicer=MD5)
     folded = rn.withColumn("fold", ((F.col("_rn") - 1) % k).cast("int")).drop("_k", "_rn")
     price = F.col("_price")
     models = F.array(

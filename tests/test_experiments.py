@@ -41,7 +41,7 @@ def test_summaries_by_experiment(folds, fn):
 @pytest.mark.parametrize("fn", [
     lambda s, x: st.paired_table(s, "KNN", "SVM RBF", x),
     lambda s, x: st.paired_test(st.wilcoxon_pairs(st.paired_scores(s, x), x), "SVM RBF", "KNN", x),
-    lambda s, x: st.friedman(s, 4, x),
+    lambda s, x: st.friedman(s, x),
 ])
 def test_paired_tests_by_experiment(folds, fn):
     both_ways(folds[0].withColumn("score", F.col("macro_f1")), fn)
