@@ -195,6 +195,8 @@ def class_contributions(df: DataFrame, col: str = "contrib", cls: int = 1) -> Da
 
 
 CLIP = 1e-9
+ROWS_PER_TASK = 100_000  # of the rows to explain, before they become coalitions
+SMALL_BACKGROUND = 100_000  # background rows that may be broadcast
 
 
 def background_slots(background: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -217,10 +219,12 @@ def permutation_contributions(df: DataFrame, scorer: Scorer, background: DataFra
     score (the margin when ``margin``) is credited to that feature.  All
     coalitions of all rows are scored in one batch ``transform``; the average
     over permutations is an unbiased estimate that sums exactly to
-    score(row) - mean score(background rows drawn).  Background rows are
+    score(row) - mean score(background rows drawn).  The changes are summed
+    by key where the coalitions are made, so no coalition is sorted or sent
+    to another task.  Background rows are
     numbered in the order of their values and a draw meets its row by an
-    equi-join on that number, so the background may have any size (a small
-    one is broadcast by its measured size); an empty one is an error.
+    equi-join on that number, so the background may have any size (one of up
+    to ``SMALL_BACKGROUND`` rows is broadcast); an empty one is an error.
     """
     feats = list(features)
     nf = len(feats)
@@ -229,13 +233,17 @@ def permutation_contributions(df: DataFrame, scorer: Scorer, background: DataFra
     if nbg == 0:
         raise ValueError("the background has no rows")
     perms = F.sequence(F.lit(0), F.lit(n_perm - 1))
-    x = df.select(key, *feats).select("*", F.explode(perms).alias("_p"))
+    # the rows are dealt by key before they become coalitions: what follows adds up within a task
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_TASK))
+    small = nbg <= SMALL_BACKGROUND
+    x = df.select(key, *feats).filter(F.col(key).isNotNull())
+    x = (x.repartition(parts, key) if small else x).select("*", F.explode(perms).alias("_p"))
     # deterministic order: sort feature indices by a hash of (seed, key, perm, feature)
     idx = F.sequence(F.lit(0), F.lit(nf - 1))
     x = x.withColumn("_ord", F.transform(F.array_sort(F.transform(idx, lambda i: F.struct(
         F.xxhash64(F.lit(seed), F.col(key), F.col("_p"), i).alias("h"), i.alias("i")))), lambda s: s["i"]))
     x = x.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.col("_p")), F.lit(nbg)))
-    x = x.join(slots, "_b")
+    x = x.join(F.broadcast(slots), "_b") if small else x.join(slots, "_b").repartition(parts, key)
     steps = F.sequence(F.lit(0), F.lit(nf))
     x = x.select("*", F.explode(steps).alias("_s"))  # coalition: first _s features of the order from the row
     cols = []
@@ -243,15 +251,17 @@ def permutation_contributions(df: DataFrame, scorer: Scorer, background: DataFra
         from_row = F.array_position(F.slice(F.col("_ord"), 1, F.greatest(F.col("_s"), F.lit(1))), j) > 0
         take = (F.col("_s") > 0) & from_row
         cols.append(F.when(take, F.col(c)).otherwise(F.col("_bgrow")[c]).alias(c))
-    coal = x.select(key, "_p", "_s", "_ord", *cols)
+    # the feature that a coalition has last, and the one that the next coalition adds to it
+    last = F.when(F.col("_s") > 0, F.get("_ord", F.col("_s") - 1))
+    coal = x.select(key, "_s", last.alias("_last"), F.get("_ord", F.col("_s")).alias("_next"), *cols)
     scored = scorer(coal)
     p = F.least(F.greatest(F.col("y_prob"), F.lit(CLIP)), F.lit(1.0 - CLIP))  # a sure vote has no finite margin
     v = F.log(p / (F.lit(1.0) - p)) if margin else F.col("y_prob")
-    s = scored.select(key, "_p", "_s", "_ord", v.alias("_v"))
-    w = Window.partitionBy(key, "_p").orderBy("_s")
-    d = s.withColumn("_dv", F.col("_v") - F.lag("_v").over(w)).filter(F.col("_s") > 0)
-    d = d.withColumn("feature_index", F.element_at(F.col("_ord"), F.col("_s")))
-    names = F.array(*[F.lit(c) for c in feats])
-    phi = d.groupBy(key, "feature_index").agg(F.avg("_dv").alias("phi"))
-    base = s.filter(F.col("_s") == 0).groupBy(key).agg(F.avg("_v").alias("base"))
-    return phi.join(base, key).select(key, "base", F.element_at(names, F.col("feature_index") + 1).alias("feature"), "phi")
+    s = scored.select(key, "_s", "_last", "_next", v.alias("_v"))
+    # a feature's mean change: what its coalitions score less what those before it score
+    change = [F.sum(F.when(F.col("_last") == j, F.col("_v")).when(F.col("_next") == j, -F.col("_v"))).alias(f"_d{j}") for j in range(nf)]
+    first = F.col("_s") == 0
+    g = s.groupBy(key).agg(F.sum(first.cast("long")).alias("_n"), F.avg(F.when(first, F.col("_v"))).alias("base"), *change)
+    copies = F.col("_n") / F.lit(float(n_perm))  # rows of one key share its changes
+    items = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(f"_d{j}") / F.col("_n") / copies).alias("phi")) for j, c in enumerate(feats)])
+    return g.select(key, "base", F.inline(items))

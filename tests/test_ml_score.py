@@ -146,3 +146,17 @@ def test_random_search_sampler_seeded():
     for p in a:
         assert 80 <= p["n_estimators"] <= 350 and (p["n_estimators"] - 80) % 10 == 0
         assert 3 <= p["max_depth"] <= 20 and 1 <= p["min_samples_leaf"] <= 10
+
+
+def test_contributions_sort_no_coalitions(spark):
+    """The changes of each feature by hand; no window over the coalitions."""
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 3)) for i in range(40)], "row_id long, a double, b double")
+    bg = spark.createDataFrame([(0, 2.0, 1.0)], "row_id long, a double, b double")
+    c = sc.permutation_contributions(df, sc.linear_scorer(0.2, {"a": 0.3, "b": -0.4}), bg, ["a", "b"], n_perm=3)
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(" not in plan  # the windows that are left number the background
+    got = {(r.row_id, r.feature): (r.base, r.phi) for r in c.collect()}
+    assert len(got) == 80
+    for i in range(40):
+        assert got[i, "a"] == pytest.approx((0.2 + 0.6 - 0.4, 0.3 * (i % 7 - 2.0)))
+        assert got[i, "b"] == pytest.approx((0.2 + 0.6 - 0.4, -0.4 * (i % 3 - 1.0)))
