@@ -75,58 +75,60 @@ class Tree:
 
 
 def grow(bins: Bins, target: np.ndarray, weight: np.ndarray, rows: np.ndarray, max_depth: int | None, min_leaf: int,
-         tried: int | None = None, seed: int = 0, gini: bool = True) -> Tree:
+         tried: int | None = None, seed: int = 0, gini: bool = True, count: np.ndarray | None = None) -> Tree:
     """A tree for ``rows``.  ``gini``: classes 0 and 1, node value the weighted
     share of 1; else squared error, node value the weighted mean.  ``min_leaf``
-    counts rows; ``tried`` features are drawn for every node, by a hash."""
-    z, t, w = bins.z[rows], target[rows].astype(np.float64), weight[rows].astype(np.float64)
+    counts rows, ``count`` of them in each where equal ones are put together
+    (the target is their mean then); ``tried`` features are drawn for every
+    node, by a hash.  A column's counts are made only for the nodes that try it."""
+    z, t, w = bins.z[rows].T.astype(np.int32), target[rows].astype(np.float64), weight[rows].astype(np.float64)
+    many = None if count is None else count[rows].astype(np.float64)
     at = np.zeros(len(rows), dtype=np.int64)
     column, bin_, left, value, depth = [], [], [], [], []
     first, k, level = 0, 1, 0  # first node of the level, its nodes
-    feature_of = np.concatenate([np.arange(n) if i < bins.cats else np.zeros(n, dtype=np.int64) for i, n in enumerate(bins.sizes)])
     base = np.cumsum([0] + [n - 1 if i < bins.cats else 1 for i, n in enumerate(bins.sizes)])
-    column_of = np.repeat(np.arange(len(bins.sizes)), bins.sizes)
-    feature_of = feature_of + base[column_of]
-    bin_of = np.concatenate([np.arange(n) for n in bins.sizes])
-    usable = np.concatenate([np.arange(n) < n - 1 for n in bins.sizes])  # no split off the none bin, none at the last bin
     while True:
         sw = np.bincount(at, w, k)
         st = np.bincount(at, w * t, k)
-        n = np.bincount(at, minlength=k)
+        n = np.bincount(at, many, k)
         mean = st / np.maximum(sw, 1e-300)
         value.append(mean)
         depth.append(np.full(k, level))
         pure = (mean <= 0) | (mean >= 1) if gini else np.zeros(k, dtype=bool)
         stop = pure | (n < 2 * min_leaf) | (max_depth is not None and level >= max_depth)
-        col, cut, gain = np.full(k, -1), np.zeros(k, dtype=np.int64), np.zeros(k)
+        col, cut, gain = np.full(k, -1), np.zeros(k, dtype=np.int64), np.full(k, -1.0)
         if not stop.all():
-            lw, lt, ln = [], [], []
-            for c, size in enumerate(bins.sizes):
-                place = at * size + z[:, c]
-                a = [np.bincount(place, x, k * size).reshape(k, size) for x in (w, w * t)]
-                a.append(np.bincount(place, minlength=k * size).reshape(k, size))
-                if c >= bins.cats:
-                    a = [np.cumsum(x, axis=1) for x in a]
-                for out, x in zip((lw, lt, ln), a):
-                    out.append(x)
-            lw, lt, ln = (np.concatenate(x, axis=1) for x in (lw, lt, ln))
-            rw, rt, rn = sw[:, None] - lw, st[:, None] - lt, n[:, None] - ln
-            with np.errstate(divide="ignore", invalid="ignore"):
-                # weighted decrease of impurity, up to a constant factor: the same form for both criteria
-                g = lt * lt / lw + rt * rt / rw - (st * st / np.maximum(sw, 1e-300))[:, None]
-            ok = usable[None, :] & (ln >= min_leaf) & (rn >= min_leaf) & ~stop[:, None]
+            keep = ~stop[at]
+            z, t, w, at, many = z[:, keep], t[keep], w[keep], at[keep], None if many is None else many[keep]
+            drawn = None
             if tried is not None:
                 f = bins.features()
                 node = (first + np.arange(k)).astype(np.uint64)[:, None] * np.uint64(f) + np.arange(f, dtype=np.uint64)
                 draw = mix(node + np.uint64((seed + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1))
                 drawn = draw <= np.partition(draw, min(tried, f) - 1, axis=1)[:, min(tried, f) - 1 :][:, :1]
-                ok &= np.where(usable[None, :], drawn[:, np.minimum(feature_of, f - 1)], False)
-            g = np.where(ok, g, -1.0)
-            best = g.argmax(axis=1)
-            gain = g[np.arange(k), best]
-            split = gain > 1e-12 * np.maximum(1.0, sw)
-            col = np.where(split, column_of[best], -1)
-            cut = bin_of[best]
+            parent = st * st / np.maximum(sw, 1e-300)
+            for c, size in enumerate(bins.sizes):
+                if size < 2:
+                    continue
+                mine = ~stop if drawn is None else ~stop & drawn[:, base[c] : base[c + 1]].any(axis=1)
+                nodes = np.flatnonzero(mine)
+                if not len(nodes):
+                    continue
+                # no split off the none bin, none at the last bin
+                lw, lt, ln = (x[:, :-1] for x in _counts(np.cumsum(mine) - 1, mine[at], at, z[c], t, w, many, len(nodes), size, c >= bins.cats))
+                rw, rt, rn = sw[nodes, None] - lw, st[nodes, None] - lt, n[nodes, None] - ln
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    # weighted decrease of impurity, up to a constant factor: the same form for both criteria
+                    g = lt * lt / lw + rt * rt / rw - parent[nodes, None]
+                ok = (ln >= min_leaf) & (rn >= min_leaf)
+                if drawn is not None:
+                    ok &= drawn[nodes, base[c] : base[c + 1]]
+                g = np.where(ok, g, -1.0)
+                best = g.argmax(axis=1)
+                top = g[np.arange(len(nodes)), best]
+                better = top > gain[nodes]
+                gain[nodes[better]], col[nodes[better]], cut[nodes[better]] = top[better], c, best[better]
+            col = np.where(gain > 1e-12 * np.maximum(1.0, sw), col, -1)
         split = col >= 0
         kids = np.cumsum(split) * 2 - 2
         column.append(col)
@@ -135,15 +137,26 @@ def grow(bins: Bins, target: np.ndarray, weight: np.ndarray, rows: np.ndarray, m
         if not split.any():
             break
         keep = split[at]
-        z, t, w, at = z[keep], t[keep], w[keep], at[keep]
+        z, t, w, at, many = z[:, keep], t[keep], w[keep], at[keep], None if many is None else many[keep]
         c = col[at]
-        v = z[np.arange(len(at)), c]
+        v = z[c, np.arange(len(at))]
         right = np.where(c < bins.cats, v != cut[at], v > cut[at])
         at = kids[at] + right
         first, k, level = first + k, int(split.sum()) * 2, level + 1
     return Tree(*[np.concatenate(x) for x in (column, bin_, left, value, depth)])
 
 
+def _counts(number: np.ndarray, mine: np.ndarray, at: np.ndarray, z: np.ndarray, t: np.ndarray, w: np.ndarray, many: np.ndarray | None,
+            k: int, size: int, running: bool) -> list[np.ndarray]:
+    """Weight, weighted target and rows by node and bin, of the rows of ``mine``."""
+    if mine.all():
+        place = number[at] * size + z
+    else:
+        place, t, w, many = number[at[mine]] * size + z[mine], t[mine], w[mine], None if many is None else many[mine]
+    out = [np.bincount(place, x, k * size).reshape(k, size) for x in (w, w * t, many)]
+    return [np.cumsum(x, axis=1) for x in out] if running else out
+
+
 def forest_probabilities(bins: Bins, y: np.ndarray, weight: np.ndarray, tags: np.ndarray, train: np.ndarray, test: np.ndarray,
                          trees: list[int], depths: list[int | None], min_leaf: int, seed: int) -> dict[tuple[int, int | None], np.ndarray]:
     """P(1) of the ``test`` rows by forests of the first ``trees`` trees cut at ``depths``: mean share of the leaves."""
@@ -192,6 +205,60 @@ def boosted_probabilities(bins: Bins, y: np.ndarray, train: np.ndarray, test: np
     return out
 
 
+TIMES = np.diff(np.concatenate([[0.0], POISSON, [1.0]]))  # how likely a row is 0, 1, ... 8 times in a bag
+
+
+def forest_sums(bins: Bins, zeros: np.ndarray, ones: np.ndarray, weights: tuple[float, float], train: np.ndarray, test: np.ndarray, trees: list[int],
+                depths: list[int | None], min_leaf: int, seed: int, part: int = 0, parts: int = 1) -> dict[tuple[int, int | None], np.ndarray]:
+    """As ``forest_probabilities`` for equal rows put together, ``zeros`` and
+    ``ones`` of each class: sums over every ``parts``-th tree.  Each row is
+    drawn by itself: how many of n rows are 0, 1, ... times in the bag is multinomial."""
+    tried = max(1, int(np.sqrt(bins.features())))
+    to = Bins(bins.z[test], bins.sizes, bins.cats)
+    deepest = None if None in depths else max(depths)
+    sums = {(n, d): np.zeros(len(test)) for n in trees for d in depths}
+    place = np.arange(len(TIMES), dtype=np.float64)
+    for i in range(part, max(trees), parts):
+        rng = np.random.default_rng([seed, i])
+        drawn = [rng.multinomial(c[train], TIMES) for c in (zeros, ones)]
+        w0, w1 = (d @ place * w for d, w in zip(drawn, weights))
+        rows = sum(len_ - d[:, 0] for len_, d in ((zeros[train], drawn[0]), (ones[train], drawn[1])))
+        weight, target, count = np.zeros(len(zeros)), np.zeros(len(zeros)), np.zeros(len(zeros))
+        weight[train], count[train] = w0 + w1, rows
+        target[train] = w1 / np.maximum(w0 + w1, 1e-300)
+        tree = grow(bins, target, weight, train[rows > 0], deepest, min_leaf, tried, seed * 7919 + i, count=count)
+        for d in depths:
+            v = tree.value[tree.leaves(to, d)]
+            for n in trees:
+                if i < n:
+                    sums[n, d] += v
+    return sums
+
+
+def boosted_groups(bins: Bins, zeros: np.ndarray, ones: np.ndarray, train: np.ndarray, test: np.ndarray, trees: list[int], rate: float, depth: int,
+                   min_leaf: int = 1) -> dict[int, np.ndarray]:
+    """As ``boosted_probabilities`` for equal rows put together."""
+    to, whole = Bins(bins.z[test], bins.sizes, bins.cats), Bins(bins.z[train], bins.sizes, bins.cats)
+    n = (zeros + ones).astype(np.float64)
+    prior = np.clip(ones[train].sum() / n[train].sum(), 1e-9, 1 - 1e-9)
+    f = np.full(len(n), np.log(prior / (1 - prior)))
+    g = np.full(len(test), np.log(prior / (1 - prior)))
+    out = {}
+    for i in range(max(trees)):
+        p = 1.0 / (1.0 + np.exp(-f))
+        r = ones - n * p
+        tree = grow(bins, r / np.maximum(n, 1.0), n, train, depth, min_leaf, gini=False, count=n)
+        leaf = tree.leaves(whole)
+        num = np.bincount(leaf, r[train], len(tree.value))
+        den = np.bincount(leaf, (n * p * (1 - p))[train], len(tree.value))
+        step = np.where(den > 1e-150, num / np.maximum(den, 1e-150), 0.0)
+        f[train] += rate * step[leaf]
+        g += rate * step[tree.leaves(to)]
+        if i + 1 in trees:
+            out[i + 1] = 1.0 / (1.0 + np.exp(-g))
+    return out
+
+
 def neighbour_probabilities(x: np.ndarray, y: np.ndarray, train: np.ndarray, test: np.ndarray,
                             wanted: list[tuple[int, str]], tile: int = 1024) -> dict[tuple[int, str], np.ndarray]:
     """P(1) by the vote of the k nearest training rows (Euclidean; ties to the

@@ -1,7 +1,7 @@
 """Many logistic fits in one scan (M7 and M11 for all candidates and splits).
 
 A *problem* is (split, C, l1_ratio, random features or none).  One pass over
-the encoded table adds up, for every problem that is still open, the loss,
+the encoded table, equal rows as one with their counts, adds up, for every problem that is still open, the loss,
 its gradient and its Hessian over the training rows of the problem's split;
 each task sends one partial per problem, which a shuffle on the problem adds
 up.  The driver then takes a proximal Newton step for each (its state is one
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from earlywarn.operators.splits import TEST, TRAIN, Encoded, Plan, arrays
+from earlywarn.operators.splits import TEST, Encoded, Plan, arrays, unpacked
 
 MAX_PASSES = 100
 TOL = 1e-7  # a step that moves no coefficient by more ends a fit
@@ -70,24 +70,23 @@ def _passer(plan: Plan, problems: Sequence[tuple[int, Problem]], beta: dict[int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            _, y, _, role, codes, nums = arrays(batch, plan)
+        for g in (g for batch in batches for g in unpacked(batch, plan)):
             for group in _groups(problems).values():
                 s = group[0][1].split
-                mine = np.flatnonzero(role[:, s] == TRAIN)
+                mine = np.flatnonzero(g.n[:, s, 0] + g.n[:, s, 1])
                 if not len(mine):
                     continue
-                x = plan.design(s, codes[mine], nums[mine])
+                x = plan.design(s, g.codes[mine], g.nums[mine])
                 fmap = _features(plan, group[0][1])[1]
                 x = _with_one(x if fmap is None else fmap(x))
-                t = y[mine].astype(np.float64)
                 n = plan.rows[s].sum()
-                w = np.where(t == 1, n / (2.0 * max(1, plan.rows[s, 1])), n / (2.0 * max(1, plan.rows[s, 0])))
+                ones = g.n[mine, s, 1] * (n / (2.0 * max(1, plan.rows[s, 1])))  # their weight
+                w = ones + g.n[mine, s, 0] * (n / (2.0 * max(1, plan.rows[s, 0])))
                 for i, _ in group:
                     z = x @ beta[i]
                     p = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
-                    loss = float((w * (np.logaddexp(0.0, z) - t * z)).sum())
-                    part = np.concatenate([[loss], x.T @ (w * (p - t)), (x.T @ (x * (w * p * (1.0 - p))[:, None])).ravel()])
+                    loss = float((w * np.logaddexp(0.0, z) - ones * z).sum())
+                    part = np.concatenate([[loss], x.T @ (w * p - ones), (x.T @ (x * (w * p * (1.0 - p))[:, None])).ravel()])
                     sums[i] = sums[i] + part if i in sums else part
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["p", "part"])
@@ -180,7 +179,7 @@ def _fit_block(enc: Encoded, block: list[tuple[int, Problem]], dims: list[int])
             break
         # only the problem's own settings travel, with its trial point
         bare = [(i, Problem(p.split, p.c, p.l1_ratio, p.gamma, p.components)) for i, p in open_]
-        rows = enc.table.mapInArrow(_passer(enc.plan, bare, {i: states[i].trial for i, _ in open_}), "p int, part binary")
+        rows = enc.groups.mapInArrow(_passer(enc.plan, bare, {i: states[i].trial for i, _ in open_}), "p int, part binary")
         for r in rows.repartition(tasks, "p").mapInArrow(_added, "p int, part binary").collect():  # one row a problem
             states[r.p].take(np.frombuffer(bytes(r.part), dtype=np.float64))
     for i, p in block:
@@ -211,3 +210,39 @@ def predict(enc: Encoded, problems: Sequence[Problem]) -> DataFrame:
 
     kind = enc.table.schema["key"].dataType.simpleString()
     return enc.table.mapInArrow(run, f"problem int, key {kind}, y_true int, y_pred int, y_prob double")
+
+
+COUNTS = "problem int, tn long, fp long, fn long, tp long"
+
+
+def outcomes(problem: int, n: np.ndarray, pred: np.ndarray) -> list[int]:
+    """[problem, tn, fp, fn, tp] of groups with ``n`` test rows of either class that get ``pred``."""
+    return [problem, *(int(n[pred == p, t].sum()) for t in (0, 1) for p in (0, 1))]
+
+
+def counts_batch(rows: list[list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.int64()] * 4)], ["problem", "tn", "fp", "fn", "tp"])
+
+
+def confusions(enc: Encoded, problems: Sequence[Problem]) -> DataFrame:
+    """(problem, tn, fp, fn, tp), to be added up by problem: the outcomes on the test rows."""
+    plan, fitted = enc.plan, list(enumerate(problems))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in (g for batch in batches for g in unpacked(batch, plan)):
+            rows = []
+            for group in _groups(fitted).values():
+                s = group[0][1].split
+                mine = np.flatnonzero(g.n[:, s, 2] + g.n[:, s, 3])
+                if not len(mine):
+                    continue
+                x = plan.design(s, g.codes[mine], g.nums[mine])
+                fmap = _features(plan, group[0][1])[1]
+                x = _with_one(x if fmap is None else fmap(x))
+                for i, p in group:
+                    prob = 1.0 / (1.0 + np.exp(-np.clip(x @ p.beta, -700, 700)))
+                    rows.append(outcomes(i, g.n[mine, s, 2:], (prob > 0.5).astype(np.int64)))
+            if rows:
+                yield counts_batch(rows)
+
+    return enc.groups.mapInArrow(run, COUNTS)

@@ -5,13 +5,16 @@ written once, with their role in every split, category slots and numbers;
 what the preprocessing learns (fills, means, deviations, which categories
 were seen) is learned from the training rows of every split by a few
 aggregations over all splits, and is small: it is applied to Arrow batches.
-No split is copied and no fit repeats the preprocessing.
+No split is copied and no fit repeats the preprocessing.  What only needs to
+know how often a row occurs reads ``Encoded.groups``: equal rows as one.
 """
 
 from __future__ import annotations
 
+import functools
+import threading
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +88,105 @@ class Encoded:
     key: str
     rows: int
 
+    @functools.cached_property
+    def groups(self) -> DataFrame:
+        """Rows of equal codes and numbers as one, with the counts of every
+        split (``GROUPS``); written once, whatever fits read it."""
+        with self._lock:
+            return self._groups
+
+    @functools.cached_property
+    def _groups(self) -> DataFrame:
+        spark = self.table.sparkSession
+        out = alike(self).mapInArrow(_grouper(self.plan), GROUPS)
+        path = scratch_path(spark, "split-groups")
+        out.write.parquet(path)
+        return spark.read.schema(out.schema).parquet(path)
+
+    @functools.cached_property
+    def kinds(self) -> int:
+        """How many rows of ``groups`` there are."""
+        return self.groups.agg(F.sum("rows")).first()[0] or 0
+
+    _lock: threading.RLock = field(default_factory=threading.RLock, repr=False)
+
+
+GROUPS = "rows int, codes binary, nums binary, n binary"
+BLOB_ROWS = 16_384  # groups of one row of the table of groups
+HELD_ROWS = 400_000  # rows a task holds before it adds up equal ones
+
+
+@dataclass
+class Groups:
+    """Rows of equal codes and numbers: how often they occur in each split."""
+
+    codes: np.ndarray
+    nums: np.ndarray
+    n: np.ndarray  # group x split x (train 0, train 1, test 0, test 1)
+
+
+def alike(enc: Encoded) -> DataFrame:
+    """The encoded rows, those of equal codes and numbers in one task."""
+    tasks = max(enc.table.sparkSession.sparkContext.defaultParallelism, -(-enc.rows // ROWS_PER_TASK))
+    return enc.table.repartition(tasks, "codes", "nums")
+
+
+def same_rows(codes: np.ndarray, nums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of every group of equal rows, the group of each row), groups in a fixed order."""
+    words = np.concatenate([codes.astype(">i8"), (np.where(np.isnan(nums), np.nan, nums) + 0.0).astype(">f8").view(">i8")], axis=1)
+    whole = np.ascontiguousarray(words).view(np.dtype((np.void, 8 * words.shape[1]))).ravel() if words.shape[1] else np.zeros(len(codes), dtype=np.int8)
+    _, first, group = np.unique(whole, return_index=True, return_inverse=True)
+    return first, group.ravel()
+
+
+def _grouper(plan: Plan):
+    def collapse(parts: list[Groups]) -> Groups:
+        codes, nums, n = (np.concatenate([getattr(p, a) for p in parts]) for a in ("codes", "nums", "n"))
+        first, group = same_rows(codes, nums)
+        order = np.argsort(group, kind="stable")
+        starts = np.searchsorted(group[order], np.arange(len(first)))
+        return Groups(codes[first], nums[first], np.add.reduceat(n[order], starts, axis=0) if len(first) else n)
+
+    def of_batch(batch: pa.RecordBatch) -> Groups:
+        _, y, _, role, codes, nums = arrays(batch, plan)
+        first, group = same_rows(codes, nums)
+        n = np.zeros((len(first), role.shape[1], 4), dtype=np.int32)
+        for s in range(role.shape[1]):
+            mine = np.flatnonzero(role[:, s])
+            place = group[mine] * 4 + (role[mine, s] - TRAIN) * 2 + y[mine]
+            n[:, s] = np.bincount(place, minlength=4 * len(first)).reshape(-1, 4)
+        return Groups(codes[first], nums[first], n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Groups] = []
+        grown = 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(of_batch(batch))
+            if sum(len(g.codes) for g in held) > max(HELD_ROWS, 2 * grown):
+                held = [collapse(held)]
+                grown = len(held[0].codes)
+        if held:
+            g = collapse(held)
+            for i in range(0, len(g.codes), BLOB_ROWS):
+                yield packed(Groups(g.codes[i : i + BLOB_ROWS], g.nums[i : i + BLOB_ROWS], g.n[i : i + BLOB_ROWS]))
+
+    return run
+
+
+def packed(g: Groups) -> pa.RecordBatch:
+    blobs = [pa.array([np.ascontiguousarray(x, t).tobytes()], pa.binary()) for x, t in ((g.codes, np.int32), (g.nums, np.float64), (g.n, np.int32))]
+    return pa.RecordBatch.from_arrays([pa.array([len(g.codes)], pa.int32()), *blobs], ["rows", "codes", "nums", "n"])
+
+
+def unpacked(batch: pa.RecordBatch, plan: Plan) -> Iterator[Groups]:
+    """The groups of a batch of the table of groups."""
+    for i in range(len(batch)):
+        rows = batch.column(0)[i].as_py()
+        codes, nums, n = (np.frombuffer(batch.column(j)[i].as_buffer(), t) for j, t in ((1, np.int32), (2, np.float64), (3, np.int32)))
+        yield Groups(codes.reshape(rows, len(plan.cats)).astype(np.int64), nums.reshape(rows, len(plan.nums)), n.reshape(rows, len(plan.rows), 4))
+
 
 def _role(splits: Sequence[tuple[Column, Column]]) -> Column:
     one = [F.when(train, TRAIN).when(test, TEST).otherwise(0).cast("tinyint") for train, test in splits]

@@ -4,8 +4,9 @@ An encoded table of up to ``TASK_BYTES`` is copied to a few blocks (rows
 times blocks, by a shuffle; the driver never holds it) and every task fits
 the units of its block: a unit is a split with all candidates that share its
 growth, so a forest of 200 trees of any depth also answers for 100 trees and
-for depth five.  A larger table is not for one task: ``fits_in_a_task`` says
-so and the caller uses the distributed fits of ``pyspark.ml`` instead.
+for depth five.  Of a larger table the trees see equal rows as one with their
+counts (``Encoded.groups``), as long as these fit in a task (``groups_fit``);
+otherwise the caller uses the distributed fits of ``pyspark.ml``.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earlywarn.operators import forest
-from earlywarn.operators.splits import TEST, TRAIN, Encoded, Plan, arrays
+from earlywarn.operators.linear_fits import COUNTS, counts_batch, outcomes
+from earlywarn.operators.splits import GROUPS, TEST, TRAIN, Encoded, Groups, Plan, arrays, packed, same_rows, unpacked
 
 TASK_BYTES = 64 << 20  # of the arrays of one task
 SEED = 42
@@ -31,6 +33,12 @@ def fits_in_a_task(enc: Encoded) -> bool:
     return enc.rows * per_row <= TASK_BYTES
 
 
+def groups_fit(enc: Encoded) -> bool:
+    """Whether the groups of equal rows fit in a task."""
+    per_group = 8 * (len(enc.plan.cats) + len(enc.plan.nums) + 4)
+    return TASK_BYTES > 0 and enc.kinds * per_group <= TASK_BYTES
+
+
 def _bins(plan: Plan, s: int, codes: np.ndarray, nums: np.ndarray) -> forest.Bins:
     codes, nums = plan.filled(s, codes, nums)
     cols, sizes = [], []
@@ -135,6 +143,147 @@ def predict(enc: Encoded, tasks: Sequence[Task]) -> DataFrame:
     return copies.repartitionByRange(blocks, "block").mapInArrow(run, f"problem int, key {kind}, y_true int, y_pred int, y_prob double")
 
 
+GROWN = ("Decision Tree", "Random Forest", "Gradient Boosting")  # fits that read groups
+
+
+def _depth(p: dict) -> int | None:
+    return None if p.get("max_depth") is None else int(p["max_depth"])
+
+
+def _fit_groups(plan: Plan, unit: tuple, part: int, parts: int, tasks: list[tuple[int, Task]], g: Groups) -> Iterator[tuple[int, np.ndarray]]:
+    """(task, P(1) of the groups with test rows) for the tasks of a unit; of a
+    forest in parts the sums over the part's trees."""
+    s, name = unit[:2]
+    zeros, ones = g.n[:, 0, 0].astype(np.int64), g.n[:, 0, 1].astype(np.int64)
+    train, test = np.flatnonzero(zeros + ones), np.flatnonzero(g.n[:, 0, 2] + g.n[:, 0, 3])
+    if not len(test):
+        return
+    if not len(train):
+        for i, _ in tasks:
+            yield i, np.zeros(len(test))
+        return
+    bins = _bins(plan, s, g.codes, g.nums)
+    n = plan.rows[s].sum()
+    weights = tuple(n / (2.0 * max(1, plan.rows[s, c])) for c in (0, 1))
+    if name == "Decision Tree":
+        depths = [_depth(p) for _, (_, _, p) in tasks]
+        weight = zeros * weights[0] + ones * weights[1]
+        target = ones * weights[1] / np.maximum(weight, 1e-300)
+        tree = forest.grow(bins, target, weight, train, None if None in depths else max(depths), unit[2], count=zeros + ones)
+        to = forest.Bins(bins.z[test], bins.sizes, bins.cats)
+        for (i, _), d in zip(tasks, depths):
+            yield i, tree.value[tree.leaves(to, d)]
+        return
+    if name == "Random Forest":
+        wanted = [(int(p.get("n_estimators", 100)), _depth(p)) for _, (_, _, p) in tasks]
+        got = forest.forest_sums(bins, zeros, ones, weights, train, test, sorted({t for t, _ in wanted}),
+                                 sorted({d for _, d in wanted}, key=lambda d: (d is None, d or 0)), unit[2], SEED, part, parts)
+    else:
+        wanted = [int(p.get("n_estimators", 100)) for _, (_, _, p) in tasks]
+        got = forest.boosted_groups(bins, zeros, ones, train, test, sorted(set(wanted)), *unit[2:])
+    for (i, _), w in zip(tasks, wanted):
+        yield i, got[w]
+
+
+def from_groups(enc: Encoded, tasks: Sequence[Task], counts: bool) -> DataFrame:
+    """Trees, forests and boosting on groups of equal rows.  ``counts``:
+    (problem, tn, fp, fn, tp) to be added up by problem; else (problem, split,
+    codes, nums, y_prob) of the groups with test rows in the task's split."""
+    cores = enc.table.sparkSession.sparkContext.defaultParallelism
+    units: dict[tuple, list[tuple[int, Task]]] = {}
+    for i, t in enumerate(tasks):
+        units.setdefault(_unit(t), []).append((i, t))
+    # a forest is dealt by its trees where there are fewer units than cores
+    parts = {u: max(1, min(25, -(-3 * cores // len(units)))) if u[1] == "Random Forest" else 1 for u in units}
+    dear = {"Random Forest": 0, "Gradient Boosting": 1}
+    splits = sorted({u[0] for u in units})
+    blocks: list[list[tuple[tuple, int]]] = []  # the (unit, part) of each block, all of one split
+    of_split: dict[int, list[int]] = {}
+    for s in splits:
+        jobs = [(u, p) for u in sorted((u for u in units if u[0] == s), key=lambda u: (dear.get(u[1], 2), str(u))) for p in range(parts[u])]
+        k = max(1, min(len(jobs), -(-4 * cores // len(splits))))
+        of_split[s] = list(range(len(blocks), len(blocks) + k))
+        blocks += [jobs[b::k] for b in range(k)]
+    plan = enc.plan
+    trees = [float(t[2].get("n_estimators", 100)) if t[1] == "Random Forest" else 1.0 for t in tasks]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in (g for batch in batches for g in unpacked(batch, plan)):
+            for s in splits:
+                mine = np.flatnonzero(g.n[:, s].any(axis=1))
+                if len(mine):
+                    one = packed(Groups(g.codes[mine], g.nums[mine], g.n[mine, s : s + 1]))
+                    for b in of_split[s]:
+                        yield pa.RecordBatch.from_arrays([*one.columns, pa.array([b], pa.int32())], [*one.schema.names, "block"])
+
+    def result(i: int, prob: np.ndarray, g: Groups) -> pa.RecordBatch:
+        test = np.flatnonzero(g.n[:, 0, 2] + g.n[:, 0, 3])
+        if counts:
+            return counts_batch([outcomes(i, g.n[test, 0, 2:], (prob > 0.5).astype(np.int64))])
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(test) + 1, dtype=np.int32) * m.shape[1]), pa.array(m[test].ravel(), t))
+                 for m, t in ((g.codes, pa.int32()), (g.nums, pa.float64()))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(test), x, dtype=np.int32)) for x in (i, tasks[i][0])] + [*lists, pa.array(prob)],
+                                          ["problem", "split", "codes", "nums", "y_prob"])
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Groups]]:
+        """(block, its groups in a fixed order)"""
+        got: dict[int, list[Groups]] = {}
+        for batch in batches:
+            for i, b in enumerate(batch.column(4).to_pylist()):
+                rows = batch.column(0)[i].as_py()
+                codes, nums, n = (np.frombuffer(batch.column(j)[i].as_buffer(), t) for j, t in ((1, np.int32), (2, np.float64), (3, np.int32)))
+                got.setdefault(b, []).append(Groups(codes.reshape(rows, len(plan.cats)).astype(np.int64), nums.reshape(rows, len(plan.nums)), n.reshape(rows, 1, 4)))
+        for b in sorted(got):
+            g = got.pop(b)
+            codes, nums, n = (np.concatenate([getattr(x, a) for x in g]) for a in ("codes", "nums", "n"))
+            at = same_rows(codes, nums)[0]
+            yield b, Groups(codes[at], nums[at], n[at])
+
+    whole = max(parts.values()) == 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, g in held(batches):
+            for u, part in blocks[b]:
+                for i, prob in _fit_groups(plan, u, part, parts[u], units[u], g):
+                    if whole:
+                        yield result(i, prob / trees[i], g)
+                    else:  # the first part brings the groups along
+                        rest = packed(g).columns if part == 0 else [pa.nulls(1, t) for t in (pa.int32(), *[pa.binary()] * 3)]
+                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([prob.tobytes()], pa.binary()), *rest],
+                                                         ["problem", "sums", "rows", "codes", "nums", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        of: dict[int, Groups] = {}
+        for batch in batches:
+            for j, i in enumerate(batch.column(0).to_pylist()):
+                v = np.frombuffer(batch.column(1)[j].as_buffer(), np.float64)
+                sums[i] = sums[i] + v if i in sums else v.copy()
+                rows = batch.column(2)[j].as_py()
+                if rows is not None:
+                    codes, nums, n = (np.frombuffer(batch.column(c)[j].as_buffer(), t).copy() for c, t in ((3, np.int32), (4, np.float64), (5, np.int32)))
+                    of[i] = Groups(codes.reshape(rows, len(plan.cats)), nums.reshape(rows, len(plan.nums)), n.reshape(rows, 1, 4))
+        for i in sorted(sums):
+            yield result(i, sums[i] / trees[i], of[i])
+
+    schema = COUNTS if counts else "problem int, split int, codes array<int>, nums array<double>, y_prob double"
+    dealt = enc.groups.mapInArrow(deal, GROUPS + ", block int").repartitionByRange(len(blocks), "block")
+    if whole:
+        return dealt.mapInArrow(run, schema)
+    some = dealt.mapInArrow(run, "problem int, sums binary, " + GROUPS)
+    return some.repartition(min(len(tasks), cores), "problem").mapInArrow(add, schema)
+
+
+def predict_groups(enc: Encoded, tasks: Sequence[Task]) -> DataFrame:
+    """(problem, key, y_true, y_pred, y_prob) of the test rows of every task, from fits on groups."""
+    prob = from_groups(enc, tasks, counts=False)
+    splits = sorted({t[0] for t in tasks})
+    tested = F.filter(F.array(*[F.lit(s) for s in splits]), lambda s: F.element_at("role", s + 1) == TEST)
+    rows = enc.table.select("key", "y", "codes", "nums", F.explode(tested).alias("split"))
+    return rows.join(prob, ["split", "codes", "nums"]).select(
+        "problem", "key", F.col("y").cast("int").alias("y_true"), (F.col("y_prob") > 0.5).cast("int").alias("y_pred"), "y_prob")
+
+
 def design_rows(enc: Encoded, s: int) -> DataFrame:
     """(key, y, role, weight, x) of the rows of split ``s``: its features and balanced weights."""
     plan = enc.plan
