@@ -91,3 +91,25 @@ def test_logistic_passes_read_groups(enc, monkeypatch):
     monkeypatch.undo()
     pred = va.fit_many(enc, tasks)
     assert va.score_many(enc, tasks) == pytest.approx([va._macro_f1(pred.filter(F.col("problem") == i)) for i in range(6)], abs=1e-12)
+
+
+def test_lasso_steps_end_on_alike_columns():
+    """One-hot slots add up to the intercept's column: a weak l1 penalty still has its exact minimum at once."""
+    from earlywarn.operators import linear_fits
+
+    rng = np.random.default_rng(3)
+    slots = [np.eye(n)[rng.integers(0, n, 4000)] for n in (2, 5, 3)]
+    x = np.concatenate([*slots, rng.normal(size=(4000, 3)), np.ones((4000, 1))], axis=1)
+    y = (x[:, 10] - x[:, 3] + rng.normal(size=4000) > 0).astype(float)
+    state = linear_fits._State(linear_fits.Problem(0, 100.0, 1.0), 4000.0 * 200, x.shape[1] - 1)  # each row 200 times
+    passes = 0
+    while not state.done and passes < 30:
+        p = 1 / (1 + np.exp(-x @ state.trial))
+        loss = float((np.logaddexp(0, x @ state.trial) - y * (x @ state.trial)).sum())
+        state.take(200 * np.concatenate([[loss], x.T @ (p - y), (x.T @ (x * (p * (1 - p))[:, None])).ravel()]))
+        passes += 1
+    assert state.done and passes < 30
+    slope = x.T @ (1 / (1 + np.exp(-x @ state.best)) - y) / 4000
+    b = state.best[:-1]
+    assert abs(slope[-1]) < 1e-7
+    assert np.allclose(slope[:-1][b != 0], -state.l1 * np.sign(b[b != 0]), rtol=0, atol=1e-10) and np.all(np.abs(slope[:-1]) <= state.l1 + 1e-10)
