@@ -10,6 +10,7 @@ sequence are the smaller model: one growth serves all such candidates.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -259,36 +260,104 @@ def boosted_groups(bins: Bins, zeros: np.ndarray, ones: np.ndarray, train: np.nd
     return out
 
 
-def neighbour_probabilities(x: np.ndarray, y: np.ndarray, train: np.ndarray, test: np.ndarray,
-                            wanted: list[tuple[int, str]], tile: int = 1024) -> dict[tuple[int, str], np.ndarray]:
-    """P(1) by the vote of the k nearest training rows (Euclidean; ties to the
-    earlier row); neighbours at distance zero, if any, vote alone under 'distance'."""
-    b, t = x[train], y[train].astype(np.float64)
+CELL = 512  # training rows of a cell
+
+
+def cells(x: np.ndarray, most: int) -> list[np.ndarray]:
+    """The rows of ``x`` in cells of at most ``most`` near ones (more only where they are equal), cut at wide gaps."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= most or not x.shape[1]:
+            out.append(rows)
+            continue
+        some = np.sort(x[rows[:: max(1, len(rows) // 1024)]], axis=0)
+        middle, place = some[len(some) // 2], np.arange(x.shape[1])
+        above, below = (some <= middle).sum(axis=0), (some < middle).sum(axis=0)
+        up = above < len(some)  # else the middle is the largest value, and the cut is below it
+        low = np.where(up, middle, some[np.maximum(below - 1, 0), place])
+        high = np.where(up, some[np.minimum(above, len(some) - 1), place], middle)
+        score = np.where(high > low, high - low + 0.1 * (some[-1] - some[0]), 0.0)
+        c = int(score.argmax())
+        cut = low[c]
+        if score[c] <= 0:  # equal in the rows looked at
+            wide = np.ptp(x[rows], axis=0)
+            c = int(wide.argmax())
+            cut = x[rows, c].min() + wide[c] / 2
+        left = x[rows, c] <= cut
+        if left.all() or not left.any():
+            out.append(rows)
+        else:
+            todo += [rows[~left], rows[left]]
+    return out
+
+
+def nearest(b: np.ndarray, q: np.ndarray, most: int, tile: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Exact: by tiles of rows of ``q``, all rows of ``b`` that are no farther
+    than the ``most``-th nearest: (the tile's rows, row in the tile, row of
+    ``b``, squared distance).  Cells of ``b`` are taken nearest first, until
+    the box of the next one is too far for every row."""
+    parts = cells(b, CELL)
+    low, high = (np.array([f(b[p], axis=0) for p in parts]) for f in (np.min, np.max))
     norm = (b * b).sum(1)
-    most = min(max(k for k, _ in wanted), len(train))
+    for at in (mine[i : i + tile] for mine in cells(q, tile) for i in range(0, len(mine), tile)):
+        t = q[at]
+        own = (t * t).sum(1)
+        slack = 2e-9 + 1e-13 * (own.max() + norm.max())
+        apart = np.maximum(np.maximum(low - t.max(0), t.min(0) - high), 0.0)
+        apart = (apart * apart).sum(1)
+        turn = np.argsort(apart, kind="stable")
+        best = np.full((len(t), most), np.inf)
+        found, j, wanted = [], 0, max(CELL, 2 * most)
+        while j < len(turn) and apart[turn[j]] <= best.max() + slack:
+            first, n = j, 0
+            while j < len(turn) and n < wanted:
+                n += len(parts[turn[j]])
+                j += 1
+            box, wanted = turn[first:j], min(2 * wanted, 8192)
+            gap = np.maximum(np.maximum(low[box] - t[:, None], t[:, None] - high[box]), 0.0)
+            near = np.flatnonzero(((gap * gap).sum(2) <= best.max(1)[:, None] + slack).any(1))
+            if not len(near):
+                continue
+            some = np.concatenate([parts[c] for c in box])
+            # equal distances must tie: rounding of the product is cut off
+            d = np.round(np.maximum(own[near, None] + norm[some] - 2.0 * (t[near] @ b[some].T), 0.0), 9)
+            best[near] = np.partition(np.concatenate([best[near], d], axis=1), most - 1, axis=1)[:, :most]
+            r, c = np.nonzero(d <= best[near].max(1)[:, None])
+            found.append((near[r], some[c], d[r, c]))
+        row, col, d = (np.concatenate(x) for x in zip(*found))
+        ok = d <= best.max(1)[row]
+        yield at, row[ok], col[ok], d[ok]
+
+
+def neighbour_probabilities(x: np.ndarray, y: np.ndarray, train: np.ndarray, test: np.ndarray, wanted: list[tuple[int, str]],
+                            voters: tuple[np.ndarray, ...] | None = None) -> dict[tuple[int, str], np.ndarray]:
+    """P(1) by the vote of the k nearest training rows (Euclidean; ties to the
+    earlier row); neighbours at distance zero, if any, vote alone under
+    'distance'.  ``voters``, where equal rows are put together: for every
+    training row the first and the number of its voters, and of each voter the
+    key, for ties, and the class."""
+    first, many, keys, classes = voters or (np.arange(len(train)), np.ones(len(train), dtype=np.int64), np.arange(len(train)), y[train])
+    most = max(k for k, _ in wanted)
     out = {w: np.zeros(len(test)) for w in wanted}
-    for i in range(0, len(test), tile):
-        q = x[test[i : i + tile]]
-        d = np.maximum((q * q).sum(1)[:, None] + norm[None, :] - 2.0 * (q @ b.T), 0.0)
-        # equal distances must tie: rounding of the product is cut off
-        d = np.round(d, 9)
-        bound = np.partition(d, most - 1, axis=1)[:, most - 1 : most]
-        row, col = np.nonzero(d <= bound)
-        order = np.lexsort((col, d[row, col], row))
-        row, col = row[order], col[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        pick = rank < most
-        near = col[pick].reshape(len(q), most)
-        dist = np.sqrt(np.take_along_axis(d, near, 1))
-        vote = t[near]
+    for at, row, col, d in nearest(x[train], x[test], min(most, len(train))):
+        n = many[col]
+        each = np.repeat(np.arange(len(col)), n)
+        voter = first[col][each] + np.arange(len(each)) - (np.cumsum(n) - n)[each]
+        order = np.lexsort((keys[voter], d[each], row[each]))
+        of = row[each][order]
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        k_all = min(most, int(many.sum()))
+        pick = order[rank < k_all]
+        dist = np.sqrt(d[each][pick]).reshape(len(at), k_all)
+        vote = classes[voter[pick]].astype(np.float64).reshape(len(at), k_all)
         for k, how in wanted:
-            k_ = min(k, most)
-            v, s = vote[:, :k_], dist[:, :k_]
+            v, s = vote[:, : min(k, k_all)], dist[:, : min(k, k_all)]
             if how == "distance":
                 zero = s == 0
                 with np.errstate(divide="ignore"):
                     w = np.where(zero.any(1)[:, None], zero.astype(np.float64), 1.0 / np.where(zero, 1.0, s))
             else:
                 w = np.ones_like(s)
-            out[(k, how)][i : i + tile] = (w * v).sum(1) / w.sum(1)
+            out[(k, how)][at] = (w * v).sum(1) / w.sum(1)
     return out

@@ -15,6 +15,7 @@ import functools
 import threading
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -139,31 +140,34 @@ def same_rows(codes: np.ndarray, nums: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first, group.ravel()
 
 
-def _grouper(plan: Plan):
-    def collapse(parts: list[Groups]) -> Groups:
-        codes, nums, n = (np.concatenate([getattr(p, a) for p in parts]) for a in ("codes", "nums", "n"))
-        first, group = same_rows(codes, nums)
-        order = np.argsort(group, kind="stable")
-        starts = np.searchsorted(group[order], np.arange(len(first)))
-        return Groups(codes[first], nums[first], np.add.reduceat(n[order], starts, axis=0) if len(first) else n)
-
-    def of_batch(batch: pa.RecordBatch) -> Groups:
-        _, y, _, role, codes, nums = arrays(batch, plan)
-        first, group = same_rows(codes, nums)
-        n = np.zeros((len(first), role.shape[1], 4), dtype=np.int32)
-        for s in range(role.shape[1]):
-            mine = np.flatnonzero(role[:, s])
-            place = group[mine] * 4 + (role[mine, s] - TRAIN) * 2 + y[mine]
-            n[:, s] = np.bincount(place, minlength=4 * len(first)).reshape(-1, 4)
-        return Groups(codes[first], nums[first], n)
+def collapse(parts: list[Groups]) -> Groups:
+    """Equal groups added up, in a fixed order."""
+    codes, nums, n = (np.concatenate([getattr(p, a) for p in parts]) for a in ("codes", "nums", "n"))
+    first, group = same_rows(codes, nums)
+    order = np.argsort(group, kind="stable")
+    starts = np.searchsorted(group[order], np.arange(len(first)))
+    return Groups(codes[first], nums[first], np.add.reduceat(n[order], starts, axis=0) if len(first) else n)
+
+
+def counted(y: np.ndarray, role: np.ndarray, codes: np.ndarray, nums: np.ndarray) -> Groups:
+    """The groups of some rows."""
+    first, group = same_rows(codes, nums)
+    n = np.zeros((len(first), role.shape[1], 4), dtype=np.int32)
+    for s in range(role.shape[1]):
+        mine = np.flatnonzero(role[:, s])
+        place = group[mine] * 4 + (role[mine, s] - TRAIN) * 2 + y[mine]
+        n[:, s] = np.bincount(place, minlength=4 * len(first)).reshape(-1, 4)
+    return Groups(codes[first], nums[first], n)
 
+
+def _grouper(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Groups] = []
         grown = 0
         for batch in batches:
             if not len(batch):
                 continue
-            held.append(of_batch(batch))
+            held.append(counted(*itemgetter(1, 3, 4, 5)(arrays(batch, plan))))
             if sum(len(g.codes) for g in held) > max(HELD_ROWS, 2 * grown):
                 held = [collapse(held)]
                 grown = len(held[0].codes)

@@ -5,7 +5,8 @@ times blocks, by a shuffle; the driver never holds it) and every task fits
 the units of its block: a unit is a split with all candidates that share its
 growth, so a forest of 200 trees of any depth also answers for 100 trees and
 for depth five.  Of a larger table the trees see equal rows as one with their
-counts (``Encoded.groups``), as long as these fit in a task (``groups_fit``);
+counts (``Encoded.groups``), as long as these fit in a task (``groups_fit``),
+and k-NN also with the few rows of each that may vote (``neighbours_fit``);
 otherwise the caller uses the distributed fits of ``pyspark.ml``.
 """
 
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from earlywarn.operators import forest
 from earlywarn.operators.linear_fits import COUNTS, counts_batch, outcomes
-from earlywarn.operators.splits import GROUPS, TEST, TRAIN, Encoded, Groups, Plan, arrays, packed, same_rows, unpacked
+from earlywarn.operators.splits import (BLOB_ROWS, GROUPS, HELD_ROWS, TEST, TRAIN, Encoded, Groups, Plan, alike, arrays, collapse, counted,
+                                        packed, same_rows, unpacked)
 
 TASK_BYTES = 64 << 20  # of the arrays of one task
 SEED = 42
@@ -185,6 +187,20 @@ def _fit_groups(plan: Plan, unit: tuple, part: int, parts: int, tasks: list[tupl
         yield i, got[w]
 
 
+def _result(i: int, s: int, prob: np.ndarray, g: Groups, counts: bool) -> pa.RecordBatch:
+    """The rows of task ``i``, on split ``s``: ``prob`` is P(1) of the groups of ``g`` with test rows."""
+    test = np.flatnonzero(g.n[:, 0, 2] + g.n[:, 0, 3])
+    if counts:
+        return counts_batch([outcomes(i, g.n[test, 0, 2:], (prob > 0.5).astype(np.int64))])
+    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(test) + 1, dtype=np.int32) * m.shape[1]), pa.array(m[test].ravel(), t))
+             for m, t in ((g.codes, pa.int32()), (g.nums, pa.float64()))]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(test), x, dtype=np.int32)) for x in (i, s)] + [*lists, pa.array(prob)],
+                                      ["problem", "split", "codes", "nums", "y_prob"])
+
+
+PROBABILITIES = "problem int, split int, codes array<int>, nums array<double>, y_prob double"
+
+
 def from_groups(enc: Encoded, tasks: Sequence[Task], counts: bool) -> DataFrame:
     """Trees, forests and boosting on groups of equal rows.  ``counts``:
     (problem, tn, fp, fn, tp) to be added up by problem; else (problem, split,
@@ -216,15 +232,6 @@ def from_groups(enc: Encoded, tasks: Sequence[Task], counts: bool) -> DataFrame:
                     for b in of_split[s]:
                         yield pa.RecordBatch.from_arrays([*one.columns, pa.array([b], pa.int32())], [*one.schema.names, "block"])
 
-    def result(i: int, prob: np.ndarray, g: Groups) -> pa.RecordBatch:
-        test = np.flatnonzero(g.n[:, 0, 2] + g.n[:, 0, 3])
-        if counts:
-            return counts_batch([outcomes(i, g.n[test, 0, 2:], (prob > 0.5).astype(np.int64))])
-        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(test) + 1, dtype=np.int32) * m.shape[1]), pa.array(m[test].ravel(), t))
-                 for m, t in ((g.codes, pa.int32()), (g.nums, pa.float64()))]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(test), x, dtype=np.int32)) for x in (i, tasks[i][0])] + [*lists, pa.array(prob)],
-                                          ["problem", "split", "codes", "nums", "y_prob"])
-
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Groups]]:
         """(block, its groups in a fixed order)"""
         got: dict[int, list[Groups]] = {}
@@ -246,7 +253,7 @@ def from_groups(enc: Encoded, tasks: Sequence[Task], counts: bool) -> DataFrame:
             for u, part in blocks[b]:
                 for i, prob in _fit_groups(plan, u, part, parts[u], units[u], g):
                     if whole:
-                        yield result(i, prob / trees[i], g)
+                        yield _result(i, tasks[i][0], prob / trees[i], g, counts)
                     else:  # the first part brings the groups along
                         rest = packed(g).columns if part == 0 else [pa.nulls(1, t) for t in (pa.int32(), *[pa.binary()] * 3)]
                         yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([prob.tobytes()], pa.binary()), *rest],
@@ -264,19 +271,121 @@ def from_groups(enc: Encoded, tasks: Sequence[Task], counts: bool) -> DataFrame:
                     codes, nums, n = (np.frombuffer(batch.column(c)[j].as_buffer(), t).copy() for c, t in ((3, np.int32), (4, np.float64), (5, np.int32)))
                     of[i] = Groups(codes.reshape(rows, len(plan.cats)), nums.reshape(rows, len(plan.nums)), n.reshape(rows, 1, 4))
         for i in sorted(sums):
-            yield result(i, sums[i] / trees[i], of[i])
+            yield _result(i, tasks[i][0], sums[i] / trees[i], of[i], counts)
 
-    schema = COUNTS if counts else "problem int, split int, codes array<int>, nums array<double>, y_prob double"
-    dealt = enc.groups.mapInArrow(deal, GROUPS + ", block int").repartitionByRange(len(blocks), "block")
+    schema = COUNTS if counts else PROBABILITIES
+    dealt = enc.groups.mapInArrow(deal, GROUPS + ", block int").repartitionById(len(blocks), F.col("block"))
     if whole:
         return dealt.mapInArrow(run, schema)
     some = dealt.mapInArrow(run, "problem int, sums binary, " + GROUPS)
     return some.repartition(min(len(tasks), cores), "problem").mapInArrow(add, schema)
 
 
+def _most(tasks: Sequence[Task]) -> int:
+    return max(int(p.get("n_neighbors", 5)) for _, _, p in tasks)
+
+
+def neighbours_fit(enc: Encoded, tasks: Sequence[Task]) -> bool:
+    """Whether the groups of equal rows, as features and with their voters, fit in a task."""
+    per_group = 8 * (enc.plan.width + len(enc.plan.cats) + len(enc.plan.nums) + 4) + 9 * _most(tasks)
+    whole = enc.table.schema["key"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    return whole and TASK_BYTES > 0 and enc.kinds * per_group <= 4 * TASK_BYTES
+
+
+def _voters(rows: list[tuple[np.ndarray, ...]], splits: Sequence[int], most: int) -> tuple[np.ndarray, ...]:
+    """(codes, nums, role, key, y) by group and key: of every group its first row
+    and those that are among the ``most`` first training rows of a split."""
+    codes, nums, role, key, y = (np.concatenate(c) for c in zip(*rows))
+    group = same_rows(codes, nums)[1]
+    order = np.lexsort((y, key, group))
+    group = group[order]
+    start = np.searchsorted(group, group)
+    keep = start == np.arange(len(group))
+    for s in splits:
+        mine = role[order, s] == TRAIN
+        before = np.cumsum(mine) - mine
+        keep |= mine & (before - before[start] < most)
+    return tuple(x[order[keep]] for x in (codes, nums, role, key, y))
+
+
+def from_neighbours(enc: Encoded, tasks: Sequence[Task], counts: bool) -> DataFrame:
+    """k-NN on groups of equal rows, with results as of ``from_groups``.  Of
+    equal training rows only the first k, by key, can be among the k nearest of
+    any row, so a group carries no more; every task has the training groups of
+    one split and a share of its test groups."""
+    cores = enc.table.sparkSession.sparkContext.defaultParallelism
+    splits = sorted({t[0] for t in tasks})
+    shares = max(1, -(-2 * cores // len(splits)))
+    most, plan = _most(tasks), enc.plan
+    wanted = {s: [(i, (int(p.get("n_neighbors", 5)), p.get("weights", "uniform"))) for i, (f, _, p) in enumerate(tasks) if f == s] for s in splits}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Groups] = []
+        rows: list[tuple[np.ndarray, ...]] = []
+        grown = 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            key, y, _, role, codes, nums = arrays(batch, plan)
+            held.append(counted(y, role, codes, nums))
+            rows.append((codes, nums, role, pc.fill_null(key.cast(pa.int64()), np.iinfo(np.int64).max).to_numpy(), y.astype(np.int8)))
+            if sum(len(r[0]) for r in rows) > max(HELD_ROWS, 2 * grown):
+                held, rows = [collapse(held)], [_voters(rows, splits, most)]
+                grown = len(rows[0][0])
+        if not held:
+            return
+        g = collapse(held)
+        codes, nums, role, key, y = _voters(rows, splits, most)
+        group = same_rows(codes, nums)[1]  # numbered as the groups of g: all of them are here
+        start = np.searchsorted(group, group)
+        for n, s in enumerate(splits):
+            votes = role[:, s] == TRAIN
+            before = np.cumsum(votes) - votes
+            votes &= before - before[start] < most
+            many = np.bincount(group[votes], minlength=len(g.codes)).astype(np.int32)
+            mine = np.flatnonzero(g.n[:, s].any(axis=1))
+            for i in range(0, len(mine), BLOB_ROWS):
+                some = mine[i : i + BLOB_ROWS]
+                theirs = np.flatnonzero(votes & np.isin(group, some))
+                one = packed(Groups(g.codes[some], g.nums[some], g.n[some, s : s + 1]))
+                more = [pa.array([x.tobytes()], pa.binary()) for x in (many[some], key[theirs], y[theirs])]
+                for b in range(n * shares, (n + 1) * shares):
+                    yield pa.RecordBatch.from_arrays([*one.columns, *more, pa.array([b], pa.int32())],
+                                                     [*one.schema.names, "many", "keys", "classes", "block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (np.int32, np.float64, np.int32, np.int32, np.int64, np.int8)
+        held: dict[int, list[list[np.ndarray]]] = {}
+        for batch in batches:
+            for i, b in enumerate(batch.column(7).to_pylist()):
+                held.setdefault(b, []).append([np.frombuffer(batch.column(j + 1)[i].as_buffer(), t).copy() for j, t in enumerate(types)])
+        for b in sorted(held):
+            blobs = held.pop(b)
+            codes, nums, n, many, keys, classes = (np.concatenate(c) for c in zip(*blobs))
+            codes, nums, n = codes.reshape(len(many), len(plan.cats)).astype(np.int64), nums.reshape(len(many), len(plan.nums)), n.reshape(len(many), 1, 4)
+            at = same_rows(codes, nums)[0]
+            first, many = (np.cumsum(many, dtype=np.int64) - many)[at], many[at].astype(np.int64)
+            g = Groups(codes[at], nums[at], n[at])
+            s = splits[b // shares]
+            train = np.flatnonzero(many)
+            test = np.array_split(np.flatnonzero(g.n[:, 0, 2] + g.n[:, 0, 3]), shares)[b % shares]
+            if not len(test):
+                continue
+            mine = Groups(g.codes[test], g.nums[test], g.n[test])
+            got = {w: np.zeros(len(test)) for _, w in wanted[s]}
+            if len(train):
+                got = forest.neighbour_probabilities(plan.design(s, g.codes, g.nums), None, train, test, sorted(set(got)),
+                                                     (first[train], many[train], keys, classes))
+            for i, w in wanted[s]:
+                yield _result(i, s, got[w], mine, counts)
+
+    dealt = alike(enc).mapInArrow(deal, GROUPS + ", many binary, keys binary, classes binary, block int")
+    return dealt.repartitionById(len(splits) * shares, F.col("block")).mapInArrow(run, COUNTS if counts else PROBABILITIES)
+
+
 def predict_groups(enc: Encoded, tasks: Sequence[Task]) -> DataFrame:
     """(problem, key, y_true, y_pred, y_prob) of the test rows of every task, from fits on groups."""
-    prob = from_groups(enc, tasks, counts=False)
+    prob = (from_neighbours if tasks[0][1] == "KNN" else from_groups)(enc, tasks, counts=False)
     splits = sorted({t[0] for t in tasks})
     tested = F.filter(F.array(*[F.lit(s) for s in splits]), lambda s: F.element_at("role", s + 1) == TEST)
     rows = enc.table.select("key", "y", "codes", "nums", F.explode(tested).alias("split"))

@@ -113,3 +113,35 @@ def test_lasso_steps_end_on_alike_columns():
     b = state.best[:-1]
     assert abs(slope[-1]) < 1e-7
     assert np.allclose(slope[:-1][b != 0], -state.l1 * np.sign(b[b != 0]), rtol=0, atol=1e-10) and np.all(np.abs(slope[:-1]) <= state.l1 + 1e-10)
+
+
+KNN = [("KNN", {"n_neighbors": k, "weights": w}) for k in (3, 15) for w in ("uniform", "distance")]
+
+
+def test_neighbours_of_a_larger_table_are_those_of_its_rows(enc, monkeypatch):
+    """Beyond the rows of a task k-NN is no join of rows: groups with their voters give the same votes, ties by key included."""
+    tasks = [(f, m, p) for m, p in KNN for f in range(3)]
+    rows = {(r.problem, r.key): (r.y_true, round(r.y_prob, 12)) for r in va.fit_many(enc, tasks).collect()}
+    scores = va.score_many(enc, tasks)
+    monkeypatch.setattr(task_fits, "fits_in_a_task", lambda e: False)
+    monkeypatch.setattr(va, "_distributed", None)
+    assert {(r.problem, r.key): (r.y_true, round(r.y_prob, 12)) for r in va.fit_many(enc, tasks).collect()} == rows
+    assert va.score_many(enc, tasks) == pytest.approx(scores, abs=1e-12)
+
+
+def test_nearest_skips_far_cells_only(monkeypatch):
+    """Every row within the k-th distance is found, and few of the others are compared."""
+    from earlywarn.operators import forest
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.eye(6)[rng.integers(0, 6, 9000)], rng.integers(0, 9, (9000, 3)) * 0.3], axis=1)
+    b, q = x[:8000], x[8000:]
+    want = np.round(((q[:, None] - b[None]) ** 2).sum(2), 9)
+    want = want <= np.sort(want, axis=1)[:, 6:7]
+    compared = []
+    whole = np.round
+    monkeypatch.setattr(forest.np, "round", lambda d, digits: compared.append(d.size) or whole(d, digits))
+    got = np.zeros(want.shape, dtype=bool)
+    for at, row, col, _ in forest.nearest(b, q, 7):
+        got[at[row], col] = True
+    assert np.array_equal(got, want) and sum(compared) < want.size / 3
