@@ -152,12 +152,14 @@ def _depth(p: dict) -> int | None:
     return None if p.get("max_depth") is None else int(p["max_depth"])
 
 
-def _fit_groups(plan: Plan, unit: tuple, part: int, parts: int, tasks: list[tuple[int, Task]], g: Groups) -> Iterator[tuple[int, np.ndarray]]:
+def _fit_groups(plan: Plan, unit: tuple, part: int, parts: int, tasks: list[tuple[int, Task]], g: Groups,
+                on_train: bool = False) -> Iterator[tuple[int, np.ndarray]]:
     """(task, P(1) of the groups with test rows) for the tasks of a unit; of a
-    forest in parts the sums over the part's trees."""
+    forest in parts the sums over the part's trees.  ``on_train``: of those with training rows."""
     s, name = unit[:2]
     zeros, ones = g.n[:, 0, 0].astype(np.int64), g.n[:, 0, 1].astype(np.int64)
-    train, test = np.flatnonzero(zeros + ones), np.flatnonzero(g.n[:, 0, 2] + g.n[:, 0, 3])
+    train = np.flatnonzero(zeros + ones)
+    test = train if on_train else np.flatnonzero(g.n[:, 0, 2] + g.n[:, 0, 3])
     if not len(test):
         return
     if not len(train):
@@ -201,10 +203,11 @@ def _result(i: int, s: int, prob: np.ndarray, g: Groups, counts: bool) -> pa.Rec
 PROBABILITIES = "problem int, split int, codes array<int>, nums array<double>, y_prob double"
 
 
-def from_groups(enc: Encoded, tasks: Sequence[Task], counts: bool) -> DataFrame:
+def from_groups(enc: Encoded, tasks: Sequence[Task], counts: bool, on_train: bool = False) -> DataFrame:
     """Trees, forests and boosting on groups of equal rows.  ``counts``:
     (problem, tn, fp, fn, tp) to be added up by problem; else (problem, split,
-    codes, nums, y_prob) of the groups with test rows in the task's split."""
+    codes, nums, y_prob) of the groups with test rows in the task's split.
+    ``on_train``: the training rows are those predicted."""
     cores = enc.table.sparkSession.sparkContext.defaultParallelism
     units: dict[tuple, list[tuple[int, Task]]] = {}
     for i, t in enumerate(tasks):
@@ -246,16 +249,20 @@ def from_groups(enc: Encoded, tasks: Sequence[Task], counts: bool) -> DataFrame:
             at = same_rows(codes, nums)[0]
             yield b, Groups(codes[at], nums[at], n[at])
 
+    def predicted(g: Groups) -> Groups:
+        """The rows that get predictions as test rows."""
+        return Groups(g.codes, g.nums, g.n[:, :, [2, 3, 0, 1]]) if on_train else g
+
     whole = max(parts.values()) == 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, g in held(batches):
             for u, part in blocks[b]:
-                for i, prob in _fit_groups(plan, u, part, parts[u], units[u], g):
+                for i, prob in _fit_groups(plan, u, part, parts[u], units[u], g, on_train):
                     if whole:
-                        yield _result(i, tasks[i][0], prob / trees[i], g, counts)
+                        yield _result(i, tasks[i][0], prob / trees[i], predicted(g), counts)
                     else:  # the first part brings the groups along
-                        rest = packed(g).columns if part == 0 else [pa.nulls(1, t) for t in (pa.int32(), *[pa.binary()] * 3)]
+                        rest = packed(predicted(g)).columns if part == 0 else [pa.nulls(1, t) for t in (pa.int32(), *[pa.binary()] * 3)]
                         yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([prob.tobytes()], pa.binary()), *rest],
                                                          ["problem", "sums", "rows", "codes", "nums", "n"])
 

@@ -145,3 +145,19 @@ def test_nearest_skips_far_cells_only(monkeypatch):
     for at, row, col, _ in forest.nearest(b, q, 7):
         got[at[row], col] = True
     assert np.array_equal(got, want) and sum(compared) < want.size / 3
+
+
+def test_learning_curve_of_a_larger_table(spark, monkeypatch):
+    """Beyond a few rows the trees of all sizes and folds are grown on groups: the same curve."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(900):
+        a, b, c = int(rng.integers(0, 4)), int(rng.integers(0, 3)), ["u", "v", "w"][rng.integers(0, 3)]
+        rows.append((i, int(a + b + (c == "u") + rng.normal(scale=1.2) > 3), a, b, None if i % 17 == 0 else c))
+    df = spark.createDataFrame(rows, "row_id long, target int, a int, b int, c string")
+    want = sorted(map(tuple, va.learning_curve(df, "Decision Tree", {"max_depth": 3}, (0.5, 1.0), 2).collect()))
+    monkeypatch.setattr(va, "FEW_ROWS", 0)
+    monkeypatch.setattr(va, "fit_pipeline", None)
+    got = sorted(map(tuple, va.learning_curve(df, "Decision Tree", {"max_depth": 3}, (0.5, 1.0), 2).collect()))
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert np.allclose([r[3:] for r in got], [r[3:] for r in want], rtol=0, atol=1e-12)
