@@ -56,9 +56,9 @@ class Tree:
     value: np.ndarray
     depth: np.ndarray
 
-    def leaves(self, bins: Bins, max_depth: int | None = None) -> np.ndarray:
-        """The node of each row, no deeper than ``max_depth``."""
-        at = np.zeros(len(bins.z), dtype=np.int64)
+    def leaves(self, bins: Bins, max_depth: int | None = None, above: np.ndarray | None = None) -> np.ndarray:
+        """The node of each row, no deeper than ``max_depth``; ``above``: nodes on the way, if known."""
+        at = np.zeros(len(bins.z), dtype=np.int64) if above is None else above.copy()
         live = np.arange(len(at))
         while len(live):
             node = at[live]
@@ -158,6 +158,111 @@ def _counts(number: np.ndarray, mine: np.ndarray, at: np.ndarray, z: np.ndarray,
     return [np.cumsum(x, axis=1) for x in out] if running else out
 
 
+def grow_counts(bins: Bins, zeros: np.ndarray, ones: np.ndarray, many: np.ndarray, weights: tuple[float, float], rows: np.ndarray,
+                max_depth: int | None, min_leaf: int, tried: int | None = None, seed: int = 0) -> Tree:
+    """As ``grow`` (``gini``) for equal rows put together: how often each class
+    is drawn, and how many rows were, in whole numbers.  The counts of a node
+    and bin are added up as digits of one number where they fit, and gains are
+    found only where a bin holds rows: a level costs a multiple of the rows
+    still in it, however many nodes there are."""
+    z = np.ascontiguousarray(bins.z[rows].T)
+    held = [x[rows].astype(np.float64) for x in ((zeros, ones, many) if min_leaf > 1 else (zeros, ones))]  # drawn rows are one at least
+    parts, digits = len(held), 0
+    c0, c1 = weights
+    at = np.zeros(len(rows), dtype=np.int64)
+    column, bin_, left, value, depth = [], [], [], [], []
+    first, k, level = 0, 1, 0  # first node of the level, its nodes
+    base = np.cumsum([0] + [n - 1 if i < bins.cats else 1 for i, n in enumerate(bins.sizes)])
+    while True:
+        sums = _apart([np.bincount(at, x, k)[:k].astype(np.int64) for x in held], parts, digits)
+        sa, sb, n = sums[0], sums[1], sums[2] if parts > 2 else sums[0] + sums[1]
+        st, sw = c1 * sb, c0 * sa + c1 * sb
+        value.append(st / np.maximum(sw, 1e-300))
+        depth.append(np.full(k, level))
+        go = (sa > 0) & (sb > 0) & (n >= 2 * min_leaf) & (max_depth is None or level < max_depth)
+        col, cut, gain = np.full(k, -1), np.zeros(k, dtype=np.int64), np.full(k, -1.0)
+        if go.any():
+            keep = np.flatnonzero(np.concatenate([go, np.zeros(2, dtype=bool)])[at])
+            at, z, held = at[keep], z.take(keep, axis=1), [x[keep] for x in held]
+            if not digits:
+                most = int(max(x[go].max() for x in sums)).bit_length()
+                if parts * most <= 53 and int(max(x.sum() for x in sums)).bit_length() + (parts - 1) * most <= 62:
+                    held, digits = [sum(x * 2.0 ** (i * most) for i, x in enumerate(held))], most
+            drawn = None
+            if tried is not None:
+                f = bins.features()
+                node = (first + np.arange(k)).astype(np.uint64)[:, None] * np.uint64(f) + np.arange(f, dtype=np.uint64)
+                draw = mix(node + np.uint64((seed + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1))
+                drawn = draw <= np.partition(draw, min(tried, f) - 1, axis=1)[:, min(tried, f) - 1 :][:, :1]
+            parent = st * st / np.maximum(sw, 1e-300)
+            for c, size in enumerate(bins.sizes):
+                if size < 2:
+                    continue
+                mine = go if drawn is None else go & drawn[:, base[c] : base[c + 1]].any(axis=1)
+                nodes = np.flatnonzero(mine)
+                if not len(nodes):
+                    continue
+                place, on = np.where(mine, np.cumsum(mine) - 1, len(nodes)) * size, None  # nodes that do not try it come last
+                inside = mine[at]
+                if np.count_nonzero(inside) < 0.6 * len(at):
+                    on = np.flatnonzero(inside)
+                place = place[at] + z[c] if on is None else place[at[on]] + z[c][on]
+                sums = [np.bincount(place, x if on is None else x[on], len(nodes) * size)[: len(nodes) * size] for x in held]
+                e = np.flatnonzero(sums[0] if len(sums) == 1 else sums[0] + sums[1])  # nodes and bins with rows; every node has some
+                of = e // size
+                v = e - of * size
+                sums = [x[e].astype(np.int64) for x in sums]
+                if c >= bins.cats:
+                    start = _starts(of)
+                    before = [np.cumsum(x) - x for x in sums]
+                    sums = [x + y - y[start][of] for x, y in zip(sums, before)]
+                sums = _apart(sums, parts, digits)
+                node = nodes[of]
+                ln = sums[2] if parts > 2 else sums[0] + sums[1]
+                ok = (ln >= min_leaf) & (n[node] - ln >= min_leaf) & (v < size - 1)  # no split off the none bin, none at the last bin
+                if drawn is not None and c < bins.cats:
+                    ok &= drawn[node, base[c] + np.minimum(v, size - 2)]
+                ok = np.flatnonzero(ok)
+                if not len(ok):
+                    continue
+                node, v, la, lb = node[ok], v[ok], sums[0][ok], sums[1][ok]
+                lt, lw = c1 * lb, c0 * la + c1 * lb
+                rt, rw = c1 * (sb[node] - lb), c0 * (sa[node] - la) + c1 * (sb[node] - lb)
+                g = lt * lt / lw + rt * rt / rw - parent[node]
+                start = _starts(node)
+                top = np.maximum.reduceat(g, start)
+                hit = np.flatnonzero(g == np.repeat(top, np.diff(np.append(start, len(g)))))
+                hit = hit[_starts(node[hit])]  # the first best of every node
+                hit = hit[top > gain[node[start]]]
+                gain[node[hit]], col[node[hit]], cut[node[hit]] = g[hit], c, v[hit]
+            col = np.where(gain > 1e-12 * np.maximum(1.0, sw), col, -1)
+        split = col >= 0
+        kids = np.cumsum(split) * 2 - 2
+        column.append(col)
+        bin_.append(cut)
+        left.append(np.where(split, first + k + kids, -1))
+        if not split.any():
+            break
+        c = col[at]
+        v = z.ravel().take(np.maximum(c, 0) * z.shape[1] + np.arange(z.shape[1]))
+        right = np.where(c < bins.cats, v != cut[at], v > cut[at])
+        first, k, level = first + k, int(split.sum()) * 2, level + 1
+        at = np.where(split, kids, k)[at] + right  # rows whose node is a leaf come last
+    return Tree(*[np.concatenate(x) for x in (column, bin_, left, value, depth)])
+
+
+def _apart(sums: list[np.ndarray], parts: int, digits: int) -> list[np.ndarray]:
+    """The whole numbers that were added up as binary digits of one."""
+    return [sums[0] >> i * digits & (1 << digits) - 1 for i in range(parts)] if digits else sums
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    new = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def forest_probabilities(bins: Bins, y: np.ndarray, weight: np.ndarray, tags: np.ndarray, train: np.ndarray, test: np.ndarray,
                          trees: list[int], depths: list[int | None], min_leaf: int, seed: int) -> dict[tuple[int, int | None], np.ndarray]:
     """P(1) of the ``test`` rows by forests of the first ``trees`` trees cut at ``depths``: mean share of the leaves."""
@@ -215,21 +320,22 @@ def forest_sums(bins: Bins, zeros: np.ndarray, ones: np.ndarray, weights: tuple[
     ``ones`` of each class: sums over every ``parts``-th tree.  Each row is
     drawn by itself: how many of n rows are 0, 1, ... times in the bag is multinomial."""
     tried = max(1, int(np.sqrt(bins.features())))
+    bins = Bins(bins.z.astype(np.min_scalar_type(max(bins.sizes))), bins.sizes, bins.cats) if bins.sizes else bins
     to = Bins(bins.z[test], bins.sizes, bins.cats)
     deepest = None if None in depths else max(depths)
     sums = {(n, d): np.zeros(len(test)) for n in trees for d in depths}
-    place = np.arange(len(TIMES), dtype=np.float64)
+    place = np.arange(len(TIMES))
     for i in range(part, max(trees), parts):
         rng = np.random.default_rng([seed, i])
         drawn = [rng.multinomial(c[train], TIMES) for c in (zeros, ones)]
-        w0, w1 = (d @ place * w for d, w in zip(drawn, weights))
-        rows = sum(len_ - d[:, 0] for len_, d in ((zeros[train], drawn[0]), (ones[train], drawn[1])))
-        weight, target, count = np.zeros(len(zeros)), np.zeros(len(zeros)), np.zeros(len(zeros))
-        weight[train], count[train] = w0 + w1, rows
-        target[train] = w1 / np.maximum(w0 + w1, 1e-300)
-        tree = grow(bins, target, weight, train[rows > 0], deepest, min_leaf, tried, seed * 7919 + i, count=count)
-        for d in depths:
-            v = tree.value[tree.leaves(to, d)]
+        a, b, many = (np.zeros(len(zeros), dtype=np.int64) for _ in range(3))
+        a[train], b[train] = (d @ place for d in drawn)
+        many[train] = zeros[train] + ones[train] - drawn[0][:, 0] - drawn[1][:, 0]
+        tree = grow_counts(bins, a, b, many, weights, np.flatnonzero(many), deepest, min_leaf, tried, seed * 7919 + i)
+        at = None
+        for d in sorted(depths, key=lambda d: (d is None, d or 0)):
+            at = tree.leaves(to, d, at)
+            v = tree.value[at]
             for n in trees:
                 if i < n:
                     sums[n, d] += v

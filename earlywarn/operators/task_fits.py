@@ -1,13 +1,14 @@
 """Fits of one split in a task: trees, forests, boosting, k-NN.
 
-An encoded table of up to ``TASK_BYTES`` is copied to a few blocks (rows
-times blocks, by a shuffle; the driver never holds it) and every task fits
-the units of its block: a unit is a split with all candidates that share its
-growth, so a forest of 200 trees of any depth also answers for 100 trees and
-for depth five.  Of a larger table the trees see equal rows as one with their
-counts (``Encoded.groups``), as long as these fit in a task (``groups_fit``),
-and k-NN also with the few rows of each that may vote (``neighbours_fit``);
-otherwise the caller uses the distributed fits of ``pyspark.ml``.
+An encoded table of a few rows is copied to a few blocks (rows times
+blocks, by a shuffle; the driver never holds it) and every task fits the units
+of its block: a unit is a split with all candidates that share its growth, so
+a forest of 200 trees of any depth also answers for 100 trees and for depth
+five.  Of a larger table the trees see equal rows as one with their counts
+(``Encoded.groups``), as long as these fit in a task (``groups_fit``), and
+k-NN also with the few rows of each that may vote (``neighbours_fit``); forests
+are then dealt by their trees, k-NN by its test rows.  Otherwise rows are copied
+up to ``TASK_BYTES``, and beyond the caller uses the distributed fits of ``pyspark.ml``.
 """
 
 from __future__ import annotations
@@ -26,13 +27,21 @@ from earlywarn.operators.splits import (BLOB_ROWS, GROUPS, HELD_ROWS, TEST, TRAI
                                         packed, same_rows, unpacked)
 
 TASK_BYTES = 64 << 20  # of the arrays of one task
+FEW_BYTES = 8 << 20  # up to here the rows themselves are copied to the tasks; beyond, equal ones as one are dealt finer
 SEED = 42
 Task = tuple[int, str, dict]  # split, model, parameters
 
 
+def _row_bytes(enc: Encoded) -> int:
+    return enc.rows * (8 * (len(enc.plan.cats) + len(enc.plan.nums) + 4) + len(enc.plan.rows))
+
+
 def fits_in_a_task(enc: Encoded) -> bool:
-    per_row = 8 * (len(enc.plan.cats) + len(enc.plan.nums) + 4) + len(enc.plan.rows)
-    return enc.rows * per_row <= TASK_BYTES
+    return _row_bytes(enc) <= TASK_BYTES
+
+
+def few_rows(enc: Encoded) -> bool:
+    return fits_in_a_task(enc) and _row_bytes(enc) <= FEW_BYTES
 
 
 def groups_fit(enc: Encoded) -> bool:
@@ -213,7 +222,7 @@ def from_groups(enc: Encoded, tasks: Sequence[Task], counts: bool, on_train: boo
     for i, t in enumerate(tasks):
         units.setdefault(_unit(t), []).append((i, t))
     # a forest is dealt by its trees where there are fewer units than cores
-    parts = {u: max(1, min(25, -(-3 * cores // len(units)))) if u[1] == "Random Forest" else 1 for u in units}
+    parts = {u: max(1, min(25, -(-6 * cores // len(units)))) if u[1] == "Random Forest" else 1 for u in units}
     dear = {"Random Forest": 0, "Gradient Boosting": 1}
     splits = sorted({u[0] for u in units})
     blocks: list[list[tuple[tuple, int]]] = []  # the (unit, part) of each block, all of one split

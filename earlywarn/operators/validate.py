@@ -215,10 +215,11 @@ def _problems(tasks: Sequence[Candidate]) -> list[linear_fits.Problem]:
 
 def _fits(enc: Encoded, tasks: Sequence[Candidate], name: str):
     """What fits the candidates of a family of trees or k-NN: tasks on rows, tasks on groups of equal rows, or ``pyspark.ml``."""
-    if task_fits.fits_in_a_task(enc):
+    if task_fits.few_rows(enc):
         return task_fits.predict
-    fit = task_fits.groups_fit(enc) if name in task_fits.GROWN else task_fits.neighbours_fit(enc, [t for t in tasks if t[1] == name])
-    return task_fits.predict_groups if fit else _distributed
+    if task_fits.groups_fit(enc) if name in task_fits.GROWN else task_fits.neighbours_fit(enc, [t for t in tasks if t[1] == name]):
+        return task_fits.predict_groups
+    return task_fits.predict if task_fits.fits_in_a_task(enc) else _distributed
 
 
 def fit_many(enc: Encoded, tasks: Sequence[Candidate]) -> DataFrame:
