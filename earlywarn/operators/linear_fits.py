@@ -7,6 +7,8 @@ each task sends one partial per problem, which a shuffle on the problem adds
 up.  The driver then takes a proximal Newton step for each (its state is one
 small vector a problem) and the next pass evaluates all steps together.  The
 number of passes is that of the slowest problem, not the number of fits.
+Wide problems that differ in the split alone start where the first of them
+ended, and their last passes, whose steps are short, keep the Hessian.
 
 The objective is that of ``pyspark.ml`` with ``standardization=False``:
 sum(w loss) / sum(w) + 1 / (C n) * ((1 - l1) / 2 |b|^2 + l1 |b|_1), w balanced,
@@ -29,6 +31,8 @@ MAX_PASSES = 100
 TOL = 1e-7  # a step that moves no coefficient by more ends a fit
 PASS_BYTES = 24 << 20  # of the partials of one pass; more problems are dealt over several
 SEED = 42
+TILE = 512  # rows whose features are held at once
+WIDE = 64  # features from which a Hessian costs more than the rest of a pass
 
 
 @dataclass
@@ -50,7 +54,15 @@ def _features(plan: Plan, p: Problem):
     rng = np.random.default_rng(SEED)
     w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(plan.width, p.components))
     b = rng.uniform(0.0, 2.0 * math.pi, size=p.components)
-    return p.components, lambda x: math.sqrt(2.0 / p.components) * np.cos(x @ w + b)
+
+    def fmap(x: np.ndarray) -> np.ndarray:
+        z = x @ w
+        z += b
+        np.cos(z, out=z)
+        z *= math.sqrt(2.0 / p.components)
+        return z
+
+    return p.components, fmap
 
 
 def _groups(problems: Sequence[tuple[int, Problem]]) -> dict[tuple, list[tuple[int, Problem]]]:
@@ -65,35 +77,55 @@ def _with_one(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.ones((len(x), 1))], axis=1)
 
 
-def _passer(plan: Plan, problems: Sequence[tuple[int, Problem]], beta: dict[int, np.ndarray]):
-    """Partials (problem, [loss, gradient, Hessian]) of a task's rows."""
+def _passer(plan: Plan, problems: Sequence[tuple[int, Problem]], beta: dict[int, np.ndarray], bent: set[int] | None = None):
+    """Partials (problem, [loss, gradient, upper half of the Hessian]) of a
+    task's rows; the Hessian only for the problems in ``bent`` (None: all)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        ends: dict[int, np.ndarray] = {}
+        bends: dict[int, np.ndarray] = {}
         for g in (g for batch in batches for g in unpacked(batch, plan)):
             for group in _groups(problems).values():
                 s = group[0][1].split
-                mine = np.flatnonzero(g.n[:, s, 0] + g.n[:, s, 1])
-                if not len(mine):
-                    continue
-                x = plan.design(s, g.codes[mine], g.nums[mine])
                 fmap = _features(plan, group[0][1])[1]
-                x = _with_one(x if fmap is None else fmap(x))
+                mine = np.flatnonzero(g.n[:, s, 0] + g.n[:, s, 1])
                 n = plan.rows[s].sum()
-                ones = g.n[mine, s, 1] * (n / (2.0 * max(1, plan.rows[s, 1])))  # their weight
-                w = ones + g.n[mine, s, 0] * (n / (2.0 * max(1, plan.rows[s, 0])))
-                for i, _ in group:
-                    z = x @ beta[i]
+                for some in (mine[i : i + TILE] for i in range(0, len(mine), TILE)):
+                    x = plan.design(s, g.codes[some], g.nums[some])
+                    x = _with_one(x if fmap is None else fmap(x))
+                    ones = g.n[some, s, 1] * (n / (2.0 * max(1, plan.rows[s, 1])))  # their weight
+                    w = ones + g.n[some, s, 0] * (n / (2.0 * max(1, plan.rows[s, 0])))
+                    z = x @ np.stack([beta[i] for i, _ in group], axis=1)
                     p = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
-                    loss = float((w * np.logaddexp(0.0, z) - ones * z).sum())
-                    part = np.concatenate([[loss], x.T @ (w * p - ones), (x.T @ (x * (w * p * (1.0 - p))[:, None])).ravel()])
-                    sums[i] = sums[i] + part if i in sums else part
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["p", "part"])
+                    loss = (w[:, None] * np.logaddexp(0.0, z) - ones[:, None] * z).sum(axis=0)
+                    slope = x.T @ (w[:, None] * p - ones[:, None])
+                    same: dict[bytes, np.ndarray] = {}  # Hessians, by coefficients
+                    for j, (i, _) in enumerate(group):
+                        end = np.concatenate([loss[j : j + 1], slope[:, j]])
+                        ends[i] = ends[i] + end if i in ends else end
+                        if bent is None or i in bent:
+                            at = beta[i].tobytes()
+                            if at not in same:
+                                v = x * np.sqrt(w * p[:, j] * (1.0 - p[:, j]))[:, None]
+                                same[at] = v.T @ v
+                            bends[i] = bends[i] + same[at] if i in bends else same[at]
+        if ends:
+            upper = {i: h[np.triu_indices(len(h))] for i, h in bends.items()}
+            parts = [np.concatenate([v, upper[i]]) if i in upper else v for i, v in ends.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(ends), pa.int32()), pa.array([v.tobytes() for v in parts], pa.binary())], ["p", "part"])
 
     return run
 
 
+def _squared(part: np.ndarray, d: int) -> np.ndarray:
+    """A partial with the whole Hessian of its upper half, if it brings one."""
+    if len(part) == d + 1:
+        return part
+    h = np.zeros((d, d))
+    h[np.triu_indices(d)] = part[d + 1 :]
+    return np.concatenate([part[: d + 1], (h + np.triu(h, 1).T).ravel()])
+
+
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partials of the same problem added up."""
     sums: dict[int, np.ndarray] = {}
@@ -173,11 +205,12 @@ def _descent(a: np.ndarray, c: np.ndarray, start: np.ndarray, l1: float) -> np.n
 class _State:
     """A problem between two passes: best point, last step, step length."""
 
-    def __init__(self, p: Problem, n: float, d: int):
+    def __init__(self, p: Problem, n: float, d: int, start: np.ndarray | None = None):
         lam = 1.0 / (p.c * max(1.0, n))
         self.n, self.l1, self.l2 = max(1.0, n), lam * p.l1_ratio, lam * (1.0 - p.l1_ratio)
-        self.best = self.trial = np.zeros(d + 1)
+        self.best = self.trial = np.zeros(d + 1) if start is None or n <= 0 else start
         self.value, self.step, self.move, self.done = math.inf, 1.0, None, n <= 0
+        self.bend, self.bent = None, True  # the last Hessian, and whether the next pass is to bring one
 
     def take(self, part: np.ndarray) -> None:
         d = len(self.trial)
@@ -185,33 +218,44 @@ class _State:
         value = part[0] / self.n + self.l2 / 2 * float(b @ b) + self.l1 * float(np.abs(b).sum())
         if value <= self.value + 1e-13 * abs(self.value):
             self.best, self.value = self.trial, value
-            g, h = part[1 : d + 1] / self.n, part[d + 1 :].reshape(d, d) / self.n
-            self.move, self.step = _newton(g, h, self.best, self.l1, self.l2) - self.best, 1.0
-            self.done = float(np.abs(self.move).max()) < TOL
+            fresh, last = len(part) > d + 1, math.inf if self.move is None else float(np.abs(self.move).max())
+            if fresh:
+                self.bend = part[d + 1 :].reshape(d, d) / self.n
+            self.move, self.step = _newton(part[1 : d + 1] / self.n, self.bend, self.best, self.l1, self.l2) - self.best, 1.0
+            moved = float(np.abs(self.move).max())
+            self.done = moved < TOL
+            # after a short step the Hessian is nearly the same; a new one when steps do not shrink with it
+            self.bent = d <= WIDE or (moved > 0.05 if fresh else moved > 0.1 * last)
         else:
             self.step /= 2
-            self.done = self.step < 1e-4
+            self.done, self.bent = self.step < 1e-4, True
         self.trial = self.best + self.step * self.move
 
 
 def fit(enc: Encoded, problems: Sequence[Problem]) -> list[Problem]:
     """The problems with their coefficients; a split without training rows gets zeros."""
-    plan = enc.plan
     todo = list(enumerate(problems))
-    dims = [_features(plan, p)[0] for p in problems]
+    dims = [_features(enc.plan, p)[0] for p in problems]
+    first: dict[tuple, int] = {}  # problems alike but for the split
+    alike = [first.setdefault((p.c, p.l1_ratio, str(p.gamma), p.components), i) if dims[i] > WIDE else i for i, p in todo]
+    _fit_all(enc, [t for t in todo if alike[t[0]] == t[0]], dims, {})
+    _fit_all(enc, [t for t in todo if alike[t[0]] != t[0]], dims, {i: problems[j].beta for i, j in enumerate(alike) if len(problems[j].beta) == dims[i] + 1})
+    return list(problems)
+
+
+def _fit_all(enc: Encoded, todo: list[tuple[int, Problem]], dims: list[int], starts: dict[int, np.ndarray]) -> None:
     i = 0
     while i < len(todo):
         size, j = 0, i
-        while j < len(todo) and (j == i or size + 8 * (dims[j] + 2) ** 2 <= PASS_BYTES):
-            size += 8 * (dims[j] + 2) ** 2
+        while j < len(todo) and (j == i or size + 4 * (dims[todo[j][0]] + 3) ** 2 <= PASS_BYTES):
+            size += 4 * (dims[todo[j][0]] + 3) ** 2
             j += 1
-        _fit_block(enc, todo[i:j], dims)
+        _fit_block(enc, todo[i:j], dims, starts)
         i = j
-    return list(problems)
 
 
-def _fit_block(enc: Encoded, block: list[tuple[int, Problem]], dims: list[int]) -> None:
-    states = {i: _State(p, float(enc.plan.rows[p.split].sum()), dims[i]) for i, p in block}
+def _fit_block(enc: Encoded, block: list[tuple[int, Problem]], dims: list[int], starts: dict[int, np.ndarray]) -> None:
+    states = {i: _State(p, float(enc.plan.rows[p.split].sum()), dims[i], starts.get(i)) for i, p in block}
     tasks = max(1, min(enc.table.sparkSession.sparkContext.defaultParallelism, len(block)))
     for _ in range(MAX_PASSES):
         open_ = [(i, p) for i, p in block if not states[i].done]
@@ -219,9 +263,10 @@ def _fit_block(enc: Encoded, block: list[tuple[int, Problem]], dims: list[int])
             break
         # only the problem's own settings travel, with its trial point
         bare = [(i, Problem(p.split, p.c, p.l1_ratio, p.gamma, p.components)) for i, p in open_]
-        rows = enc.groups.mapInArrow(_passer(enc.plan, bare, {i: states[i].trial for i, _ in open_}), "p int, part binary")
+        passer = _passer(enc.plan, bare, {i: states[i].trial for i, _ in open_}, {i for i, _ in open_ if states[i].bent})
+        rows = enc.groups.mapInArrow(passer, "p int, part binary")
         for r in rows.repartition(tasks, "p").mapInArrow(_added, "p int, part binary").collect():  # one row a problem
-            states[r.p].take(np.frombuffer(bytes(r.part), dtype=np.float64))
+            states[r.p].take(_squared(np.frombuffer(bytes(r.part), dtype=np.float64), dims[r.p] + 1))
     for i, p in block:
         p.beta = states[i].best
 

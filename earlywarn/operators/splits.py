@@ -128,7 +128,7 @@ class Groups:
 
 def alike(enc: Encoded) -> DataFrame:
     """The encoded rows, those of equal codes and numbers in one task."""
-    tasks = max(enc.table.sparkSession.sparkContext.defaultParallelism, -(-enc.rows // ROWS_PER_TASK))
+    tasks = max(4 * enc.table.sparkSession.sparkContext.defaultParallelism, -(-enc.rows // ROWS_PER_TASK))  # files enough for a reading task on each core
     return enc.table.repartition(tasks, "codes", "nums")
 
 

@@ -25,6 +25,24 @@ def encoded(learners):
     return va._encode(learners, [(F.col("fold") != f, F.col("fold") == f) for f in range(3)], "target", "row_id", ("fold",))
 
 
+def test_wide_fits_start_where_another_split_ended(learners, monkeypatch):
+    """Of many wide problems few passes bring Hessians, and each ends where it would alone."""
+    enc = encoded(learners)
+    grid = [{"C": c, "gamma": g, "n_components": 70} for c in (0.1, 10.0) for g in ("scale", "auto")]
+    tasks = [(f, "SVM RBF", p) for p in grid for f in range(3)]
+    alone = [linear_fits.fit(enc, va._problems([t]))[0].beta for t in tasks]
+    passes = []
+    passer = linear_fits._passer
+    monkeypatch.setattr(linear_fits, "_passer", lambda plan, some, beta, bent: passes.append((len(some), len(bent))) or passer(plan, some, beta, bent))
+    together = linear_fits.fit(enc, va._problems(tasks))
+    assert all(np.allclose(p.beta, b, rtol=0, atol=1e-5) for p, b in zip(together, alone))
+    first = [x for x in passes if x[0] <= len(grid)]
+    assert sum(b for _, b in passes) < sum(n for n, _ in passes) and len(first) > 1
+    passes.clear()
+    linear_fits.fit(enc, va._problems([(f, "Logistic Regression", {"C": 1.0}) for f in range(3)]))
+    assert passes and all(n == b for n, b in passes)  # narrow ones as before
+
+
 def test_whole_number_trees():
     """Counts added up as digits of one number, or apart where they do not fit, give the trees of ``grow``."""
     rng = np.random.default_rng(4)
