@@ -34,6 +34,7 @@ from earlywarn.session import scratch_path, ship_package
 
 NODE_SCHEMA = ("tree int, weight double, node int, feature int, threshold double, left_categories array<double>, "
                "left int, right int, value double, cover long, gain double")
+TABLED = 12  # features on a path up to which a leaf's sets are looked up by number
 LOG_ODDS = 2.0  # Spark's boosting fits F for the loss log(1 + exp(-2 y F)): the log-odds are 2 F
 
 
@@ -163,19 +164,28 @@ def _explainer(paths: Paths, background: list[tuple[np.ndarray, np.ndarray]], ba
         known: dict[tuple[int, int], np.ndarray] = {}  # one entry a leaf and set of met features
         for batch in batches:
             x = _matrix(batch.column(1))
-            phi = np.zeros(x.shape)
+            phi = np.zeros(x.shape[::-1])
             margin = np.zeros(len(x))
             for i, bits in enumerate(_met(paths, x) if len(x) else ()):
                 leaf = paths.leaves[i]
                 margin += leaf.value * (bits == (1 << len(leaf.features)) - 1)
                 if not leaf.features:
                     continue
-                sets, which = np.unique(bits, return_inverse=True)
-                for s in sets.tolist():
+                if len(leaf.features) <= TABLED:  # one place for each set of met features
+                    sets, which = np.flatnonzero(np.bincount(bits)), bits
+                    shares = np.zeros((sets[-1] + 1, len(leaf.features)))
+                    at = sets
+                else:
+                    sets, which = np.unique(bits, return_inverse=True)
+                    shares = np.zeros((len(sets), len(leaf.features)))
+                    at = np.arange(len(sets))
+                for place, s in zip(at.tolist(), sets.tolist()):
                     if (i, s) not in known:
                         known[i, s] = _shares(leaf, s, *background[i])
-                phi[:, leaf.features] += np.stack([known[i, s] for s in sets.tolist()])[which]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(phi.ravel()))
+                    shares[place] = known[i, s]
+                for f, share in zip(leaf.features, shares.T):
+                    phi[f] += share.take(which)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(phi.T.ravel()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(np.full(len(x), base)), pa.array(margin), lists],
                 ["key", "x", "base", "margin", "phi"])

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +38,8 @@ from earlywarn.session import scratch_path
 
 SEED = 42
 WORKERS = 8
+FEW_ROWS = 500_000
+KINDS_PER_TASK = 100_000
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -112,8 +114,17 @@ def _features(df: DataFrame, label: str, key: str, exclude: Sequence[str]) -> tu
 
 def fit_pipeline(train: DataFrame, name: str, params: dict, label: str = "target", key: str = "row_id",
                  exclude: Sequence[str] = ("fold",)):
-    """Preprocessor + estimator fitted on ``train`` (balanced weights attached)."""
+    """Preprocessor + estimator fitted on ``train`` (balanced weights attached;
+    boosting of more than ``FEW_ROWS`` rows on equal rows as one)."""
     cat, num = _features(train, label, key, exclude)
+    if name == "Gradient Boosting" and int(params.get("min_samples_leaf", 1)) <= 1:  # a leaf counts rows, so equal ones are kept apart for more
+        held = train.select(*cat, *num, label).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            n = held.count()
+            if n > FEW_ROWS:
+                return _boosted_on_kinds(held, n, params, cat, num, label)
+        finally:
+            held.unpersist()
     # one job: class counts (two rows for a binary label) give n and the balanced weights,
     # attached as a literal map so later scans do not re-aggregate
     counts = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
@@ -128,6 +139,20 @@ def fit_pipeline(train: DataFrame, name: str, params: dict, label: str = "target
     return pipe.fit(weighted)
 
 
+def _boosted_on_kinds(rows: DataFrame, n: int, params: dict, cat: Sequence[str], num: Sequence[str], label: str) -> PipelineModel:
+    """Boosting whose passes read each kind of row once, weighted by its rows; the preprocessing is that of all rows."""
+    spark = rows.sparkSession
+    prepared = preprocessor(cat, num).fit(rows)
+    kinds = rows.groupBy(*cat, *num, label).agg(F.count(F.lit(1)).cast("double").alias("__rows"))
+    path = scratch_path(spark, "boosted-kinds")
+    kinds.write.parquet(path)
+    kinds = spark.read.schema(kinds.schema).parquet(path)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-kinds.count() // KINDS_PER_TASK))
+    (est,) = build_estimator("Gradient Boosting", params, n, label=label)
+    model = est.setWeightCol("__rows").fit(prepared.transform(kinds.repartition(tasks)))
+    return PipelineModel(stages=[*prepared.stages, model])
+
+
 def fit_predict(train: DataFrame, test: DataFrame, name: str, params: dict, label: str = "target", key: str = "row_id",
                 exclude: Sequence[str] = ("fold",)) -> DataFrame:
     """(key, y_true, y_pred, y_prob) on ``test`` for a model fitted on ``train``."""
@@ -463,7 +488,6 @@ def diagnose_expr(train_col: str = "training_macro_f1", val_col: str = "validati
             .otherwise("Reasonably controlled"))
 
 
-FEW_ROWS = 500_000
 CURVE = "size double, fold int, n_train long, train_f1 double, val_f1 double"
 
 

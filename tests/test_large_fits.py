@@ -75,3 +75,31 @@ def test_more_than_a_few_rows_are_dealt_by_trees(learners, monkeypatch):
     assert rows.keys() == dealt.keys() and np.mean([abs(dealt[k] - rows[k]) for k in rows]) < 0.08
     monkeypatch.setattr(task_fits, "groups_fit", lambda e: False)
     assert va._fits(enc, tasks, "Random Forest") is task_fits.predict
+
+
+def test_boosting_on_kinds_of_rows(learners, monkeypatch):
+    """Beyond a few rows a pass of boosting reads each kind of row once: the same model."""
+    df = learners.drop("fold")
+    params = {"n_estimators": 8, "learning_rate": 0.2, "max_depth": 2}
+
+    def margins(model):
+        return {r.row_id: r.p for r in model.transform(df).select("row_id", va.pass_probability(model.transform(df)).alias("p")).collect()}
+
+    want = margins(va.fit_pipeline(df, "Gradient Boosting", params, exclude=()))
+    read = []
+    build = va.build_estimator
+
+    def seen(*args, **kw):
+        (est,) = build(*args, **kw)
+        fit = est._fit
+        est._fit = lambda d: read.append(d.count()) or fit(d)
+        return [est]
+
+    monkeypatch.setattr(va, "build_estimator", seen)
+    monkeypatch.setattr(va, "FEW_ROWS", 0)
+    got = margins(va.fit_pipeline(df, "Gradient Boosting", params, exclude=()))
+    assert 0 < read[0] < 600 / 3
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    read.clear()
+    va.fit_pipeline(df, "Gradient Boosting", params | {"min_samples_leaf": 5}, exclude=())
+    assert read == [600]  # a leaf's rows are counted
