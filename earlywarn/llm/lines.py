@@ -20,7 +20,7 @@ more; equal sets have similarity one.
    settled by a multiple of n pairs, not by their square.
 5. Documents keep the first lines of the classes without an earlier match.
 
-Words are compared by 57-bit hashes, classes and texts of one id by 128 bits.
+Words are compared by 57-bit and, where sets are verified, 64-bit hashes, classes and texts of one id by 128 bits.
 
 Defined results: a null text stays null, blank lines stay; a document all of
 whose lines go has an empty text; rows of equal id and equal text are the
@@ -41,43 +41,55 @@ from pyspark.sql import functions as F
 from earlywarn.llm import util
 
 BLANKS = r"[\x20\x09-\x0D]+"
-BUCKETS = 1 << 17  # hashed words counted; also the size in bytes of the rarity table
+BUCKETS = 1 << 16  # hashed words counted; also the length of the rarity table
 LEADERS = 2  # first classes of a posting list that the others are verified against at once
 SENT_ITEMS = 4_000_000  # documents and places of lines, together, that a broadcast may hold
 ID, MARK, COPY = "__line_id", "__line_mark", "__line_copy"
 
 
-def _words(text: Column) -> Column:
-    """Lower-cased words of a text; empty strings may be among them."""
-    plain = F.replace(F.lower(text), F.lit("\n"), F.lit(" "))
-    # a single blank is split without a regular expression
-    return F.when(plain.rlike(r"[\x09-\x0D]"), F.split(plain, BLANKS)).otherwise(F.split(plain, " "))
+def _blanks(text: Column) -> Column:
+    """What splits the lines of a text into words: a single blank, which needs
+    no regular expression, where the text holds no other white space."""
+    return F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.lit(BLANKS)).otherwise(F.lit(" "))
 
 
-def rarity_table(df: DataFrame, text_col: str) -> bytes:
+def rarity_table(df: DataFrame, text_col: str) -> list[int]:
     """Class (0 to 63, rarest first) of every bucket of hashed words, from all
     words of all texts: two classes for each doubling of the count."""
-    words = df.select(F.explode(_words(F.col(text_col))).alias("w"))
+    plain = F.replace(F.lower(F.col(text_col)), F.lit("\n"), F.lit(" "))
+    words = df.select(F.explode(F.split(plain, _blanks(F.col(text_col)))).alias("w"))
     bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     counts = words.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
     classes = counts.select("b", F.least(F.lit(63), F.floor(2 * F.log2(F.col("n") + 1))).cast("int").alias("c"))
     # BUCKETS numbers, however large the corpus is
-    table = bytearray(BUCKETS)
+    table = [0] * BUCKETS
     for r in classes.groupBy("c").agg(F.collect_list("b").alias("bs")).collect():
         for b in r.bs:
             table[b] = r.c
-    return bytes(table)
+    return table
 
 
-def _keys(line: Column, table: Column) -> Column:
-    """Sorted distinct word keys of a line, rarest first."""
+def _hashes(line: Column, blanks: Column) -> Column:
+    """Hashes of the distinct words of a lower-cased line."""
+    # only what is below a function with a lambda is interpreted, so empty words are dropped last
+    hashes = F.array_distinct(F.transform(F.split(line, blanks), lambda w: F.xxhash64(w)))
+    return F.array_remove(hashes, F.xxhash64(F.lit("")))
+
+
+def _ranks(table: list[int]) -> Column:
+    """The classes of ``rarity_table`` as an array; folded to one literal
+    before tasks read it."""
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>")
+
+
+def _keys(hashes: Column, ranks: Column) -> Column:
+    """Sorted word keys, rarest first."""
 
     def key(h: Column) -> Column:
-        place = h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
-        cls = F.ascii(F.substring(table, place, F.lit(1)).cast("string")).cast("long")
-        return F.shiftleft(cls, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+        cls = F.shiftleft(ranks[h.bitwiseAND(F.lit(BUCKETS - 1))].cast("long"), 57)
+        # never null, so that whole numbers are sorted and not objects
+        return F.coalesce(cls, F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 7))
 
-    hashes = F.array_distinct(F.transform(F.array_remove(_words(line), ""), lambda w: F.xxhash64(w)))
     return F.sort_array(F.transform(hashes, key))
 
 
@@ -90,8 +102,10 @@ def checked(small: DataFrame, places: str) -> DataFrame:
 
 
 def _lines(df: DataFrame, text_col: str) -> DataFrame:
-    """A row for every line: document (id, mark), pos, line."""
-    return df.select(ID, MARK, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
+    """A row for every line: document (id, mark), blanks, pos, line in lower case."""
+    text = F.col(text_col)
+    docs = df.select(ID, MARK, F.lower(text).alias("text"), _blanks(text).alias("blanks"))
+    return docs.select(ID, MARK, "blanks", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
 
 
 TOP = 4095  # greatest size and place a posting can hold; filters let larger sets pass
@@ -131,16 +145,16 @@ def _may_match(a: str, b: str, t: Fraction) -> Column:
 
 
 def _sketch(keys: Column) -> list[Column]:
-    """256 more parity bits, from other bits of the keys: two of them choose
+    """256 more parity bits, from other bits of the hashes: two of them choose
     one of four words, six a bit of it."""
 
-    def word(i: int) -> Column:
-        def bit(k: Column) -> Column:
-            place = F.shiftrightunsigned(k, 6).bitwiseAND(63).cast("int")
-            mine = F.shiftrightunsigned(k, 12).bitwiseAND(3) == i
-            return F.when(mine, F.call_function("shiftleft", F.lit(1).cast("long"), place)).otherwise(F.lit(0).cast("long"))
+    def bit(k: Column) -> Column:
+        place = F.shiftrightunsigned(k, 13).bitwiseAND(63).cast("int")
+        return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
-        return F.aggregate(keys, F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(bit(k)))
+    def word(i: int) -> Column:
+        mine = F.filter(keys, lambda k: F.shiftrightunsigned(k, 19).bitwiseAND(3) == i)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(bit(k)))
 
     return [word(i).alias(f"w{i}") for i in range(4)]
 
@@ -194,10 +208,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     t = Fraction(threshold).limit_denominator(1000)
     n, d = t.numerator, t.denominator
     docs = _named(df, id_col, text_col)
-    table = F.lit(rarity_table(df, text_col))
+    ranks = _ranks(rarity_table(df, text_col))
 
     # classes of equal sets
-    lines = _lines(docs.filter(~F.col(COPY)), text_col).select(ID, MARK, "pos", _keys(F.col("line"), table).alias("keys"))
+    lines = _lines(docs.filter(~F.col(COPY)), text_col)
+    lines = lines.select(ID, MARK, "pos", _keys(_hashes(F.col("line"), F.col("blanks")), ranks).alias("keys"))
     lines = lines.withColumn("n", F.size("keys"))
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
     parity = F.aggregate("keys", F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(bit(k)))
@@ -232,14 +247,13 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     held = docs.filter(~F.col(COPY)).select(ID, MARK, F.col(text_col).alias("__line_text"))
     held = held.join(checked(wanted, "at"), F.col("id").eqNullSafe(F.col(ID)) & (F.col("mark") == F.col(MARK)))
     held = held.withColumn("lines", F.split("__line_text", "\n", -1)).select("lines", F.explode("at").alias("x"))
-    sets = held.select(
-        F.col("x.seq").alias("seq"),
-        _keys(F.element_at("lines", F.col("x.pos") + 1), table).alias("keys"),
-    )
+    held = held.select(F.col("x.seq").alias("seq"), F.element_at("lines", F.col("x.pos") + 1).alias("line"))
+    sets = held.select("seq", _hashes(F.lower("line"), _blanks(F.col("line"))).alias("keys"))
+    sets = sets.select("seq", "keys", F.size("keys").alias("size"), *_sketch(F.col("keys")))
     sets = util.cut(sets, "line-sets")
 
     numbers = named.select("cid", "seq")
-    facts = util.cut(sets.select("seq", F.size("keys").alias("size"), *_sketch(F.col("keys"))).join(numbers, "seq"), "line-facts")
+    facts = sets.drop("keys").join(numbers, "seq")
     posts = util.cut(live.join(facts, "cid").drop("cid"), "line-posts")
 
     # each class against the first ones of its lists, then the rest against all earlier ones

@@ -169,6 +169,25 @@ def test_lines_of_null_and_equal_ids(spark):
     assert got == sorted(want)
 
 
+def test_line_keys_of_odd_blanks(spark):
+    """Each word has one key, rare words come first, and keys are never null, so that they are sorted as numbers."""
+    texts = ["the A  the\u00c9 \u039f\u03a3\nthe\tB\x0bthe\r", "the\nthe a", "", " \n\t", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], f"{lines.ID} long, text string").withColumn(lines.MARK, F.lit(0))
+    table = lines.rarity_table(df, "text")
+    hashes = lines._hashes(F.col("line"), F.col("blanks"))
+    got = lines._lines(df, "text").select("*", hashes.alias("hashes"), lines._keys(hashes, lines._ranks(table)).alias("keys"))
+    assert not got.schema["keys"].dataType.containsNull
+    words = ["the", "a", "the\u00e9", "\u03bf\u03c2", "b"]
+    named = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()
+    name = {r.h: r.w for r in named}
+    assert len(table) == lines.BUCKETS and max(table) == table[next(r.h for r in named if r.w == "the") % lines.BUCKETS]
+    rows = {(r[lines.ID], r.pos): r for r in got.collect()}
+    for (doc, pos), r in rows.items():
+        assert sorted(name[h] for h in r.hashes) == sorted(set(texts[doc].split("\n")[pos].lower().split()))
+        assert r["keys"] == sorted((table[h % lines.BUCKETS] << 57) | ((h % (1 << 64)) >> 7) for h in r.hashes)
+    assert len(rows) == 7
+
+
 def test_queries_equal_their_sql(spark, duck):
     from earlywarn.llm import catalog
 
