@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from earlywarn.llm import util
 
 BLANKS = r"[\x20\x09-\x0D]+"
-BUCKETS = 1 << 16  # hashed words counted; also the length of the rarity table
+BUCKETS = 1 << 17  # hashed words counted; also the length of the rarity table
 LEADERS = 2  # first classes of a posting list that the others are verified against at once
 SENT_ITEMS = 4_000_000  # documents and places of lines, together, that a broadcast may hold
 ID, MARK, COPY = "__line_id", "__line_mark", "__line_copy"
@@ -171,8 +171,12 @@ def _sketches_match(a: str, b: str, t: Fraction) -> Column:
 
 
 def _matched(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """Later classes of the (later, earlier) ``pairs`` that are similar."""
-    pairs = pairs.distinct()
+    """Later classes of the (later, earlier) ``pairs`` that are similar.  Only
+    the sets of few pairs are shuffled."""
+    pairs = util.cut(pairs.distinct(), "line-pairs")
+    if 2 * pairs.count() <= SENT_ITEMS:
+        named = pairs.select(F.explode(F.array("later", "earlier")).alias("seq")).distinct()
+        sets = sets.join(F.broadcast(named), "seq", "left_semi")
     a = sets.select(F.col("seq").alias("later"), F.col("keys").alias("ka"))
     b = sets.select(F.col("seq").alias("earlier"), F.col("keys").alias("kb"))
     both = pairs.join(a, "later").join(b, "earlier")
