@@ -10,8 +10,9 @@ sequence are the smaller model: one growth serves all such candidates.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -59,19 +60,19 @@ class Tree:
     def leaves(self, bins: Bins, max_depth: int | None = None, above: np.ndarray | None = None) -> np.ndarray:
         """The node of each row, no deeper than ``max_depth``; ``above``: nodes on the way, if known."""
         at = np.zeros(len(bins.z), dtype=np.int64) if above is None else above.copy()
-        live = np.arange(len(at))
-        while len(live):
-            node = at[live]
-            go = self.column[node] >= 0
-            if max_depth is not None:
-                go &= self.depth[node] < max_depth
-            live, node = live[go], node[go]
+        flat, width = np.ascontiguousarray(bins.z).ravel(), bins.z.shape[1]
+        column = self.column if max_depth is None else np.where(self.depth < max_depth, self.column, -1)
+        live, node = np.arange(len(at)), at
+        while True:
+            col = column.take(node)
+            go = np.flatnonzero(col >= 0)
+            if len(go) < len(live):
+                live, node, col = live.take(go), node.take(go), col.take(go)
             if not len(live):
                 break
-            col = self.column[node]
-            v = bins.z[live, col]
-            right = np.where(col < bins.cats, v != self.bin[node], v > self.bin[node])
-            at[live] = self.left[node] + right
+            v, cut = flat.take(live * width + col), self.bin.take(node)
+            node = self.left.take(node) + np.where(col < bins.cats, v != cut, v > cut)
+            at[live] = node
         return at
 
 
@@ -158,97 +159,287 @@ def _counts(number: np.ndarray, mine: np.ndarray, at: np.ndarray, z: np.ndarray,
     return [np.cumsum(x, axis=1) for x in out] if running else out
 
 
+CELLS = 1 << 10  # values of columns put together, at most
+FILL = 2  # of these values and nodes, for each row
+
+
 def grow_counts(bins: Bins, zeros: np.ndarray, ones: np.ndarray, many: np.ndarray, weights: tuple[float, float], rows: np.ndarray,
                 max_depth: int | None, min_leaf: int, tried: int | None = None, seed: int = 0) -> Tree:
+    """The tree of ``grow_alike`` for one ``min_leaf``."""
+    return grow_alike(bins, zeros, ones, many, weights, rows, max_depth, [min_leaf], tried, seed)[min_leaf]
+
+
+def grow_alike(bins: Bins, zeros: np.ndarray, ones: np.ndarray, many: np.ndarray, weights: tuple[float, float], rows: np.ndarray,
+               max_depth: int | None, min_leaves: list[int], tried: int | None = None, seed: int = 0) -> dict[int, Tree]:
     """As ``grow`` (``gini``) for equal rows put together: how often each class
-    is drawn, and how many rows were, in whole numbers.  The counts of a node
-    and bin are added up as digits of one number where they fit, and gains are
-    found only where a bin holds rows: a level costs a multiple of the rows
-    still in it, however many nodes there are."""
-    z = np.ascontiguousarray(bins.z[rows].T)
-    held = [x[rows].astype(np.float64) for x in ((zeros, ones, many) if min_leaf > 1 else (zeros, ones))]  # drawn rows are one at least
-    parts, digits = len(held), 0
+    is drawn, and how many rows were, in whole numbers; a tree for each of
+    ``min_leaves``.  The counts of a node and bin are added up as digits of one
+    number where they fit; with few nodes a level adds up several columns at
+    once (``_few_nodes``), with many it finds gains only where a bin holds
+    rows: a level costs a multiple of the rows still in it, however many nodes
+    there are.  Trees are one until a level where they split differently."""
+    held = [x[rows].astype(np.float64) for x in ((zeros, ones, many) if max(min_leaves) > 1 else (zeros, ones))]  # drawn rows are one at least
+    todo = [_Growth(sorted(set(min_leaves)), np.zeros(len(rows), dtype=np.int64), np.ascontiguousarray(bins.z[rows]), held, len(held))]
+    out = {}
+    while todo:
+        g = todo.pop()
+        more = g.level(bins, weights, max_depth, tried, seed) if g.nodes else []
+        todo += more
+        if not more:
+            tree = Tree(*[np.concatenate(x) for x in zip(*g.done)])
+            out.update(dict.fromkeys(g.min_leaves, tree))
+    return out
+
+
+@dataclass
+class _Growth:
+    """Trees that were split alike up to here."""
+
+    min_leaves: list[int]
+    at: np.ndarray  # node of each row, numbered within the level; rows of leaves come last
+    z: np.ndarray  # rows x columns
+    held: list[np.ndarray]  # counts, or one number of which they are digits
+    parts: int
+    digits: int = 0
+    joint: Joint | None = None
+    sums: list[np.ndarray] | None = None  # of each node, if known
+    nodes: int = 1
+    first: int = 0  # first node of the level
+    depth: int = 0
+    done: list[tuple] = field(default_factory=list)  # (column, bin, left, value, depth) of the levels above
+
+    def level(self, bins: Bins, weights: tuple[float, float], max_depth: int | None, tried: int | None, seed: int) -> list[_Growth]:
+        """The next level, apart where trees split differently; none at the end, when ``done`` is the whole tree."""
+        at, z, held, k, parts = self.at, self.z, self.held, self.nodes, self.parts
+        sums = self.sums or _apart([np.bincount(at, x, k)[:k].astype(np.int64) for x in held], parts, self.digits)
+        sa, sb, n = sums[0], sums[1], sums[2] if parts > 2 else sums[0] + sums[1]
+        st, sw = weights[1] * sb, weights[0] * sa + weights[1] * sb
+        value, depths = st / np.maximum(sw, 1e-300), np.full(k, self.depth)
+        go = (sa > 0) & (sb > 0) & (n >= 2 * self.min_leaves[0]) & (max_depth is None or self.depth < max_depth)
+        nodes = np.flatnonzero(go)
+        m = len(nodes)
+        if not m:
+            self.done.append((np.full(k, -1), np.zeros(k, dtype=np.int64), np.full(k, -1), value, depths))
+            return []
+        at = np.append(np.where(go, np.cumsum(go) - 1, m), [m, m]).take(at)  # the nodes that go on; rows of the others come last
+        joint, digits = self.joint, self.digits
+        keep = at < m
+        if np.count_nonzero(keep) < 0.8 * len(at):
+            keep = np.flatnonzero(keep)
+            at, z, held, joint = at.take(keep), z.take(keep, axis=0), [x.take(keep) for x in held], None
+        if not digits:
+            most = int(max(x[nodes].max() for x in sums)).bit_length()
+            if parts * most <= 53 and int(max(x.sum() for x in sums)).bit_length() + (parts - 1) * most <= 62:
+                held, digits = [sum(x * 2.0 ** (i * most) for i, x in enumerate(held))], most
+        drawn = None
+        if tried is not None:
+            f = bins.features()
+            node = (self.first + nodes).astype(np.uint64)[:, None] * np.uint64(f) + np.arange(f, dtype=np.uint64)
+            draw = mix(node + np.uint64((seed + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1))
+            drawn = draw <= np.partition(draw, min(tried, f) - 1, axis=1)[:, min(tried, f) - 1 :][:, :1]
+        of = (sa[nodes], sb[nodes], n[nodes])
+        cells = min(CELLS, 1 << (FILL * len(at) // m).bit_length())
+        if bins.sizes and cells >= max(bins.sizes):
+            if joint is None or joint.cells != cells:
+                joint = Joint.of(bins, z, cells)
+            places = joint.places(at)
+            found = _few_nodes(bins, joint, places, held, parts, digits, of, weights, self.min_leaves, drawn)
+        else:
+            joint = None
+            found = [(*_many_nodes(bins, z, at, held, parts, digits, of, weights, x, drawn), None) for x in self.min_leaves]
+        alike: dict[tuple, tuple] = {}
+        for leaf, (gain, col, cut, lower) in zip(self.min_leaves, found):
+            col = np.where(gain > 1e-12 * np.maximum(1.0, sw[nodes]), col, -1)
+            cut = np.where(col >= 0, cut, 0)
+            alike.setdefault((col.tobytes(), cut.tobytes()), (col, cut, lower, []))[3].append(leaf)
+        out = []
+        for mine, cuts, lower, leaves in alike.values():
+            col, cut = np.full(k, -1), np.zeros(k, dtype=np.int64)
+            col[nodes], cut[nodes] = mine, cuts
+            split = col >= 0
+            kids = np.cumsum(split) * 2 - 2
+            done = [*self.done, (col, cut, np.where(split, self.first + k + kids, -1), value, depths)]
+            if not split.any():
+                out.append(_Growth(leaves, at, z, held, parts, done=done, nodes=0))
+                continue
+            right = _right_nodes(bins, z, at, mine, cuts) if joint is None else joint.right(bins, places, mine, cuts)
+            goes = np.flatnonzero(mine >= 0)
+            below = None if lower is None else [np.stack([x[goes], y[goes] - x[goes]], axis=1).ravel() for x, y in zip(lower, of)]
+            out.append(_Growth(leaves, np.append(np.where(split, kids, 2 * len(goes))[nodes], 2 * len(goes)).take(at) + right, z, held, parts, digits, joint, below,
+                               2 * len(goes), self.first + k, self.depth + 1, done))
+        if len(out) == 1 and not out[0].nodes:
+            self.done = out[0].done
+            return []
+        return out
+
+
+def _right_nodes(bins: Bins, z: np.ndarray, at: np.ndarray, col: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Whether each row goes to the right."""
+    c, edge = np.append(col, 0).take(at), np.append(cut, 0).take(at)
+    v = z.ravel().take(np.arange(0, z.size, z.shape[1]) + np.maximum(c, 0))
+    return np.where(c < bins.cats, v != edge, v > edge)
+
+
+@dataclass
+class Joint:
+    """Columns put together as digits of one, of at most ``cells`` values (a column of more is alone)."""
+
+    cells: int
+    groups: list[list[int]]  # the columns of each
+    sizes: list[int]
+    values: list[np.ndarray]  # of the rows
+    bins: list[np.ndarray | None]  # whether a value has a bin, value x bins of the columns; None: a column alone
+    digits: dict[int, tuple[int, np.ndarray]]  # of each column where it is and its bin in each value
+
+    @classmethod
+    def of(cls, bins: Bins, z: np.ndarray, cells: int) -> Joint:
+        groups: list[list[int]] = []
+        sizes: list[int] = []
+        for c in np.argsort([-n for n in bins.sizes], kind="stable").tolist():
+            if groups and sizes[-1] * bins.sizes[c] <= cells:
+                groups[-1].append(c)
+                sizes[-1] *= bins.sizes[c]
+            else:
+                groups.append([c])
+                sizes.append(bins.sizes[c])
+        values, held, digit = [], [], {}
+        for q, (g, size) in enumerate(zip(groups, sizes)):
+            v = z[:, g[0]].astype(np.int64)
+            for c in g[1:]:
+                v *= bins.sizes[c]
+                v += z[:, c]
+            values.append(v)
+            digits = np.unravel_index(np.arange(size), [bins.sizes[c] for c in g])
+            digit.update((c, (q, d)) for c, d in zip(g, digits))
+            held.append(np.concatenate([d[:, None] == np.arange(bins.sizes[c]) for c, d in zip(g, digits)], axis=1).astype(np.float64) if len(g) > 1 else None)
+        return cls(cells, groups, sizes, values, held, digit)
+
+    def places(self, at: np.ndarray) -> list[np.ndarray]:
+        """Of every row, its node and value in one number."""
+        return [at * s + v for s, v in zip(self.sizes, self.values)]
+
+    def sums(self, bins: Bins, places: list[np.ndarray], x: np.ndarray, k: int) -> np.ndarray:
+        """``x`` by node and bin: all columns side by side, in their order."""
+        start = np.cumsum([0, *bins.sizes])
+        out = np.empty((k, start[-1]))
+        for g, size, place, held in zip(self.groups, self.sizes, places, self.bins):
+            s = np.bincount(place, x, k * size)[: k * size].reshape(k, size)
+            s, i = s if held is None else s @ held, 0
+            for c in g:
+                out[:, start[c] : start[c + 1]] = s[:, i : i + bins.sizes[c]]
+                i += bins.sizes[c]
+        return out
+
+
+    def right(self, bins: Bins, places: list[np.ndarray], col: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """Whether each row goes to the right where nodes are split by ``col`` at ``cut``."""
+        tables: dict[int, np.ndarray] = {}
+        for c, (q, digit) in self.digits.items():
+            nodes = np.flatnonzero(col == c)
+            if len(nodes):
+                if q not in tables:
+                    tables[q] = np.zeros((len(col) + 1, self.sizes[q]), dtype=bool)  # the last one: rows of leaves
+                edge = cut[nodes, None]
+                tables[q][nodes] = digit != edge if c < bins.cats else digit > edge
+        return functools.reduce(np.logical_or, (t.ravel().take(places[q]) for q, t in tables.items()))
+
+
+def running(bins: Bins, sums: np.ndarray) -> np.ndarray:
+    """The sums left of a split at each bin: of the bin itself for categories, up to it for numbers; changed in place."""
+    at = np.cumsum([0, *bins.sizes])
+    for c in range(bins.cats, len(bins.sizes)):
+        np.cumsum(sums[:, at[c] : at[c + 1]], axis=1, out=sums[:, at[c] : at[c + 1]])
+    return sums
+
+
+def _places(bins: Bins) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every column and bin, side by side: the column, the bin, the feature (that of no bin for a last one: -1)."""
+    base = np.cumsum([0] + [n - 1 if i < bins.cats else 1 for i, n in enumerate(bins.sizes)])
+    col = np.repeat(np.arange(len(bins.sizes)), bins.sizes)
+    v = np.concatenate([np.arange(n) for n in bins.sizes])
+    feature = np.concatenate([np.append(base[c] + (np.arange(n - 1) if c < bins.cats else np.zeros(n - 1, dtype=np.int64)), -1) for c, n in enumerate(bins.sizes)])
+    return col, v, feature.astype(np.int64)
+
+
+def _few_nodes(bins: Bins, joint: Joint, places: list[np.ndarray], held: list[np.ndarray], parts: int, digits: int, of: tuple, weights: tuple[float, float],
+               min_leaves: list[int], drawn: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(gain, column, bin, sums to the left) of the best split of every node, from
+    counts of all columns side by side, for each of ``min_leaves``."""
     c0, c1 = weights
-    at = np.zeros(len(rows), dtype=np.int64)
-    column, bin_, left, value, depth = [], [], [], [], []
-    first, k, level = 0, 1, 0  # first node of the level, its nodes
+    sa, sb, n = (x[:, None] for x in of)
+    k = len(sa)
+    sums = [running(bins, joint.sums(bins, places, x, k)) for x in held]
+    sums = _apart([x.astype(np.int64) for x in sums], parts, digits)
+    la, lb, ln = sums[0], sums[1], sums[2] if parts > 2 else sums[0] + sums[1]
+    col, v, feature = _places(bins)
+    may = (feature >= 0)[None, :] if drawn is None else drawn[:, feature] & (feature >= 0)  # no split off the none bin, none at the last bin
+    st, sw = c1 * sb, c0 * sa + c1 * sb
+    lt, lw = c1 * lb, c0 * la + c1 * lb
+    rt, rw = c1 * (sb - lb), c0 * (sa - la) + c1 * (sb - lb)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        whole = lt * lt / lw + rt * rt / rw - st * st / np.maximum(sw, 1e-300)
+    out = []
+    for leaf in min_leaves:
+        g = np.where(may & (ln >= leaf) & (n - ln >= leaf), whole, -1.0)
+        best = g.argmax(axis=1)
+        at = np.arange(k), best
+        found = g[at] > -1.0
+        out.append((g[at], np.where(found, col[best], -1), np.where(found, v[best], 0), [x[at] for x in sums]))
+    return out
+
+
+def _many_nodes(bins: Bins, z: np.ndarray, at: np.ndarray, held: list[np.ndarray], parts: int, digits: int, of: tuple, weights: tuple[float, float],
+                min_leaf: int, drawn: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_few_nodes``, column by column, where a bin holds rows."""
+    c0, c1 = weights
+    sa, sb, n = of
+    k = len(sa)
+    col, cut, gain = np.full(k, -1), np.zeros(k, dtype=np.int64), np.full(k, -1.0)
+    st, sw = c1 * sb, c0 * sa + c1 * sb
+    parent = st * st / np.maximum(sw, 1e-300)
     base = np.cumsum([0] + [n - 1 if i < bins.cats else 1 for i, n in enumerate(bins.sizes)])
-    while True:
-        sums = _apart([np.bincount(at, x, k)[:k].astype(np.int64) for x in held], parts, digits)
-        sa, sb, n = sums[0], sums[1], sums[2] if parts > 2 else sums[0] + sums[1]
-        st, sw = c1 * sb, c0 * sa + c1 * sb
-        value.append(st / np.maximum(sw, 1e-300))
-        depth.append(np.full(k, level))
-        go = (sa > 0) & (sb > 0) & (n >= 2 * min_leaf) & (max_depth is None or level < max_depth)
-        col, cut, gain = np.full(k, -1), np.zeros(k, dtype=np.int64), np.full(k, -1.0)
-        if go.any():
-            keep = np.flatnonzero(np.concatenate([go, np.zeros(2, dtype=bool)])[at])
-            at, z, held = at[keep], z.take(keep, axis=1), [x[keep] for x in held]
-            if not digits:
-                most = int(max(x[go].max() for x in sums)).bit_length()
-                if parts * most <= 53 and int(max(x.sum() for x in sums)).bit_length() + (parts - 1) * most <= 62:
-                    held, digits = [sum(x * 2.0 ** (i * most) for i, x in enumerate(held))], most
-            drawn = None
-            if tried is not None:
-                f = bins.features()
-                node = (first + np.arange(k)).astype(np.uint64)[:, None] * np.uint64(f) + np.arange(f, dtype=np.uint64)
-                draw = mix(node + np.uint64((seed + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1))
-                drawn = draw <= np.partition(draw, min(tried, f) - 1, axis=1)[:, min(tried, f) - 1 :][:, :1]
-            parent = st * st / np.maximum(sw, 1e-300)
-            for c, size in enumerate(bins.sizes):
-                if size < 2:
-                    continue
-                mine = go if drawn is None else go & drawn[:, base[c] : base[c + 1]].any(axis=1)
-                nodes = np.flatnonzero(mine)
-                if not len(nodes):
-                    continue
-                place, on = np.where(mine, np.cumsum(mine) - 1, len(nodes)) * size, None  # nodes that do not try it come last
-                inside = mine[at]
-                if np.count_nonzero(inside) < 0.6 * len(at):
-                    on = np.flatnonzero(inside)
-                place = place[at] + z[c] if on is None else place[at[on]] + z[c][on]
-                sums = [np.bincount(place, x if on is None else x[on], len(nodes) * size)[: len(nodes) * size] for x in held]
-                e = np.flatnonzero(sums[0] if len(sums) == 1 else sums[0] + sums[1])  # nodes and bins with rows; every node has some
-                of = e // size
-                v = e - of * size
-                sums = [x[e].astype(np.int64) for x in sums]
-                if c >= bins.cats:
-                    start = _starts(of)
-                    before = [np.cumsum(x) - x for x in sums]
-                    sums = [x + y - y[start][of] for x, y in zip(sums, before)]
-                sums = _apart(sums, parts, digits)
-                node = nodes[of]
-                ln = sums[2] if parts > 2 else sums[0] + sums[1]
-                ok = (ln >= min_leaf) & (n[node] - ln >= min_leaf) & (v < size - 1)  # no split off the none bin, none at the last bin
-                if drawn is not None and c < bins.cats:
-                    ok &= drawn[node, base[c] + np.minimum(v, size - 2)]
-                ok = np.flatnonzero(ok)
-                if not len(ok):
-                    continue
-                node, v, la, lb = node[ok], v[ok], sums[0][ok], sums[1][ok]
-                lt, lw = c1 * lb, c0 * la + c1 * lb
-                rt, rw = c1 * (sb[node] - lb), c0 * (sa[node] - la) + c1 * (sb[node] - lb)
-                g = lt * lt / lw + rt * rt / rw - parent[node]
-                start = _starts(node)
-                top = np.maximum.reduceat(g, start)
-                hit = np.flatnonzero(g == np.repeat(top, np.diff(np.append(start, len(g)))))
-                hit = hit[_starts(node[hit])]  # the first best of every node
-                hit = hit[top > gain[node[start]]]
-                gain[node[hit]], col[node[hit]], cut[node[hit]] = g[hit], c, v[hit]
-            col = np.where(gain > 1e-12 * np.maximum(1.0, sw), col, -1)
-        split = col >= 0
-        kids = np.cumsum(split) * 2 - 2
-        column.append(col)
-        bin_.append(cut)
-        left.append(np.where(split, first + k + kids, -1))
-        if not split.any():
-            break
-        c = col[at]
-        v = z.ravel().take(np.maximum(c, 0) * z.shape[1] + np.arange(z.shape[1]))
-        right = np.where(c < bins.cats, v != cut[at], v > cut[at])
-        first, k, level = first + k, int(split.sum()) * 2, level + 1
-        at = np.where(split, kids, k)[at] + right  # rows whose node is a leaf come last
-    return Tree(*[np.concatenate(x) for x in (column, bin_, left, value, depth)])
+    for c, size in enumerate(bins.sizes):
+        if size < 2:
+            continue
+        mine = np.ones(k, dtype=bool) if drawn is None else drawn[:, base[c] : base[c + 1]].any(axis=1)
+        nodes = np.flatnonzero(mine)
+        if not len(nodes):
+            continue
+        mine = np.append(mine, False)  # rows of no node
+        place, on = np.where(mine, np.cumsum(mine) - 1, len(nodes)) * size, None  # nodes that do not try it come last
+        inside = mine[at]
+        if np.count_nonzero(inside) < 0.6 * len(at):
+            on = np.flatnonzero(inside)
+        place = place[at] + z[:, c] if on is None else place[at[on]] + z[on, c]
+        sums = [np.bincount(place, x if on is None else x[on], len(nodes) * size)[: len(nodes) * size] for x in held]
+        e = np.flatnonzero(sums[0] if len(sums) == 1 else sums[0] + sums[1])  # nodes and bins with rows; every node has some
+        of_ = e // size
+        v = e - of_ * size
+        sums = [x[e].astype(np.int64) for x in sums]
+        if c >= bins.cats:
+            start = _starts(of_)
+            before = [np.cumsum(x) - x for x in sums]
+            sums = [x + y - y[start][of_] for x, y in zip(sums, before)]
+        sums = _apart(sums, parts, digits)
+        node = nodes[of_]
+        ln = sums[2] if parts > 2 else sums[0] + sums[1]
+        ok = (ln >= min_leaf) & (n[node] - ln >= min_leaf) & (v < size - 1)  # no split off the none bin, none at the last bin
+        if drawn is not None and c < bins.cats:
+            ok &= drawn[node, base[c] + np.minimum(v, size - 2)]
+        ok = np.flatnonzero(ok)
+        if not len(ok):
+            continue
+        node, v, la, lb = node[ok], v[ok], sums[0][ok], sums[1][ok]
+        lt, lw = c1 * lb, c0 * la + c1 * lb
+        rt, rw = c1 * (sb[node] - lb), c0 * (sa[node] - la) + c1 * (sb[node] - lb)
+        g = lt * lt / lw + rt * rt / rw - parent[node]
+        start = _starts(node)
+        top = np.maximum.reduceat(g, start)
+        hit = np.flatnonzero(g == np.repeat(top, np.diff(np.append(start, len(g)))))
+        hit = hit[_starts(node[hit])]  # the first best of every node
+        hit = hit[top > gain[node[start]]]
+        gain[node[hit]], col[node[hit]], cut[node[hit]] = g[hit], c, v[hit]
+    return gain, col, cut
 
 
 def _apart(sums: list[np.ndarray], parts: int, digits: int) -> list[np.ndarray]:
@@ -314,55 +505,103 @@ def boosted_probabilities(bins: Bins, y: np.ndarray, train: np.ndarray, test: np
 TIMES = np.diff(np.concatenate([[0.0], POISSON, [1.0]]))  # how likely a row is 0, 1, ... 8 times in a bag
 
 
-def forest_sums(bins: Bins, zeros: np.ndarray, ones: np.ndarray, weights: tuple[float, float], train: np.ndarray, test: np.ndarray, trees: list[int],
-                depths: list[int | None], min_leaf: int, seed: int, part: int = 0, parts: int = 1) -> dict[tuple[int, int | None], np.ndarray]:
+def forest_sums(bins: Bins, zeros: np.ndarray, ones: np.ndarray, weights: tuple[float, float], train: np.ndarray, test: np.ndarray,
+                wanted: list[tuple[int, int | None, int]], seed: int, part: int = 0, parts: int = 1) -> dict[tuple[int, int | None, int], np.ndarray]:
     """As ``forest_probabilities`` for equal rows put together, ``zeros`` and
-    ``ones`` of each class: sums over every ``parts``-th tree.  Each row is
-    drawn by itself: how many of n rows are 0, 1, ... times in the bag is multinomial."""
+    ``ones`` of each class: sums over every ``parts``-th tree for the (trees,
+    depth, least rows of a leaf) that are wanted.  Each row is drawn by itself:
+    how many of n rows are 0, 1, ... times in the bag is multinomial; forests
+    that differ in their leaves have the same bags, drawn once."""
     tried = max(1, int(np.sqrt(bins.features())))
     bins = Bins(bins.z.astype(np.min_scalar_type(max(bins.sizes))), bins.sizes, bins.cats) if bins.sizes else bins
     to = Bins(bins.z[test], bins.sizes, bins.cats)
-    deepest = None if None in depths else max(depths)
-    sums = {(n, d): np.zeros(len(test)) for n in trees for d in depths}
-    place = np.arange(len(TIMES))
-    for i in range(part, max(trees), parts):
+    sums = {w: np.zeros(len(test)) for w in wanted}
+    place = np.arange(len(TIMES), dtype=np.float64)
+    held = [(r, c[r]) for c in (zeros, ones) for r in (train[c[train] > 0],)]
+    for i in range(part, max(w[0] for w in wanted), parts):
         rng = np.random.default_rng([seed, i])
-        drawn = [rng.multinomial(c[train], TIMES) for c in (zeros, ones)]
         a, b, many = (np.zeros(len(zeros), dtype=np.int64) for _ in range(3))
-        a[train], b[train] = (d @ place for d in drawn)
-        many[train] = zeros[train] + ones[train] - drawn[0][:, 0] - drawn[1][:, 0]
-        tree = grow_counts(bins, a, b, many, weights, np.flatnonzero(many), deepest, min_leaf, tried, seed * 7919 + i)
-        at = None
-        for d in sorted(depths, key=lambda d: (d is None, d or 0)):
-            at = tree.leaves(to, d, at)
-            v = tree.value[at]
-            for n in trees:
-                if i < n:
-                    sums[n, d] += v
+        for into, (r, c) in zip((a, b), held):
+            drawn = rng.multinomial(c, TIMES)
+            into[r] = drawn.astype(np.float64) @ place  # whole numbers, by BLAS
+            many[r] += c - drawn[:, 0]
+        deep: dict[int | None, list[int]] = {}  # least rows of a leaf, by the depth that is wanted with them
+        for leaf in sorted({w[2] for w in wanted if i < w[0]}):
+            most = max((w[1] for w in wanted if i < w[0] and w[2] == leaf), key=lambda d: (d is None, d or 0))
+            deep.setdefault(most, []).append(leaf)
+        for leaf, tree in (x for most, leaves in deep.items()
+                           for x in grow_alike(bins, a, b, many, weights, np.flatnonzero(many), most, leaves, tried, seed * 7919 + i).items()):
+            mine = [w for w in wanted if i < w[0] and w[2] == leaf]
+            depths = sorted({w[1] for w in mine}, key=lambda d: (d is None, d or 0))
+            at = None
+            for d in depths:
+                at = tree.leaves(to, d, at)
+                v = tree.value[at]
+                for w in mine:
+                    if w[1] == d:
+                        sums[w] += v
     return sums
 
 
 def boosted_groups(bins: Bins, zeros: np.ndarray, ones: np.ndarray, train: np.ndarray, test: np.ndarray, trees: list[int], rate: float, depth: int,
                    min_leaf: int = 1) -> dict[int, np.ndarray]:
-    """As ``boosted_probabilities`` for equal rows put together."""
-    to, whole = Bins(bins.z[test], bins.sizes, bins.cats), Bins(bins.z[train], bins.sizes, bins.cats)
-    n = (zeros + ones).astype(np.float64)
-    prior = np.clip(ones[train].sum() / n[train].sum(), 1e-9, 1 - 1e-9)
+    """As ``boosted_probabilities`` for equal rows put together.  All rows go
+    down each tree while it grows; those without training rows count nothing.
+    Several columns are added up at once, and how many rows a node has in each
+    bin once for all trees that come to the same node."""
+    n = np.zeros(len(zeros))
+    n[train] = zeros[train] + ones[train]
+    ones = np.where(n > 0, ones, 0).astype(np.float64)
+    prior = np.clip(ones.sum() / n.sum(), 1e-9, 1 - 1e-9)
     f = np.full(len(n), np.log(prior / (1 - prior)))
-    g = np.full(len(test), np.log(prior / (1 - prior)))
+    joint = Joint.of(bins, bins.z, CELLS)
+    col, bin_, feature = _places(bins) if bins.sizes else (np.zeros(0, dtype=np.int64),) * 3
+    known: dict[tuple, np.ndarray] = {}
     out = {}
     for i in range(max(trees)):
         p = 1.0 / (1.0 + np.exp(-f))
-        r = ones - n * p
-        tree = grow(bins, r / np.maximum(n, 1.0), n, train, depth, min_leaf, gini=False, count=n)
-        leaf = tree.leaves(whole)
-        num = np.bincount(leaf, r[train], len(tree.value))
-        den = np.bincount(leaf, (n * p * (1 - p))[train], len(tree.value))
+        np_ = n * p
+        r = ones - np_
+        at = np.zeros(len(n), dtype=np.int64)
+        nodes: list[tuple | None] = [()]  # the way to each node; None: it is a leaf
+        for level in range(depth):
+            k = len(nodes)
+            if not bins.sizes or not any(x is not None for x in nodes):
+                break
+            places = joint.places(at)
+            if any(x is not None and x not in known for x in nodes):
+                counts = running(bins, joint.sums(bins, places, n, k))
+                known.update((x, counts[j].copy()) for j, x in enumerate(nodes) if x is not None)
+            lt = running(bins, joint.sums(bins, places, r, k))
+            none = np.zeros(len(col))
+            lw = np.stack([none if x is None else known[x] for x in nodes])
+            last = len(col) - 1  # all rows of a node are in any column: the sums of the last, up to its end
+            whole = slice(last + 1 - bins.sizes[-1], last + 1)
+            st, sw = (x[:, whole].sum(axis=1) if len(bins.sizes) <= bins.cats else x[:, last] for x in (lt, lw))
+            rw, rt = sw[:, None] - lw, st[:, None] - lt
+            with np.errstate(divide="ignore", invalid="ignore"):
+                g = lt * lt / lw + rt * rt / rw - (st * st / np.maximum(sw, 1e-300))[:, None]
+            ok = (lw >= min_leaf) & (rw >= min_leaf) & (feature >= 0) & np.array([x is not None for x in nodes])[:, None]
+            g = np.where(ok, g, -1.0)
+            best = g.argmax(axis=1)
+            split = (g[np.arange(k), best] > 1e-12 * np.maximum(1.0, sw)) & (sw >= 2 * min_leaf)
+            kids: list[tuple | None] = []
+            base = np.zeros(k, dtype=np.int64)
+            way = np.where(split, best, 0)
+            for j, x in enumerate(nodes):
+                base[j] = len(kids)
+                c, v = int(col[way[j]]), int(bin_[way[j]])
+                kids += [(*x, (c, v, 0)), (*x, (c, v, 1))] if split[j] else [None]
+            if split.any():
+                at = base.take(at) + joint.right(bins, places, np.where(split, col[way], -1), bin_[way])
+            else:
+                break
+            nodes = kids
+        num, den = np.bincount(at, r, len(nodes)), np.bincount(at, np_ * (1 - p), len(nodes))
         step = np.where(den > 1e-150, num / np.maximum(den, 1e-150), 0.0)
-        f[train] += rate * step[leaf]
-        g += rate * step[tree.leaves(to)]
+        f += (rate * step).take(at)
         if i + 1 in trees:
-            out[i + 1] = 1.0 / (1.0 + np.exp(-g))
+            out[i + 1] = 1.0 / (1.0 + np.exp(-f[test]))
     return out
 
 

@@ -45,6 +45,30 @@ class Problem:
     beta: np.ndarray = field(default_factory=lambda: np.zeros(0))  # intercept last
 
 
+# cos of a quarter turn times x, by powers of x squared
+_QUARTER = [(-1) ** i * (math.pi / 2) ** (2 * i) / math.factorial(2 * i) for i in range(9)]
+COSINES = 1 << 15  # done at once
+
+
+def cosine(z: np.ndarray) -> np.ndarray:
+    """cos(z) in place, to a few units of the last place of 1: the series for a quarter of the angle, doubled twice."""
+    flat = z.reshape(-1)
+    for x in (flat[i : i + COSINES] for i in range(0, len(flat), COSINES)):
+        x *= 0.5 / math.pi
+        x -= np.rint(x)
+        x *= x
+        y = np.full(len(x), _QUARTER[-1])
+        for c in _QUARTER[-2::-1]:
+            y *= x
+            y += c
+        for _ in range(2):
+            y *= y
+            y *= 2.0
+            y -= 1.0
+        x[:] = y
+    return z
+
+
 def _features(plan: Plan, p: Problem):
     """Dimension and map of a problem's features."""
     if p.gamma is None:
@@ -58,7 +82,7 @@ def _features(plan: Plan, p: Problem):
     def fmap(x: np.ndarray) -> np.ndarray:
         z = x @ w
         z += b
-        np.cos(z, out=z)
+        cosine(z)
         z *= math.sqrt(2.0 / p.components)
         return z
 

@@ -188,9 +188,8 @@ def _fit_groups(plan: Plan, unit: tuple, part: int, parts: int, tasks: list[tupl
             yield i, tree.value[tree.leaves(to, d)]
         return
     if name == "Random Forest":
-        wanted = [(int(p.get("n_estimators", 100)), _depth(p)) for _, (_, _, p) in tasks]
-        got = forest.forest_sums(bins, zeros, ones, weights, train, test, sorted({t for t, _ in wanted}),
-                                 sorted({d for _, d in wanted}, key=lambda d: (d is None, d or 0)), unit[2], SEED, part, parts)
+        wanted = [(int(p.get("n_estimators", 100)), _depth(p), int(p.get("min_samples_leaf", 1))) for _, (_, _, p) in tasks]
+        got = forest.forest_sums(bins, zeros, ones, weights, train, test, sorted(set(wanted), key=str), SEED, part, parts)
     else:
         wanted = [int(p.get("n_estimators", 100)) for _, (_, _, p) in tasks]
         got = forest.boosted_groups(bins, zeros, ones, train, test, sorted(set(wanted)), *unit[2:])
@@ -220,7 +219,8 @@ def from_groups(enc: Encoded, tasks: Sequence[Task], counts: bool, on_train: boo
     cores = enc.table.sparkSession.sparkContext.defaultParallelism
     units: dict[tuple, list[tuple[int, Task]]] = {}
     for i, t in enumerate(tasks):
-        units.setdefault(_unit(t), []).append((i, t))
+        u = _unit(t)
+        units.setdefault(u[:2] if t[1] == "Random Forest" else u, []).append((i, t))  # forests of one split draw the same bags
     # a forest is dealt by its trees where there are fewer units than cores
     parts = {u: max(1, min(25, -(-6 * cores // len(units)))) if u[1] == "Random Forest" else 1 for u in units}
     dear = {"Random Forest": 0, "Gradient Boosting": 1}

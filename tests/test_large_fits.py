@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from earlywarn.operators import forest, linear_fits, task_fits
 from earlywarn.operators import validate as va
+from earlywarn.operators.splits import Groups, unpacked
 
 
 @pytest.fixture(scope="module")
@@ -103,3 +104,83 @@ def test_boosting_on_kinds_of_rows(learners, monkeypatch):
     read.clear()
     va.fit_pipeline(df, "Gradient Boosting", params | {"min_samples_leaf": 5}, exclude=())
     assert read == [600]  # a leaf's rows are counted
+
+
+def grouped(seed, sizes, cats, rows):
+    """Distinct rows of bins with the training rows of each class; every third has none."""
+    rng = np.random.default_rng(seed)
+    z = np.unique(np.stack([rng.integers(0, n, rows) for n in sizes], axis=1), axis=0)
+    zeros, ones = rng.integers(0, 6, len(z)), rng.integers(0, 6, len(z)) * (z[:, 0] > 1)
+    zeros[::3] = ones[::3] = 0
+    return forest.Bins(z, list(sizes), cats), zeros, ones
+
+
+def test_boosting_adds_up_columns_together(monkeypatch):
+    """The counts of a level are added up for several columns at once, and those of rows once for nodes that come
+    again: the same boosting as on the rows, with far fewer sums than columns, levels and trees."""
+    bins, zeros, ones = grouped(6, (5, 3, 9, 7, 4), 2, 700)
+    train, test = np.flatnonzero(zeros + ones), np.arange(len(zeros))
+    each = np.repeat(np.arange(len(zeros)), zeros + ones)
+    y = np.concatenate([np.repeat([0, 1], [a, b]) for a, b in zip(zeros, ones)])
+    rows = forest.Bins(np.concatenate([bins.z[each], bins.z]), bins.sizes, bins.cats)
+    for depth, leaf in ((2, 1), (3, 4)):
+        want = forest.boosted_probabilities(rows, np.concatenate([y, 0 * test]), np.arange(len(y)), len(y) + test, [8, 20], 0.1, depth, leaf)
+        sums = []
+        bincount = np.bincount
+        monkeypatch.setattr(forest.np, "bincount", lambda *a: sums.append(len(a[0])) or bincount(*a))
+        got = forest.boosted_groups(bins, zeros, ones, train, test, [8, 20], 0.1, depth, leaf)
+        monkeypatch.undo()
+        assert all(np.allclose(got[n], want[n], rtol=0, atol=1e-9) for n in (8, 20))
+        assert len(sums) < 20 * depth * 2 * len(bins.sizes)
+
+
+def test_forests_with_other_leaves_share_bags_and_first_levels(monkeypatch):
+    """Trees of one bag grow as one until they split differently, and each is the tree that it is alone."""
+    bins, zeros, ones = grouped(7, (5, 3, 9, 7), 2, 600)
+    many, rows = zeros + ones, np.flatnonzero(zeros + ones)
+    levels = []
+    level = forest._Growth.level
+    monkeypatch.setattr(forest._Growth, "level", lambda self, *a: levels.append(self.depth) or level(self, *a))
+    for fill in (forest.FILL, 0):  # several columns together, or one by one
+        monkeypatch.setattr(forest, "FILL", fill)
+        for tried in (None, 3):
+            alone = {m: forest.grow_counts(bins, zeros, ones, many, (0.5, 1.5), rows, None, m, tried, 3) for m in (1, 3, 9)}
+            apart = len(levels)
+            levels.clear()
+            got = forest.grow_alike(bins, zeros, ones, many, (0.5, 1.5), rows, None, [1, 3, 9], tried, 3)
+            assert len(levels) < apart
+            levels.clear()
+            for m, want in alone.items():
+                for name in ("column", "bin", "left", "value", "depth"):
+                    assert np.array_equal(getattr(got[m], name), getattr(want, name))
+    drawn = []
+    one = forest.grow_alike
+    monkeypatch.setattr(forest, "grow_alike", lambda *a: drawn.append(a[7]) or one(*a))
+    wanted = [(4, None, 1), (6, None, 3), (6, 2, 3)]
+    got = forest.forest_sums(bins, zeros, ones, (0.5, 1.5), rows, rows, wanted, 42)
+    assert drawn == [[1, 3]] * 4 + [[3]] * 2
+    for w in wanted:
+        assert np.array_equal(got[w], forest.forest_sums(bins, zeros, ones, (0.5, 1.5), rows, rows, [w], 42)[w])
+
+
+def test_forests_of_a_split_are_one_unit(learners, monkeypatch):
+    """Candidates that differ in the least rows of a leaf are grown in one task, from one bag a tree."""
+    enc = encoded(learners)
+    monkeypatch.setattr(task_fits, "FEW_BYTES", 0)
+    seen = []
+    fit = task_fits.forest.forest_sums
+    monkeypatch.setattr(task_fits.forest, "forest_sums", lambda *a: seen.append(a[6]) or fit(*a))
+    plan = enc.plan
+    tasks = [(0, "Random Forest", {"n_estimators": 3, "max_depth": 2, "min_samples_leaf": m}) for m in (1, 3)]
+    g = next(unpacked(enc.groups.toArrow().to_batches()[0], plan))
+    g = Groups(g.codes, g.nums, g.n[:, :1])
+    got = dict(task_fits._fit_groups(plan, (0, "Random Forest"), 0, 1, list(enumerate(tasks)), g))
+    assert len(seen) == 1 and len(got) == 2
+    scores = va.score_many(enc, tasks)
+    assert len(scores) == 2 and None not in scores
+
+
+def test_cosine_is_the_cosine():
+    z = np.random.default_rng(1).normal(size=(300, 200)) * 20
+    want = np.cos(z)
+    assert np.abs(linear_fits.cosine(z) - want).max() < 1e-13
