@@ -10,13 +10,17 @@ column and scored in one pass.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.feature import OneHotEncoderModel, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earlywarn.functions.ranking import running_totals
 from earlywarn.operators.models import pass_probability, sigmoid
+from earlywarn.operators.prep import MedianImputerModel, ModeImputerModel, PopulationScalerModel
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -43,13 +47,70 @@ def linear_scorer(intercept: float, coef: Mapping[str, float]) -> Scorer:
 
 
 def model_scorer(model) -> Scorer:
-    """P(pass) from a fitted pipeline; only the input columns are kept."""
+    """P(pass) from a fitted pipeline; only the input columns are kept.  A
+    logistic model behind the preprocessing of ``prep`` scores by plain column
+    expressions, without a vector for each row; any other by ``transform``."""
+    linear = linear_probability(model)
+
     def score(df: DataFrame) -> DataFrame:
+        if linear is not None:
+            out = df.select("*", linear.alias("y_prob"))
+            for stage in model.stages:
+                if isinstance(stage, (ModeImputerModel, MedianImputerModel, PopulationScalerModel)):
+                    out = stage.transform(out)  # the input columns as the pipeline leaves them
+            return out
         out = model.transform(df)
         return out.select(*df.columns, pass_probability(out).alias("y_prob"))
     return score
 
 
+MAX_CASES = 64  # categories of a column that are told apart by comparisons
+
+
+def linear_probability(model) -> Column | None:
+    """P(class 1) of a pipeline of ``prep.preprocessor`` and a binary logistic
+    model as an expression of the input columns: the same fills, slots, scaling
+    and coefficients.  None for any other pipeline."""
+    kinds = [type(s) for s in getattr(model, "stages", [])]
+    cats = [ModeImputerModel, StringIndexerModel, OneHotEncoderModel]
+    nums = [MedianImputerModel, PopulationScalerModel]
+    if not any(kinds == [*c, *n, VectorAssembler, LogisticRegressionModel] for c in ([], cats) for n in ([], nums)):
+        return None
+    stage = dict(zip(kinds, model.stages))
+    last, assembled = stage[LogisticRegressionModel], stage[VectorAssembler]
+    if last.numClasses != 2 or last.getFeaturesCol() != assembled.getOutputCol() or last.isSet("thresholds") or assembled.getHandleInvalid() != "keep":
+        return None
+    weights, terms, used = last.coefficients.toArray().tolist(), {}, 0
+    if ModeImputerModel in stage:
+        index, slots = stage[StringIndexerModel], stage[OneHotEncoderModel]
+        if index.getHandleInvalid() != "keep" or not slots.getDropLast() or slots.getInputCols() != index.getOutputCols() \
+                or any(len(labels) > MAX_CASES for labels in index.labelsArray):
+            return None
+        fill = stage[ModeImputerModel].getStats()
+        for c, out, labels in zip(index.getInputCols(), slots.getOutputCols(), index.labelsArray):
+            v = F.col(c).cast("string") if fill.get(c) is None else F.coalesce(F.col(c).cast("string"), F.lit(fill[c]))
+            terms[out] = len(labels), lambda w, v=v, labels=labels: functools.reduce(
+                lambda e, x: e.when(v == F.lit(x[0]), F.lit(x[1])), zip(labels, w), F.when(v.isNull(), F.lit(0.0))).otherwise(F.lit(0.0))
+    if MedianImputerModel in stage:
+        fill, scale = stage[MedianImputerModel].getStats(), stage[PopulationScalerModel].getStats()
+        for c in stage[PopulationScalerModel].getInputCols():
+            x = F.when(~F.isnan(F.col(c).cast("double")), F.col(c)) if fill.get(c) is not None else F.col(c)
+            x = F.coalesce(x.cast("double"), F.lit(fill[c])) if fill.get(c) is not None else x.cast("double")
+            mean, std = scale[c]
+            z = F.coalesce((x - F.lit(mean or 0.0)) / F.lit(std if std else 1.0), F.lit(float("nan")))
+            terms[c] = 1, lambda w, z=z: F.lit(w[0]) * z
+    margin = F.lit(0.0)
+    for c in assembled.getInputCols():
+        if c not in terms:
+            return None
+        n, term = terms[c]
+        margin = margin + term(weights[used : used + n])
+        used += n
+    if used != len(weights):
+        return None
+    return F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + F.exp(margin + F.lit(last.intercept)))  # as the model has it
+
+
 def risk_band(risk_prob: Column) -> Column:
     """Risk probability in percent -> band."""
     pct = risk_prob * 100.0
@@ -197,6 +258,7 @@ def class_contributions(df: DataFrame, col: str = "contrib", cls: int = 1) -> Da
 CLIP = 1e-9
 ROWS_PER_TASK = 100_000  # of the rows to explain, before they become coalitions
 SMALL_BACKGROUND = 100_000  # background rows that may be broadcast
+MAX_COMPARED = 16  # features that are ordered by comparing each with each
 
 
 def background_slots(background: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -238,28 +300,29 @@ def permutation_contributions(df: DataFrame, scorer: Scorer, background: DataFra
     small = nbg <= SMALL_BACKGROUND
     x = df.select(key, *feats).filter(F.col(key).isNotNull())
     x = (x.repartition(parts, key) if small else x).select("*", F.explode(perms).alias("_p"))
-    # deterministic order: sort feature indices by a hash of (seed, key, perm, feature)
-    idx = F.sequence(F.lit(0), F.lit(nf - 1))
-    x = x.withColumn("_ord", F.transform(F.array_sort(F.transform(idx, lambda i: F.struct(
-        F.xxhash64(F.lit(seed), F.col(key), F.col("_p"), i).alias("h"), i.alias("i")))), lambda s: s["i"]))
+    # deterministic order: feature indices by a hash of (seed, key, perm, feature); _at: where a feature comes in it, from 1
+    hashes = [F.xxhash64(F.lit(seed), F.col(key), F.col("_p"), F.lit(i)) for i in range(nf)]
+    if nf <= MAX_COMPARED:
+        x = x.select("*", *[h.alias(f"_h{i}") for i, h in enumerate(hashes)])
+        before = lambda i, j: F.col(f"_h{i}") <= F.col(f"_h{j}") if i < j else F.col(f"_h{i}") < F.col(f"_h{j}")
+        at = [functools.reduce(Column.__add__, [before(i, j).cast("int") for i in range(nf) if i != j], F.lit(1)) for j in range(nf)]
+    else:
+        x = x.withColumn("_ord", F.sort_array(F.array(*[F.struct(h.alias("h"), F.lit(i).alias("i")) for i, h in enumerate(hashes)]))["i"])
+        at = [F.array_position("_ord", j).cast("int") for j in range(nf)]
+    x = x.select(key, *feats, "_p", *[a.alias(f"_at{j}") for j, a in enumerate(at)])
     x = x.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.col("_p")), F.lit(nbg)))
     x = x.join(F.broadcast(slots), "_b") if small else x.join(slots, "_b").repartition(parts, key)
     steps = F.sequence(F.lit(0), F.lit(nf))
     x = x.select("*", F.explode(steps).alias("_s"))  # coalition: first _s features of the order from the row
-    cols = []
-    for j, c in enumerate(feats):
-        from_row = F.array_position(F.slice(F.col("_ord"), 1, F.greatest(F.col("_s"), F.lit(1))), j) > 0
-        take = (F.col("_s") > 0) & from_row
-        cols.append(F.when(take, F.col(c)).otherwise(F.col("_bgrow")[c]).alias(c))
-    # the feature that a coalition has last, and the one that the next coalition adds to it
-    last = F.when(F.col("_s") > 0, F.get("_ord", F.col("_s") - 1))
-    coal = x.select(key, "_s", last.alias("_last"), F.get("_ord", F.col("_s")).alias("_next"), *cols)
+    cols = [F.when(F.col(f"_at{j}") <= F.col("_s"), F.col(c)).otherwise(F.col("_bgrow")[c]).alias(c) for j, c in enumerate(feats)]
+    ats = [f"_at{j}" for j in range(nf)]
+    coal = x.select(key, "_s", *ats, *cols)
     scored = scorer(coal)
     p = F.least(F.greatest(F.col("y_prob"), F.lit(CLIP)), F.lit(1.0 - CLIP))  # a sure vote has no finite margin
     v = F.log(p / (F.lit(1.0) - p)) if margin else F.col("y_prob")
-    s = scored.select(key, "_s", "_last", "_next", v.alias("_v"))
-    # a feature's mean change: what its coalitions score less what those before it score
-    change = [F.sum(F.when(F.col("_last") == j, F.col("_v")).when(F.col("_next") == j, -F.col("_v"))).alias(f"_d{j}") for j in range(nf)]
+    s = scored.select(key, "_s", *ats, v.alias("_v"))
+    # a feature's mean change: what the coalitions score that have it last, less what those score to which it comes next
+    change = [F.sum(F.when(F.col(a) == F.col("_s"), F.col("_v")).when(F.col(a) == F.col("_s") + 1, -F.col("_v"))).alias(f"_d{j}") for j, a in enumerate(ats)]
     first = F.col("_s") == 0
     g = s.groupBy(key).agg(F.sum(first.cast("long")).alias("_n"), F.avg(F.when(first, F.col("_v"))).alias("base"), *change)
     copies = F.col("_n") / F.lit(float(n_perm))  # rows of one key share its changes

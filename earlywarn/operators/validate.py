@@ -57,6 +57,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return cp
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table that many steps scan, written once to the shared folder and read from there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def assign_folds(df: DataFrame, k: int, seed: int | Column = SEED, y: str = "target", key: str = "row_id", out: str = "fold",
                  by: Sequence[str] = ()) -> DataFrame:
     """Stratified folds: rows of each class shuffled by md5(seed|fold|key), then dealt round-robin.
@@ -115,14 +122,14 @@ def _features(df: DataFrame, label: str, key: str, exclude: Sequence[str]) -> tu
 def fit_pipeline(train: DataFrame, name: str, params: dict, label: str = "target", key: str = "row_id",
                  exclude: Sequence[str] = ("fold",)):
     """Preprocessor + estimator fitted on ``train`` (balanced weights attached;
-    boosting of more than ``FEW_ROWS`` rows on equal rows as one)."""
+    boosting and logistic regression of more than ``FEW_ROWS`` rows on equal rows as one)."""
     cat, num = _features(train, label, key, exclude)
     if name == "Gradient Boosting" and int(params.get("min_samples_leaf", 1)) <= 1:  # a leaf counts rows, so equal ones are kept apart for more
         held = train.select(*cat, *num, label).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             n = held.count()
             if n > FEW_ROWS:
-                return _boosted_on_kinds(held, n, params, cat, num, label)
+                return _fit_on_kinds(held, n, name, params, cat, num, label)
         finally:
             held.unpersist()
     # one job: class counts (two rows for a binary label) give n and the balanced weights,
@@ -133,22 +140,31 @@ def fit_pipeline(train: DataFrame, name: str, params: dict, label: str = "target
     for c, k in sorted(counts.items(), key=lambda kv: str(kv[0])):
         if c is not None:
             pairs += [F.lit(c), F.lit(n / (2.0 * k))]
-    weighted = train.withColumn("weight", F.element_at(F.create_map(*pairs), F.col(label)) if pairs else F.lit(1.0))
+    weight = F.element_at(F.create_map(*pairs), F.col(label)) if pairs else F.lit(1.0)
+    if name == "Logistic Regression" and n > FEW_ROWS:
+        held = train.select(*cat, *num, label).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return _fit_on_kinds(held, n, name, params, cat, num, label, weight)
+        finally:
+            held.unpersist()
+    weighted = train.withColumn("weight", weight)
     est = build_estimator(name, params, n, label=label)
     pipe = Pipeline(stages=[*preprocessor(cat, num).getStages(), *est])
     return pipe.fit(weighted)
 
 
-def _boosted_on_kinds(rows: DataFrame, n: int, params: dict, cat: Sequence[str], num: Sequence[str], label: str) -> PipelineModel:
-    """Boosting whose passes read each kind of row once, weighted by its rows; the preprocessing is that of all rows."""
+def _fit_on_kinds(rows: DataFrame, n: int, name: str, params: dict, cat: Sequence[str], num: Sequence[str], label: str,
+                  weight: Column | None = None) -> PipelineModel:
+    """A fit whose passes read each kind of row once, weighted by its rows (and
+    the ``weight`` of each); the preprocessing is that of all rows."""
     spark = rows.sparkSession
     prepared = preprocessor(cat, num).fit(rows)
     kinds = rows.groupBy(*cat, *num, label).agg(F.count(F.lit(1)).cast("double").alias("__rows"))
-    path = scratch_path(spark, "boosted-kinds")
-    kinds.write.parquet(path)
-    kinds = spark.read.schema(kinds.schema).parquet(path)
+    if weight is not None:
+        kinds = kinds.withColumn("__rows", F.col("__rows") * weight)
+    kinds = written(kinds, "fit-kinds")
     tasks = max(spark.sparkContext.defaultParallelism, -(-kinds.count() // KINDS_PER_TASK))
-    (est,) = build_estimator("Gradient Boosting", params, n, label=label)
+    (est,) = build_estimator(name, params, n, label=label)
     model = est.setWeightCol("__rows").fit(prepared.transform(kinds.repartition(tasks)))
     return PipelineModel(stages=[*prepared.stages, model])
 
@@ -342,12 +358,12 @@ def nested_cv(df: DataFrame, models: dict[str, list[dict]] | None = None, outer:
     models = models or GRIDS
     require_binary(df, label)
     d = nested_folds(df, outer, inner, seed, label, key)
-    of = F.col("outer")
+    of, ats = F.col("outer"), [f"__inner{f}" for f in range(outer)]
+    d = d.select("*", *[F.element_at("inner", F.lit(f)).alias(at) for f, at in enumerate(ats)]).drop("inner")  # looked up once a row
     splits = [(of != f, of == f) for f in range(outer)]
-    for f in range(outer):
-        at = F.element_at("inner", F.lit(f))
-        splits += [((of != f) & (at != g), (of != f) & (at == g)) for g in range(inner)]
-    enc = _encode(d, splits, label, key, ("outer", "inner"))
+    for f, at in enumerate(ats):
+        splits += [((of != f) & (F.col(at) != g), (of != f) & (F.col(at) == g)) for g in range(inner)]
+    enc = _encode(d, splits, label, key, ("outer", *ats))
 
     searched = [(m, f, p) for m, grid in models.items() if len(grid) > 1 for f in range(outer) for p in grid]
     scores = score_many(enc, [(outer + f * inner + g, m, p) for m, f, p in searched for g in range(inner)])

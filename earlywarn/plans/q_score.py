@@ -130,7 +130,7 @@ def contributions_model(spark, d):
     from earlywarn.operators import validate as va
     from earlywarn.plans import q_models as qm
 
-    lr = qm._learners(spark, d)
+    lr = va.written(qm._learners(spark, d), "learners")
     model = va.fit_default(lr)
     feats = [c for c in qm.FEATURES if c not in ("row_id", "target")]
     bg = shape.seeded_sample(lr, 100, 42)

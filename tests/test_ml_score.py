@@ -160,3 +160,42 @@ def test_contributions_sort_no_coalitions(spark):
     for i in range(40):
         assert got[i, "a"] == pytest.approx((0.2 + 0.6 - 0.4, 0.3 * (i % 7 - 2.0)))
         assert got[i, "b"] == pytest.approx((0.2 + 0.6 - 0.4, -0.4 * (i % 3 - 1.0)))
+
+
+def test_logistic_pipelines_score_by_expressions(spark):
+    """The fills, slots, scaling and coefficients of a logistic pipeline as column expressions: the scores of its transform,
+    missing values and unseen categories included, and no function of a vector in the plan."""
+    from earlywarn.operators import score as sc
+    from earlywarn.operators import validate as va
+    from earlywarn.operators.models import pass_probability
+
+    rows = [(i, i % 3 > 0 or i % 7 == 0, None if i % 11 == 0 else float(i % 5), None if i % 13 == 0 else i % 4,
+             None if i % 17 == 0 else "uvw"[i % 3], i % 2 == 0) for i in range(200)]
+    df = spark.createDataFrame([(r[0], int(r[1]), *r[2:]) for r in rows], "row_id long, target int, a double, b int, c string, e boolean")
+    new = df.unionByName(spark.createDataFrame([(900, 1, float("nan"), 2, "other", None), (901, 0, None, None, None, True)], df.schema)).drop("target")
+    for name, params in (("Logistic Regression", {"C": 1.0, "l1_ratio": 0.0}), ("Logistic Regression", {"C": 0.05, "l1_ratio": 1.0})):
+        model = va.fit_pipeline(df, name, params, exclude=())
+        assert sc.linear_probability(model) is not None
+        out = model.transform(new)
+        want = {r.row_id: r for r in out.select(*new.columns, pass_probability(out).alias("y_prob")).collect()}
+        scored = sc.model_scorer(model)(new)
+        got = {r.row_id: r for r in scored.collect()}
+        assert got.keys() == want.keys() and scored.columns == [*new.columns, "y_prob"]
+        for k, w in want.items():
+            assert got[k].y_prob == pytest.approx(w.y_prob, abs=1e-12)
+            assert [got[k][c] for c in new.columns] == [w[c] for c in new.columns]
+        assert "UDF" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert sc.linear_probability(va.fit_pipeline(df, "Decision Tree", {"max_depth": 2}, exclude=())) is None
+
+
+def test_orders_of_features_by_comparison(spark, monkeypatch):
+    """Comparing hashes with each other gives the orders of the sort."""
+    from earlywarn.operators import score as sc
+
+    names = list("abcd")
+    df = spark.createDataFrame([(i, *[float((i * j) % 7) for j in (1, 2, 3, 5)]) for i in range(40)], "row_id long, a double, b double, c double, d double")
+    scorer = sc.linear_scorer(0.1, {c: 0.1 * (j + 1) for j, c in enumerate(names)})
+    got = {(r.row_id, r.feature): (r.base, r.phi) for r in sc.permutation_contributions(df, scorer, df.limit(9), names, n_perm=3).collect()}
+    monkeypatch.setattr(sc, "MAX_COMPARED", 0)
+    want = {(r.row_id, r.feature): (r.base, r.phi) for r in sc.permutation_contributions(df, scorer, df.limit(9), names, n_perm=3).collect()}
+    assert got == want and len(got) == 160
