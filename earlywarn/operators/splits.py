@@ -193,8 +193,9 @@ def unpacked(batch: pa.RecordBatch, plan: Plan) -> Iterator[Groups]:
 
 
 def _role(splits: Sequence[tuple[Column, Column]]) -> Column:
-    one = [F.when(train, TRAIN).when(test, TEST).otherwise(0).cast("tinyint") for train, test in splits]
-    return F.array(*one)
+    one = [F.when(train, TRAIN).when(test, TEST).otherwise(0) for train, test in splits]
+    # a function over the array keeps many splits out of one generated method too long to be compiled
+    return F.transform(F.array(*one), lambda x: x.cast("tinyint"))
 
 
 def _counts(n: int) -> list[Column]:

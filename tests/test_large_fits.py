@@ -184,3 +184,45 @@ def test_cosine_is_the_cosine():
     z = np.random.default_rng(1).normal(size=(300, 200)) * 20
     want = np.cos(z)
     assert np.abs(linear_fits.cosine(z) - want).max() < 1e-13
+
+
+def test_logistic_fits_on_kinds_of_rows(learners, monkeypatch):
+    """Beyond a few rows a logistic fit reads each kind of row once, with the weights of its rows: the same model."""
+    df = learners.drop("fold")
+
+    def margins(model):
+        out = model.transform(df)
+        return {r.row_id: r.p for r in out.select("row_id", va.pass_probability(out).alias("p")).collect()}
+
+    for params in ({"C": 1.0, "l1_ratio": 0.0}, {"C": 0.1, "l1_ratio": 1.0}):
+        want = margins(va.fit_pipeline(df, "Logistic Regression", params, exclude=()))
+        read = []
+        build = va.build_estimator
+
+        def seen(*args, **kw):
+            (est,) = build(*args, **kw)
+            fit = est._fit
+            est._fit = lambda d: read.append(d.count()) or fit(d)
+            return [est]
+
+        monkeypatch.setattr(va, "build_estimator", seen)
+        monkeypatch.setattr(va, "FEW_ROWS", 0)
+        got = margins(va.fit_pipeline(df, "Logistic Regression", params, exclude=()))
+        monkeypatch.undo()
+        assert 0 < read[0] < 600 / 3
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-3) for k in want)
+
+
+def test_roles_of_many_splits_are_not_one_method(learners):
+    """The roles of a row in many splits, and an expression that keeps them out of one generated method."""
+    from earlywarn.operators.splits import _role
+
+    splits = [(F.col("fold") != f % 3, F.col("fold") == f % 3) for f in range(40)]
+    out = learners.select("fold", _role(splits).alias("role"))
+    assert out.schema["role"].dataType.simpleString() == "array<tinyint>"
+    for r in out.distinct().collect():
+        assert r.role == [2 if f % 3 == r.fold else 1 for f in range(40)]
+    import re
+
+    tree = out._jdf.queryExecution().executedPlan().toString()
+    assert "transform(" in tree and not re.search(r"^\*.*role", tree, re.M)  # that projection is not code of a whole stage
